@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("rollups", "filters", "caching")
+TOPICS = ("rollups", "filters", "caching", "prompts")
 
 
 def load():

@@ -1,10 +1,328 @@
-"""From files to prompts."""
+"""From files to prompts.
+
+A prompt is treated as ordered pieces: the text between variables, the lines of trees
+and diffs, one section per file. Pieces are rows until the very end, so a repository
+of any size renders; see :mod:`tokengrove.plans.assemble`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tokengrove.functions.code import wrap_code
+from tokengrove.functions.paths import parts_of
+from tokengrove.functions.text import json_text
+from tokengrove.functions.tokens import ENCODINGS, tokens_bytes4
+from tokengrove.operators.order import rank_files
+from tokengrove.operators.templates import (
+    DEFAULT_TEMPLATE,
+    Each,
+    If,
+    Text,
+    Var,
+    parse_template,
+    render_nodes,
+)
+from tokengrove.operators.tree import source_tree
+from tokengrove.plans.assemble import PART_BYTES, join_parts, placed_pieces
+from tokengrove.plans.skew import salted_join
+
+ORDER = ["seg", "key"]
+_NO_KEY = "array<string>"
 
 
 def path_value(absolute: bool = False) -> Column:
     """The path a prompt shows."""
     return F.col("path") if absolute else F.col("rel_path")
+
+
+def model_info(tokenizer: Column) -> Column:
+    """The models an encoding belongs to."""
+    pairs = [F.lit(x) for name, (_, _, text) in ENCODINGS.items() for x in (name, text)]
+    return F.create_map(*pairs)[tokenizer]
+
+
+def template_files(
+    files: DataFrame,
+    absolute: bool = False,
+    line_numbers: bool = False,
+    no_codeblock: bool = False,
+    sort: str = "name-asc",
+) -> DataFrame:
+    """What a template's loop sees, ``(repo, key, path, extension, code, token_count)``.
+
+    Files without content are left out; ``key`` orders the files of a repository.
+    """
+    if sort == "name-asc":
+        keyed = files.withColumn("key", parts_of(F.col("rel_path")))
+    else:
+        ranks = rank_files(files.select("repo", "rel_path", "mtime_us"), sort, "_rank").select(
+            "repo", "rel_path", F.array(F.lpad(F.col("_rank").cast("string"), 20, "0")).alias("key")
+        )
+        keyed = files.join(ranks, ["repo", "rel_path"])
+    ext = F.coalesce("ext", F.lit(""))
+    return keyed.where(F.col("content").isNotNull()).select(
+        "repo",
+        "key",
+        path_value(absolute).alias("path"),
+        ext.alias("extension"),
+        wrap_code(F.col("content"), ext, line_numbers, no_codeblock).alias("code"),
+        F.col("tokens").alias("token_count"),
+    )
+
+
+def _file_field(name: str) -> Column:
+    field = name.removeprefix("this.")
+    if field in ("path", "extension", "code", "token_count"):
+        return F.coalesce(F.col(field).cast("string"), F.lit(""))
+    return F.lit("")
+
+
+def file_sections(entries: DataFrame, body: tuple | None = None) -> DataFrame:
+    """One rendered section ``(repo, key, text)`` per file; by default that of the built-in prompt."""
+    if body is None:
+        body = next(n for n in parse_template(DEFAULT_TEMPLATE) if isinstance(n, Each)).body
+    return entries.select("repo", "key", render_nodes(body, _file_field).alias("text"))
+
+
+def _flatten(nodes: tuple, conds: tuple[str, ...] = ()):
+    """Top-level nodes with the names their enclosing ``if`` blocks test."""
+    for node in nodes:
+        if isinstance(node, If):
+            yield from _flatten(node.body, (*conds, node.name))
+        else:
+            yield node, conds
+
+
+def prompt_pieces(
+    entries: DataFrame,
+    template: str = DEFAULT_TEMPLATE,
+    streams: Mapping[str, DataFrame] | None = None,
+    variables: DataFrame | None = None,
+    label: Column | None = None,
+    repos: DataFrame | None = None,
+) -> DataFrame:
+    """The prompt of every repository as ``(repo, seg, key, text)``.
+
+    ``entries`` comes from :func:`template_files`. ``streams`` gives long built-in
+    values as lines ``(repo, key, text)``: ``source_tree``, ``git_diff``,
+    ``git_diff_branch``, ``git_log_branch``. ``variables(repo, key, value)`` override
+    built-ins. ``repos`` lists who gets a prompt, by default whoever has entries.
+    """
+    streams = dict(streams or {})
+    nodes = list(_flatten(parse_template(template)))
+    repo_row = (entries if repos is None else repos).select("repo").distinct().withColumn(
+        "_label", F.col("repo") if label is None else label
+    )
+    if variables is None:
+        repo_row = repo_row.withColumn("_vars", F.lit(None).cast("map<string,string>"))
+    else:
+        maps = variables.groupBy("repo").agg(
+            F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_vars")
+        )
+        repo_row = repo_row.join(maps, "repo", "left")
+    tested = {c for _, conds in nodes for c in conds}
+    for name in sorted(tested & set(streams)):
+        full = (
+            streams[name].where(F.col("text") != "").select("repo").distinct()
+            .withColumn(f"_has_{name}", F.lit("1"))
+        )
+        repo_row = repo_row.join(full, "repo", "left")
+    if "files" in tested:
+        full = entries.select("repo").distinct().withColumn("_has_files", F.lit("1"))
+        repo_row = repo_row.join(full, "repo", "left")
+
+    def scalar(name: str) -> Column:
+        choices = [F.col("_vars")[name]]
+        if name == "absolute_code_path":
+            choices.append(F.col("_label"))
+        return F.coalesce(*choices, F.lit(""))
+
+    def truth(name: str) -> Column:
+        if name in streams or name == "files":
+            return F.coalesce(F.col("_vars")[name], F.col(f"_has_{name}"), F.lit("")) != ""
+        return scalar(name) != ""
+
+    def passing(conds: tuple[str, ...]) -> Column | None:
+        return reduce(lambda a, b: a & b, map(truth, conds)) if conds else None
+
+    def only_passing(rows: DataFrame, name: str, conds: tuple[str, ...]) -> DataFrame:
+        others = tuple(c for c in conds if c != name)
+        if others:
+            ok = repo_row.where(passing(others)).select("repo")
+            rows = salted_join(rows, ok, ["repo"], "left_semi", ["key"])
+        if variables is not None:
+            own = repo_row.where(F.col("_vars")[name].isNotNull()).select("repo")
+            rows = salted_join(rows, own, ["repo"], "left_anti", ["key"])
+        return rows
+
+    scalars: list[Column] = []
+    long_rows: list[DataFrame] = []
+    run: list[Column] = []
+    run_conds: tuple[str, ...] = ()
+    seg = 0
+
+    def flush() -> None:
+        nonlocal seg, run
+        if run:
+            text = F.concat(*run)
+            cond = passing(run_conds)
+            if cond is not None:
+                text = F.when(cond, text).otherwise(F.lit(""))
+            scalars.append(F.struct(F.lit(seg).alias("seg"), text.alias("text")))
+            seg, run = seg + 1, []
+
+    for node, conds in nodes:
+        if conds != run_conds:
+            flush()
+            run_conds = conds
+        if isinstance(node, Text):
+            run.append(F.lit(node.text))
+        elif isinstance(node, Var) and node.name not in streams:
+            run.append(scalar(node.name))
+        else:
+            name = "files" if isinstance(node, Each) else node.name
+            if isinstance(node, Var) and variables is not None:
+                run.append(scalar(name))
+            flush()
+            rows = file_sections(entries, node.body) if isinstance(node, Each) else streams[name]
+            rows = only_passing(rows, name, conds)
+            long_rows.append(rows.select("repo", F.lit(seg).alias("seg"), "key", "text"))
+            seg += 1
+    flush()
+    fixed = repo_row.select("repo", F.explode(F.array(*scalars)).alias("_p")).select(
+        "repo", "_p.seg", F.array().cast(_NO_KEY).alias("key"), "_p.text"
+    )
+    return reduce(DataFrame.unionByName, long_rows, fixed)
+
+
+def render_prompts(
+    files: DataFrame,
+    template: str = DEFAULT_TEMPLATE,
+    *,
+    full_directory_tree: bool = False,
+    absolute: bool = False,
+    line_numbers: bool = False,
+    no_codeblock: bool = False,
+    sort: str = "name-asc",
+    streams: Mapping[str, DataFrame] | None = None,
+    variables: DataFrame | None = None,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """The trimmed prompt of every repository, ``(repo, part, prompt)``.
+
+    Most prompts are part 0 alone. One larger than ``part_bytes`` continues in further
+    parts, which concatenated give the prompt unchanged.
+    """
+    placed = placed_prompts(
+        files,
+        template,
+        full_directory_tree=full_directory_tree,
+        absolute=absolute,
+        line_numbers=line_numbers,
+        no_codeblock=no_codeblock,
+        sort=sort,
+        streams=streams,
+        variables=variables,
+        part_bytes=part_bytes,
+    )
+    return join_parts(placed, ["repo"], ORDER).withColumnRenamed("text", "prompt")
+
+
+def placed_prompts(
+    files: DataFrame,
+    template: str = DEFAULT_TEMPLATE,
+    *,
+    full_directory_tree: bool = False,
+    absolute: bool = False,
+    line_numbers: bool = False,
+    no_codeblock: bool = False,
+    sort: str = "name-asc",
+    streams: Mapping[str, DataFrame] | None = None,
+    variables: DataFrame | None = None,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """The pieces of :func:`render_prompts`, trimmed and assigned to parts, not yet joined."""
+    lines = dict(streams or {})
+    if "source_tree" not in lines:
+        lines["source_tree"] = source_tree(files, full_directory_tree)
+    entries = template_files(files, absolute, line_numbers, no_codeblock, sort)
+    pieces = prompt_pieces(entries, template, lines, variables, repos=files)
+    return placed_pieces(pieces, ["repo"], ORDER, part_bytes, trim=True)
+
+
+def prompt_tokens_bytes4(placed: DataFrame) -> DataFrame:
+    """Byte-based tokens of each whole prompt, from its pieces."""
+    return placed.groupBy("repo").agg(
+        tokens_bytes4(F.sum(F.octet_length("text"))).alias("tokens")
+    )
+
+
+def prompt_json(
+    placed: DataFrame,
+    files: DataFrame,
+    tokens: DataFrame,
+    tokenizer: str,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """One JSON record per repository, ``(repo, part, json)``, keys in alphabetical order.
+
+    ``files`` lists absolute paths whatever the prompt shows. Escaping works character
+    by character, so escaped pieces concatenate to the escaped prompt.
+    """
+    first = files.groupBy("repo").agg(F.min(parts_of(F.col("rel_path"))).alias("_first"))
+    head = F.concat(
+        F.lit('{"directory_name":"'), json_text(F.col("repo")), F.lit('","files":[')
+    )
+    between = F.concat(
+        F.lit('],"model_info":"'),
+        json_text(model_info(F.lit(tokenizer))),
+        F.lit('","prompt":"'),
+    )
+    tail = F.concat(F.lit('","token_count":'), F.col("tokens").cast("string"), F.lit("}"))
+    frame = tokens.select(
+        "repo",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(seg).alias("seg"), text.alias("text"))
+                    for seg, text in ((0, head), (2, between), (4, tail))
+                ]
+            )
+        ).alias("_p"),
+    ).select(
+        "repo",
+        "_p.seg",
+        F.lit(0).alias("sub"),
+        F.array().cast(_NO_KEY).alias("key"),
+        "_p.text",
+    )
+    key = parts_of(F.col("rel_path"))
+    firsts = first.select("repo", F.array_join("_first", "/").alias("rel_path"), F.lit("").alias("_comma"))
+    paths = (
+        files.select("repo", "rel_path", "path")
+        .join(firsts, ["repo", "rel_path"], "left")
+        .select(
+            "repo",
+            F.lit(1).alias("seg"),
+            F.lit(0).alias("sub"),
+            key.alias("key"),
+            F.concat(
+                F.coalesce("_comma", F.lit(",")), F.lit('"'), json_text(F.col("path")), F.lit('"')
+            ).alias("text"),
+        )
+    )
+    prompt = placed.select(
+        "repo",
+        F.lit(3).alias("seg"),
+        F.col("seg").alias("sub"),
+        "key",
+        json_text(F.col("text")).alias("text"),
+    )
+    order = ["seg", "sub", "key"]
+    pieces = frame.unionByName(paths).unionByName(prompt)
+    out = placed_pieces(pieces, ["repo"], order, part_bytes)
+    return join_parts(out, ["repo"], order).withColumnRenamed("text", "json")
