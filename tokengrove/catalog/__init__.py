@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("rollups", "filters", "caching", "prompts")
+TOPICS = ("rollups", "filters", "caching", "prompts", "history", "counting", "scanning")
 
 
 def load():

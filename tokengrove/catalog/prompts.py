@@ -185,7 +185,7 @@ SELECT repo, CAST(part AS BIGINT) AS part, string_agg(s, '' ORDER BY parts) AS t
 _assembly("prompt_assembly", 1 << 30)
 _assembly("prompt_parts", 1 << 14)
 
-_PROMPT = f"""
+PROMPT_SQL = f"""
 {_FLAT},
 prompts AS (
   SELECT repo, trim('Project Path: ' || repo || chr(10) || chr(10) || 'Source Tree:' || chr(10) || chr(10)
@@ -195,18 +195,18 @@ prompts AS (
 )"""
 
 
-@register("render_prompt", f"WITH {CORPUS}, {_PROMPT} SELECT repo, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
+@register("render_prompt", f"WITH {CORPUS}, {PROMPT_SQL} SELECT repo, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return render.render_prompts(corpus(spark, sf))
 
 
-@register("prompt_tokens", f"""WITH {CORPUS}, {_PROMPT}
+@register("prompt_tokens", f"""WITH {CORPUS}, {PROMPT_SQL}
 SELECT repo, (CAST(strlen(prompt) AS BIGINT) + 3) // 4 AS tokens FROM prompts""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return render.prompt_tokens_bytes4(render.placed_prompts(corpus(spark, sf)))
 
 
-@register("prompt_json", f"""WITH {CORPUS}, {_PROMPT}
+@register("prompt_json", f"""WITH {CORPUS}, {PROMPT_SQL}
 SELECT repo, CAST(0 AS BIGINT) AS part,
        '{{"directory_name":' || CAST(to_json(repo) AS VARCHAR) || ',"files":' || CAST(to_json(paths) AS VARCHAR)
        || ',"model_info":"ChatGPT models, text-embedding-ada-002","prompt":' || CAST(to_json(prompt) AS VARCHAR)
@@ -218,7 +218,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return render.prompt_json(placed, files, render.prompt_tokens_bytes4(placed), "cl100k")
 
 
-@register("write_prompts", f"WITH {CORPUS}, {_PROMPT} SELECT repo, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
+@register("write_prompts", f"WITH {CORPUS}, {PROMPT_SQL} SELECT repo, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = work_dir(spark, "prompts")
     write_prompts(render.render_prompts(corpus(spark, sf)), out)

@@ -147,27 +147,32 @@ def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Colum
     The JVM splits the text; a task merges each distinct pre-token once and remembers
     it. Nothing is shuffled, so neither a frequent word nor a large repository is hot.
     """
-    specials = "|".join(_quote(s) for s in sorted(tokenizer.specials, key=len, reverse=True))
-    pattern = f"{specials}|{tokenizer.pattern}" if specials else tokenizer.pattern
-    shipped = spark.sparkContext.broadcast((dict(tokenizer.ranks), frozenset(tokenizer.specials)))
+    shipped = spark.sparkContext.broadcast(dict(tokenizer.ranks))
     vocabulary = uuid.uuid4().hex
 
     @F.pandas_udf(LongType())
     def count(batches: "pd.Series") -> "pd.Series":
-        ranks, special = shipped.value
+        ranks = shipped.value
         memo = _memo(vocabulary)
 
         def length(token: str) -> int:
             known = memo.get(token)
             if known is None:
-                known = 1 if token in special else merged_length(token.encode(), ranks)
+                known = merged_length(token.encode(), ranks)
                 if len(token) <= 64 and len(memo) < 1_000_000:
                     memo[token] = known
             return known
 
         return batches.map(lambda ts: None if ts is None else sum(map(length, ts)))
 
-    return count(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    def split(part: Column) -> Column:
+        return F.regexp_extract_all(part, F.lit(tokenizer.pattern), F.lit(0))
+
+    if not tokenizer.specials:
+        return count(split(text))
+    specials = "|".join(_quote(s) for s in sorted(tokenizer.specials, key=len, reverse=True))
+    between = F.split(text, specials, -1)  # what touches a special token must not swallow it
+    return count(F.flatten(F.transform(between, split))) + F.size(between) - 1
 
 
 _MEMOS: dict[str, dict[str, int]] = {}

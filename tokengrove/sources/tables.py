@@ -55,8 +55,13 @@ def corpus_view(table: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     )
 
 
-def documents_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The ``documents`` table seen as files of the repositories named by ``source``."""
+def documents_corpus(
+    spark: SparkSession, folder: str, documents: DataFrame | None = None
+) -> DataFrame:
+    """The ``documents`` table seen as files of the repositories named by ``source``.
+
+    ``documents`` replaces the table, for instance by a stream of its rows.
+    """
     doc = F.col("doc_id")
     ext = F.element_at(
         F.array(*[F.lit(e) for e in ("rs", "py", "md", "TOML", "txt", None)]),
@@ -74,7 +79,7 @@ def documents_corpus(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.concat(F.lit("."), ext), F.lit("")),
     )
     return corpus_view(
-        read_table(spark, folder, "documents"),
+        read_table(spark, folder, "documents") if documents is None else documents,
         {
             "repo": F.col("source"),
             "rel_path": rel_path,
