@@ -222,11 +222,11 @@ def _runs(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("parent").isNull().alias("done"),
         )
     )
-    rounds = 0
+    total, longest = state.count(), 1
     while not state.where("not done").isEmpty():
-        rounds += 1
-        if rounds > 64:
+        if longest > total:
             raise ValueError("the commit graph has a cycle")
+        longest *= 2
         beyond = state.select(
             "repo",
             F.col("commit").alias("bottom"),

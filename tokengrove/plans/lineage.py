@@ -33,6 +33,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later rounds do not replay it and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back.
+
+    Later rounds do not replay it and lost executors cost nothing. A table, unlike a
+    checkpointed plan, also tells Spark its true size: estimates carried through a loop
+    of joins multiply round by round.
+    """
+    path = work_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

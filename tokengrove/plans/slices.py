@@ -26,8 +26,8 @@ def running(
 
     ``sums`` maps a new column to the BIGINT expression summed. ``totals`` maps a new
     column to a name in ``sums`` whose whole-group sum it receives. ``order`` must be
-    total within a group. Pass only the columns needed: the rows are checkpointed,
-    which pins the slice a row was put in.
+    total within a group. Pass only the columns needed: the rows are written
+    out once, which pins the slice a row was put in.
     """
     totals = totals or {}
     group_cols = [F.col(g) for g in group]

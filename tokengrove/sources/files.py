@@ -1,7 +1,7 @@
 """Scanning directory trees that executors can reach.
 
 Listing goes level by level: every directory is a row, so a broad tree lists in
-parallel and each level is checkpointed. Filters apply to the listing, before any
+parallel and each level is written out. Filters apply to the listing, before any
 file is opened; reading is spread by path, so one crowded directory is not one task.
 """
 
