@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -97,18 +98,27 @@ def test_globs_mean_what_a_naive_matcher_says(lead, body, text):
     assert bool(re.fullmatch("(?s)" + glob_to_regex(pattern), text)) == expected
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["*.py", "a/**", "**/b*", "?"]), max_size=3),
-       st.lists(st.sampled_from(["*.py", "a/**", "**/b*", "?"]), max_size=3),
-       st.booleans(), st.text(alphabet="ab/.py", min_size=1, max_size=8))
-def test_decision_table(include, exclude, priority, path):
-    hit = lambda globs: any(re.fullmatch("(?s)" + glob_to_regex(g), path) for g in globs)
-    included = not include or hit(include)
-    expected = included and (priority or not hit(exclude))
-    # the expression is built from the same three facts
-    assert expected == (included if (not exclude or priority) else included and not hit(exclude))
-    if include == exclude and include:
-        assert expected == (hit(include) and priority)
+def test_decision_properties(spark):
+    globs = ["*.py", "a/**", "**/b*", "?", "[ab]/*", "{a,b}.py"]
+    rng = random.Random(2)
+    paths = sorted({"".join(rng.choices("ab/.py", k=rng.randint(1, 7))).lstrip("/") or "a" for _ in range(120)})
+    cases = [
+        (rng.sample(globs, rng.randint(0, 2)), rng.sample(globs, rng.randint(0, 2)), rng.random() < 0.5)
+        for _ in range(40)
+    ]
+    cases += [([g], [g], p) for g in globs for p in (True, False)] + [([], [], False), ([], globs, True)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    columns = [filters.glob_decision(F.col("p"), i, e, x).alias(f"c{n}") for n, (i, e, x) in enumerate(cases)]
+    for row in df.select("p", *columns).collect():
+        hit = lambda gs: any(re.fullmatch("(?s)" + glob_to_regex(g), row.p) for g in gs)
+        for n, (include, exclude, priority) in enumerate(cases):
+            if not include and not exclude:
+                expected = True
+            elif include and not hit(include):
+                expected = False
+            else:
+                expected = priority or not hit(exclude)
+            assert row[f"c{n}"] == expected, (row.p, include, exclude, priority)
 
 
 def test_sizes_and_encoding(spark):

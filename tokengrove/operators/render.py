@@ -193,6 +193,8 @@ def prompt_pieces(
             long_rows.append(rows.select("repo", F.lit(seg).alias("seg"), "key", "text"))
             seg += 1
     flush()
+    if not scalars:  # so that a prompt without any section is an empty one, not a missing row
+        scalars.append(F.struct(F.lit(seg).alias("seg"), F.lit("").alias("text")))
     fixed = repo_row.select("repo", F.explode(F.array(*scalars)).alias("_p")).select(
         "repo", "_p.seg", F.array().cast(_NO_KEY).alias("key"), "_p.text"
     )
