@@ -108,7 +108,7 @@ def test_variable_priority(spark):
 
 def test_json_and_files_on_disk(spark, files, tmp_path):
     placed = render.placed_prompts(files)
-    parts = render.prompt_json(placed, files, render.prompt_tokens_bytes4(placed), "cl100k", part_bytes=20)
+    parts = render.prompt_json(placed, files, "cl100k", part_bytes=20)
     text = {}
     for r in sorted(parts.collect(), key=lambda r: r.part):
         text[r.repo] = text.get(r.repo, "") + r.json
@@ -128,7 +128,7 @@ def test_prompt_tokens_do_not_depend_on_parts(spark, name):
     df = spark.createDataFrame(rows, "repo string, rel_path string, ext string, content string, tokens bigint").withColumn("path", F.col("rel_path")).withColumn("mtime_us", F.lit(0))
     template = "{{#each files}}{{code}}{{/each}}"
     counts = {
-        size: prompt_tokens(render.placed_prompts(df, template, no_codeblock=True, part_bytes=size), tok).first().tokens
+        size: prompt_tokens(render.all_pieces(df, template, no_codeblock=True), tok, size).first().tokens
         for size in (1, 300, 10**9)
     }
     assert len(set(counts.values())) == 1, counts

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokengrove.catalog.base import CORPUS, over_corpus, register
 from tokengrove.catalog.prompts import PROMPT_SQL
 from tokengrove.functions.tokens import Tokenizer, register_tokenizer
-from tokengrove.operators.counting import COUNT_BYTES, count_files, prompt_tokens
-from tokengrove.operators.render import placed_prompts
+from tokengrove.operators.counting import count_files, prompt_tokens
+from tokengrove.operators.render import all_pieces
 from tokengrove.sources.tables import documents_corpus as corpus
 
 # Letters of no English contraction, so that ``'s`` and the like never part a pair.
@@ -59,11 +59,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("prompt_bpe_tokens", f"WITH {CORPUS}, {PROMPT_SQL} SELECT repo, {_count('prompt')} AS tokens FROM prompts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    placed = placed_prompts(corpus(spark, sf), part_bytes=COUNT_BYTES)
-    return prompt_tokens(placed, pair_tokenizer())
+    return prompt_tokens(all_pieces(corpus(spark, sf)), pair_tokenizer())
 
 
 @register("prompt_bpe_tokens_parts", f"WITH {CORPUS}, {PROMPT_SQL} SELECT repo, {_count('prompt')} AS tokens FROM prompts")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    placed = placed_prompts(corpus(spark, sf), part_bytes=1 << 12)
-    return prompt_tokens(placed, pair_tokenizer("r50k_base"))
+    pieces = all_pieces(corpus(spark, sf))
+    return prompt_tokens(pieces, pair_tokenizer("r50k_base"), part_bytes=1 << 12)

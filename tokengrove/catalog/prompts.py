@@ -214,8 +214,7 @@ SELECT repo, CAST(0 AS BIGINT) AS part,
 FROM prompts JOIN (SELECT repo, list(path ORDER BY parts) AS paths FROM corpus GROUP BY repo) USING (repo)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf)
-    placed = render.placed_prompts(files)
-    return render.prompt_json(placed, files, render.prompt_tokens_bytes4(placed), "cl100k")
+    return render.prompt_json(render.placed_prompts(files), files, "cl100k")
 
 
 @register("write_prompts", f"WITH {CORPUS}, {PROMPT_SQL} SELECT repo, CAST(0 AS BIGINT) AS part, prompt FROM prompts")
@@ -289,6 +288,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register("render_xml", f"""WITH {CORPUS}, {_FLAT},
+bodies AS (
+  SELECT repo, string_agg('<file>' || chr(10) || '<path>' || rel_path || '</path>' || chr(10) || '<code>' || chr(10)
+           || '```' || COALESCE(ext, '') || chr(10) || {_NUMBERED} || '```' || chr(10) || '</code>' || chr(10)
+           || '</file>' || chr(10), '' ORDER BY parts DESC) AS body
+  FROM corpus GROUP BY repo
+)
+SELECT repo, CAST(0 AS BIGINT) AS part, '<project>' || repo || '</project>' || chr(10) || '<tree>' || chr(10) || tree
+       || chr(10) || '</tree>' || chr(10) || '<files>' || chr(10) || body || '</files>'
+       || CASE WHEN repo LIKE 'src1%' THEN chr(10) || '<instructions>' || chr(10) || 'Read ' || repo || chr(10) || '</instructions>' ELSE '' END AS prompt
+FROM flat JOIN bodies USING (repo)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf)
+    given = files.select("repo").distinct().where("repo like 'src1%'").select(
+        "repo", F.lit("instructions").alias("key"), F.concat(F.lit("Read "), "repo").alias("value")
+    )
+    return render.render_prompts(
+        files, templates.LIBRARY["xml"], variables=given, line_numbers=True, sort="name-desc"
+    )
+
+
 # ── templates and variables ──────────────────────────────────────────────────
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tokengrove.functions.tokens import Tokenizer, bpe_tokens
 from tokengrove.operators.render import ORDER
-from tokengrove.plans.assemble import join_parts
+from tokengrove.plans.assemble import join_parts, piece_parts, placed_pieces
 from tokengrove.plans.slices import running
 
 COUNT_BYTES = 1 << 20
 
 # Between a letter and a line break no encoding's pre-token continues, and nothing an
 # encoding looks at on one side depends on the other.
+_SAFE = r"\p{L}\n"
 _SAFE_CUT = r"(?s)\A(.*\p{L})\n"
 
 
@@ -21,28 +22,33 @@ def count_files(files: DataFrame, tokenizer: Tokenizer, content: str = "content"
     return files.withColumn("tokens", bpe_tokens(files.sparkSession, F.col(content), tokenizer))
 
 
-def prompt_tokens(placed: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """Tokens of each whole prompt, from pieces placed in parts of about :data:`COUNT_BYTES`.
+def prompt_tokens(
+    pieces: DataFrame, tokenizer: Tokenizer, part_bytes: int = COUNT_BYTES
+) -> DataFrame:
+    """Tokens of each whole trimmed prompt, from the pieces :func:`all_pieces` gives.
 
-    A pre-token may span two parts, so each part is cut at its last safe place and what
+    A pre-token may span two parts, so a part is cut at its last safe place and what
     follows is counted with the next part. A part without such a place joins its
     neighbours whole. The counts therefore add up to that of the undivided prompt.
     """
-    parts = join_parts(placed, ["repo"], ORDER)
+    parts = piece_parts(pieces, ["repo"], ORDER, part_bytes, _safe=F.col("text").rlike(_SAFE))
+    per_part = parts.groupBy("repo", "part").agg(F.bool_or("_safe").alias("_safe"))
+    groups = running(per_part, ["repo"], [F.col("part")], {"_group": F.col("_safe").cast("int")})
+    texts = join_parts(
+        placed_pieces(pieces, ["repo"], ORDER, part_bytes, trim=True, parts=parts), ["repo"], ORDER
+    ).join(groups.select("repo", "part", "_safe", "_group"), ["repo", "part"])
     head = F.regexp_extract("text", _SAFE_CUT, 1)
-    cuttable = parts.withColumn("_head", head).withColumn("_safe", F.col("_head") != "")
-    flags = cuttable.select("repo", "part", "_safe")
-    groups = running(flags, ["repo"], [F.col("part")], {"_group": F.col("_safe").cast("int")})
     rest = F.substring(F.col("text"), F.length("_head") + 1, F.length("text"))
+
+    def chunk(group: Column, text: Column) -> Column:
+        return F.struct(group.alias("g"), text.alias("t"))
+
     chunks = F.when(
         F.col("_safe"),
-        F.array(
-            F.struct(F.col("_group").alias("g"), F.col("_head").alias("t")),
-            F.struct((F.col("_group") + 1).alias("g"), rest.alias("t")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("_group").alias("g"), F.col("text").alias("t"))))
-    texts = (
-        cuttable.join(groups.select("repo", "part", "_group"), ["repo", "part"])
+        F.array(chunk(F.col("_group"), F.col("_head")), chunk(F.col("_group") + 1, rest)),
+    ).otherwise(F.array(chunk(F.col("_group"), F.col("text"))))
+    whole = (
+        texts.withColumn("_head", head)
         .select("repo", "part", F.explode(chunks).alias("c"))
         .groupBy("repo", "c.g")
         .agg(
@@ -55,7 +61,7 @@ def prompt_tokens(placed: DataFrame, tokenizer: Tokenizer) -> DataFrame:
             ).alias("text")
         )
     )
-    counted = texts.select(
-        "repo", bpe_tokens(placed.sparkSession, F.col("text"), tokenizer).alias("tokens")
+    counted = whole.select(
+        "repo", bpe_tokens(pieces.sparkSession, F.col("text"), tokenizer).alias("tokens")
     )
     return counted.groupBy("repo").agg(F.sum("tokens").alias("tokens"))

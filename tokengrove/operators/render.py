@@ -28,6 +28,7 @@ from tokengrove.operators.templates import (
 )
 from tokengrove.operators.tree import source_tree
 from tokengrove.plans.assemble import PART_BYTES, join_parts, placed_pieces
+from tokengrove.plans.lineage import cut
 from tokengrove.plans.skew import salted_join
 
 ORDER = ["seg", "key"]
@@ -97,6 +98,17 @@ def _flatten(nodes: tuple, conds: tuple[str, ...] = ()):
             yield node, conds
 
 
+def _names(nodes: tuple) -> set[str]:
+    """Every name a template mentions."""
+    found: set[str] = set()
+    for node in nodes:
+        if isinstance(node, (Var, If)):
+            found.add(node.name)
+        if isinstance(node, (If, Each)):
+            found |= _names(node.body)
+    return found
+
+
 def prompt_pieces(
     entries: DataFrame,
     template: str = DEFAULT_TEMPLATE,
@@ -120,6 +132,8 @@ def prompt_pieces(
     if variables is None:
         repo_row = repo_row.withColumn("_vars", F.lit(None).cast("map<string,string>"))
     else:
+        names = sorted(_names(parse_template(template)))
+        variables = variables.where(F.col("key").isin(names))
         maps = variables.groupBy("repo").agg(
             F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_vars")
         )
@@ -201,7 +215,7 @@ def prompt_pieces(
     return reduce(DataFrame.unionByName, long_rows, fixed)
 
 
-def render_prompts(
+def all_pieces(
     files: DataFrame,
     template: str = DEFAULT_TEMPLATE,
     *,
@@ -212,50 +226,36 @@ def render_prompts(
     sort: str = "name-asc",
     streams: Mapping[str, DataFrame] | None = None,
     variables: DataFrame | None = None,
-    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """The trimmed prompt of every repository, ``(repo, part, prompt)``.
-
-    Most prompts are part 0 alone. One larger than ``part_bytes`` continues in further
-    parts, which concatenated give the prompt unchanged.
-    """
-    placed = placed_prompts(
-        files,
-        template,
-        full_directory_tree=full_directory_tree,
-        absolute=absolute,
-        line_numbers=line_numbers,
-        no_codeblock=no_codeblock,
-        sort=sort,
-        streams=streams,
-        variables=variables,
-        part_bytes=part_bytes,
-    )
-    return join_parts(placed, ["repo"], ORDER).withColumnRenamed("text", "prompt")
+    """The prompt pieces of a corpus, source tree included."""
+    lines = dict(streams or {})
+    if "source_tree" not in lines:
+        lines["source_tree"] = source_tree(files, full_directory_tree)
+    entries = template_files(files, absolute, line_numbers, no_codeblock, sort)
+    return prompt_pieces(entries, template, lines, variables, repos=files)
 
 
 def placed_prompts(
-    files: DataFrame,
-    template: str = DEFAULT_TEMPLATE,
-    *,
-    full_directory_tree: bool = False,
-    absolute: bool = False,
-    line_numbers: bool = False,
-    no_codeblock: bool = False,
-    sort: str = "name-asc",
-    streams: Mapping[str, DataFrame] | None = None,
-    variables: DataFrame | None = None,
-    part_bytes: int = PART_BYTES,
+    files: DataFrame, template: str = DEFAULT_TEMPLATE, part_bytes: int = PART_BYTES, **options
 ) -> DataFrame:
     """The pieces of :func:`render_prompts`, trimmed and assigned to parts, not yet joined."""
-    lines = dict(streams or {})
-    if "source_tree" not in lines:
-        lines["source_tree"] = source_tree(files, full_directory_tree)
-    entries = template_files(files, absolute, line_numbers, no_codeblock, sort)
-    pieces = prompt_pieces(entries, template, lines, variables, repos=files)
+    pieces = all_pieces(files, template, **options)
     return placed_pieces(pieces, ["repo"], ORDER, part_bytes, trim=True)
 
 
+def render_prompts(
+    files: DataFrame, template: str = DEFAULT_TEMPLATE, part_bytes: int = PART_BYTES, **options
+) -> DataFrame:
+    """The trimmed prompt of every repository, ``(repo, part, prompt)``.
+
+    ``options`` are those of :func:`all_pieces`. Most prompts are part 0 alone. One
+    larger than ``part_bytes`` continues in further parts, which concatenated give the
+    prompt unchanged.
+    """
+    placed = placed_prompts(files, template, part_bytes, **options)
+    return join_parts(placed, ["repo"], ORDER).withColumnRenamed("text", "prompt")
+
+
 def prompt_tokens_bytes4(placed: DataFrame) -> DataFrame:
     """Byte-based tokens of each whole prompt, from its pieces."""
     return placed.groupBy("repo").agg(
@@ -266,15 +266,20 @@ def prompt_tokens_bytes4(placed: DataFrame) -> DataFrame:
 def prompt_json(
     placed: DataFrame,
     files: DataFrame,
-    tokens: DataFrame,
     tokenizer: str,
+    tokens: DataFrame | None = None,
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """One JSON record per repository, ``(repo, part, json)``, keys in alphabetical order.
 
-    ``files`` lists absolute paths whatever the prompt shows. Escaping works character
-    by character, so escaped pieces concatenate to the escaped prompt.
+    ``placed`` comes from :func:`placed_prompts` and is written out, as it is needed
+    several times. ``files`` lists absolute paths whatever the prompt shows. ``tokens``
+    is ``(repo, tokens)`` of the prompts, the byte-based count by default. Escaping works
+    character by character, so escaped pieces concatenate to the escaped prompt.
     """
+    placed = cut(placed)
+    if tokens is None:
+        tokens = prompt_tokens_bytes4(placed)
     first = files.groupBy("repo").agg(F.min(parts_of(F.col("rel_path"))).alias("_first"))
     head = F.concat(
         F.lit('{"directory_name":"'), json_text(F.col("repo")), F.lit('","files":[')

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tokengrove.functions.text import trim_all, trim_end, trim_start
 from tokengrove.plans.slices import running
@@ -19,23 +19,24 @@ from tokengrove.plans.slices import running
 PART_BYTES = 64 * 1024 * 1024
 
 
-def placed_pieces(
+def piece_parts(
     pieces: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     part_bytes: int = PART_BYTES,
-    trim: bool = False,
+    **extra: Column,
 ) -> DataFrame:
-    """``pieces`` with their BIGINT ``part``; with ``trim`` the text as a whole is trimmed.
+    """For every piece its keys and BIGINT ``part``, and whether white space around it is at an end
+    of the whole text (``_head``, ``_tail``). ``extra`` columns are computed along.
 
-    Offsets are computed on keys and byte lengths only; the text joins back on its own
-    unique key, which no hot group can skew.
+    Only keys and lengths move; the texts are read once and left where they are.
     """
     keys = [*group, *order]
     sizes = pieces.select(
         *keys,
         F.octet_length("text").alias("_bytes"),
         (trim_all(F.col("text")) != "").cast("bigint").alias("_solid"),
+        *[column.alias(name) for name, column in extra.items()],
     )
     offsets = running(
         sizes,
@@ -43,19 +44,38 @@ def placed_pieces(
         [F.col(c) for c in order],
         {"_at": F.col("_bytes"), "_solid_before": F.col("_solid")},
         {"_solid_all": "_solid_before"},
-    ).select(
+    )
+    return offsets.select(
         *keys,
         F.floor(F.col("_at") / F.lit(part_bytes)).cast("bigint").alias("part"),
         (F.col("_solid_before") == 0).alias("_head"),
         (F.col("_solid_before") + F.col("_solid") == F.col("_solid_all")).alias("_tail"),
+        *extra,
     )
-    placed = pieces.join(offsets, keys)
+
+
+def placed_pieces(
+    pieces: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    part_bytes: int = PART_BYTES,
+    trim: bool = False,
+    parts: DataFrame | None = None,
+) -> DataFrame:
+    """``pieces`` with their ``part``; with ``trim`` the text as a whole is trimmed.
+
+    The text joins its part on its own unique key, which no hot group can skew.
+    ``parts`` may hand in what :func:`piece_parts` found before.
+    """
+    keys = [*group, *order]
+    if parts is None:
+        parts = piece_parts(pieces, group, order, part_bytes)
+    placed = pieces.join(parts, keys)
     if trim:
-        placed = placed.withColumn(
-            "text", F.when(F.col("_head"), trim_start(F.col("text"))).otherwise(F.col("text"))
-        ).withColumn(
-            "text", F.when(F.col("_tail"), trim_end(F.col("text"))).otherwise(F.col("text"))
-        )
+        text = F.col("text")
+        text = F.when(F.col("_head"), trim_start(text)).otherwise(text)
+        text = F.when(F.col("_tail"), trim_end(text)).otherwise(text)
+        placed = placed.withColumn("text", text)
     return placed.select(*keys, "part", "text")
 
 

@@ -13,8 +13,8 @@ def build_session(app: str = "tokengrove", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Arrow batches of whole files: keep a batch well under worker memory.
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+        # Arrow batches hold whole files: bound them by bytes, not only by rows.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
