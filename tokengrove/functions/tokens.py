@@ -6,10 +6,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 import base64
 import heapq
+import os
 import re
 import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
@@ -144,26 +146,28 @@ def merged_length(piece: bytes, ranks: Mapping[bytes, int]) -> int:
 def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Column:
     """Token count of ``text``; each special token counts as one, null text gives null.
 
-    The JVM splits the text; a task merges each distinct pre-token once and remembers
-    it. Nothing is shuffled, so neither a frequent word nor a large repository is hot.
+    The JVM splits the text; a task merges each distinct pre-token of a batch once and
+    remembers it. Nothing is shuffled, so neither a frequent word nor a large repository is hot.
     """
     shipped = spark.sparkContext.broadcast(dict(tokenizer.ranks))
     vocabulary = uuid.uuid4().hex
 
-    @F.pandas_udf(LongType())
-    def count(batches: "pd.Series") -> "pd.Series":
+    @F.arrow_udf(LongType())
+    def count(pieces: pa.Array) -> pa.Array:
         ranks = shipped.value
         memo = _memo(vocabulary)
-
-        def length(token: str) -> int:
-            known = memo.get(token)
+        coded = pieces.values.dictionary_encode()
+        length_of = np.zeros(len(coded.dictionary), dtype=np.int64)
+        for i, piece in enumerate(coded.dictionary.to_pylist()):
+            known = memo.get(piece)
             if known is None:
-                known = merged_length(token.encode(), ranks)
-                if len(token) <= 64 and len(memo) < 1_000_000:
-                    memo[token] = known
-            return known
-
-        return batches.map(lambda ts: None if ts is None else sum(map(length, ts)))
+                known = merged_length(piece.encode(), ranks)
+                if len(piece) <= 64 and len(memo) < 1_000_000:
+                    memo[piece] = known
+            length_of[i] = known
+        upto = np.concatenate([[0], np.cumsum(length_of[coded.indices.to_numpy()])])
+        ends = pieces.offsets.to_numpy()
+        return pa.array(upto[ends[1:]] - upto[ends[:-1]], mask=~pieces.is_valid().to_numpy(False))
 
     def split(part: Column) -> Column:
         return F.regexp_extract_all(part, F.lit(tokenizer.pattern), F.lit(0))
@@ -172,7 +176,10 @@ def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Colum
         return count(split(text))
     specials = "|".join(_quote(s) for s in sorted(tokenizer.specials, key=len, reverse=True))
     between = F.split(text, specials, -1)  # what touches a special token must not swallow it
-    return count(F.flatten(F.transform(between, split))) + F.size(between) - 1
+    shared = os.path.commonprefix(list(tokenizer.specials))
+    may_have = text.contains(shared)  # a plain search spares almost all texts the rest
+    pieces = F.when(may_have, F.flatten(F.transform(between, split))).otherwise(split(text))
+    return count(pieces) + F.when(may_have, F.size(between) - 1).otherwise(0)
 
 
 _MEMOS: dict[str, dict[str, int]] = {}

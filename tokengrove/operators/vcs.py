@@ -128,8 +128,8 @@ def _patch_text() -> Column:
 
 
 def diff_stream(patches: DataFrame) -> DataFrame:
-    """Patch lines as prompt lines ``(repo, key, text)``."""
-    return patches.select(
+    """Patch lines as prompt lines ``(repo, key, text)``, written out: a prompt reads them repeatedly."""
+    return cut(patches).select(
         "repo",
         F.array("rel_path", F.lpad(F.col("seq").cast("string"), 10, "0")).alias("key"),
         _patch_text().alias("text"),
@@ -137,7 +137,11 @@ def diff_stream(patches: DataFrame) -> DataFrame:
 
 
 def sections_stream(sections: DataFrame) -> DataFrame:
-    """Sections as prompt lines, a heading before each and an empty line between the two."""
+    """Sections as prompt lines, a heading before each and an empty line between the two.
+
+    The patches are written out, as a prompt reads them repeatedly.
+    """
+    sections = cut(sections)
     order = F.when(F.col("section") == "Staged Changes", "1").otherwise("2")
     lines = sections.select(
         "repo",
