@@ -60,8 +60,12 @@ def template_files(
     if sort == "name-asc":
         keyed = files.withColumn("key", parts_of(F.col("rel_path")))
     else:
-        ranks = rank_files(files.select("repo", "rel_path", "mtime_us"), sort, "_rank").select(
-            "repo", "rel_path", F.array(F.lpad(F.col("_rank").cast("string"), 20, "0")).alias("key")
+        ranks = cut(
+            rank_files(files.select("repo", "rel_path", "mtime_us"), sort, "_rank").select(
+                "repo",
+                "rel_path",
+                F.array(F.lpad(F.col("_rank").cast("string"), 20, "0")).alias("key"),
+            )
         )
         keyed = files.join(ranks, ["repo", "rel_path"])
     ext = F.coalesce("ext", F.lit(""))
@@ -230,7 +234,9 @@ def all_pieces(
     """The prompt pieces of a corpus, source tree included."""
     lines = dict(streams or {})
     if "source_tree" not in lines:
-        lines["source_tree"] = source_tree(files, full_directory_tree)
+        tree = source_tree(files, full_directory_tree)
+        # Lines are read more than once; a nested tree takes several joins to draw.
+        lines["source_tree"] = cut(tree) if full_directory_tree else tree
     entries = template_files(files, absolute, line_numbers, no_codeblock, sort)
     return prompt_pieces(entries, template, lines, variables, repos=files)
 

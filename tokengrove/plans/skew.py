@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_SALTS = 64
+# Repeating the small side multiplies what a broadcast of it would weigh, which Spark
+# judges before the repetition: 32 keeps that within a few hundred megabytes.
+MAX_SALTS = 32
 
 
 def salt_count(df: DataFrame) -> int:
