@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -116,6 +117,19 @@ def test_patches_apply():
         assert bare(apply_patch(a, patch)) == bare(vcs._split(b))
 
 
+@pytest.mark.parametrize("kind", ["few kinds", "shuffled", "all equal"])
+def test_large_patches_stay_cheap(kind):
+    rng = random.Random(4)
+    n = 100_000
+    pool = {"few kinds": 300, "shuffled": n, "all equal": 1}[kind]
+    old = [f"l{rng.randrange(pool)}" for _ in range(n)]
+    new = rng.sample(old, n) if kind == "shuffled" else old[:50] + ["x"] + [f"l{rng.randrange(pool)}" for _ in range(n)]
+    a, b = "\n".join(old) + "\n", "\n".join(new) + "\n"
+    start = time.monotonic()
+    assert apply_patch(a, vcs.file_patch("p", a, b)) == new
+    assert time.monotonic() - start < 60
+
+
 def test_snapshots(spark):
     df = lambda rows: spark.createDataFrame([("r", *x) for x in rows], "repo string, rel_path string, content string")
     old = df([("same", "a\nb\n"), ("space", "a b\n"), ("eof", "x"), ("mod", "1\n2\n"), ("gone", "z"), ("blank", "a\nb")])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokengrove.catalog.base import over_corpus, register
 from tokengrove.catalog.caching import file_number
 from tokengrove.operators import render, vcs
+from tokengrove.plans.assemble import assemble
 from tokengrove.sources.tables import documents_corpus as corpus, read_table
 
 
@@ -157,6 +158,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return vcs.commit_range(*commit_tables(spark, sf, merges=True)).select("repo", "seq", "line")
 
 
+@register("git_log_text", "WITH log AS (" + _range_sql(True) + """)
+SELECT repo, CAST(0 AS BIGINT) AS part, string_agg(line, '' ORDER BY seq) AS text FROM log GROUP BY repo""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    log = vcs.log_stream(vcs.commit_range(*commit_tables(spark, sf, merges=True)))
+    return assemble(log, ["repo"], ["key"])
+
+
 @register("branch_check", """
 SELECT DISTINCT 'conv' || conv_id AS repo, 'master' AS branch FROM conversations WHERE conv_id % 10 = 9""")
 def _(spark: SparkSession, sf: str) -> DataFrame:

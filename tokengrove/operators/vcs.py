@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 import difflib
 import re
@@ -21,6 +23,7 @@ from tokengrove.plans.slices import ranked
 
 KEY = ["repo", "rel_path"]
 CONTEXT = 3  # fixed value: unchanged lines around a change
+MAX_GAP = 4_000_000  # pairs of lines searched between two anchors
 PATCH_SCHEMA = "repo string, rel_path string, seq int, origin string, text string"
 
 
@@ -54,6 +57,57 @@ def _split(text: str | None) -> list[str]:
     return lines[:-1] if lines[-1] == "" else lines
 
 
+def _anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Longest increasing chain of the lines that occur once on either side."""
+    once_x = {s for s, n in Counter(x).items() if n == 1}
+    at_y = {s: j for j, s in enumerate(y)}
+    once_y = {s for s, n in Counter(y).items() if n == 1}
+    tails: list[int] = []
+    links: list[tuple[int, int, int]] = []  # (i, j, index of the link before)
+    top: list[int] = []
+    for i, s in enumerate(x):
+        if s in once_x and s in once_y:
+            j = at_y[s]
+            k = bisect_left(tails, j)
+            links.append((i, j, top[k - 1] if k else -1))
+            tails[k : k + 1] = [j]
+            top[k : k + 1] = [len(links) - 1]
+    chain: list[tuple[int, int]] = []
+    at = top[-1] if top else -1
+    while at >= 0:
+        i, j, at = links[at]
+        chain.append((i, j))
+    return chain[::-1]
+
+
+def _matcher(x: list[str], y: list[str]) -> difflib.SequenceMatcher:
+    """A matcher whose work is bounded whatever the lines.
+
+    Unique lines anchor the match, and only the gaps between them are searched. A gap
+    too large to search counts as replaced, which is a longer patch but a right one.
+    """
+    blocks: list[list[int]] = []
+
+    def add(i: int, j: int, size: int) -> None:
+        if size and blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
+            blocks[-1][2] += size
+        elif size:
+            blocks.append([i, j, size])
+
+    i = j = 0
+    for next_i, next_j in [*_anchors(x, y), (len(x), len(y))]:
+        if (next_i - i) * (next_j - j) <= MAX_GAP:
+            gap = difflib.SequenceMatcher(None, x[i:next_i], y[j:next_j])
+            for found in gap.get_matching_blocks():
+                add(i + found.a, j + found.b, found.size)
+        if next_i < len(x) or next_j < len(y):
+            add(next_i, next_j, 1)
+        i, j = next_i + 1, next_j + 1
+    matcher = difflib.SequenceMatcher(None, x, y)
+    matcher.matching_blocks = [difflib.Match(*b) for b in [*blocks, [len(x), len(y), 0]]]
+    return matcher
+
+
 def file_patch(path: str, old: str | None, new: str | None) -> Iterator[tuple[str, str]]:
     """``(origin, line)`` of one file's patch; origins ``F`` file, ``H`` hunk, space, ``+``, ``-``.
 
@@ -65,42 +119,30 @@ def file_patch(path: str, old: str | None, new: str | None) -> Iterator[tuple[st
     a, b = _split(old), _split(new)
     bare = re.compile(r"[ \t\r\f\v]+")
     x, y = [bare.sub("", s) for s in a], [bare.sub("", s) for s in b]
-    head = 0
-    while head < min(len(x), len(y)) and x[head] == y[head]:
-        head += 1
-    foot = 0
-    while foot < min(len(x), len(y)) - head and x[-1 - foot] == y[-1 - foot]:
-        foot += 1
-    # Equal ends are set aside before matching; the context they lend is kept.
-    keep_head, keep_foot = min(head, CONTEXT), min(foot, CONTEXT)
-    skip, end_a, end_b = head - keep_head, len(x) - foot + keep_foot, len(y) - foot + keep_foot
-    matcher = difflib.SequenceMatcher(None, x[skip:end_a], y[skip:end_b])
-    for group in matcher.get_grouped_opcodes(CONTEXT):
-        i1, i2 = group[0][1] + skip, group[-1][2] + skip
-        j1, j2 = group[0][3] + skip, group[-1][4] + skip
+    for group in _matcher(x, y).get_grouped_opcodes(CONTEXT):
+        i1, i2, j1, j2 = group[0][1], group[-1][2], group[0][3], group[-1][4]
         start_a, start_b = (i1 + 1 if i2 > i1 else i1), (j1 + 1 if j2 > j1 else j1)
         yield "H", f"@@ -{start_a},{i2 - i1} +{start_b},{j2 - j1} @@"
         for tag, a1, a2, b1, b2 in group:
             if tag == "equal":
-                yield from ((" ", s) for s in b[b1 + skip : b2 + skip])
+                yield from ((" ", s) for s in b[b1:b2])
             else:
-                yield from (("-", s) for s in a[a1 + skip : a2 + skip])
-                yield from (("+", s) for s in b[b1 + skip : b2 + skip])
+                yield from (("-", s) for s in a[a1:a2])
+                yield from (("+", s) for s in b[b1:b2])
 
 
 def _patch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["repo", "rel_path", "seq", "origin", "text"]
     for batch in batches:
+        rows: list[tuple] = []
         for row in batch.itertuples(index=False):
-            lines = list(file_patch(row.rel_path, row.old, row.new))
-            yield pd.DataFrame(
-                {
-                    "repo": row.repo,
-                    "rel_path": row.rel_path,
-                    "seq": range(len(lines)),
-                    "origin": [o for o, _ in lines],
-                    "text": [t for _, t in lines],
-                }
-            )
+            patch = enumerate(file_patch(row.rel_path, row.old, row.new))
+            rows += [(row.repo, row.rel_path, seq, origin, text) for seq, (origin, text) in patch]
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def patch_lines(old: DataFrame, new: DataFrame) -> DataFrame:
