@@ -334,6 +334,7 @@ def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> Da
     whole = F.lit(2**62).cast("bigint")
     seen = heads
     frontier = heads.select(*who, "bottom")
+    rounds = 0
     while True:
         entered = (
             frontier.join(run_edges, ["repo", "bottom"])
@@ -344,7 +345,10 @@ def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> Da
         frontier = cut(entered)
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier.withColumn("limit", whole)))
+        seen = seen.unionByName(frontier.withColumn("limit", whole))
+        rounds += 1
+        if rounds % 8 == 0:
+            seen = cut(seen)
     reach = seen.groupBy("repo", "branch1", "branch2", "bottom").agg(
         F.max(F.when(F.col("side") == 1, F.col("limit"))).alias("_hidden"),
         F.max(F.when(F.col("side") == 2, F.col("limit"))).alias("_pushed"),
