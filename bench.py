@@ -39,7 +39,6 @@ HEADLINE = (
 def main() -> None:
     root = os.path.dirname(os.path.abspath(__file__))
     sys.path.insert(0, root)
-    os.environ["PYTHONPATH"] = root + os.pathsep + os.environ.get("PYTHONPATH", "")
     from tokengrove import build_session
     from tokengrove.catalog import load
 

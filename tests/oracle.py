@@ -61,7 +61,6 @@ def compare(df, con, sql: str) -> str | None:
 def main() -> int:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     sys.path.insert(0, root)
-    os.environ["PYTHONPATH"] = root
     from tokengrove import build_session
     from tokengrove.catalog import load
 
