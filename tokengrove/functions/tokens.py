@@ -65,6 +65,7 @@ ENCODINGS: dict[str, tuple[str, tuple[str, ...], str]] = {
 }
 ALIASES = {"gpt2": "r50k_base", "cl100k_base": "cl100k"}
 DEFAULT_ENCODING = "cl100k"
+MAX_VOCABULARY = 1_000_000  # what executors each hold a copy of
 
 
 @dataclass(frozen=True)
@@ -87,8 +88,8 @@ def register_tokenizer(
 ) -> Tokenizer:
     """A tokenizer from a published encoding name or one's own pattern.
 
-    ``ranks_path`` is a vocabulary file of ``base64 rank`` lines. Vocabularies are of
-    fixed size (about 50k to 200k entries), which bounds what is shipped to executors.
+    ``ranks_path`` is a vocabulary file of ``base64 rank`` lines. Published
+    vocabularies have about 50k to 200k entries; the size is checked.
     """
     name = ALIASES.get(name, name)
     known = ENCODINGS.get(name)
@@ -104,6 +105,8 @@ def register_tokenizer(
         with open(ranks_path, "rb") as lines:
             pairs = (line.split() for line in lines if line.strip())
             ranks = {base64.b64decode(tok): int(rank) for tok, rank in pairs}
+    if len(ranks) > MAX_VOCABULARY:
+        raise ValueError(f"{len(ranks)} entries are too many to send to every executor")
     if not all(bytes([b]) in ranks for b in range(256)):
         raise ValueError("the vocabulary lacks single bytes")
     return Tokenizer(name, pattern, dict(ranks), tuple(specials))
