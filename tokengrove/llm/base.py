@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word, for sizes and shingles: a run of anything but ASCII white space.
@@ -17,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class _Shipped:
+    """Pickles as the object it holds, classes of this package by value."""
+
+    def __init__(self, held: object):
+        self.payload = cloudpickle.dumps(held)
+
+    def __reduce__(self):
+        return cloudpickle.loads, (self.payload,)
+
+
+def ship(spark: SparkSession, held: object) -> Broadcast:
+    """Broadcast a model: in tasks ``.value`` is the object, one for all tasks of a Python worker."""
+    return spark.sparkContext.broadcast(_Shipped(held))
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Whether a row is kept from training: crc32 of its id as text, mod 5, is 0. A null id is not."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokengrove.llm.base import held_out, text_slices, unit_hash
+from tokengrove.llm.base import held_out, ship, text_slices, unit_hash
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2000
@@ -168,7 +168,7 @@ def train(
 
 def predicted(spark: SparkSession, text: Column, model: LanguageModel) -> Column:
     """Struct ``lang_pred, score, languages``."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = ship(spark, model)
 
     @F.pandas_udf("lang_pred string, score double, languages array<string>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

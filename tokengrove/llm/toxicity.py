@@ -27,7 +27,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokengrove.llm.base import held_out, labelled_sample
+from tokengrove.llm.base import held_out, labelled_sample, ship
 from tokengrove.llm.logistic import fit_dense, sigmoid
 
 #: Labelled rows of each class that are used to fit.
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
 def toxic_score(spark: SparkSession, text: Column, model: ToxicityModel | None) -> Column:
     if model is None:
         return F.lit(0.0)
-    shared = spark.sparkContext.broadcast(model)  # two dictionaries of 8 KiB
+    shared = ship(spark, model)  # two dictionaries of 8 KiB
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -29,7 +29,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokengrove.llm.base import text_slices
+from tokengrove.llm.base import ship, text_slices
 
 #: Fixed value: the published pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -256,7 +256,7 @@ def read_model(path: str) -> BpeModel:
 
 def encode_column(spark: SparkSession, text: Column, model: BpeModel) -> Column:
     """A text's ids as ``array<int>``."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = ship(spark, model)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -270,7 +270,7 @@ def encode_column(spark: SparkSession, text: Column, model: BpeModel) -> Column:
 
 def decode_column(spark: SparkSession, ids: Column, model: BpeModel) -> Column:
     """The text of ``array<int>`` ids; null ids give null."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = ship(spark, model)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -286,7 +286,7 @@ def digest_encoding(
     docs: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, encoded and decoded again."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
