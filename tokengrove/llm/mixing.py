@@ -31,6 +31,11 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 
 
+def _name(source: Column) -> Column:
+    """A name for every source, null too, that can be joined on."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -39,7 +44,7 @@ def quality_weight(text: Column) -> Column:
     """0.05 to 1: the share of ASCII letters and non-ASCII characters among all but spaces."""
     solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
     letters = F.length(F.regexp_replace(text, r"[\x00-@\[-`{-\x7F]+", ""))
-    return F.coalesce(F.greatest(F.lit(0.05), letters / solid), F.lit(0.05))
+    return F.when(solid > 0, F.greatest(F.lit(0.05), letters / solid)).otherwise(0.05)
 
 
 def sampling_key(weight: Column, *identity: Column | str, seed: int = 0) -> Column:
@@ -101,6 +106,7 @@ def mix(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("_source"),
+            _name(F.col(source_col)).alias("_name"),
             word_count(text).alias("size"),
             sampling_key(quality_weight(text), F.col(id_col).cast("string"), text, seed=seed).alias("_key"),
         )
@@ -108,13 +114,9 @@ def mix(
     sources = cut(sized.groupBy("_source").agg(F.sum("size").alias("source_size")))
     targets = source_targets(sources, weights, most_epochs)
     placed = running(
-        sized, ["_source"], [F.col("_key"), F.col("doc_id")], {"_before": F.col("size")}, {"_all": "_before"}
-    )
-    # Names with a mark, so that null is a value to join on.
-    marked = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))
-    joined = salted_join(
-        placed.withColumn("_name", marked), targets.select(marked.alias("_name"), "target"), ["_name"], "inner", ["_key"]
+        sized, ["_name"], [F.col("_key"), F.col("doc_id")], {"_before": F.col("size")}, {"_all": "_before"}
     )
+    joined = salted_join(placed, targets.select(_name(F.col("_source")).alias("_name"), "target"), ["_name"], "inner", ["_key"])
     epochs = F.when(F.col("_all") > 0, F.floor(F.col("target") / F.col("_all"))).otherwise(0).cast("long")
     rest = F.col("target") - epochs * F.col("_all")
     # The middles of documents grow along the keys, so the documents of the last, fractional
@@ -153,14 +155,14 @@ def take_mix(
             F.max("epochs").alias("_epochs"),
             F.max(F.when(F.col("last_epoch"), F.struct("_key", "doc_id"))).alias("_last"),
         )
-        .select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_name"), "_epochs", "_last")
+        .select(_name(F.col("source")).alias("_name"), "_epochs", "_last")
     )
     text = F.col(text_col)
     key = sampling_key(quality_weight(text), F.col(id_col).cast("string"), text, seed=options.get("seed", 0))
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no clash with what is added
     rows = docs.select(
         *[F.col(f"`{c}`").alias(at[c]) for c in docs.columns],
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_name"),
+        _name(F.col(source_col)).alias("_name"),
         key.alias("_key"),
         F.col(id_col).alias("_id"),
         word_count(text).alias("_size"),

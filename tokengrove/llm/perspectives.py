@@ -22,7 +22,7 @@ conversation ids are one conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tokengrove.plans.lineage import cut
 from tokengrove.plans.slices import running
@@ -32,10 +32,6 @@ SYSTEM, UNKNOWN = "system", "unknown"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _last(col: str) -> list[Column]:
-    return [F.col(col).isNull().cast("int").alias(f"{col}_null"), F.col(col)]
-
-
 def rotate(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -52,6 +48,8 @@ def rotate(
     said = cut(
         turns.select(
             F.col(conv_col).alias("conv_id"),
+            # A name for every conversation, null too, that can be joined on.
+            F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("n")).alias("_conv"),
             F.col(turn_col).cast("long").alias("turn"),
             F.coalesce(F.col(role_col), F.lit(UNKNOWN)).alias("speaker"),
             F.coalesce(F.col(text_col), F.lit("")).alias("said"),
@@ -59,14 +57,11 @@ def rotate(
     )
     people = (
         said.where(F.col("speaker") != SYSTEM)
-        .groupBy("conv_id", F.col("speaker").alias("participant"))
-        .agg(F.lit(1).alias("_one"))
+        .select("_conv", F.col("speaker").alias("participant"))
+        .distinct()
     )
     # Participants of a conversation meet its turns: as many rows as the result renders.
-    seen = said.join(
-        people.select(F.col("conv_id").alias("_conv"), "participant"),
-        F.col("conv_id").eqNullSafe(F.col("_conv")),
-    ).drop("_conv")
+    seen = said.join(people, "_conv")
     own = F.col("speaker") == F.col("participant")
     head = (
         F.when(own, F.lit("assistant\n"))
@@ -74,6 +69,7 @@ def rotate(
         .otherwise(F.concat(F.lit("user name="), F.col("speaker"), F.lit("\n")))
     )
     pieces = seen.select(
+        "_conv",
         "conv_id",
         "participant",
         F.col("turn").isNull().alias("_late"),
@@ -86,12 +82,12 @@ def rotate(
     order = ["_late", "turn", "speaker", "said"]
     placed = running(
         pieces,
-        ["conv_id", "participant"],
+        ["_conv", "participant"],
         [F.col(c) for c in order],
         {"_at": F.octet_length("_text"), "_from": F.length("_text"), "_n": F.lit(1)},
     ).withColumn("part", F.floor(F.col("_at") / F.lit(part_bytes)).cast("long"))
     start = F.col("_from") + F.length("_head")
-    grouped = placed.groupBy("conv_id", "participant", "part").agg(
+    grouped = placed.groupBy("_conv", "conv_id", "participant", "part").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
