@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from tokengrove.functions.lines import common_lines
 from tokengrove.operators import vcs
 
 
@@ -66,70 +67,100 @@ def test_cycle_is_reported(spark):
 
 def test_log_lines(spark):
     commits = spark.createDataFrame(
-        [("r", "c0ffee0000", [], 0, "root"), ("r", "1111111aaa", ["c0ffee0000"], 1, "First commit in development"), ("r", "2222222bbb", ["1111111aaa"], 2, None)],
+        [("r", "c0ffee0000", [], 0, "root"), ("r", "1111111aaa", ["c0ffee0000"], 1, "Teach the parser new words"), ("r", "2222222bbb", ["1111111aaa"], 2, None)],
         "repo string, commit string, parents array<string>, ts bigint, summary string",
     )
-    refs = spark.createDataFrame([("r", "master", "c0ffee0000"), ("r", "development", "2222222bbb")], "repo string, branch string, commit string")
-    ask = spark.createDataFrame([("r", "master", "development")], "repo string, branch1 string, branch2 string")
+    refs = spark.createDataFrame([("r", "trunk", "c0ffee0000"), ("r", "feature", "2222222bbb")], "repo string, branch string, commit string")
+    ask = spark.createDataFrame([("r", "trunk", "feature")], "repo string, branch1 string, branch2 string")
     rows = vcs.log_stream(vcs.commit_range(commits, refs, ask)).orderBy("key").collect()
-    assert "".join(r.text for r in rows) == "1111111 - First commit in development\n2222222 - No commit message\n"
-    assert vcs.missing_branches(spark.createDataFrame([("r", "master", "x")], "repo string, branch1 string, branch2 string"), refs).collect()[0].branch == "x"
+    assert "".join(r.text for r in rows) == "1111111 - Teach the parser new words\n2222222 - No commit message\n"
+    assert vcs.missing_branches(spark.createDataFrame([("r", "trunk", "x")], "repo string, branch1 string, branch2 string"), refs).collect()[0].branch == "x"
 
 
 # ── patches ──────────────────────────────────────────────────────────────────
 
 
-def apply_patch(old: str, lines) -> list[str]:
-    """Rebuild the new version from the old one and a patch."""
-    source = vcs._split(old)
-    out, at = [], 0
-    for origin, text in lines:
-        if origin == "H":
-            start, count = map(int, re.match(r"@@ -(\d+),(\d+)", text).groups())
-            upto = start - 1 if count else start
-            out += source[at:upto]
-            at = upto
-        elif origin == " ":
-            out.append(text)
-            at += 1
-        elif origin == "-":
-            assert source[at] == text
-            at += 1
-        elif origin == "+":
-            out.append(text)
-    return out + source[at:]
+def bare(text):
+    return re.sub(r"[ \t\r\f\v]+", "", text or "").removesuffix("\n")
 
 
-def bare(lines):
-    return [re.sub(r"[ \t\r\f\v]+", "", s) for s in lines]
+def changed(patch):
+    return sum(origin in "+-" for origin, _ in patch)
 
 
 def test_patches_apply():
     rng = random.Random(3)
-    for _ in range(400):
+    for _ in range(600):
         old = [rng.choice(["a", "b", " c", "", "d  d"]) for _ in range(rng.randint(0, 30))]
         new = list(old)
         for _ in range(rng.randint(0, 6)):
             k = rng.randint(0, len(new))
             new[k : k + rng.randint(0, 3)] = [rng.choice(["x", "a ", "", "y"]) for _ in range(rng.randint(0, 3))]
         a, b = "\n".join(old) + "\n" * bool(old), "\n".join(new) + "\n" * bool(new)
+        assert bare(vcs.apply_patch(a, list(vcs.file_patch("p", a, b)))) == bare(b)
+
+
+@pytest.mark.parametrize("ends", [("", ""), ("\n", ""), ("", "\n"), ("\n", "\n")])
+def test_patches_restore_the_last_newline(ends):
+    old, new = "one\ntwo\nthree" + ends[0], "zero\none\ntwo\nfour" + ends[1]
+    for a, b in ((old, new), (None, new), (new, None), (old, "")):
+        assert vcs.apply_patch(a, list(vcs.file_patch("p", a, b))) == b
+
+
+def test_patches_are_as_short_as_can_be():
+    rng = random.Random(8)
+    for size, pool, added in ((2100, 3, 1), (260, 3, 2), (5000, 2, 4)):
+        old = [f"v{rng.randrange(pool)}" for _ in range(size)]
+        new = list(old)
+        for n in range(added):
+            new.insert(rng.randrange(len(new)), f"added {n}")
+        a, b = "\n".join(old) + "\n", "\n".join(new) + "\n"
         patch = list(vcs.file_patch("p", a, b))
-        assert bare(apply_patch(a, patch)) == bare(vcs._split(b))
+        assert changed(patch) == added
+        assert vcs.apply_patch(a, patch) == b
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b):
+            corner, row[j + 1] = row[j + 1], corner + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_common_lines_are_the_longest():
+    rng = random.Random(1)
+    for _ in range(500):
+        pool = rng.choice([1, 2, 3, 8])
+        a, b = ([str(rng.randrange(pool)) for _ in range(rng.randrange(40))] for _ in range(2))
+        pairs = common_lines(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
 @pytest.mark.parametrize("kind", ["few kinds", "shuffled", "all equal"])
 def test_large_patches_stay_cheap(kind):
     rng = random.Random(4)
-    n = 100_000
+    n = 50_000
     pool = {"few kinds": 300, "shuffled": n, "all equal": 1}[kind]
     old = [f"l{rng.randrange(pool)}" for _ in range(n)]
     new = rng.sample(old, n) if kind == "shuffled" else old[:50] + ["x"] + [f"l{rng.randrange(pool)}" for _ in range(n)]
     a, b = "\n".join(old) + "\n", "\n".join(new) + "\n"
     start = time.monotonic()
-    assert apply_patch(a, vcs.file_patch("p", a, b)) == new
+    assert vcs.apply_patch(a, list(vcs.file_patch("p", a, b))) == b
     assert time.monotonic() - start < 60
 
 
+def test_hunk_headers():
+    patch = list(vcs.file_patch("p", "only\n", "other\n"))
+    assert patch[3] == ("H", "@@ -1 +1 @@")
+    assert list(vcs.file_patch("p", None, "x"))[1:] == [
+        ("F", "new file mode 100644"), ("F", "--- /dev/null"), ("F", "+++ b/p"), ("H", "@@ -0,0 +1 @@"), ("+", "x"),
+        ("N", "\\ No newline at end of file"),
+    ]
+
+
 def test_snapshots(spark):
     df = lambda rows: spark.createDataFrame([("r", *x) for x in rows], "repo string, rel_path string, content string")
     old = df([("same", "a\nb\n"), ("space", "a b\n"), ("eof", "x"), ("mod", "1\n2\n"), ("gone", "z"), ("blank", "a\nb")])
@@ -142,8 +173,7 @@ def test_snapshots(spark):
     assert "--- /dev/null" in heads and "+++ /dev/null" in heads
 
 
-def test_branch_diff_stream(spark):
-    df = lambda t: spark.createDataFrame([("r", "test_file.txt", t)], "repo string, rel_path string, content string")
-    rows = vcs.diff_stream(vcs.patch_lines(df("Initial content"), df("Content in new branch"))).orderBy("key").collect()
-    text = "".join(r.text for r in rows)
-    assert "-Initial content\n+Content in new branch\n" in text
+def test_diff_stream(spark):
+    df = lambda t: spark.createDataFrame([("r", "notes/plan.md", t)], "repo string, rel_path string, content string")
+    rows = vcs.diff_stream(vcs.patch_lines(df("buy milk\n"), df("buy bread\n"))).orderBy("key").collect()
+    assert "".join(r.text for r in rows).endswith("@@ -1 +1 @@\n-buy milk\n+buy bread\n")

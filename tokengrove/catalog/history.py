@@ -44,7 +44,61 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return vcs.snapshot_diff(head, index)
 
 
-@register("patch_lines")
+def _later_sql(source: str, step: int) -> str:
+    """:func:`next_snapshot` of a table ``(repo, rel_path, content, n)``, whose ``n`` is the file's number."""
+    k = f"(n * 17 % 1009 + {step})"
+    return f"""
+  SELECT repo, CASE WHEN {k} % 11 = 4 THEN 'new/' || rel_path ELSE rel_path END AS rel_path, n,
+    CASE {k} % 7 WHEN 1 THEN 'first line' || chr(10) || content || chr(10) || 'last line'
+      WHEN 2 THEN replace(content, ' ', '  ') WHEN 3 THEN content || chr(10) ELSE content END AS content,
+    {k} % 7 = 1 AS edited
+  FROM {source} WHERE {k} % 13 <> 5"""
+
+
+def _lines_sql(text: str, sign: str) -> str:
+    """All lines of a text as patch rows."""
+    lines = f"list_transform(string_split(regexp_replace({text}, '\\n\\z', ''), chr(10)), lambda x: {{'o': '{sign}', 't': x}})"
+    return f"list_concat({lines}, CASE WHEN ends_with({text}, chr(10)) THEN [] ELSE [{{'o': 'N', 't': '\\ No newline at end of file'}}] END)"
+
+
+def _patch_sql(old: str, new: str) -> str:
+    """Patch rows between two tables of :func:`_later_sql`: files come, go, or gain a first and a last line."""
+    count = "len(string_split(regexp_replace(content, '\\n\\z', ''), chr(10)))"
+    kept = "list_transform(string_split(regexp_replace(o.content, '\\n\\z', ''), chr(10)), lambda x: {'o': ' ', 't': x})"
+    place = "CASE k WHEN 1 THEN '1' ELSE '1,' || k END"
+    return f"""
+  SELECT repo, rel_path, CAST(i - 1 AS INTEGER) AS seq, rows[i].o AS origin, rows[i].t AS text
+  FROM (
+    SELECT repo, rel_path, CASE
+      WHEN o.repo IS NULL THEN list_concat([
+        {{'o': 'F', 't': 'diff --git a/' || rel_path || ' b/' || rel_path}}, {{'o': 'F', 't': 'new file mode 100644'}},
+        {{'o': 'F', 't': '--- /dev/null'}}, {{'o': 'F', 't': '+++ b/' || rel_path}}, {{'o': 'H', 't': '@@ -0,0 +' || {place.replace('k', 'w.k')} || ' @@'}}],
+        {_lines_sql('w.content', '+')})
+      WHEN w.repo IS NULL THEN list_concat([
+        {{'o': 'F', 't': 'diff --git a/' || rel_path || ' b/' || rel_path}}, {{'o': 'F', 't': 'deleted file mode 100644'}},
+        {{'o': 'F', 't': '--- a/' || rel_path}}, {{'o': 'F', 't': '+++ /dev/null'}}, {{'o': 'H', 't': '@@ -' || {place.replace('k', 'o.k')} || ' +0,0 @@'}}],
+        {_lines_sql('o.content', '-')})
+      ELSE list_concat([
+        {{'o': 'F', 't': 'diff --git a/' || rel_path || ' b/' || rel_path}},
+        {{'o': 'F', 't': '--- a/' || rel_path}}, {{'o': 'F', 't': '+++ b/' || rel_path}}],
+        CASE WHEN o.k <= 6 THEN list_concat(
+          [{{'o': 'H', 't': '@@ -' || {place.replace('k', 'o.k')} || ' +1,' || (o.k + 2) || ' @@'}}, {{'o': '+', 't': 'first line'}}], {kept})
+        ELSE list_concat([{{'o': 'H', 't': '@@ -1,3 +1,4 @@'}}, {{'o': '+', 't': 'first line'}}], {kept}[1:3],
+          [{{'o': 'H', 't': '@@ -' || (o.k - 2) || ',3 +' || (o.k - 1) || ',4 @@'}}], {kept}[o.k - 2:o.k]) END,
+        [{{'o': '+', 't': 'last line'}}, {{'o': 'N', 't': '\\ No newline at end of file'}}])
+      END AS rows
+    FROM (SELECT *, {count} AS k FROM {old}) o FULL JOIN (SELECT *, {count} AS k FROM {new}) w USING (repo, rel_path)
+    WHERE o.repo IS NULL OR w.repo IS NULL OR w.edited
+  ), LATERAL (SELECT unnest(range(1, len(rows) + 1)) AS i)"""
+
+
+_STATES = f"""
+, head AS (SELECT repo, rel_path, doc_id AS n, content, false AS edited FROM corpus)
+, staged AS ({_later_sql('head', 0)})
+, unstaged AS ({_later_sql('staged', 3)})"""
+
+
+@register("patch_lines", over_corpus(_STATES + _patch_sql("head", "staged")))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     head, index, _ = snapshots(spark, sf)
     return vcs.patch_lines(head, index)
@@ -69,7 +123,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register("git_sections")
+_SECTIONS = f"""
+, sections AS (
+  SELECT *, 'Staged Changes' AS section FROM ({_patch_sql("head", "staged")})
+  UNION ALL SELECT *, 'Unstaged Changes' FROM ({_patch_sql("staged", "unstaged")}))"""
+
+
+@register("git_sections", over_corpus(_STATES + _SECTIONS + " SELECT * FROM sections"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return vcs.git_sections(*snapshots(spark, sf))
 
@@ -85,6 +145,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register("patch_apply", over_corpus(_STATES + """
+SELECT repo, rel_path, sha256(content) AS digest FROM staged
+WHERE edited OR NOT EXISTS (SELECT 1 FROM head h WHERE h.repo = staged.repo AND h.rel_path = staged.rel_path)"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    head, index, _ = snapshots(spark, sf)
+    return vcs.patch_apply(head, vcs.patch_lines(head, index)).select(
+        "repo", "rel_path", F.sha2("content", 256).alias("digest")
+    )
+
+
 # ── commit graphs ────────────────────────────────────────────────────────────
 
 
@@ -96,7 +166,7 @@ def commit_tables(
     spark: SparkSession, sf: str, merges: bool
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations as histories. A turn follows the one before; with ``merges``, two lanes
-    alternate and every third turn joins them. ``master`` stands half-way, ``development`` at the end."""
+    alternate and every third turn joins them. ``trunk`` stands half-way, ``feature`` at the end."""
     turns = read_table(spark, sf, "conversations").withColumn(
         "repo", F.concat(F.lit("conv"), F.col("conv_id").cast("string"))
     )
@@ -117,14 +187,14 @@ def commit_tables(
     last = turns.groupBy("repo", "conv_id").agg(F.max("turn").alias("turn"))
     half = F.floor(F.col("turn") / 2).cast("bigint")
     refs = last.select(
-        "repo", F.lit("development").alias("branch"), _commit_id(F.col("turn")).alias("commit")
+        "repo", F.lit("feature").alias("branch"), _commit_id(F.col("turn")).alias("commit")
     ).unionByName(
         last.where("conv_id % 10 <> 9").select(
-            "repo", F.lit("master").alias("branch"), _commit_id(half).alias("commit")
+            "repo", F.lit("trunk").alias("branch"), _commit_id(half).alias("commit")
         )
     )
     requests = last.select(
-        "repo", F.lit("master").alias("branch1"), F.lit("development").alias("branch2")
+        "repo", F.lit("trunk").alias("branch1"), F.lit("feature").alias("branch2")
     )
     return commits, refs, requests
 
@@ -166,7 +236,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("branch_check", """
-SELECT DISTINCT 'conv' || conv_id AS repo, 'master' AS branch FROM conversations WHERE conv_id % 10 = 9""")
+SELECT DISTINCT 'conv' || conv_id AS repo, 'trunk' AS branch FROM conversations WHERE conv_id % 10 = 9""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     _, refs, requests = commit_tables(spark, sf, merges=False)
     return vcs.missing_branches(requests, refs)

@@ -8,22 +8,21 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
-import difflib
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tokengrove.functions.lines import common_lines
 from tokengrove.plans.lineage import cut
 from tokengrove.plans.skew import salted_join
 from tokengrove.plans.slices import ranked
 
 KEY = ["repo", "rel_path"]
 CONTEXT = 3  # fixed value: unchanged lines around a change
-MAX_GAP = 4_000_000  # pairs of lines searched between two anchors
+FILE_MODE = "100644"  # fixed value: a plain file
+NO_NEWLINE = "\\ No newline at end of file"  # fixed value
 PATCH_SCHEMA = "repo string, rel_path string, seq int, origin string, text string"
 
 
@@ -57,78 +56,64 @@ def _split(text: str | None) -> list[str]:
     return lines[:-1] if lines[-1] == "" else lines
 
 
-def _anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Longest increasing chain of the lines that occur once on either side."""
-    once_x = {s for s, n in Counter(x).items() if n == 1}
-    at_y = {s: j for j, s in enumerate(y)}
-    once_y = {s for s, n in Counter(y).items() if n == 1}
-    tails: list[int] = []
-    links: list[tuple[int, int, int]] = []  # (i, j, index of the link before)
-    top: list[int] = []
-    for i, s in enumerate(x):
-        if s in once_x and s in once_y:
-            j = at_y[s]
-            k = bisect_left(tails, j)
-            links.append((i, j, top[k - 1] if k else -1))
-            tails[k : k + 1] = [j]
-            top[k : k + 1] = [len(links) - 1]
-    chain: list[tuple[int, int]] = []
-    at = top[-1] if top else -1
-    while at >= 0:
-        i, j, at = links[at]
-        chain.append((i, j))
-    return chain[::-1]
-
-
-def _matcher(x: list[str], y: list[str]) -> difflib.SequenceMatcher:
-    """A matcher whose work is bounded whatever the lines.
-
-    Unique lines anchor the match, and only the gaps between them are searched. A gap
-    too large to search counts as replaced, which is a longer patch but a right one.
-    """
-    blocks: list[list[int]] = []
-
-    def add(i: int, j: int, size: int) -> None:
-        if size and blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
-            blocks[-1][2] += size
-        elif size:
-            blocks.append([i, j, size])
-
+def _hunks(pairs: list[tuple[int, int]], n: int, m: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Changes ``(i1, i2, j1, j2)`` between matched lines, those whose contexts meet in one hunk."""
+    group: list[tuple[int, int, int, int]] = []
     i = j = 0
-    for next_i, next_j in [*_anchors(x, y), (len(x), len(y))]:
-        if (next_i - i) * (next_j - j) <= MAX_GAP:
-            gap = difflib.SequenceMatcher(None, x[i:next_i], y[j:next_j])
-            for found in gap.get_matching_blocks():
-                add(i + found.a, j + found.b, found.size)
-        if next_i < len(x) or next_j < len(y):
-            add(next_i, next_j, 1)
+    for next_i, next_j in [*pairs, (n, m)]:
+        if i < next_i or j < next_j:
+            if group and i - group[-1][1] > 2 * CONTEXT:
+                yield group
+                group = []
+            group.append((i, next_i, j, next_j))
         i, j = next_i + 1, next_j + 1
-    matcher = difflib.SequenceMatcher(None, x, y)
-    matcher.matching_blocks = [difflib.Match(*b) for b in [*blocks, [len(x), len(y), 0]]]
-    return matcher
+    if group:
+        yield group
+
+
+def _range(start: int, count: int) -> str:
+    """A hunk's place in one version: lines count from 1, an empty place names the line before it."""
+    first = start + 1 if count else start
+    return f"{first}" if count == 1 else f"{first},{count}"
 
 
 def file_patch(path: str, old: str | None, new: str | None) -> Iterator[tuple[str, str]]:
     """``(origin, line)`` of one file's patch; origins ``F`` file, ``H`` hunk, space, ``+``, ``-``.
 
-    Lines compare without white space, and context shows the new version.
+    Lines compare without white space, and context shows the new version. Origin ``N`` follows a
+    last line that does not end in a newline. The lines kept are a longest common subsequence.
     """
     yield "F", f"diff --git a/{path} b/{path}"
+    if old is None:
+        yield "F", f"new file mode {FILE_MODE}"
+    if new is None:
+        yield "F", f"deleted file mode {FILE_MODE}"
     yield "F", "--- " + ("/dev/null" if old is None else f"a/{path}")
     yield "F", "+++ " + ("/dev/null" if new is None else f"b/{path}")
     a, b = _split(old), _split(new)
     bare = re.compile(r"[ \t\r\f\v]+")
-    x, y = [bare.sub("", s) for s in a], [bare.sub("", s) for s in b]
-    for group in _matcher(x, y).get_grouped_opcodes(CONTEXT):
-        i1, i2, j1, j2 = group[0][1], group[-1][2], group[0][3], group[-1][4]
-        start_a, start_b = (i1 + 1 if i2 > i1 else i1), (j1 + 1 if j2 > j1 else j1)
-        yield "H", f"@@ -{start_a},{i2 - i1} +{start_b},{j2 - j1} @@"
-        for tag, a1, a2, b1, b2 in group:
-            if tag == "equal":
-                yield from ((" ", s) for s in b[b1:b2])
-            else:
-                yield from (("-", s) for s in a[a1:a2])
-                yield from (("+", s) for s in b[b1:b2])
+    pairs = common_lines([bare.sub("", s) for s in a], [bare.sub("", s) for s in b])
+    open_a = bool(old) and not old.endswith("\n")
+    open_b = bool(new) and not new.endswith("\n")
+
+    def shown(origin: str, lines: list[str], start: int, stop: int, unended: bool) -> Iterator[tuple[str, str]]:
+        yield from ((origin, s) for s in lines[start:stop])
+        if unended and start < stop == len(lines):
+            yield "N", NO_NEWLINE
+
+    for group in _hunks(pairs, len(a), len(b)):
+        before = min(CONTEXT, group[0][0])
+        after = min(CONTEXT, len(a) - group[-1][1])
+        i1, i2 = group[0][0] - before, group[-1][1] + after
+        j1, j2 = group[0][2] - before, group[-1][3] + after
+        yield "H", f"@@ -{_range(i1, i2 - i1)} +{_range(j1, j2 - j1)} @@"
+        at = j1
+        for a1, a2, b1, b2 in group:
+            yield from shown(" ", b, at, b1, open_b)
+            yield from shown("-", a, a1, a2, open_a)
+            yield from shown("+", b, b1, b2, open_b)
+            at = b2
+        yield from shown(" ", b, at, j2, open_b)
 
 
 def _patch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +142,56 @@ def patch_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.mapInPandas(_patch_batches, PATCH_SCHEMA)
 
 
+def apply_patch(old: str | None, patch: list[tuple[str, str]]) -> str | None:
+    """The new version of a file from the old one and its patch, null for a deleted file.
+
+    Lines outside hunks are taken as the old version has them.
+    """
+    if ("F", "+++ /dev/null") in patch:
+        return None
+    source, out, at, ended, previous = _split(old), [], 0, True, ""
+    place = re.compile(r"@@ -(\d+)(?:,(\d+))? ")
+    for origin, text in patch:
+        if origin == "H":
+            start, count = place.match(text).groups()
+            upto = int(start) - (count != "0")
+            out += source[at:upto]
+            at = upto
+        elif origin in " -":
+            at += 1
+        if origin in " +":
+            out.append(text)
+            ended = True
+        elif origin == "N" and previous != "-":
+            ended = False
+        previous = origin
+    if at < len(source):
+        out += source[at:]
+        ended = old.endswith("\n")
+    return "\n".join(out) + ("\n" if ended and out else "")
+
+
+def _apply_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples(index=False):
+            lines = [(p["origin"], p["text"]) for p in row.patch]
+            rows.append((row.repo, row.rel_path, apply_patch(row.old, lines)))
+        yield pd.DataFrame(rows, columns=["repo", "rel_path", "content"])
+
+
+def patch_apply(old: DataFrame, patches: DataFrame) -> DataFrame:
+    """``(repo, rel_path, content)`` after the patches, of patched files that remain.
+
+    A group is one file's patch, which is no larger than the two versions of the file.
+    """
+    whole = patches.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "origin", "text"))).alias("patch")
+    )
+    pairs = whole.join(old.select(*KEY, F.col("content").alias("old")), KEY, "left")
+    return pairs.mapInPandas(_apply_groups, "repo string, rel_path string, content string").where("content IS NOT NULL")
+
+
 def git_sections(head: DataFrame, index: DataFrame, workdir: DataFrame) -> DataFrame:
     """Patches of staged (head to index) and unstaged (index to work tree) changes, by ``section``."""
     staged = patch_lines(head, index).withColumn("section", F.lit("Staged Changes"))
