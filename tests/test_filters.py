@@ -9,10 +9,10 @@ from tokengrove.functions.globs import glob_to_regex, ignore_line_to_rule
 from tokengrove.functions.paths import ancestors, extension_of, parent_of, path_label, strip_root
 from tokengrove.operators import filters, ignore
 
-NAMES = {"lowercase": ["foo.py", "bar.py", "baz.py", "qux.txt", "corge.txt", "grault.txt"]}
-TREE = [f"lowercase/{n}" for n in NAMES["lowercase"]] + [
-    f"uppercase/{n.split('.')[0].upper()}.{n.split('.')[1]}" for n in NAMES["lowercase"]
-]
+# A house: rooms on floors, each with a list and a drawing; the attic is nested deeper.
+ROOMS = ["kitchen", "hall", "study"]
+TREE = [f"floor{n}/{room}{end}" for n in (1, 2) for room in ROOMS for end in (".csv", ".svg")]
+TREE += ["attic/old/boxes.csv", "README", "Floor1/kitchen.csv", "plan.svg"]
 
 
 @pytest.fixture(scope="module")
@@ -25,26 +25,28 @@ def kept(tree, include=(), exclude=(), priority=False):
     return {r.rel_path for r in rows}
 
 
+def ends(*tails):
+    return {p for p in TREE if p.endswith(tails)}
+
+
 def test_tree_cases(tree):
-    py = {p for p in TREE if p.endswith(".py")}
-    lower = {p for p in TREE if p.startswith("lower")}
-    two = {"lowercase/foo.py", "lowercase/bar.py"}
-    assert kept(tree, priority=True) == set(TREE)
-    assert "lowercase/foo.py" in kept(tree, ["*.py"])
-    assert kept(tree, ["**/*.py"]) == py
-    assert kept(tree, exclude=["**/*.txt"]) == py
-    assert kept(tree, ["**/foo.py", "**/bar.py"]) == two
-    assert kept(tree, exclude=["**/foo.py", "**/bar.py"]) == set(TREE) - two
-    assert kept(tree, ["**/foo.py"], ["**/foo.py"], True) == {"lowercase/foo.py"}
-    assert kept(tree, ["**/foo.py"], ["**/foo.py"]) == set()
-    assert kept(tree, ["**/*.py"], ["**/*.py"], True) == py
-    assert kept(tree, ["**/lowercase/**"]) == lower
-    assert kept(tree, ["**/*.py"], ["**/uppercase/**"], True) == py
-    assert kept(
-        tree, ["**/*.py", "**/lowercase/**"], ["**/foo.py", "**/uppercase/**"]
-    ) == lower - {"lowercase/foo.py"}
-    assert kept(tree, exclude=["**/*.txt"], priority=True) == set(TREE)
-    assert re.fullmatch(glob_to_regex("src/*.rs"), "src/main.rs")
+    everything = set(TREE)
+    for priority in (False, True):
+        assert kept(tree, priority=priority) == everything
+        assert kept(tree, ["README"], priority=priority) == {"README"}
+        assert kept(tree, ["*"], priority=priority) == everything
+    # One star crosses folders; case counts.
+    assert kept(tree, ["floor1*"]) == {p for p in TREE if p.startswith("floor1/")}
+    assert kept(tree, ["**/KITCHEN.csv"]) == set()
+    assert kept(tree, ["attic/**"]) == {"attic/old/boxes.csv"}
+    assert kept(tree, ["{hall,plan}.svg", "**/hall.csv"]) == {"plan.svg"} | ends("hall.csv")
+    assert kept(tree, exclude=["**/old/**", "*.svg"]) == ends(".csv", "README") - {"attic/old/boxes.csv"}
+    # Both sides match the studies: the priority decides; without includes it lifts the excludes.
+    studies = ends("study.csv", "study.svg")
+    assert kept(tree, ["**/study.*"], ["floor2/**"], False) == {p for p in studies if "floor2" not in p}
+    assert kept(tree, ["**/study.*"], ["floor2/**"], True) == studies
+    assert kept(tree, exclude=["floor?/**"], priority=False) == {p for p in TREE if not p.startswith("floor")}
+    assert kept(tree, exclude=["floor?/**"], priority=True) == everything
 
 
 def test_bad_patterns_raise():

@@ -11,9 +11,16 @@ from tokengrove.functions.tokens import ENCODINGS, bpe_tokens, merged_length, re
 
 
 def test_formats(spark):
-    maps = {999: "999", 1000: "1K", 1499: "1K", 1500: "2K", 1501: "2K", 1999: "2K", 1000000: "1M", 2499999: "2M", 2500000: "3M", 999500: "1000K"}
-    rows = spark.createDataFrame([(n,) for n in maps], "n bigint").select("n", fmt_map(F.col("n")).alias("s")).collect()
-    assert {r.n: r.s for r in rows} == maps
+    # Either side of every border of the rule, and of the two units.
+    borders = [500 * 10**k * n for k in (0, 3) for n in range(1, 42)] + [10**3, 10**6]
+    numbers = sorted({b + d for b in borders for d in (-1, 0, 1)})
+
+    def rounded(n):
+        unit = 1 if n < 1000 else 1000 if n < 10**6 else 10**6
+        return f"{(2 * n + unit) // (2 * unit)}" + {1: "", 1000: "K", 10**6: "M"}[unit]
+
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", fmt_map(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in rows} == {n: rounded(n) for n in numbers}
     rows = spark.range(0, 30000).select("id", fmt_compact(F.col("id")).alias("s")).collect()
     for r in rows:
         n = r.id

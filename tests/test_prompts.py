@@ -79,7 +79,7 @@ def test_library_renders(spark, files):
         got = prompts(render.render_prompts(files, body, streams=streams, variables=given))
         assert "{{" not in got["r"] and "b/c.rs" in got["r"], name
         if name in ("commit", "pull-request"):
-            assert "\nL\n" in got["r"] and "\nL\n" not in got["s"]
+            assert "\nL\n" in got["r"] and "\nL\n" not in got.get("s", "")
 
 
 def test_template_errors():
@@ -89,12 +89,23 @@ def test_template_errors():
 
 
 def test_placeholders(spark):
-    block = "\n Project: {{absolute_code_path}}\n {{#each files}}\n Path: {{this.path}} {{inner}}\n {{/each}}\n User var: {{goal}}\n Diff: {{git_diff}}\n"
-    rows = [("1", "{{greeting}}, {{name}}! Your project is {{project_name}}."), ("2", block), ("3", "{{greeting}}, {{name}}! How is {{name}} today?")]
+    # Names are made by rule: a body names every variable twice, and loops hide theirs.
+    names = [f"{kind}_{n}" for kind in ("tone", "reader") for n in range(4)]
+    rows = [
+        (str(k), "".join(f"<{{{{{n}}}}}|{{{{ {n} }}}}>" for n in names[:k]) + "{{#each files}}{{path}}{{this.code}}{{own}}{{/each}}{{source_tree}}")
+        for k in range(1, len(names) + 1)
+    ]
     got = {}
     for r in variables.placeholders(spark.createDataFrame(rows, "repo string, body string")).collect():
-        got.setdefault(r.repo, set()).add(r.key)
-    assert got == {"1": {"greeting", "name", "project_name"}, "2": {"goal"}, "3": {"greeting", "name"}}
+        got.setdefault(r.repo, []).append(r.key)
+    assert {k: sorted(v) for k, v in got.items()} == {str(k): sorted(names[:k]) for k in range(1, len(names) + 1)}
+
+
+def test_if_on_a_number(spark, files):
+    text = "{{#each files}}\n{{#if token_count}}{{path}};{{/if}}\n{{/each}}"
+    none = files.withColumn("tokens", F.when(F.col("rel_path") == "a.py", 0).otherwise(F.col("tokens")).cast("bigint"))
+    assert "a.py" in prompts(render.render_prompts(files, text))["r"]
+    assert prompts(render.render_prompts(none, text))["r"] == "b/c.rs;"
 
 
 def test_variable_priority(spark):
@@ -135,9 +146,12 @@ def test_prompt_tokens_do_not_depend_on_parts(spark, name):
 
 
 def test_git_streams(spark):
-    snap = lambda rows: spark.createDataFrame([("r", *x) for x in rows], "repo string, rel_path string, content string")
-    sections = vcs.git_sections(snap([("t.txt", "Initial content\n")]), snap([("t.txt", "Staged\n")]), snap([("t.txt", "Modified\n")]))
+    snap = lambda text: spark.createDataFrame([("r", "menu/day.md", text)], "repo string, rel_path string, content string")
+    sections = vcs.git_sections(snap("rice\n"), snap("rice\npeas\n"), snap("corn\npeas\n"))
     lines = sorted(vcs.sections_stream(sections).collect(), key=lambda r: r.key)
     text = "".join(r.text for r in lines)
-    file = "diff --git a/t.txt b/t.txt\n--- a/t.txt\n+++ b/t.txt\n@@ -1,1 +1,1 @@\n"
-    assert text == f"--- Staged Changes ---\n{file}-Initial content\n+Staged\n\n--- Unstaged Changes ---\n{file}-Staged\n+Modified\n"
+    file = "diff --git a/menu/day.md b/menu/day.md\n--- a/menu/day.md\n+++ b/menu/day.md\n"
+    assert text == (
+        f"--- Staged Changes ---\n{file}@@ -1 +1,2 @@\n rice\n+peas\n"
+        f"\n--- Unstaged Changes ---\n{file}@@ -1,2 +1,2 @@\n-rice\n+corn\n peas\n"
+    )

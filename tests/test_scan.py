@@ -3,7 +3,7 @@ import os
 from tokengrove.operators import cache, filters, ignore
 from tokengrove.plans.lineage import cut
 from tokengrove.sources.files import list_files, local_path, scan_files
-from tokengrove.streaming.incremental import append_batch, current_cache, incremental_scan
+from tokengrove.streaming.incremental import append_batch, compact_cache, current_cache, incremental_scan
 
 
 def make(root, files):
@@ -64,8 +64,8 @@ def test_cache(spark):
     twice = cache.cache_upsert(once, fresh)
     assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 6
     assert cache.cache_misses(listing, once, "t").count() == 0
-    body = {r.rel_path: r.content for r in cache.cache_content(listing, old, listing).collect()}
-    assert body["a"] == "old a" and body["e"] == "new e" and body["f"] == "new f"
+    body = {r.rel_path: r.content for r in cache.cache_content(listing, old, listing, "t").collect()}
+    assert body == {"a": "old a"} | {p: f"new {p}" for p in "bcdef"}
 
 
 def test_stream_equals_batch_and_replays(spark, tmp_path):
@@ -84,9 +84,25 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     run("s")
     expected = {"a": "aaaaa", "b": "bbb", "c": "c"}
     assert {r.rel_path: r.content for r in current_cache(spark, table).collect()} == expected
-    batches = spark.read.parquet(table).groupBy("batch").count().orderBy("batch").collect()
-    assert [(r.batch, r["count"]) for r in batches] == [(0, 2), (1, 2)]
+    batches = spark.read.parquet(table).groupBy("run", "batch").count().orderBy("run", "batch").collect()
+    assert [(r.run, r.batch, r["count"]) for r in batches] == [(0, 0, 2), (0, 1, 2)]
     # The last batch written once more, as after a failure, changes nothing.
     append_batch(spark, table, cut(current_cache(spark, table).where("rel_path <> 'b'")), 1)
     assert {r.rel_path: r.content for r in current_cache(spark, table).collect()} == expected
     assert current_cache(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_new_checkpoint_loses_nothing(spark, tmp_path):
+    table = str(tmp_path / "cache")
+
+    def run(landing, state, rows):
+        spark.createDataFrame([("r", *r) for r in rows], LISTING).repartition(3).write.parquet(str(tmp_path / landing))
+        stream = spark.readStream.schema(LISTING).parquet(str(tmp_path / landing))
+        incremental_scan(stream, table, str(tmp_path / state)).awaitTermination()
+
+    run("one", "first", [("a", 5, 3, "aaa", 1), ("b", 5, 3, "bbb", 1)])
+    run("two", "second", [("c", 1, 1, "c", 1), ("a", 9, 4, "aaaa", 1)])
+    expected = {"a": "aaaa", "b": "bbb", "c": "c"}
+    assert {r.rel_path: r.content for r in current_cache(spark, table).collect()} == expected
+    compact_cache(spark, table, str(tmp_path / "short"))
+    assert {r.rel_path: r.content for r in current_cache(spark, str(tmp_path / "short")).collect()} == expected

@@ -86,8 +86,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("cache_content", over_corpus(_CACHE + """
 SELECT f.repo, f.rel_path, COALESCE(c.content, f.content) AS content
-FROM corpus f LEFT JOIN cached c ON c.repo = f.repo AND c.rel_path = f.rel_path AND c.cache_version = 1"""))
+FROM corpus f LEFT JOIN cached c ON c.repo = f.repo AND c.rel_path = f.rel_path
+  AND c.mtime_us = f.mtime_us AND c.size = f.size AND c.tokenizer = 'bytes4' AND c.cache_version = 1"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf)
-    entries = files.select("repo", "rel_path")
-    return cache.cache_content(entries, earlier_cache(files), files)
+    listing = files.select(*cache.LOOKUP_KEY)
+    return cache.cache_content(listing, earlier_cache(files), files, TOKENIZER).select("repo", "rel_path", "content")

@@ -290,14 +290,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("render_xml", f"""WITH {CORPUS}, {_FLAT},
 bodies AS (
-  SELECT repo, string_agg('<file>' || chr(10) || '<path>' || rel_path || '</path>' || chr(10) || '<code>' || chr(10)
-           || '```' || COALESCE(ext, '') || chr(10) || {_NUMBERED} || '```' || chr(10) || '</code>' || chr(10)
-           || '</file>' || chr(10), '' ORDER BY parts DESC) AS body
+  SELECT repo, string_agg('<document name="' || rel_path || '">' || chr(10)
+           || '```' || COALESCE(ext, '') || chr(10) || {_NUMBERED} || '```' || chr(10) || '</document>' || chr(10), '' ORDER BY parts DESC) AS body
   FROM corpus GROUP BY repo
 )
-SELECT repo, CAST(0 AS BIGINT) AS part, '<project>' || repo || '</project>' || chr(10) || '<tree>' || chr(10) || tree
-       || chr(10) || '</tree>' || chr(10) || '<files>' || chr(10) || body || '</files>'
-       || CASE WHEN repo LIKE 'src1%' THEN chr(10) || '<instructions>' || chr(10) || 'Read ' || repo || chr(10) || '</instructions>' ELSE '' END AS prompt
+SELECT repo, CAST(0 AS BIGINT) AS part, '<corpus root="' || repo || '">' || chr(10)
+       || CASE WHEN repo LIKE 'src1%' THEN '<task>Read ' || repo || '</task>' || chr(10) ELSE '' END
+       || body || '<layout>' || chr(10) || tree || chr(10) || '</layout>' || chr(10) || '</corpus>' AS prompt
 FROM flat JOIN bodies USING (repo)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf)
@@ -316,7 +315,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 SELECT conv_id, turn, tokenizer, CASE tokenizer WHEN 'o200k_base' THEN 'GPT-4o models, o1 models'
   WHEN 'cl100k' THEN 'ChatGPT models, text-embedding-ada-002'
   WHEN 'p50k_base' THEN 'Code models, text-davinci-002, text-davinci-003'
-  WHEN 'p50k_edit' THEN 'Edit models like text-davinci-edit-001'
+  WHEN 'p50k_edit' THEN 'Edit models like text-davinci-edit-001, code-davinci-edit-001'
   WHEN 'r50k_base' THEN 'GPT-3 models like davinci' END AS model
 FROM (SELECT *, CASE turn % 6 WHEN 0 THEN 'o200k_base' WHEN 1 THEN 'cl100k' WHEN 2 THEN 'p50k_base'
         WHEN 3 THEN 'p50k_edit' WHEN 4 THEN 'r50k_base' ELSE 'none' END AS tokenizer FROM conversations)""")

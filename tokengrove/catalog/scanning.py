@@ -80,12 +80,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @register("incremental_scan")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     table, checkpoint = work_dir(spark, "scan-cache"), work_dir(spark, "scan-progress")
-    append_batch(spark, table, earlier_cache(corpus(spark, sf)), -1)
-    arriving = (
-        spark.readStream.schema(read_table(spark, sf, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
+    append_batch(spark, table, earlier_cache(corpus(spark, sf)), 0)
+    # The table is a file or a folder of them: a pattern matches either.
+    arriving = spark.readStream.schema(read_table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]")
     incremental_scan(corpus(spark, sf, arriving), table, checkpoint, TOKENIZER).awaitTermination()
     return current_cache(spark, table)
 

@@ -59,7 +59,7 @@ ENCODINGS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "p50k_edit": (
         _GPT2_PATTERN,
         ("<|endoftext|>", *_FIM),
-        "Edit models like text-davinci-edit-001",
+        "Edit models like text-davinci-edit-001, code-davinci-edit-001",
     ),
     "r50k_base": (_GPT2_PATTERN, ("<|endoftext|>",), "GPT-3 models like davinci"),
 }

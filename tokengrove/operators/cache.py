@@ -69,16 +69,16 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.select(*CACHE_COLUMNS).unionByName(fresh.select(*CACHE_COLUMNS))
 
 
-def cache_content(entries: DataFrame, cache: DataFrame, source: DataFrame) -> DataFrame:
-    """``entries`` with ``content``: from the current cache version, else from ``source``."""
-    cached = cache.where(F.col("cache_version") == CACHE_VERSION).select(
-        *FILE_KEY, F.col("content").alias("_cached")
-    )
-    disk = source.select(*FILE_KEY, F.col("content").alias("_read"))
-    return (
-        entries.drop("content")
-        .join(cached, FILE_KEY, "left")
-        .join(disk, FILE_KEY, "left")
-        .withColumn("content", F.coalesce("_cached", "_read"))
-        .drop("_cached", "_read")
-    )
+def cache_content(listing: DataFrame, cache: DataFrame, source: DataFrame, tokenizer: str) -> DataFrame:
+    """``listing`` with ``content``: of cache hits from the cache, of the others from ``source``.
+
+    A hit agrees in path, time, size, tokenizer and version, so a changed file never gets an
+    earlier body, and only files that are no hits meet ``source``.
+    """
+    known = _current(cache, tokenizer).select(*LOOKUP_KEY, "content")
+    entries = listing.drop("content")
+    hits = entries.join(known, LOOKUP_KEY)
+    read = source.select(*FILE_KEY, "content")
+    missed = entries.join(known.select(*LOOKUP_KEY), LOOKUP_KEY, "left_anti").join(read, FILE_KEY, "left")
+    columns = [*entries.columns, "content"]
+    return hits.select(*columns).unionByName(missed.select(*columns))

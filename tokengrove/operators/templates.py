@@ -52,11 +52,11 @@ _CHALLENGE = "Challenge: {{challenge_name}}\n\n{{challenge_description}}\n\n"
 LIBRARY: dict[str, str] = {
     "default": DEFAULT_TEMPLATE,
     "xml": (
-        "<project>{{ absolute_code_path }}</project>\n"
-        "{{#if source_tree}}\n<tree>\n{{{source_tree}}}\n</tree>\n{{/if}}\n"
-        "<files>\n{{#each files}}\n{{#if code}}\n<file>\n<path>{{path}}</path>\n"
-        "<code>\n{{{code}}}\n</code>\n</file>\n{{/if}}\n{{/each}}\n</files>\n"
-        "{{#if instructions}}\n<instructions>\n{{{instructions}}}\n</instructions>\n{{/if}}\n"
+        '<corpus root="{{ absolute_code_path }}">\n'
+        "{{#if instructions}}\n<task>{{{instructions}}}</task>\n{{/if}}\n"
+        "{{#each files}}\n{{#if code}}\n"
+        '<document name="{{path}}">\n{{{code}}}\n</document>\n{{/if}}\n{{/each}}\n'
+        "<layout>\n{{{source_tree}}}\n</layout>\n</corpus>\n"
     ),
     "clean-up": _task("Tidy this code: simpler names, less repetition, same behaviour."),
     "document": _task("Write documentation comments for everything public here."),
@@ -66,13 +66,15 @@ LIBRARY: dict[str, str] = {
     "performance": _task("Find what is slow or wasteful and rewrite it."),
     "readme": _task("Write a README: purpose, installation, use, layout."),
     "commit": (
-        _HEAD + "{{#if git_diff}}\nDiff:\n```\n{{git_diff}}\n```\n{{/if}}\n"
-        "Write a commit message for this diff: a short imperative subject, then why.\n"
+        "Write a commit message: a short imperative subject, then why.\n\n"
+        "{{#if git_diff}}\n# What changed\n\n~~~diff\n{{git_diff}}\n~~~\n\n{{/if}}\n"
+        "# Files of {{ absolute_code_path }}\n\n{{ source_tree }}\n"
     ),
     "pull-request": (
-        _HEAD + "{{#if git_diff_branch}}\nDiff:\n```\n{{git_diff_branch}}\n```\n{{/if}}\n"
-        "{{#if git_log_branch}}\nLog:\n```\n{{git_log_branch}}\n```\n{{/if}}\n"
-        "Describe this pull request: motivation, changes, how to try it.\n"
+        "Describe a pull request: motivation, changes, how to try it.\n\n"
+        "{{#if git_log_branch}}\n# Commits, oldest first\n\n{{git_log_branch}}\n{{/if}}\n"
+        "# Files of {{ absolute_code_path }}\n\n{{ source_tree }}\n"
+        "{{#if git_diff_branch}}\n# Changes of the branch\n\n~~~diff\n{{git_diff_branch}}\n~~~\n{{/if}}\n"
     ),
     "web-challenge": _CHALLENGE + "Target: {{target_url}}\n\n" + _task("Explain how this training exercise is solved."),
     "crypto-challenge": _CHALLENGE + _task("Explain which weakness of the cipher this exercise teaches."),
@@ -154,6 +156,14 @@ def parse_template(template: str) -> tuple:
     return tuple(stack[0][2])
 
 
+NUMERIC = ("token_count", "this.token_count")
+
+
+def holds(name: str, text: Column) -> Column:
+    """Does an ``if`` on the field hold? Empty text does not, and neither does the number 0."""
+    return (text != "") & (text != "0") if name in NUMERIC else text != ""
+
+
 def render_nodes(nodes: tuple, value) -> Column:
     """Nodes as one string expression; ``value(name)`` gives a string column, '' if unknown."""
     pieces = []
@@ -164,7 +174,7 @@ def render_nodes(nodes: tuple, value) -> Column:
             pieces.append(value(node.name))
         elif isinstance(node, If):
             inner = render_nodes(node.body, value)
-            pieces.append(F.when(value(node.name) != "", inner).otherwise(F.lit("")))
+            pieces.append(F.when(holds(node.name, value(node.name)), inner).otherwise(F.lit("")))
         else:
             raise ValueError("a loop inside a loop")
     return F.concat(*pieces) if pieces else F.lit("")

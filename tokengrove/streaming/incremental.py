@@ -1,4 +1,10 @@
-"""Keeping a scan cache current from a stream of files."""
+"""Keeping a scan cache current from a stream of files.
+
+The cache is a log of folders ``run=N/batch=M``. A run is one checkpoint: its number is drawn
+when a checkpoint first writes, above all numbers before it, and kept beside the checkpoint, so a
+stream that starts anew appends after what is there. The newest row of a file is that of the
+highest run and batch.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +20,7 @@ CACHE_SCHEMA = (
     "repo string, rel_path string, mtime_us bigint, size bigint, sha256 string, "
     "tokenizer string, tokens bigint, content string, cache_version int"
 )
-_LOG_SCHEMA = CACHE_SCHEMA + ", batch bigint"
+_LOG_SCHEMA = CACHE_SCHEMA + ", run bigint, batch bigint"
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
@@ -27,8 +33,9 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _latest(log: DataFrame) -> DataFrame:
-    newest = log.groupBy(*FILE_KEY).agg(F.max("batch").alias("batch"))
-    return log.join(newest, [*FILE_KEY, "batch"], "left_semi").select(*CACHE_COLUMNS)
+    place = F.struct("run", "batch")
+    newest = log.groupBy(*FILE_KEY).agg(F.max(place).alias("_p")).select(*FILE_KEY, "_p.*")
+    return log.join(newest, [*FILE_KEY, "run", "batch"], "left_semi").select(*CACHE_COLUMNS)
 
 
 def current_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -36,9 +43,28 @@ def current_cache(spark: SparkSession, path: str) -> DataFrame:
     return _latest(_log(spark, path))
 
 
-def append_batch(spark: SparkSession, path: str, rows: DataFrame, batch: int) -> None:
+def append_batch(spark: SparkSession, path: str, rows: DataFrame, batch: int, run: int = 0) -> None:
     """Write one batch of cache rows as its own folder; writing it again replaces it."""
-    rows.select(*CACHE_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    rows.select(*CACHE_COLUMNS).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch}")
+
+
+def compact_cache(spark: SparkSession, path: str, into: str) -> None:
+    """Write the newest rows as the first run of a new cache; point later streams to that."""
+    append_batch(spark, into, current_cache(spark, path), 0)
+
+
+def _run_of(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """The number of the checkpoint's run, drawn and kept when it has none yet."""
+    note = f"{checkpoint}-run"
+    try:
+        return spark.read.schema("run bigint").parquet(note).first()["run"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    latest = _log(spark, path).agg(F.max("run").alias("run")).first()["run"]
+    run = 0 if latest is None else latest + 1
+    spark.createDataFrame([(run,)], "run bigint").coalesce(1).write.parquet(note)
+    return run
 
 
 def incremental_scan(
@@ -51,21 +77,24 @@ def incremental_scan(
     """Process all files now available in the stream ``files`` into the cache at ``path``.
 
     Per micro-batch, files the cache already knows are dropped and the rest counted by
-    ``count`` and appended. A batch looks only at earlier batches and overwrites its own
-    folder, so a batch replayed after a failure leaves the same cache. Nothing already
-    written is rewritten, whatever the size of the cache.
+    ``count`` and appended. A batch looks only at what was written before it and overwrites its
+    own folder, so a batch replayed after a failure leaves the same cache. Nothing already
+    written is rewritten, whatever the size of the cache; :func:`compact_cache` shortens it.
+    One stream writes to a cache at a time.
     """
     spark = files.sparkSession
+    run = _run_of(spark, path, checkpoint)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
-        known = _latest(_log(own, path).where(F.col("batch") < batch_id))
+        earlier = (F.col("run") < run) | (F.col("run") == run) & (F.col("batch") < batch_id)
+        known = _latest(_log(own, path).where(earlier))
         arrived = batch.dropDuplicates(LOOKUP_KEY)
         version = F.struct("mtime_us", "size")
         newest = arrived.groupBy(*FILE_KEY).agg(F.max(version).alias("_v")).select(*FILE_KEY, "_v.*")
         arrived = arrived.join(newest, LOOKUP_KEY, "left_semi")
         fresh = count(cache_misses(arrived, known, tokenizer))
-        append_batch(own, path, cache_rows(fresh, tokenizer), batch_id)
+        append_batch(own, path, cache_rows(fresh, tokenizer), batch_id, run)
 
     return (
         files.writeStream.foreachBatch(upsert)
