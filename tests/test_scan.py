@@ -106,3 +106,31 @@ def test_new_checkpoint_loses_nothing(spark, tmp_path):
     assert {r.rel_path: r.content for r in current_cache(spark, table).collect()} == expected
     compact_cache(spark, table, str(tmp_path / "short"))
     assert {r.rel_path: r.content for r in current_cache(spark, str(tmp_path / "short")).collect()} == expected
+
+
+def test_ignored_folders_are_not_entered(spark, tmp_path):
+    root = tmp_path / "garden"
+    make(root, {
+        ".gitignore": b"compost/\n*.tmp\n!keep.tmp\n/seeds.txt\n", "beds/.gitignore": b"*.md\n", "beds/.ignore": b"!plan.md\n",
+        "compost/a": b"1", "x.tmp": b"1", "keep.tmp": b"1", "seeds.txt": b"1", "beds/seeds.txt": b"1", "beds/plan.md": b"1",
+        "beds/other.md": b"1", "beds/deep/other.md": b"1", "other.md": b"1", "beds/compost": b"a file, not a folder",
+    })
+    names = lambda **o: {r.rel_path for r in scan_files(spark, str(root), **o).collect()}
+    kept = {"keep.tmp", "beds/seeds.txt", "beds/plan.md", "other.md", "beds/compost"}
+    assert names() == kept
+    assert names(no_ignore=True) == kept | {"compost/a", "x.tmp", "seeds.txt", "beds/other.md", "beds/deep/other.md"}
+    assert names(include=["**/*.md"], exclude=["beds/**"]) == {"other.md"}
+    assert names(max_file_bytes=1) == kept - {"beds/compost"}
+
+
+def test_linked_roots_and_cycles(spark, tmp_path):
+    real, other = tmp_path / "real", tmp_path / "other"
+    make(real, {"f.py": b"x"})
+    make(other, {"g.py": b"y"})
+    os.symlink(real, tmp_path / "link")
+    os.symlink(real, real / "loop")
+    os.symlink(other, real / "aside")
+    os.symlink(other, other / "again")
+    roots = spark.createDataFrame([("r", str(tmp_path / "link"))], "repo string, root string")
+    found = sorted(r.rel_path for r in list_files(spark, roots, follow_symlinks=True).collect())
+    assert found == ["aside/g.py", "f.py"]

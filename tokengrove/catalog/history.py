@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokengrove.catalog.base import over_corpus, register
 from tokengrove.catalog.caching import file_number
+from tokengrove.catalog.prompts import _FLAT as FLAT_TREES
 from tokengrove.operators import render, vcs
 from tokengrove.plans.assemble import assemble
 from tokengrove.sources.tables import documents_corpus as corpus, read_table
@@ -134,7 +135,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return vcs.git_sections(*snapshots(spark, sf))
 
 
-@register("git_diff_prompt")
+@register("git_diff_prompt", over_corpus(_STATES + _SECTIONS + f"""
+, {FLAT_TREES}
+, texts AS (
+  SELECT repo, section, string_agg(CASE WHEN origin IN (' ', '+', '-') THEN origin ELSE '' END || text || chr(10), ''
+           ORDER BY rel_path, seq) AS text
+  FROM sections GROUP BY repo, section
+), diffs AS (
+  SELECT repo, string_agg('--- ' || section || ' ---' || chr(10) || text, chr(10) ORDER BY section) AS diff FROM texts GROUP BY repo
+)
+SELECT repo, CAST(0 AS BIGINT) AS part, rtrim('Write a commit message: a short imperative subject, then why.' || chr(10) || chr(10)
+  || CASE WHEN diff IS NULL THEN '' ELSE '# What changed' || chr(10) || chr(10) || '~~~diff' || chr(10) || diff || chr(10)
+     || '~~~' || chr(10) || chr(10) END || '# Files of ' || repo || chr(10) || chr(10) || tree, chr(10)) AS prompt
+FROM flat LEFT JOIN diffs USING (repo)"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from tokengrove.operators.templates import LIBRARY
 

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokengrove.catalog.base import ORACLES, over_corpus, register
-from tokengrove.catalog.caching import TOKENIZER, earlier_cache
+from tokengrove.catalog.caching import TOKENIZER, earlier_cache, file_number
 from tokengrove.functions.text import sha256_hex
-from tokengrove.plans.lineage import work_dir
+from tokengrove.operators.cache import cache_rows
+from tokengrove.plans.lineage import cut, work_dir
 from tokengrove.sources import files as source
 from tokengrove.sources.tables import documents_corpus as corpus, read_table
 from tokengrove.streaming.incremental import append_batch, current_cache, incremental_scan
@@ -36,7 +37,11 @@ def lay_out(files: DataFrame, folder: str) -> None:
     ).collect()
 
 
-def _scanned(spark: SparkSession, sf: str, hidden: bool) -> DataFrame:
+def _tree(spark: SparkSession, sf: str, ignore_files: bool = False) -> DataFrame:
+    """The documents laid out as files, some of them odd, below the shared folder; their roots.
+
+    Files in directories need a folder that executors can mount: these queries raise on others.
+    """
     folder = source.local_path(work_dir(spark, "tree"))
     files = corpus(spark, sf)
     n = F.regexp_extract("rel_path", r"d(\d+)(?:\.[^.]*)?$", 1).cast("bigint")
@@ -48,14 +53,26 @@ def _scanned(spark: SparkSession, sf: str, hidden: bool) -> DataFrame:
         .otherwise(raw)
     )
     lay_out(files.withColumn("content", body), folder)
-    roots = files.select("repo").distinct().withColumn(
-        "root", F.concat(F.lit(folder + "/"), "repo")
-    )
-    return source.scan_files(spark, roots, hidden=hidden).select(
+    repos = files.select("repo").distinct()
+    if ignore_files:
+        for path, lines in IGNORE_FILES.items():
+            lay_out(repos.select("repo", F.lit(path).alias("rel_path"), F.lit(lines).alias("content")), folder)
+    return repos.withColumn("root", F.concat(F.lit(folder + "/"), "repo"))
+
+
+IGNORE_FILES = {".gitignore": "m3/\n*.TOML\n", "en/.gitignore": "*.py\n!d*0.py\n", "en/.ignore": "!d*1.py\n"}
+
+
+def _shown(files: DataFrame) -> DataFrame:
+    return files.select(
         "repo", "rel_path", "ext", "is_symlink", "size", "tokens", sha256_hex(F.col("content")).alias("digest")
     )
 
 
+def _scanned(spark: SparkSession, sf: str, hidden: bool) -> DataFrame:
+    return _shown(source.scan_files(spark, _tree(spark, sf), hidden=hidden))
+
+
 def _scan_sql(where: str) -> str:
     return over_corpus(f"""
 , disk AS (
@@ -77,6 +94,32 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _scanned(spark, sf, hidden=True)
 
 
+_NOT_IGNORED = """NOT starts_with(rel_path, '.') AND NOT list_contains(parts, 'm3') AND COALESCE(ext, '') <> 'TOML'
+  AND NOT (starts_with(rel_path, 'en/') AND COALESCE(ext, '') = 'py' AND doc_id % 10 NOT IN (0, 1))"""
+
+
+@register("scan_ignored", _scan_sql(_NOT_IGNORED))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(source.scan_files(spark, _tree(spark, sf, ignore_files=True)))
+
+
+@register("scan_globs", _scan_sql("""NOT starts_with(rel_path, '.') AND COALESCE(ext, '') IN ('py', 'md')
+  AND NOT (list_contains(parts, 'sub') AND list_contains(parts, 'm2'))"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(source.scan_files(spark, _tree(spark, sf), include=["**/*.{py,md}"], exclude=["**/m2/sub/**"]))
+
+
+@register("scan_cached", _scan_sql("NOT starts_with(rel_path, '.')").replace(
+    "AS tokens", "+ CASE WHEN doc_id % 3 = 1 THEN 7 ELSE 0 END AS tokens").replace(
+    "sha256(repeat(content, times))", "sha256(CASE WHEN doc_id % 3 = 1 THEN 'kept' ELSE repeat(content, times) END)"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the files are known from a scan before, with a body and a count that tell."""
+    roots = _tree(spark, sf)
+    known = source.scan_files(spark, roots).where(file_number() % 3 == 1)
+    cache = cache_rows(known.withColumns({"content": F.lit("kept"), "tokens": F.col("tokens") + 7}), TOKENIZER)
+    return _shown(source.scan_files(spark, roots, cache=cut(cache), tokenizer=TOKENIZER))
+
+
 @register("incremental_scan")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     table, checkpoint = work_dir(spark, "scan-cache"), work_dir(spark, "scan-progress")

@@ -1,27 +1,33 @@
 """Scanning directory trees that executors can reach.
 
 Listing goes level by level: every directory is a row, so a broad tree lists in
-parallel and each level is written out. Filters apply to the listing, before any
-file is opened; reading is spread by path, so one crowded directory is not one task.
+parallel and each level is written out. A directory's ignore files are read when it is
+listed and travel down with the rows, so ignored and hidden directories are never
+entered. Filters apply to the listing, before any file is opened; reading is spread by
+path, so one crowded directory is not one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+import json
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tokengrove.functions.globs import ignore_line_to_rule
 from tokengrove.functions.paths import extension_of
 from tokengrove.functions.tokens import tokens_bytes4
-from tokengrove.operators.filters import MAX_FILE_BYTES
+from tokengrove.operators.cache import cache_content, cache_lookup, cache_misses
+from tokengrove.operators.filters import MAX_FILE_BYTES, filter_globs
 from tokengrove.plans.lineage import cut
 
 _ENTRY = (
     "repo string, root string, path string, is_dir boolean, is_symlink boolean, "
-    "size bigint, mtime_us bigint"
+    "size bigint, mtime_us bigint, rules string, above string"
 )
 _BATCH_ROWS = 4096
 _BATCH_BYTES = 32 * 1024 * 1024
@@ -36,7 +42,42 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def _entries(repo: str, root: str, folder: str, hidden: bool, follow: bool) -> Iterator[tuple]:
+class _Rules:
+    """The ignore rules that hold in one directory: of its own files and of those above.
+
+    The deepest file with a matching rule decides, by its last one; files named ``.ignore``
+    come before all ``.gitignore`` files.
+    """
+
+    def __init__(self, carried: str, folder: str, names: list[str]):
+        self.files: list[list] = json.loads(carried)  # [name, base, lines], shallow to deep
+        for name in names:
+            try:
+                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                    self.files.append([name, folder, f.read().split("\n")])
+            except OSError:
+                continue
+        self.carried = json.dumps(self.files)
+        self.compiled = []
+        for name, base, lines in sorted(self.files, key=lambda f: f[0] == ".gitignore"):
+            rules = [r for r in map(ignore_line_to_rule, lines) if r is not None]
+            fused = [(re.compile(regex.removesuffix(r"\z") + r"\Z"), negated, dir_only) for regex, negated, dir_only in rules]
+            self.compiled.append((name, len(base.rstrip("/")) + 1, fused[::-1]))
+
+    def ignored(self, path: str, is_dir: bool) -> bool:
+        for kind in (".ignore", ".gitignore"):
+            for name, start, rules in reversed(self.compiled):
+                if name != kind:
+                    continue
+                for regex, negated, dir_only in rules:
+                    if (is_dir or not dir_only) and regex.match(path[start:]):
+                        return not negated
+        return False
+
+
+def _entries(
+    repo: str, root: str, folder: str, hidden: bool, follow: bool, rules: _Rules, above: list[str]
+) -> Iterator[tuple]:
     try:
         scan = os.scandir(folder)
     except OSError:
@@ -50,16 +91,21 @@ def _entries(repo: str, root: str, folder: str, hidden: bool, follow: bool) -> I
                 if link and not follow:
                     continue
                 is_dir = entry.is_dir()
-                if link and is_dir:
-                    target = os.path.realpath(entry.path)
-                    if entry.path.startswith(target.rstrip("/") + "/"):
-                        continue  # leads back to a directory above itself
                 if not is_dir and not entry.is_file():
                     continue
                 stat = entry.stat()
             except OSError:
                 continue
-            yield repo, root, entry.path, is_dir, link, stat.st_size, stat.st_mtime_ns // 1000
+            if rules.ignored(entry.path, is_dir):
+                continue
+            within = ""
+            if is_dir and follow:
+                here = f"{stat.st_dev}:{stat.st_ino}"
+                if here in above:
+                    continue  # leads back to a directory above itself
+                within = json.dumps([*above, here])
+            carried = rules.carried if is_dir else ""
+            yield repo, root, entry.path, is_dir, link, stat.st_size, stat.st_mtime_ns // 1000, carried, within
 
 
 def _width(spark: SparkSession) -> int:
@@ -72,11 +118,14 @@ def list_files(
     roots: DataFrame | str,
     hidden: bool = False,
     follow_symlinks: bool = False,
+    no_ignore: bool = False,
 ) -> DataFrame:
     """Regular files below each root: ``repo, path, rel_path, ext, is_symlink, size, mtime_us``.
 
-    ``roots`` is one directory or a table ``(repo, root)``. Hidden directories are not
-    descended into; entries that cannot be read are skipped.
+    ``roots`` is one directory or a table ``(repo, root)``; a root that is a link counts as its
+    target. Hidden directories, and what ``.gitignore`` (unless ``no_ignore``) and ``.ignore``
+    files rule out, are not descended into; entries that cannot be read are skipped. Runs a
+    job per level.
     """
     if isinstance(roots, str):
         root = os.path.realpath(local_path(roots))
@@ -84,25 +133,40 @@ def list_files(
             [(os.path.basename(root) or ".", root)], "repo string, root string"
         )
     columns = [c.strip().split()[0] for c in _ENTRY.split(",")]
+    names = [".ignore"] if no_ignore else [".gitignore", ".ignore"]
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for batch in batches:
-            for repo, root, folder in batch.itertuples(index=False):
-                for row in _entries(repo, root, folder, hidden, follow_symlinks):
+            for repo, root, folder, carried, above in batch.itertuples(index=False):
+                if folder is None:  # a root
+                    root = folder = os.path.realpath(local_path(root))
+                    try:
+                        stat = os.stat(root)
+                    except OSError:
+                        continue
+                    above = json.dumps([f"{stat.st_dev}:{stat.st_ino}"])
+                rules = _Rules(carried, folder, names)
+                for row in _entries(repo, root, folder, hidden, follow_symlinks, rules, json.loads(above or "[]")):
                     rows.append(row)
                     if len(rows) >= _BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
         yield pd.DataFrame(rows, columns=columns).astype({"is_dir": bool, "is_symlink": bool})
 
-    level = roots.select("repo", "root", F.col("root").alias("folder"))
+    level = roots.select(
+        "repo",
+        "root",
+        F.lit(None).cast("string").alias("folder"),
+        F.lit("[]").alias("rules"),
+        F.lit("").alias("above"),
+    )
     levels: list[DataFrame] = []
     width = _width(spark)
     while True:
         found = cut(level.repartition(width, "repo", "folder").mapInPandas(listing, _ENTRY))
         levels.append(found.where("not is_dir"))
-        level = found.where("is_dir").select("repo", "root", F.col("path").alias("folder"))
+        level = found.where("is_dir").select("repo", "root", F.col("path").alias("folder"), "rules", "above")
         if level.isEmpty():
             break
     files = reduce(DataFrame.unionByName, levels)
@@ -149,8 +213,29 @@ def scan_files(
     roots: DataFrame | str,
     hidden: bool = False,
     follow_symlinks: bool = False,
+    include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    include_priority: bool = False,
+    no_ignore: bool = False,
+    max_file_bytes: int = MAX_FILE_BYTES,
+    cache: DataFrame | None = None,
+    tokenizer: str = "bytes4",
+    count: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Text files of acceptable size below the roots, in the corpus schema plus ``is_symlink``."""
-    listing = list_files(spark, roots, hidden, follow_symlinks)
-    sized = listing.where(F.col("size").between(1, MAX_FILE_BYTES))
-    return read_contents(sized).withColumn("tokens", tokens_bytes4(F.col("size")))
+    """Text files of acceptable size below the roots, in the corpus schema plus ``is_symlink``.
+
+    Ignore files, globs and sizes decide on the listing. With a ``cache`` only files that it does
+    not know are opened and counted by ``count``; the others take their tokens and body from it.
+    Without ``count`` tokens are the estimate by bytes.
+    """
+    listing = list_files(spark, roots, hidden, follow_symlinks, no_ignore)
+    sized = listing.where(F.col("size").between(1, max_file_bytes))
+    wanted = filter_globs(sized, list(include), list(exclude), include_priority)
+    count = count or (lambda df: df.withColumn("tokens", tokens_bytes4(F.col("size"))))
+    if cache is None:
+        return count(read_contents(wanted))
+    wanted = cut(wanted)
+    fresh = count(read_contents(cache_misses(wanted, cache, tokenizer)))
+    known = cache_lookup(wanted, cache, tokenizer).where("hit").drop("hit")
+    bodies = cache_content(known, cache, wanted.withColumn("content", F.lit(None).cast("string")).limit(0), tokenizer)
+    return fresh.unionByName(bodies.select(*fresh.columns))
