@@ -46,6 +46,8 @@ def _tokens_query(name: str, encoding: str) -> None:
 
 _tokens_query("bpe_tokens", "cl100k")
 _tokens_query("bpe_tokens_gpt2", "gpt2")
+_tokens_query("bpe_tokens_p50k_base", "p50k_base")
+_tokens_query("bpe_tokens_p50k_edit", "p50k_edit")
 
 
 @register("bpe_tokens_specials", over_corpus(f"""

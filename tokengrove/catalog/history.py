@@ -253,3 +253,64 @@ SELECT DISTINCT 'conv' || conv_id AS repo, 'trunk' AS branch FROM conversations
 def _(spark: SparkSession, sf: str) -> DataFrame:
     _, refs, requests = commit_tables(spark, sf, merges=False)
     return vcs.missing_branches(requests, refs)
+
+
+# ── branches of the documents ────────────────────────────────────────────────
+
+
+def branch_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Commits, refs, requests and trees: every repository has a ``trunk`` of one commit and a
+    ``feature`` two commits ahead; repositories whose name ends in 9 have no trunk."""
+    head, index, _ = snapshots(spark, sf)
+    repos = head.select("repo").distinct()
+    commit = lambda n: F.sha2(F.concat("repo", F.lit(f":{n}")), 256)
+    numbered = repos.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    commits = numbered.select(
+        "repo",
+        F.sha2(F.concat("repo", F.lit(":"), F.col("n").cast("string")), 256).alias("commit"),
+        F.when(F.col("n") > 0, F.array(F.sha2(F.concat("repo", F.lit(":"), (F.col("n") - 1).cast("string")), 256)))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("parents"),
+        F.col("n").cast("bigint").alias("ts"),
+        F.concat(F.lit("Step "), F.col("n").cast("string"), F.lit(" of "), "repo").alias("summary"),
+    )
+    refs = repos.where("repo NOT LIKE '%9'").select("repo", F.lit("trunk").alias("branch"), commit(0).alias("commit")).unionByName(
+        repos.select("repo", F.lit("feature").alias("branch"), commit(2).alias("commit"))
+    )
+    requests = repos.select("repo", F.lit("trunk").alias("branch1"), F.lit("feature").alias("branch2"))
+    trees = head.withColumn("commit", commit(0)).unionByName(index.withColumn("commit", commit(2)))
+    return commits, refs, requests, trees
+
+
+@register("branch_diff", over_corpus(_STATES + f"""
+SELECT repo, 'trunk' AS branch1, 'feature' AS branch2, rel_path, seq, origin, text
+FROM ({_patch_sql("head", "staged")}) WHERE repo NOT LIKE '%9'"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    _, refs, requests, trees = branch_tables(spark, sf)
+    return vcs.branch_diff(requests, refs, trees)
+
+
+@register("render_pull_request", over_corpus(_STATES + f"""
+, {FLAT_TREES}
+, diffs AS (
+  SELECT repo, string_agg(CASE WHEN origin IN (' ', '+', '-') THEN origin ELSE '' END || text || chr(10), ''
+           ORDER BY rel_path, seq) AS diff
+  FROM ({_patch_sql("head", "staged")}) WHERE repo NOT LIKE '%9' GROUP BY repo
+)
+SELECT repo, CAST(0 AS BIGINT) AS part, rtrim('Describe a pull request: motivation, changes, how to try it.' || chr(10) || chr(10)
+  || CASE WHEN repo LIKE '%9' THEN '' ELSE '# Commits, oldest first' || chr(10) || chr(10)
+     || substr(sha256(repo || ':1'), 1, 7) || ' - Step 1 of ' || repo || chr(10)
+     || substr(sha256(repo || ':2'), 1, 7) || ' - Step 2 of ' || repo || chr(10) || chr(10) END
+  || '# Files of ' || repo || chr(10) || chr(10) || tree || chr(10)
+  || CASE WHEN diff IS NULL THEN '' ELSE '# Changes of the branch' || chr(10) || chr(10) || '~~~diff' || chr(10) || diff
+     || chr(10) || '~~~' END, chr(10)) AS prompt
+FROM flat LEFT JOIN diffs USING (repo)"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from tokengrove.operators.templates import LIBRARY
+
+    commits, refs, requests, trees = branch_tables(spark, sf)
+    streams = {
+        "git_diff_branch": vcs.diff_stream(vcs.branch_diff(requests, refs, trees)),
+        "git_log_branch": vcs.log_stream(vcs.commit_range(commits, refs, requests)),
+    }
+    return render.render_prompts(corpus(spark, sf), LIBRARY["pull-request"], streams=streams)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokengrove.catalog.base import CLIMBED, CORPUS, over_corpus, register
@@ -420,3 +422,35 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("source", F.lit("/"), "lang").alias("repo"), scope.alias("scope"), F.col("text").alias("body")
     )
     return templates.choose_template(rows)
+
+
+# ── the template library ─────────────────────────────────────────────────────
+
+_PLAIN = tuple(
+    name for name in templates.LIBRARY if name not in ("default", "xml", "commit", "pull-request") and "challenge" not in name
+)
+
+
+def _library_sql() -> str:
+    """The task templates share their layout: label, tree, files, then what is asked."""
+    asked = ", ".join(
+        "('" + name + "', '" + templates.LIBRARY[name].rsplit("\n", 2)[1].replace("'", "''") + "')" for name in _PLAIN
+    )
+    return f"""WITH {CORPUS}, {_FLAT},
+bodies AS (
+  SELECT repo, string_agg('File `' || rel_path || '`:' || chr(10) || chr(10) || '```' || COALESCE(ext, '') || chr(10)
+           || content || '```' || chr(10) || chr(10), '' ORDER BY parts) AS body
+  FROM corpus GROUP BY repo
+), asked(template, task) AS (VALUES {asked})
+SELECT repo, template, CAST(0 AS BIGINT) AS part, 'Project: ' || repo || chr(10) || chr(10) || '```' || chr(10) || tree || chr(10)
+  || '```' || chr(10) || chr(10) || body || task AS prompt
+FROM flat JOIN bodies USING (repo), asked"""
+
+
+@register("render_library", _library_sql())
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf)
+    rendered = [
+        render.render_prompts(files, templates.LIBRARY[name]).withColumn("template", F.lit(name)) for name in _PLAIN
+    ]
+    return reduce(DataFrame.unionByName, rendered)

@@ -271,6 +271,33 @@ def valid_requests(requests: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
+BRANCHES = ["repo", "branch1", "branch2"]
+
+
+def branch_diff(requests: DataFrame, refs: DataFrame, trees: DataFrame) -> DataFrame:
+    """Patch lines from the tree of ``branch1`` to that of ``branch2``, for every request.
+
+    ``trees(repo, commit, rel_path, content)`` has the files of each commit. Returns ``(repo,
+    branch1, branch2, rel_path, seq, origin, text)``; a request naming a missing branch, or one
+    whose trees agree, returns nothing. Requests for one repository are patched side by side:
+    the request is part of the file's key.
+    """
+    asked = valid_requests(requests, refs)
+    packed = F.to_json(F.struct(*BRANCHES))
+
+    def side(branch: str) -> DataFrame:
+        heads = asked.join(refs.select("repo", F.col("branch").alias(branch), "commit"), ["repo", branch])
+        return salted_join(trees, heads, ["repo", "commit"], "inner", ["rel_path"]).select(
+            packed.alias("repo"), "rel_path", "content"
+        )
+
+    lines = patch_lines(side("branch1"), side("branch2"))
+    fields = F.from_json("repo", "repo string, branch1 string, branch2 string")
+    return lines.select(fields.alias("_request"), "rel_path", "seq", "origin", "text").select(
+        "_request.*", "rel_path", "seq", "origin", "text"
+    )
+
+
 def _runs(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contract unbranched runs of history.
 
