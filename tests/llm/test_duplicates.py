@@ -43,6 +43,10 @@ def test_components(spark, shape):
     assert {n: found.get(n, n) for n in range(200)} == wanted
 
 
+def idf_of(documents, df):
+    return 1 - wm.DAMP * (1 - min(1.0, math.log1p(documents / df) / math.log1p(1 / wm.COMMON)))
+
+
 def brute_classes(rows):
     """Exact classes by TF-IDF weighted Jaccard of five-word shingles."""
 
@@ -55,7 +59,7 @@ def brute_classes(rows):
     sets = [shingles(t) for _, t in rows]
     df = Counter(s for c in sets for s in c)
     n = len(rows)
-    idf = {s: min(math.log1p(n / df[s]), math.log1p(1 / wm.COMMON)) for s in df}
+    idf = {s: idf_of(n, df[s]) for s in df}
     total = [sum(k * idf[s] for s, k in c.items()) for c in sets]
     edges = []
     for i in range(n):
@@ -100,6 +104,20 @@ def test_blocks_settle_what_pivots_miss(spark, monkeypatch):
     assert found == brute_classes(rows) == {i: 0 for i in range(40)}
 
 
+def test_copies_in_a_large_group_stay_together(spark):
+    rng = random.Random(2)
+    base = prose(50, 160).split()
+    copies = []
+    for _ in range(120):  # a third of all rows, each with a word changed
+        words = base[:]
+        words[rng.randrange(160)] = f"other{rng.randrange(10**6)}"
+        copies.append(" ".join(words))
+    rows = list(enumerate([t for i, c in enumerate(copies) for t in (c, prose(2000 + i, 90), prose(5000 + i, 90))]))
+    found = {r["doc_id"]: r["class_id"] for r in wm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_classes(rows)
+    assert len({found[i] for i, _ in rows[::3]}) == 1
+
+
 def test_common_shingles_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(wm, "SEGMENT", 3000)
     monkeypatch.setattr(wm, "ROUND", 100)
@@ -112,10 +130,7 @@ def test_common_shingles_are_counted_exactly(spark, monkeypatch):
         counted.update(set(wm.shingles([t])[0].tolist()))
     often = {h: n for h, n in counted.items() if n >= wm.COMMON * len(texts)}
     assert set(weights.hashes.tolist()) == set(often)
-    assert np.allclose(
-        [math.log1p(len(texts) / often[h]) for h in weights.hashes.tolist()],
-        weights.idf,
-    ) or max(weights.idf) == pytest.approx(weights.most)
+    assert np.allclose([idf_of(len(texts), often[h]) for h in weights.hashes.tolist()], weights.idf)
 
 
 def test_samples_agree_as_often_as_texts_are_alike():

@@ -2,11 +2,14 @@
 
 Features: shingles of five lower-cased words; the i-th occurrence of a shingle is a feature of
 its own, so the weighted Jaccard similarity of ``tf * idf`` vectors is that of the feature sets
-weighted by idf alone. ``idf = ln(1 + N / df)``, where df below ``COMMON`` of the documents counts as
-``COMMON``: only common shingles need their df. They are found exactly over all documents in two
-passes: a shingle that is common in the corpus is common in at least one segment of it, so
-segments name candidates, and a second pass counts these. There are at most
-``mean shingles / COMMON`` common shingles at any corpus size, which bounds what is broadcast.
+weighted by idf alone. ``idf`` is ``ln(1 + N / df)`` over its largest value, where df below ``COMMON`` of
+the documents counts as ``COMMON``: only common shingles need their df. It is damped to the range
+``1 - DAMP`` to 1, because near copies raise the df of what they share: undamped, the few changed words
+of copies in a large group outweigh all that is equal and the group falls apart. Common shingles
+are found exactly over all documents in two passes: a shingle that is common in the corpus is
+common in at least one segment of it, so segments name candidates, and a second pass counts
+these. There are at most ``mean shingles / COMMON`` common shingles at any corpus size, which bounds
+what is broadcast.
 
 Sampling (Ioffe 2010): with r, c ~ Gamma(2, 1), beta ~ U(0, 1) of a feature and a hash function,
 ``t = floor(ln w / r + beta)``, ``ln a = ln c - r (t - beta) - r``; the sample is the (feature, t) of
@@ -39,7 +42,7 @@ from tokengrove.plans.lineage import cut
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-COMMON = 0.01
+COMMON, DAMP = 0.01, 0.1
 BLOCK = 128
 #: Shingles of one segment of the first pass, and candidates counted in one round of the second.
 SEGMENT, ROUND = 2_000_000, 2_000_000
@@ -103,8 +106,9 @@ class Weights:
     def __init__(self, hashes: np.ndarray, df: np.ndarray, documents: int):
         order = np.argsort(hashes)
         self.hashes = hashes[order].astype(np.uint64)
-        self.most = math.log1p(1 / COMMON)
-        self.idf = np.minimum(np.log1p(documents / np.maximum(df[order], 1)), self.most)
+        self.most = 1.0
+        share = np.log1p(documents / np.maximum(df[order], 1)) / math.log1p(1 / COMMON)
+        self.idf = 1 - DAMP * (1 - np.minimum(share, 1.0))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         weights = np.full(len(hashes), self.most)
