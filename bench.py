@@ -12,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 HEADLINE = (
@@ -55,6 +56,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINTS") or tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

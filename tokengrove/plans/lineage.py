@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     machines could not read it, and it would not outlive them.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    current = sc.getCheckpointDir()  # set from spark.checkpoint.dir, or by the application
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,15 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# Repeating the small side multiplies what a broadcast of it would weigh, which Spark
-# judges before the repetition: 32 keeps that within a few hundred megabytes.
-MAX_SALTS = 32
+#: A salted group of a key that holds a third of the rows has about this many bytes.
+GROUP_BYTES = 64 << 20
 
 
-def salt_count(df: DataFrame) -> int:
-    """Salts grow with the cluster's shuffle width, up to a fixed replication bound."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_SALTS, width))
+def _estimate(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def salt_count(rows: DataFrame, dim: DataFrame) -> int:
+    """Salts by the estimated size of ``rows``, where one key may hold a third.
+
+    No more than shuffle partitions, which is all that can run side by side, and no more than
+    keep the repeated ``dim`` below the size of ``rows``.
+    """
+    size = _estimate(rows)
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(width, size // 3 // GROUP_BYTES + 1, size // max(1, _estimate(dim))))
+
+
+def _broadcast(dim: DataFrame) -> bool:
+    """Does Spark broadcast ``dim`` by its own threshold? Such a join has no groups."""
+    conf = dim.sparkSession._jsparkSession.sessionState().conf()
+    return _estimate(dim) <= conf.autoBroadcastJoinThreshold()
 
 
 def salted_join(
@@ -28,13 +42,17 @@ def salted_join(
     """``rows.join(dim, on, how)`` with every key of ``rows`` split over ``salts`` groups.
 
     ``spread`` names columns of ``rows`` that vary within a key. ``dim`` is repeated
-    once per salt, so it should be the side with few rows. No side is hinted for
-    broadcast: Catalyst and AQE do that by measured size, and beyond it the salted
-    shuffle still balances. Only joins that keep or filter ``rows`` are allowed.
+    once per salt, so it should be the side with few rows. Where Spark broadcasts it
+    anyway, nothing is salted or repeated; beyond its threshold the salted shuffle
+    balances, and AQE splits what is still large. Only joins that keep or filter ``rows``
+    are allowed.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported salted join type: {how}")
-    salts = salts or salt_count(rows)
+    on = list(on)
+    if salts is None and _broadcast(dim):
+        return rows.join(dim, on, how)
+    salts = salts or salt_count(rows, dim)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
