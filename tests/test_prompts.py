@@ -134,7 +134,7 @@ def test_json_and_files_on_disk(spark, files, tmp_path):
 @pytest.mark.parametrize("name", ["cl100k", "r50k_base", "o200k_base"])
 def test_prompt_tokens_do_not_depend_on_parts(spark, name):
     tok = register_tokenizer(name, ranks={**{bytes([b]): b for b in range(256)}, b"\n\n": 256, b"ab": 257, b"  ": 258, b"\n\n\n": 259, b"''": 260})
-    body = "ab ab\n\n\n''ab\n  12''\n\n" * 40 + "''" * 50 + "\n\n\n" * 30 + "xab\nab"
+    body = "ab ab\n\n\n''ab\n  12''\n\n" * 40 + "''" * 50 + "\n\n\n" * 30 + "7,8;9\n12 345 6\n" * 60 + "xab\nab"
     rows = [("r", f"f{i:02d}", None, body[i:], 1) for i in range(6)]
     df = spark.createDataFrame(rows, "repo string, rel_path string, ext string, content string, tokens bigint").withColumn("path", F.col("rel_path")).withColumn("mtime_us", F.lit(0))
     template = "{{#each files}}{{code}}{{/each}}"

@@ -11,10 +11,10 @@ from tokengrove.plans.slices import running
 
 COUNT_BYTES = 1 << 20
 
-# Between a letter and a line break no encoding's pre-token continues, and nothing an
+# Between a letter or digit and a line break no encoding's pre-token continues, and nothing an
 # encoding looks at on one side depends on the other.
-_SAFE = r"\p{L}\n"
-_SAFE_CUT = r"(?s)\A(.*\p{L})\n"
+_SAFE = r"[\p{L}\p{N}]\n"
+_SAFE_CUT = r"(?s)\A(.*[\p{L}\p{N}])\n"
 
 
 def count_files(files: DataFrame, tokenizer: Tokenizer, content: str = "content") -> DataFrame:

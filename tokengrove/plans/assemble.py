@@ -80,11 +80,15 @@ def placed_pieces(
 
 
 def join_parts(placed: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Concatenate placed pieces; a group here is one part, bounded by its byte budget."""
+    """Concatenate placed pieces; a group here is one part, bounded by its byte budget.
+
+    Empty pieces take no room in a part, however many there are: they are not collected.
+    """
     return placed.groupBy(*group, "part").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda p: p["text"]
+                F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(*order, "text")))),
+                lambda p: p["text"],
             ),
             "",
         ).alias("text")
