@@ -259,7 +259,8 @@ def _verify_pivots(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                     hits.append((doc, pivot))
             yield pd.DataFrame(hits, columns=["a", "b"])
 
-    joined = pairs.join(left, "doc").join(right, "pivot").sortWithinPartitions("pivot")
+    # Joins of texts are shuffled at every size, so that the plan does not change with it.
+    joined = pairs.join(left.hint("merge"), "doc").join(right.hint("merge"), "pivot").sortWithinPartitions("pivot")
     return joined.mapInPandas(check, "a long, b long")
 
 
@@ -270,7 +271,7 @@ def _verify_blocks(members: DataFrame, texts: DataFrame, weights) -> DataFrame:
         members.withColumn("_cut", F.pmod(F.xxhash64("doc", F.lit(SEED)), cuts).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), cuts - 1)))
         .select("bucket", "doc", "comp", "_cut", F.least("_cut", "_other").alias("_lo"), F.greatest("_cut", "_other").alias("_hi"))
-        .join(texts.select(F.col("_id").alias("doc"), "_text"), "doc")
+        .join(texts.select(F.col("_id").alias("doc"), "_text").hint("merge"), "doc")
     )
     key = ["bucket", "_lo", "_hi"]
 
@@ -358,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("bucket", "m", "pivot")
     )
     members = cut(banded.join(buckets, "bucket").select("bucket", "doc", "pivot", "m").distinct())
-    texts = cut(usable.join(members.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi"))
+    texts = cut(usable.join(members.select(F.col("doc").alias("_id")).distinct().hint("merge"), "_id", "left_semi"))
     pairs = members.where("doc <> pivot").select("doc", "pivot").distinct()
     links = cut(_verify_pivots(pairs, texts, shared))
     named = connected_components(links)
