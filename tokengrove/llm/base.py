@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+import sys
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,19 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class _Shipped:
-    """Pickles as the object it holds, classes of this package by value."""
+def ship(spark: SparkSession, model: object) -> Broadcast:
+    """Broadcast a model as bytes, classes of this package by value; tasks read it by :func:`opened`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
-    def __init__(self, held: object):
-        self.payload = cloudpickle.dumps(held)
 
-    def __reduce__(self):
-        return cloudpickle.loads, (self.payload,)
+_SLOT = "_tokengrove_opened_model"
 
 
-def ship(spark: SparkSession, held: object) -> Broadcast:
-    """Broadcast a model: in tasks ``.value`` is the object, one for all tasks of a Python worker."""
-    return spark.sparkContext.broadcast(_Shipped(held))
+def opened(shared: Broadcast):
+    """The model in this Python worker, with all that it remembers from earlier tasks.
+
+    A worker outlives its tasks and keeps every broadcast; it keeps one opened model, the last.
+    """
+    payload = shared.value
+    key = (len(payload), hash(payload))
+    held = getattr(sys, _SLOT, None)
+    if held is None or held[0] != key:
+        held = (key, cloudpickle.loads(payload))
+        setattr(sys, _SLOT, held)
+    return held[1]
 
 
 def held_out(doc_id: str | Column) -> Column:

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokengrove.llm.base import held_out, ship, text_slices, unit_hash
+from tokengrove.llm.base import held_out, opened, ship, text_slices, unit_hash
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2000
@@ -173,7 +173,7 @@ def predicted(spark: SparkSession, text: Column, model: LanguageModel) -> Column
     @F.pandas_udf("lang_pred string, score double, languages array<string>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores, sets = shared.value.predict(list(texts))
+            names, scores, sets = opened(shared).predict(list(texts))
             yield pd.DataFrame({"lang_pred": names, "score": scores, "languages": sets})
 
     return predict(text)

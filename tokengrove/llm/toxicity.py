@@ -27,7 +27,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokengrove.llm.base import held_out, labelled_sample, ship
+from tokengrove.llm.base import held_out, labelled_sample, opened, ship
 from tokengrove.llm.logistic import fit_dense, sigmoid
 
 #: Labelled rows of each class that are used to fit.
@@ -168,7 +168,7 @@ def toxic_score(spark: SparkSession, text: Column, model: ToxicityModel | None)
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.scores(texts))
+            yield pd.Series(opened(shared).scores(texts))
 
     return score(text)
 

@@ -29,7 +29,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokengrove.llm.base import ship, text_slices
+from tokengrove.llm.base import opened, ship, text_slices
 
 #: Fixed value: the published pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -73,16 +73,19 @@ class BpeModel:
             self.tokens[added["id"]] = added["content"].encode()
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: rank, left, right
         self.ranks: dict[tuple[int, int], int] = {}
+        made = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b = model["vocab"][left], model["vocab"][right]
-            self.ranks[a, b] = rank
-            self.parts.setdefault(model["vocab"][left + right], (rank, a, b))
-        # A token that merging can't reach never comes out of an encoding.
-        reachable = {t for t in self.ids.values() if t not in self.parts}
-        for t, (_, a, b) in sorted(self.parts.items(), key=lambda x: x[1][0]):
-            if a in reachable and b in reachable:
-                reachable.add(t)
+            self.ranks.setdefault((a, b), rank)
+            made.append((model["vocab"][left + right], a, b))
+        # A token that merging its own bytes does not lead to never comes out of an encoding; of
+        # several merges to one token the one that its bytes really take counts.
+        reachable = {i for b, i in self.ids.items() if len(b) == 1}
+        for rank, (token, a, b) in enumerate(made):
+            if token not in reachable and a in reachable and b in reachable and self._stable(a, b, rank):
+                self.parts[token] = (rank, a, b)
+                reachable.add(token)
         self.by_bytes = {b: i for b, i in self.ids.items() if i in reachable}
         self.longest = max(map(len, self.by_bytes), default=1)
         self._open()
@@ -109,10 +112,10 @@ class BpeModel:
         known = self.pairs[left, right] = self._stable(left, right)
         return known
 
-    def _stable(self, left: int, right: int) -> bool:
+    def _stable(self, left: int, right: int, due: float = float("inf")) -> bool:
         # ``due`` is the time from which a merge across the border comes too late. Of equal
         # ranks the one further left is merged first.
-        due, border_wins_ties = float("inf"), False
+        border_wins_ties = False
         while True:
             rank = self.ranks.get((left, right))
             if rank is not None and (rank < due or rank == due and border_wins_ties):
@@ -262,7 +265,7 @@ def encode_column(spark: SparkSession, text: Column, model: BpeModel) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             texts = list(texts)
-            packed = [x for a, b in text_slices(texts, 4 << 20) for x in shared.value.encode_batch(texts[a:b])]
+            packed = [x for a, b in text_slices(texts, 4 << 20) for x in opened(shared).encode_batch(texts[a:b])]
             yield pd.Series([np.frombuffer(x, "<i4") for x in packed], dtype=object)
 
     return encode(text)
@@ -276,7 +279,7 @@ def decode_column(spark: SparkSession, ids: Column, model: BpeModel) -> Column:
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
             yield pd.Series(
-                [None if r is None else shared.value.decode(np.asarray(r, "<u4").tobytes()) for r in rows], dtype=object
+                [None if r is None else opened(shared).decode(np.asarray(r, "<u4").tobytes()) for r in rows], dtype=object
             )
 
     return decode(ids)
@@ -291,7 +294,7 @@ def digest_encoding(
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            model, out = shared.value, []
+            model, out = opened(shared), []
             texts = list(texts)
             for start, stop in text_slices(texts, 4 << 20):
                 for ids in model.encode_batch(texts[start:stop]):

@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokengrove.llm.base import ship, text_slices
+from tokengrove.llm.base import opened, ship, text_slices
 from tokengrove.llm.components import connected_components
 from tokengrove.plans.lineage import cut
 
@@ -249,7 +249,7 @@ def _verify_pivots(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     right = texts.select(F.col("_id").alias("pivot"), F.col("_text").alias("_pivot_text"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, seen, features = weights.value, None, None
+        w, seen, features = opened(weights), None, None
         for batch in batches:
             hits = []
             for doc, pivot, x, y in zip(batch["doc"], batch["pivot"], batch["_doc_text"], batch["_pivot_text"]):
@@ -276,7 +276,7 @@ def _verify_blocks(members: DataFrame, texts: DataFrame, weights) -> DataFrame:
     key = ["bucket", "_lo", "_hi"]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = weights.value
+        w = opened(weights)
 
         def one(part: pd.DataFrame) -> pd.DataFrame:
             ids, comps, cut_of = part["doc"].tolist(), part["comp"].tolist(), part["_cut"].tolist()
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = ship(spark, common_shingles(spark, usable.select("_text")))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(shared.value)
+        sampler = Sampler(opened(shared))
         for batch in batches:
             texts = list(batch["_text"])
             bands = [b for i, j in text_slices(texts) for b in sampler.bands(texts[i:j])]
