@@ -78,13 +78,19 @@ def rotate(
         "said",
         own.alias("_own"),
         F.concat(F.lit(OPEN), head).alias("_head"),
-    ).withColumn("_text", F.concat("_head", "said", F.lit(CLOSE + "\n")))
+    )
+    # What is rendered around a text is short: texts move without it.
+    end = len(CLOSE) + 1
     order = ["_late", "turn", "speaker", "said"]
     placed = running(
         pieces,
         ["_conv", "participant"],
         [F.col(c) for c in order],
-        {"_at": F.octet_length("_text"), "_from": F.length("_text"), "_n": F.lit(1)},
+        {
+            "_at": F.octet_length("_head") + F.octet_length("said") + end,
+            "_from": F.length("_head") + F.length("said") + end,
+            "_n": F.lit(1),
+        },
     ).withColumn("part", F.floor(F.col("_at") / F.lit(part_bytes)).cast("long"))
     start = F.col("_from") + F.length("_head")
     grouped = placed.groupBy("_conv", "conv_id", "participant", "part").agg(
@@ -92,7 +98,7 @@ def rotate(
             F.collect_list(
                 F.struct(
                     "_n",
-                    F.col("_text").alias("text"),
+                    F.concat("_head", "said", F.lit(CLOSE + "\n")).alias("text"),
                     F.col("_own").alias("own"),
                     start.alias("start"),
                     (start + F.length("said") + F.lit(len(CLOSE))).alias("end"),
