@@ -9,6 +9,7 @@ import pytest
 from tokengrove.llm import capture_index as ci, wrapper
 from tokengrove.llm.queries import ORACLES, QUERIES
 from oracle import compare, connect
+from .conftest import prose
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -138,3 +139,30 @@ def test_simple_tree_matching_counts_the_most_nodes():
     a = tree(("r", ("x", ("y",), ("z",)), ("w",), ("x", ("z",))))
     b = tree(("r", ("w",), ("x", ("y",), ("z",)), ("v",)))
     assert wrapper.match_size(a, b, {}) == 4
+
+
+def texts_of(spark, bodies, host="site"):
+    rows = [(i, f"http://{host}.example.com/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    found = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
+
+
+def test_what_stands_beside_the_largest_block_stays(spark):
+    links = "<ul><li><a href=#>One</a><li><a href=#>Two</a></ul>"
+    said = [[prose(100 * i + k, 12 * k) for k in range(1, 6)] for i in range(5)]
+    for shape in (
+        "<div id=main><h1>{0}</h1><p class=lead>{1}</p><div class=body><p>{2}<p>{3}</div></div>",
+        "<div class=first><p>{0}<p>{3}</div><div class=second><p>{1}<p>{2}</div>",
+        "<div><p>{0}</p><ul><li>{1}<li>{3}</ul><p>{2}</p></div>",
+        "<div><p>{0}</p><pre>{3}</pre><blockquote>{1}</blockquote><table><tr><td>{2}</table></div>",
+    ):
+        found = texts_of(spark, [links + shape.format(*s) for s in said])
+        for text, s in zip(found, said):
+            assert sorted(text.split("\n")) == sorted(s[:4])
+
+
+def test_pages_of_another_layout_are_whole(spark):
+    said = [[prose(100 * i + k, 12 * k) for k in range(1, 4)] for i in range(6)]
+    bodies = ["<div><a href=#>More</a></div><article><h1>{0}</h1><p>{1}<p>{2}</article>".format(*s) for s in said[:5]]
+    bodies.append("<div><a href=#>More</a></div><article><p>{0}</article><div class=story><p>{1}<p>{2}</div>".format(*said[5]))
+    assert texts_of(spark, bodies) == ["\n".join(s) for s in said]

@@ -6,8 +6,10 @@ pages of a host, aligned one after the other, gives its template tree: each node
 pages have it, how much text and link text they have there, and whether the text was ever different. A
 node whose text is the same on all of at least ``LEAST_PAGES`` pages is template; the others are
 slots. The content region is found among the slots on the host's totals: article or main nodes if
-they hold text, else the way down from the body along the child that holds ``DOMINANT`` of the text
-outside links. A page's text is that of the slots that its nodes align with inside the region.
+together they hold ``PRESENT`` of the text, else the way down from the body as long as one child holds
+all of it; menus, lists of links and template beside that child are no text. A page's text is that of
+its slots inside the region, and outside it (a host may mix layouts) that of the slots which are more
+than links.
 
 What names itself boilerplate (by tag, class or role: menus, headers, footers, sidebars, notices,
 adverts, forms, comments) is never content, so hosts of one page or of equal pages, where nothing
@@ -37,7 +39,7 @@ from tokengrove.plans.lineage import cut
 from tokengrove.plans.skew import salted_join
 
 LEAST_PAGES = 3
-DOMINANT, PRESENT = 0.5, 0.2
+PRESENT = 0.2
 #: Hosts that one task folds at a time, and templates that one merge takes in the first step.
 HOSTS, MERGED = 500, 64
 #: Blocks nested deeper than this stand beside each other; their text stays.
@@ -259,13 +261,24 @@ def merge(into: list, other: list, siblings: bool = False) -> None:
     into[KIDS] = kids
 
 
+def constant(t: list, pages: int) -> bool:
+    """Whether the text that a node itself holds is the same on most of enough pages."""
+    return t[DIGEST] not in (-1, 0) and t[PAGES] >= LEAST_PAGES and t[PAGES] * 2 > pages
+
+
+def prose(chars: int, links: int) -> bool:
+    """Whether text is more than a list of links."""
+    return chars > 2 * links
+
+
 def region(template: list) -> set[int]:
     """The ids of the nodes whose subtrees are the content region."""
 
     def weight(t: list) -> int:
         if t[NEVER_IS]:
             return 0
-        return max(0, t[CHARS] - t[LINKS]) + sum(map(weight, t[KIDS]))
+        own = 0 if constant(t, template[PAGES]) or not prose(t[CHARS], t[LINKS]) else t[CHARS] - t[LINKS]
+        return own + sum(map(weight, t[KIDS]))
 
     whole = weight(template)
     named: list[list] = []
@@ -274,19 +287,19 @@ def region(template: list) -> set[int]:
         if t[NEVER_IS]:
             return
         parts = t[LABEL].split(".")
-        if (parts[0] in ("article", "main") or "role:main" in parts) and weight(t) > PRESENT * whole:
+        if (parts[0] in ("article", "main") or "role:main" in parts) and weight(t) > 0:
             named.append(t)
             return
         for kid in t[KIDS]:
             find(kid)
 
     find(template)
-    if named:
+    if sum(map(weight, named)) > PRESENT * whole:
         return {id(t) for t in named}
     at = template
     while True:
         best = max(at[KIDS], key=weight, default=None)
-        if best is None or best[LABEL].split(".")[0] in ("p", "li", "tr", "td") or weight(best) < max(1, DOMINANT * weight(at)):
+        if best is None or best[LABEL].split(".")[0] in ("p", "li", "tr", "td") or weight(best) < max(1, weight(at)):
             return {id(at)}
         at = best
 
@@ -308,7 +321,7 @@ class Wrapper:
         out: list[str] = []
         root = parse(page)
         self._walk(root, self.template, False, out)
-        if not out:  # the page has none of the region
+        if not out:  # the page has nothing but links outside the region
             self._walk(root, self.template, True, out)
         return "\n".join(out)
 
@@ -316,10 +329,9 @@ class Wrapper:
         if node.never:
             return
         inside = inside or (t is not None and id(t) in self.region)
-        fixed = (
-            t is not None and self.told and t[DIGEST] not in (-1, 0) and t[PAGES] >= LEAST_PAGES
-            and t[PAGES] * 2 > self.template[PAGES]
-        )
+        fixed = t is not None and self.told and constant(t, self.template[PAGES])
+        # Outside the region prose is text as well: the layouts of a host's pages differ.
+        taken = not fixed and (inside or prose(sum(len(p) for p in node.parts if type(p) is str), node.links))
         runs: list[list[Node]] = []
         for p in node.parts:
             if type(p) is not str:
@@ -336,7 +348,7 @@ class Wrapper:
                         place[id(p)] = t[KIDS][i]
         for p in node.parts:
             if type(p) is str:
-                if inside and not fixed:
+                if taken:
                     out.append(p)
             else:
                 self._walk(p, place.get(id(p)), inside, out)
