@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import os
+import re
 
 import pytest
 
@@ -166,3 +167,19 @@ def test_pages_of_another_layout_are_whole(spark):
     bodies = ["<div><a href=#>More</a></div><article><h1>{0}</h1><p>{1}<p>{2}</article>".format(*s) for s in said[:5]]
     bodies.append("<div><a href=#>More</a></div><article><p>{0}</article><div class=story><p>{1}<p>{2}</div>".format(*said[5]))
     assert texts_of(spark, bodies) == ["\n".join(s) for s in said]
+
+
+def test_copies_count_once(spark):
+    notice = "<div class=legal><p>{}</p></div>".format(prose(5, 9))
+    other = [f"<h1>{prose(i, 4)}</h1><div><p>{prose(50 + i, 40)}</p></div>" for i in range(4)]
+    kept = [prose(900 + i, 30) for i in range(5)]
+    near = [
+        "<h1>Same title</h1><h2>Same line</h2><div><p>{}<p>{}<ul><li>{}</ul><p>{}<p>{}</div>".format(*kept[:3], prose(i, 10), kept[4])
+        for i in range(200, 209)
+    ]
+    for copies in (near, near[:1] * 9):
+        found = texts_of(spark, [notice + b for b in other + copies])
+        for text, body in zip(found, other + copies):
+            assert text == "\n".join(t for t in re.split(r"\s*<[^>]*>\s*", body) if t)
+    # Nothing but near copies: nothing is known to be template.
+    assert all(kept[0] in t and "Same title" in t for t in texts_of(spark, near))

@@ -2,7 +2,7 @@
 
 The DOM trees of a host's pages are aligned by simple tree matching: two nodes match if their labels
 (tag and classes) do, and their children are aligned in order so that most nodes match. Folding all
-pages of a host, aligned one after the other, gives its template tree: each node knows how many
+distinct pages of a host, aligned one after the other, gives its template tree: each node knows how many
 pages have it, how much text and link text they have there, and whether the text was ever different. A
 node whose text is the same on all of at least ``LEAST_PAGES`` pages is template; the others are
 slots. The content region is found among the slots on the host's totals: article or main nodes if
@@ -15,6 +15,10 @@ What names itself boilerplate (by tag, class or role: menus, headers, footers, s
 adverts, forms, comments) is never content, so hosts of one page or of equal pages, where nothing
 can be told from variation, still work: there nothing counts as template.
 
+Copies prove nothing constant: of pages that are equal or near copies (half of the hashes of their
+text's five-word shingles agree) one is folded, so a node is template only if it is the same on several
+distinct pages. A host whose pages share most of their text counts as one page, and all its text stays.
+
 Scale: templates are folded in each task first and merged per host in two steps, so no task sees
 a host's pages; a template's size follows the site's structure, since neighbours of one label
 fold into one node. Pages meet the wrapper of their host in a salted join.
@@ -32,6 +36,7 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,6 +49,9 @@ PRESENT = 0.2
 HOSTS, MERGED = 500, 64
 #: Blocks nested deeper than this stand beside each other; their text stays.
 DEEPEST = 150
+#: Words of a shingle, hashes of a page's signature, and hashes that name a bucket of it.
+SHINGLE, HASHES, BAND = 5, 16, 2
+_SEEDS = np.random.default_rng(7).integers(1 << 62, 1 << 63, HASHES, np.uint64) | np.uint64(1)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -365,15 +373,88 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#:]*)", 1))
 
 
+def _prose_of(node: Node, never: bool, said: list[str], named: list[str]) -> None:
+    never = never or bool(node.never)
+    own = [p for p in node.parts if type(p) is str]
+    if prose(sum(map(len, own)), node.links):
+        (named if never else said).extend(own)
+    for p in node.parts:
+        if type(p) is not str:
+            _prose_of(p, never, said, named)
+
+
+def signature(root: Node) -> list[int]:
+    """Least hashes of the shingles of a page's text outside links: near copies agree in most of them.
+
+    What names itself boilerplate counts only where it is most of the text.
+    """
+    said: list[str] = []
+    named: list[str] = []
+    _prose_of(root, False, said, named)
+    if sum(map(len, named)) > sum(map(len, said)):
+        said += named
+    words = [crc32(w.encode("utf-8", "replace")) for text in said for w in text.split()]
+    if not words:
+        return []
+    ids = np.array(words + [0] * max(0, SHINGLE - len(words)), np.uint64)
+    n = len(ids) - SHINGLE + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
+        h ^= h >> np.uint64(29)
+    # Chunks bound the memory of a long page.
+    parts = [
+        ((h[at : at + 65536, None] * _SEEDS[None, :]) >> np.uint64(33)).min(axis=0) for at in range(0, n, 65536)
+    ]
+    return np.min(parts, axis=0).astype(np.int64).tolist()
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``host, order, template``, one row for each group of copies and near copies of ``host, html, order``.
+
+    A page goes if one of a lower order agrees with it in half of the signature; of any group the
+    lowest stays. Pages meet the lowest of their buckets only, so no bucket is paired with itself.
+    """
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, page, order in zip(batch["host"], batch["html"], batch["order"]):
+                root = parse(page)
+                rows.append((host, order, signature(root), json.dumps(folded(root))))
+            yield pd.DataFrame(rows, columns=["host", "order", "sig", "template"])
+
+    sketches = pages.mapInPandas(sketch, "host string, order long, sig array<int>, template string")
+    once = sketches.groupBy("host", "sig").agg(F.min(F.struct("order", "template")).alias("first"))
+    once = cut(once.select("host", "sig", "first.order", "first.template"))
+    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i + 1, BAND)) for i in range(0, HASHES, BAND)])
+    placed = once.where(F.size("sig") > 0).select("host", "order", "sig", F.explode(bands).alias("bucket"))
+    least = (
+        placed.groupBy("host", "bucket").agg(F.min(F.struct("order", "sig")).alias("least"), F.count("*").alias("n"))
+        .where("n > 1").select("host", "bucket", "least")
+    )
+    equal = F.aggregate(
+        F.zip_with("sig", "least.sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b
+    )
+    copies = (
+        salted_join(placed, least, ["host", "bucket"], "inner", ["order"])
+        .where((F.struct("order", "sig") > F.col("least")) & (2 * equal >= HASHES))
+        .select("host", "sig").distinct()
+    )
+    return once.join(copies, ["host", "sig"], "left_anti").select("host", "order", "template")
+
+
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper`` (JSON of the template) from every page of the host."""
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null")
+    """``host, wrapper`` (JSON of the template) from every distinct page of the host."""
+    rows = pages.select(
+        host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(F.col(html_col)).alias("order")
+    ).where("html is not null")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
         for batch in batches:
-            for host, page in zip(batch["host"], batch["html"]):
-                t = folded(parse(page))
+            for host, template in zip(batch["host"], batch["template"]):
+                t = json.loads(template)
                 if host in held:
                     merge(held[host], t)
                 else:
@@ -391,7 +472,8 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
             merge(whole, json.loads(other))
         return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
 
-    folds = rows.mapInPandas(fold, "host string, wrapper string")
+    ordered = distinct_pages(rows).sortWithinPartitions("host", "order", "template")
+    folds = ordered.select("host", "template").mapInPandas(fold, "host string, wrapper string")
     parts = folds.withColumn("_part", F.floor(F.spark_partition_id() / F.lit(MERGED)))
     once = parts.groupBy("host", "_part").applyInPandas(join, "host string, wrapper string")
     return once.groupBy("host").applyInPandas(join, "host string, wrapper string")
