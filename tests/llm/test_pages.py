@@ -183,3 +183,31 @@ def test_copies_count_once(spark):
             assert text == "\n".join(t for t in re.split(r"\s*<[^>]*>\s*", body) if t)
     # Nothing but near copies: nothing is known to be template.
     assert all(kept[0] in t and "Same title" in t for t in texts_of(spark, near))
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        "<div style='overflow:hidden'><h1>{0}</h1><p>{1}<p>{2}</div>",
+        "<div data-hidden class=x><h1>{0}</h1><p>{1}<p>{2}</div>",
+        "<div class='content with-sidebar'><h1>{0}</h1><p>{1}<p>{2}</div><div class=sidebar>Other</div>",
+        "<article class='post no-comments'><h1>{0}</h1><p>{1}<p>{2}</article>",
+        "<div class=related-post><h1>{0}</h1><p>{1}<p>{2}</div>",
+        "<div class='elementor-widget a'>{0}</div><div class='elementor-widget b'>{1}</div><div class='elementor-widget c'>{2}</div>",
+        "<form><div class='no-comments'><nav><a href=#>Home</a></nav><h1>{0}</h1><p>{1}<p>{2}</div></form>",
+        "<article><header><h1>{0}</h1></header><p>{1}<p>{2}</article>",
+        "<nav><a href=#>Home</a><article><h1>{0}</h1><p>{1}<p>{2}</article>",
+        "<div id=wrap><div class=ad>Buy<main><h1>{0}</h1><p>{1}<p>{2}</main></div><footer>Us</footer>",
+        "<header>Site<article><h1>{0}</h1><p>{1}<p>{2}</article>",
+        "<article><h1>{0}</h1><p>{1}<p>{2}</article><div class=related><article>Short teaser</article></div>",
+        "<div><h1>{0}</h1><p>{1}<p>{2}</p></div><div class=comments><p>{3}</div>",
+    ],
+)
+def test_names_do_not_drop_the_content(spark, shape):
+    said = [[*(prose(100 * i + k, 12 * k) for k in range(1, 4)), prose(100 * i + 50, 100)] for i in range(4)]
+    wanted = ["\n".join(s[:3]) for s in said]
+    assert texts_of(spark, [shape.format(*s) for s in said]) == wanted
+    assert texts_of(spark, [shape.format(*said[0])]) == wanted[:1]
+    # The only page of its kind on its host.
+    others = [f"<div class=text><h1>{prose(i, 5)}</h1><p>{prose(i, 300)}</div>" for i in range(70, 75)]
+    assert texts_of(spark, [*others, shape.format(*said[0])])[-1] == wanted[0]

@@ -12,8 +12,9 @@ its slots inside the region, and outside it (a host may mix layouts) that of the
 than links.
 
 What names itself boilerplate (by tag, class or role: menus, headers, footers, sidebars, notices,
-adverts, forms, comments) is never content, so hosts of one page or of equal pages, where nothing
-can be told from variation, still work: there nothing counts as template.
+adverts, forms, comments) is no content, so hosts of one page or of equal pages, where nothing
+can be told from variation, still work: there nothing counts as template. The template overrules
+names: see ``overruled``; a page that stays empty is asked by itself.
 
 Copies prove nothing constant: of pages that are equal or near copies (half of the hashes of their
 text's five-word shingles agree) one is folded, so a node is template only if it is the same on several
@@ -25,7 +26,8 @@ fold into one node. Pages meet the wrapper of their host in a salted join.
 
 Blocks: block-level elements separate; ``br`` is white space. Defined cases: null or empty html
 gives an empty text; a null address is the host of all such; pages that repeat are all extracted;
-unclosed, misnested and truncated markup is closed where the next block begins or the page ends.
+unclosed, misnested and truncated markup is closed where the next block begins or the page ends; an
+article or main ends what names itself boilerplate and lacks its end tag.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ SHINGLE, HASHES, BAND = 5, 16, 2
 _SEEDS = np.random.default_rng(7).integers(1 << 62, 1 << 63, HASHES, np.uint64) | np.uint64(1)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _BLANK = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -66,6 +68,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul "
     "center option button label".split()
 )
+MARKED = frozenset("article main".split())
 NEVER = frozenset("nav header footer aside form menu dialog button label option fieldset head".split())
 TELLING = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promoted sidebar sidenav cookie cookies consent "
@@ -73,6 +76,9 @@ TELLING = frozenset(
     "comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe "
     "signup login search toolbar pagination pager widget skip contentinfo complementary".split()
 )
+#: Never-nodes that are boilerplate whatever they hold, and names of what may outgrow an article.
+FIRM = frozenset("footer menu dialog button label option head".split())
+TALK = frozenset("comment comments reply replies respond disqus".split())
 #: Elements that an opening tag of the key closes when one is open.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -83,23 +89,28 @@ CLOSES = {
 class Node:
     __slots__ = ("tag", "label", "never", "parts", "links")
 
-    def __init__(self, tag: str, label: str, never: bool):
-        self.tag, self.label, self.never = tag, label, never
+    def __init__(self, tag: str, label: str, never: str):
+        self.tag, self.label = tag, label
+        self.never = never  # the class, id, role or <tag> that says boilerplate, or nothing
         self.parts: list = []  # blocks of text and nodes, in page order
         self.links = 0  # characters of its own text inside links
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    never = tag in NEVER
+def _label(tag: str, attributes: str, told: bool) -> tuple[str, str]:
+    never = f"<{tag}>" if told and tag in NEVER else ""
     names = []
     if attributes and "=" in attributes or "hidden" in attributes.lower():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden":
-                never |= value in ("", "true", "hidden")
+                if value in ("", "true", "hidden"):
+                    never = never or "<hidden>"
                 continue
-            if not TELLING.isdisjoint(_SPLIT.split(value)):
-                never = True
+            if name not in ("class", "id", "role"):
+                continue
+            telling = [word for word in value.split() if not TELLING.isdisjoint(_SPLIT.split(word))]
+            if telling:
+                never = never or min(telling)
             if name == "class":
                 names += sorted(_DIGITS.sub("", value).split())
             elif name == "role":
@@ -107,10 +118,20 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *names]), never
 
 
+def _unclosed(stack: list[Node], rest: str) -> int | None:
+    """Where the stack holds the first never-node whose end tag the rest of the page lacks."""
+    for i, node in enumerate(stack):
+        if node.never and node.tag != "form":
+            ends = re.findall(rf"<(/?){node.tag}(?=[\s/>])", rest, re.I)
+            if 2 * ends.count("/") - len(ends) < sum(n.tag == node.tag for n in stack):
+                return i
+    return None
+
+
 def parse(page: str | None) -> Node:
     """The tree of block elements; inline markup melts into the text around it."""
     page = page or ""
-    root = Node("html", "html", False)
+    root = Node("html", "html", "")
     stack = [root]
     text: list[str] = []
     anchor, linked = 0, 0
@@ -172,7 +193,12 @@ def parse(page: str | None) -> Node:
                 stack.pop()
         if tag == "hr":
             continue
-        label, never = _label(tag, m.group(3))
+        if tag in MARKED:
+            start = _unclosed(stack, page[at:])
+            if start is not None:
+                del stack[start:]
+        # The header of an article holds its title.
+        label, never = _label(tag, m.group(3), tag != "header" or not any(n.tag in MARKED for n in stack))
         node = Node(tag, label, never)
         stack[-1].parts.append(node)
         if not m.group(3).endswith("/") and len(stack) < DEEPEST:
@@ -198,7 +224,7 @@ def folded(node: Node) -> list:
             merge(kids[-1], t, siblings=True)
         else:
             kids.append(t)
-    return [node.label, 1, digest, sum(map(len, own)), node.links, int(node.never), kids]
+    return [node.label, 1, digest, sum(map(len, own)), node.links, node.never, kids]
 
 
 def match_size(a: list, b: list, known: dict) -> int:
@@ -257,7 +283,7 @@ def merge(into: list, other: list, siblings: bool = False) -> None:
         into[PAGES] += other[PAGES]
     into[CHARS] += other[CHARS]
     into[LINKS] += other[LINKS]
-    into[NEVER_IS] &= other[NEVER_IS]
+    into[NEVER_IS] = other[NEVER_IS] and into[NEVER_IS]
     kids = []
     for i, j in aligned(into[KIDS], other[KIDS], {}):
         if i is None:
@@ -279,23 +305,91 @@ def prose(chars: int, links: int) -> bool:
     return chars > 2 * links
 
 
-def region(template: list) -> set[int]:
-    """The ids of the nodes whose subtrees are the content region."""
+def _marked(label: str) -> bool:
+    parts = label.split(".")
+    return parts[0] in MARKED or "role:main" in parts
+
+
+def _varying(t: list, pages: int) -> int:
+    """Characters of a node's own text that are neither template nor links."""
+    return 0 if constant(t, pages) or not prose(t[CHARS], t[LINKS]) else t[CHARS] - t[LINKS]
+
+
+def overruled(template: list) -> set[int]:
+    """The ids of the never-nodes that are content: they hold most of the varying text outside links.
+
+    Such a name says something else (``content with-sidebar``, a form around the page) or stands on
+    all parts of a page (``elementor-widget``), so nodes of one class, id or role count together. Names
+    stand where the pages mark their articles, and for readers' comments beside other text.
+    """
+    pages = template[PAGES]
+    total: dict[int, int] = {}
+
+    def add_up(t: list) -> int:
+        total[id(t)] = _varying(t, pages) + sum(map(add_up, t[KIDS]))
+        return total[id(t)]
+
+    whole = add_up(template)
+    taken: set[str | int] = set()  # classes, or ids of nodes that are so by tag
+
+    def key(t: list) -> str | int:
+        return id(t) if t[NEVER_IS].startswith("<") else t[NEVER_IS]
+
+    while whole:
+        tops: list[list] = []
+        marked = 0
+
+        def find(t: list, inside: bool) -> None:
+            nonlocal marked
+            if t[NEVER_IS] and key(t) not in taken:
+                tops.append(t)
+                return
+            inside = inside or _marked(t[LABEL])
+            marked += _varying(t, pages) if inside else 0
+            for kid in t[KIDS]:
+                find(kid, inside)
+
+        find(template, False)
+        if marked > (PRESENT * whole if pages >= LEAST_PAGES else 0):
+            break
+        free = whole - sum(total[id(t)] for t in tops)
+        held: dict[str | int, int] = {}
+        for t in tops:
+            talk = not TALK.isdisjoint(_SPLIT.split(t[NEVER_IS]))
+            if t[LABEL].split(".")[0] not in FIRM and (not talk or free < PRESENT * whole):
+                held[key(t)] = held.get(key(t), 0) + total[id(t)]
+        most = max(held, key=held.get, default=None)
+        if most is None or 2 * held[most] <= whole:
+            break
+        taken.add(most)
+    out: set[int] = set()
+
+    def collect(t: list) -> None:
+        if t[NEVER_IS] and key(t) in taken:
+            out.add(id(t))
+        for kid in t[KIDS]:
+            collect(kid)
+
+    if taken:
+        collect(template)
+    return out
+
+
+def region(template: list, content: set[int]) -> set[int]:
+    """The ids of the nodes whose subtrees are the content region; ``content`` are never-nodes overruled."""
 
     def weight(t: list) -> int:
-        if t[NEVER_IS]:
+        if t[NEVER_IS] and id(t) not in content:
             return 0
-        own = 0 if constant(t, template[PAGES]) or not prose(t[CHARS], t[LINKS]) else t[CHARS] - t[LINKS]
-        return own + sum(map(weight, t[KIDS]))
+        return _varying(t, template[PAGES]) + sum(map(weight, t[KIDS]))
 
     whole = weight(template)
     named: list[list] = []
 
     def find(t: list) -> None:
-        if t[NEVER_IS]:
+        if t[NEVER_IS] and id(t) not in content:
             return
-        parts = t[LABEL].split(".")
-        if (parts[0] in ("article", "main") or "role:main" in parts) and weight(t) > 0:
+        if _marked(t[LABEL]) and weight(t) > 0:
             named.append(t)
             return
         for kid in t[KIDS]:
@@ -317,7 +411,8 @@ class Wrapper:
 
     def __init__(self, template: list):
         self.template = template
-        self.region = region(template)
+        self.content = overruled(template)
+        self.region = region(template, self.content)
         # Equal pages tell nothing: only with a slot in the region can the rest be template.
         self.told = self._varies(template, False)
 
@@ -331,10 +426,35 @@ class Wrapper:
         self._walk(root, self.template, False, out)
         if not out:  # the page has nothing but links outside the region
             self._walk(root, self.template, True, out)
+        if not out:  # or what it has bears names of boilerplate
+            self._walk(root, self.template, True, out, self._unnamed(root))
         return "\n".join(out)
 
-    def _walk(self, node: Node, t: list | None, inside: bool, out: list[str]) -> None:
-        if node.never:
+    def _unnamed(self, root: Node) -> set[int]:
+        """The ids of the page's nodes whose names its own text overrules."""
+        page = folded(root)
+        content = overruled(page)
+        found: set[int] = set()
+
+        def pair(node: Node, t: list) -> None:
+            if id(t) in content:
+                found.add(id(node))
+            at, last = -1, None
+            for p in node.parts:
+                if type(p) is not str:
+                    at, last = at + (p.label != last), p.label
+                    match = t[KIDS][at] if at < len(t[KIDS]) and t[KIDS][at][LABEL] == p.label else None
+                    if match is not None:
+                        pair(p, match)
+
+        if content:
+            pair(root, page)
+        return found
+
+    def _walk(
+        self, node: Node, t: list | None, inside: bool, out: list[str], unnamed: set[int] = frozenset()
+    ) -> None:
+        if node.never and id(node) not in unnamed and (t is None or id(t) not in self.content):
             return
         inside = inside or (t is not None and id(t) in self.region)
         fixed = t is not None and self.told and constant(t, self.template[PAGES])
@@ -359,7 +479,7 @@ class Wrapper:
                 if taken:
                     out.append(p)
             else:
-                self._walk(p, place.get(id(p)), inside, out)
+                self._walk(p, place.get(id(p)), inside, out, unnamed)
 
 
 def _run(run: list[Node]) -> list:
