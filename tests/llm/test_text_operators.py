@@ -213,6 +213,42 @@ def test_toxicity_separates_held_out_rows():
     assert all((s >= 0.5) == (y == 1) for s, (_, y) in zip(scores, docs[300:]))
 
 
+def insulted(insults, n=4000):
+    """Documents of which every fourth is toxic by words that ``insults(i, rng)`` gives."""
+    docs, rng = [], random.Random(9)
+    for i in range(n):
+        words = prose(i, 120).split()
+        if i % 4 == 0:
+            pool = insults(i, rng)
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), rng.choice(pool))
+        docs.append((" ".join(words), int(i % 4 == 0)))
+    return docs
+
+
+RARE = ["".join(random.Random(s).choices("aeiouyrwzxbcdfg", k=9)) for s in range(400)]
+
+
+@pytest.mark.parametrize(
+    "insults",
+    [
+        lambda i, rng: RARE,  # each in about 1.5 % of the toxic documents
+        lambda i, rng: ["zug", "fej", "wyx"],
+        lambda i, rng: ["hexgrind", "wurmfrass"] if i % 320 == 0 else ["grumblewort", "snarlbeast"],  # 1.25 %
+    ],
+    ids=["many rare", "short", "rare language"],
+)
+def test_insults_need_no_share_of_the_toxic_rows(insults):
+    docs = insulted(insults)
+    train = docs[:3000]
+    found = toxicity.fit(train, {0: 2250, 1: 750})
+    flagged = [s >= 0.5 for s in found.scores([t for t, _ in docs[3000:]])]
+    truth = [y == 1 for _, y in docs[3000:]]
+    assert sum(f and y for f, y in zip(flagged, truth)) >= 0.98 * sum(truth)
+    assert sum(f and not y for f, y in zip(flagged, truth)) <= 0.01 * len(truth)
+    assert all(f for f, i in zip(flagged, range(3000, 4000)) if i % 320 == 0)
+
+
 def test_toxicity_query(spark, small):
     rows = QUERIES["op6_toxicity"](spark, small).collect()
     assert len(rows) == table(spark, small, "documents").count()

@@ -5,9 +5,12 @@ text that shares more with toxic text compresses to fewer bytes with the toxic d
 A window is a word in a frame which both dictionaries hold: the frame lets zstandard
 compress blocks this short, so the difference of the two lengths comes from the word alone.
 (Windows of several words were tried first: chance matches of harmless words then outweigh
-the few bytes that an insult saves, AUC 0.6 to 0.8.) What is trained on: the words of the
-toxic sample that hold a byte 6-gram found ``RATIO`` times as often in toxic as in ordinary
-documents, and words drawn from the ordinary sample. Shares of windows that differ by at
+the few bytes that an insult saves, AUC 0.6 to 0.8.) A word too short to save bytes is
+lengthened by a digest of itself. The ordinary dictionary holds all words of the ordinary sample
+that the toxic one lacks; the toxic one those that are toxic by more than chance, as words or by a
+byte 6-gram: ``RATIO`` times as often in toxic as in ordinary documents, and within the false
+discoveries that ``CHANCE`` allows. There is no least share of the documents, so insults of rare
+languages or many rare insults count; in copies only what differs is evidence. Shares of windows that differ by at
 least 3, 4, 5 and 6 bytes then give a calibrated probability; predicted is score >= 0.5.
 
 Defined cases: null counts as empty; a text without windows gets the probability of no
@@ -17,10 +20,11 @@ get equal scores; only the text is read.
 
 from __future__ import annotations
 
-import random
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,8 @@ from tokengrove.llm.logistic import fit_dense, sigmoid
 
 #: Labelled rows of each class that are used to fit.
 PER_CLASS = 2500
-GRAM, RATIO, LEAST_SHARE = 6, 8.0, 0.02
-DICTIONARY_BYTES, LEVEL = 8192, 3
+GRAM, RATIO, CHANCE = 6, 8.0, 0.1
+LEVEL = 3
 STEPS = (3, 4, 5, 6)
 #: Words whose difference a Python worker remembers.
 CACHED_WORDS = 400_000
@@ -51,26 +55,69 @@ def _grams(word: bytes) -> set[bytes]:
     return {framed[i : i + GRAM] for i in range(len(framed) - GRAM + 1)}
 
 
-def _document_counts(docs: list[list[bytes]], among: set[bytes] | None = None) -> Counter:
+def _document_counts(docs: list[set[bytes]]) -> Counter:
     found: Counter = Counter()
     for words in docs:
         grams: set[bytes] = set()
-        for w in set(words):
-            grams |= _grams(w) if among is None else _grams(w) & among
+        for w in words:
+            grams |= _grams(w)
         found.update(grams)
     return found
 
 
-def _train(words: list[bytes]) -> bytes:
-    """A dictionary of the framed words; too few to train on are one themselves."""
-    words = [b" " + w + b" " for w in words]
-    random.Random(0).shuffle(words)
-    words = words[:200_000]
-    lines = [b"".join(words[i : i + 8]) for i in range(0, len(words), 8)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, lines, k=24, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(words))[-DICTIONARY_BYTES:]
+def _word_counts(docs: list[set[bytes]]) -> Counter:
+    return Counter(w for words in docs for w in words)
+
+
+def _first_seen(docs: list[list[bytes]]) -> list[set[bytes]]:
+    """Of each document the words between neighbours of no earlier document: copies are no evidence."""
+    seen: set[int] = set()
+    out = []
+    for words in docs:
+        here = {hash(t): t[1] for t in zip([b"", *words], words, [*words[1:], b""])}
+        out.append({w for k, w in here.items() if k not in seen})
+        seen.update(here)
+    return out
+
+
+def _telling(often: Counter, other: Counter, toxic: int, ordinary: int) -> set[bytes]:
+    """Units that are toxic by more than chance, of any frequency.
+
+    ``RATIO`` times as often in toxic documents, and by Benjamini and Hochberg's rule at ``CHANCE``:
+    how few documents are enough depends on how many units of such a count there are.
+    """
+    share = often.total() / max(1, often.total() + other.total())
+    tested = sum(n + other[g] > 1 for g, n in often.items()) + sum(n > 1 for g, n in other.items() if g not in often)
+    known: dict[tuple[int, int], float] = {}
+    found = []
+    for g, n in often.items():
+        m = other[g]
+        if n < 2 or (n + 0.5) / toxic <= RATIO * (m + 0.5) / (ordinary + 1):
+            continue
+        if (n, m) not in known:
+            known[n, m] = sum(
+                math.exp(
+                    math.lgamma(n + m + 1) - math.lgamma(k + 1) - math.lgamma(n + m - k + 1)
+                    + (n + m - k) * math.log(share) + k * math.log1p(-share)
+                )
+                for k in range(m + 1)
+            ) if share < 1 else 1.0
+        found.append((known[n, m], g))
+    found.sort()
+    enough = max((p for k, (p, _) in enumerate(found, 1) if p * tested <= CHANCE * k), default=-1.0)
+    return {g for p, g in found if p <= enough}
+
+
+def _framed(word: bytes) -> bytes:
+    """The word as windows and dictionaries hold it; a digest lengthens one too short to save bytes."""
+    if len(word) < GRAM:
+        return b" %s%04x " % (word, crc32(word) & 0xFFFF)
+    return b" " + word + b" "
+
+
+def _dictionary(counts: Counter) -> bytes:
+    """All words, the most frequent last: there zstandard finds them best."""
+    return b"".join(_framed(w) for w, _ in sorted(counts.items(), key=lambda item: (item[1], item[0])))
 
 
 class ToxicityModel:
@@ -103,7 +150,7 @@ class ToxicityModel:
 
     def difference(self, word: bytes) -> int:
         """Bytes that the toxic dictionary saves over the ordinary one."""
-        window = _FRAME + b" " + word + b" " + _FRAME
+        window = _FRAME + _framed(word) + _FRAME
         toxic, ordinary = (len(c.compress(window)) for c in self.compressors)
         return ordinary - toxic
 
@@ -134,15 +181,14 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int]) -> ToxicityModel
         later[np.flatnonzero(y == label)[3::4]] = True
     toxic = [w for w, t, k in zip(words, y, later) if t == 1 and not k]
     ordinary = [w for w, t, k in zip(words, y, later) if t == 0 and not k]
-    often = {g: n for g, n in _document_counts(toxic).items() if n >= max(2, LEAST_SHARE * len(toxic))}
-    other = _document_counts(ordinary, set(often))
-    telling = {
-        g for g, n in often.items()
-        if (n + 0.5) / len(toxic) > RATIO * (other[g] + 0.5) / (len(ordinary) + 1)
-    }
-    marked = [w for doc in toxic for w in doc if not telling.isdisjoint(_grams(w))]
-    harmless = [w for doc in ordinary for w in doc if len(w) > 3]
-    model = ToxicityModel(_train(marked), _train(harmless))
+    first = [_first_seen(docs) for docs in (toxic, ordinary)]
+    sizes = len(toxic), len(ordinary)
+    whole, stems = (_telling(count(first[0]), count(first[1]), *sizes) for count in (_word_counts, _document_counts))
+    marked = Counter(w for doc in toxic for w in set(doc) if w in whole or not stems.isdisjoint(_grams(w)))
+    harmless = Counter(w for doc in ordinary for w in set(doc))
+    for w in marked:
+        harmless.pop(w, None)
+    model = ToxicityModel(_dictionary(marked), _dictionary(harmless))
     use = later if len(set(y[later])) == 2 else ~later
     x = np.array([model.shares(w) for w, k in zip(words, use) if k])
     truth = y[use]
@@ -163,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
 def toxic_score(spark: SparkSession, text: Column, model: ToxicityModel | None) -> Column:
     if model is None:
         return F.lit(0.0)
-    shared = ship(spark, model)  # two dictionaries of 8 KiB
+    shared = ship(spark, model)  # two dictionaries: the distinct words of a bounded sample
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
