@@ -13,6 +13,7 @@ from tokengrove.llm import (
     mixing,
     perspectives,
     quality_rules,
+    suffix_dedup,
     toxicity,
     trie_bpe,
     weighted_minhash,
@@ -70,6 +71,10 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotated_digests(table(spark, sf_dir, "conversations"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_mixing,
         op10_perspectives,
+        op11_suffix_dedup,
     )
 }
 
@@ -90,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op4_capture_index": capture_index.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_perspectives": perspectives.ORACLE,
+    "op11_suffix_dedup": suffix_dedup.ORACLE,
 }
