@@ -13,7 +13,9 @@ from tokengrove.llm import (
     mixing,
     perspectives,
     quality_rules,
+    spelling_variants,
     suffix_dedup,
+    token_alignment,
     toxicity,
     trie_bpe,
     weighted_minhash,
@@ -24,11 +26,11 @@ from tokengrove.llm.base import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
-    """The published byte-level vocabulary that the environment installs."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A published vocabulary that the environment installs, the byte-level one unless named."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,15 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align_tokens(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -89,6 +100,8 @@ QUERIES: dict[str, Query] = {
         op9_mixing,
         op10_perspectives,
         op11_suffix_dedup,
+        op12_token_alignment,
+        op13_spelling_variants,
     )
 }
 
@@ -97,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op9_mixing": mixing.ORACLE,
     "op10_perspectives": perspectives.ORACLE,
     "op11_suffix_dedup": suffix_dedup.ORACLE,
+    "op13_spelling_variants": spelling_variants.ORACLE,
 }

@@ -1,24 +1,24 @@
 """Repeated passages by suffix arrays in two stages.
 
-Every string of ``SPAN`` bytes has an anchor: its ``GRAM`` bytes of smallest hash. Equal strings
-have equal anchors, so a text is cut into fragments, maximal runs of strings with the same anchor,
-and fragments are dealt to buckets by the hash of the anchor: whatever repeats meets in one bucket,
-and a bucket is sorted by itself. The number of buckets follows the bytes of the corpus.
+Texts are packed into slices of about ``SLICE`` bytes, a table bucketed by slice, which later steps
+join without moving texts. Every string of ``SPAN`` bytes has an anchor: its ``GRAM`` bytes of smallest
+hash. A text is cut into fragments, maximal runs of strings with the same anchor. A string holds
+the anchor with ``REACH`` bytes behind it or, if not, before it; slices ask which of these halves
+(hashes of them, sorted and packed) occur in another document, and drop strings whose half does not.
+What is left is dealt to buckets by the hash of the anchor, so that equal strings meet.
 
 In a bucket the suffixes that are smaller than their successors are sorted directly, to a depth of
 ``SPAN`` bytes; the others are induced by one scan over the buckets of first bytes, in which a suffix
 that has its place puts the suffix one byte longer at the end of that one's bucket. Adjacent
 common prefixes of ``SPAN`` bytes or more then join equal strings, and all but those of the smallest id
-are removed. Fragments that share no half of ``REACH + GRAM`` bytes around the anchor with another
-are not sorted, since no string of theirs can repeat.
+are removed. A bucket is sorted by itself; the number of buckets follows the bytes of the corpus.
 
-Skew: a slice of a partition ships equal fragments once, for its smallest id; those of larger ids
-are marked where they are. Anchors with very many fragments (a common line between different
-neighbours) are counted first; their strings are dealt one by one, by the hash of the whole string.
-That list has at most ``1 / HOT_SHARE`` entries at any size.
+Skew: a slice ships equal fragments once, for its smallest id; those of larger ids are marked
+where they are. Halves that very many fragments hold (a common line between different neighbours)
+come back as hot; their strings are dealt one by one, by the hash of the whole string.
 
-Cost: a fragment of about 20 strings has about 70 bytes, so 3.5 bytes a byte of text are compressed
-and shuffled once; texts are compressed and shuffled once to meet their spans.
+Cost: the packed texts are written once; halves are about 2.5 bytes for each 10 of text, and fragments
+that may repeat 70 bytes for each 20, compressed; both are shuffled once.
 
 Defined cases: a null or empty text has no bytes, nothing is removed from it. A row without an id
 neither removes nor loses anything. Rows that repeat an id are documents of equal rank, so none
@@ -28,6 +28,7 @@ removes from another; each returns its row. A document does not remove its own r
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +36,19 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tokengrove.llm.base import opened, ship
+from tokengrove.plans.lineage import work_dir
 
 #: Bytes of a string that counts as repeated; bytes of an anchor.
 SPAN, GRAM = 50, 12
 #: A string reaches at least so far from its anchor on one side.
 REACH = (SPAN - GRAM) // 2
-#: Text bytes dealt at a time, fragment bytes of a bucket.
-SLICE, BUCKET = 8 << 20, 8 << 20
-#: An anchor with more of the corpus' fragments than this share, and this number, is hot.
-HOT_SHARE, HOT_LEAST = 1e-5, 20_000
+HALF = REACH + GRAM
+#: Text bytes of a slice; fragment bytes of a bucket before unrepeated ones are dropped.
+SLICE, BUCKET = 8 << 20, 16 << 20
+#: Hashes of halves that one task holds.
+HASHES = 2 << 20
+#: A half of more fragments than this is hot.
+HOT = 50_000
 LEVEL = 3
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -89,16 +93,16 @@ def anchors(data: bytes) -> np.ndarray:
     return (best & np.uint64((1 << 28) - 1)).astype(np.int64)
 
 
-class Slice:
-    """Fragments of some documents, laid end to end: where each starts, its strings, anchor and document."""
+class Fragments:
+    """Fragments of some pieces of text, laid end to end: where each starts, its strings, anchor and piece."""
 
     def __init__(self, texts: list[bytes]):
         self.data = b"".join(texts) + bytes(8)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.first = np.cumsum(sizes) - sizes
         of = anchors(self.data)
-        # A string must end where its document does or earlier.
-        valid = np.zeros(len(of) + 1, np.int64)
+        # A string must end where its piece does or earlier.
+        valid = np.zeros(len(of) + 1, np.int32)
         has = sizes >= SPAN
         np.add.at(valid, self.first[has], 1)
         np.add.at(valid, (self.first + sizes)[has] - SPAN + 1, -1)
@@ -107,102 +111,252 @@ class Slice:
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(at) else at
         self.start, self.anchor = at[starts], of[starts]
         self.strings = np.diff(np.append(starts, len(at)))
-        self.doc = np.searchsorted(self.first, self.start, "right") - 1
-        self.hash = hash_bytes(words_at(self.data), self.anchor, GRAM) if len(at) else np.empty(0, np.uint64)
+        self.piece = np.searchsorted(self.first, self.start, "right") - 1
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Strings that hold the half behind the anchor come first turned round: those from ``split`` on do,
+        those before hold the half before it. ``split`` counts strings; ``hash`` is of either half, 0 where no
+        string needs it."""
+        words = words_at(self.data)
+        # A string that starts at p holds the half behind if p + SPAN >= anchor + HALF.
+        split = np.clip(self.anchor + HALF - SPAN - self.start, 0, self.strings)
+        hashes = np.zeros((2, len(split)), np.uint64)
+        for side, needed, at in ((0, split > 0, self.anchor - REACH), (1, split < self.strings, self.anchor)):
+            which = np.flatnonzero(needed)
+            hashes[side, which] = hash_bytes(words, at[which], HALF) | np.uint64(1)
+        return split, hashes
+
+
+def packed_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_slice, _size, _blob``: documents packed in order of ids, written as a table bucketed by slice."""
+    spark = docs.sparkSession
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # Rows without an id come last and are told apart by their number.
+            ids = [None if i is None else int(i) for i in batch["_id"]]
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+            held, size = [], 0
+            for k, i in enumerate(order):
+                held.append((ids[i], batch["_text"].iat[i].encode()))
+                size += len(held[-1][1])
+                if size >= SLICE or k == len(order) - 1:
+                    sizes = np.array([len(t) for _, t in held], np.int64)
+                    own = np.array([i or 0 for i, _ in held], np.int64)
+                    blob = pack([own, np.array([i is not None for i, _ in held]), sizes], b"".join([t for _, t in held]))
+                    yield pd.DataFrame({"_slice": [batch["_row"].iat[i]], "_size": [size], "_blob": [blob]})
+                    held, size = [], 0
 
-def slices(batches: Iterator[pd.DataFrame]):
-    """Ids, keys, offsets and texts in bytes, about ``SLICE`` bytes at a time, each slice in the order of ids.
+    rows = docs.select(
+        F.col(id_col).cast("long").cast("string").alias("_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    name, buckets = f"slices_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.mapInPandas(run, "_slice long, _size long, _blob binary")
+    packed.write.bucketBy(buckets, "_slice").option("path", work_dir(spark, name)).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
-    A longer text is several pieces that share ``SPAN - 1`` bytes, so each string is in one piece.
-    """
-    for batch in batches:
-        order = np.argsort(batch["_id"].to_numpy(), kind="stable")
-        held, size = [], 0
-        for id_, key, text in zip(*(batch[c].to_numpy()[order] for c in ("_id", "_key", "_text"))):
-            data = text.encode()
-            for base in range(0, max(1, len(data) - SPAN + 1), SLICE):
-                held.append((id_, key, base, data[base : base + SLICE + SPAN - 1]))
-                size += len(held[-1][3])
-                if size >= SLICE:
-                    yield _columns(held)
-                    held, size = [], 0
-        if held:
-            yield _columns(held)
 
+def opened_slice(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, whether there is one, and texts."""
+    (ids, has, sizes), data = unpack(blob, "q?q")
+    ends = np.cumsum(sizes)
+    return ids, has, [data[a:z] for a, z in zip((ends - sizes).tolist(), ends.tolist())]
 
-def _columns(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    ids, keys, bases, texts = zip(*held)
-    return np.array(ids, np.int64), np.array(keys, np.int32), np.array(bases, np.int64), list(texts)
 
+def pieces_of(has: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Documents that have an id as numbers, offsets and pieces, about ``SLICE`` bytes at a time.
 
-def pack(arrays: list[np.ndarray], data: bytes) -> bytes:
-    raw = b"".join([struct.pack(f"<{len(arrays)}q", *(a.nbytes for a in arrays)), *(a.tobytes() for a in arrays), data])
+    Pieces of a longer text share ``SPAN - 1`` bytes, so each string is in one piece.
+    """
+    held, size = [], 0
+    for i in np.flatnonzero(has).tolist():
+        data = texts[i]
+        for base in range(0, len(data) - SPAN + 1, SLICE):
+            held.append((i, base, data[base : base + SLICE + SPAN - 1]))
+            size += len(held[-1][2])
+            if size >= SLICE:
+                yield _columns(held)
+                held, size = [], 0
+    if held:
+        yield _columns(held)
+
+
+def _columns(held: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    numbers, bases, texts = zip(*held)
+    return np.array(numbers, np.int64), np.array(bases, np.int64), list(texts)
+
+
+def pack(arrays: list[np.ndarray], data: bytes = b"") -> bytes:
+    """Arrays byte by byte (all first bytes, then all second ones, ...), which compresses small numbers best."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    raw = b"".join([struct.pack(f"<{len(arrays)}q", *map(len, arrays)), *planes, data])
     return zstandard.ZstdCompressor(LEVEL).compress(raw)
 
 
 def unpack(blob: bytes, kinds: str) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = struct.unpack_from(f"<{len(kinds)}q", raw)
     at, arrays = 8 * len(kinds), []
-    for kind, size in zip(kinds, sizes):
-        arrays.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
-        at += size
+    for kind, size in zip(kinds, struct.unpack_from(f"<{len(kinds)}q", raw)):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        arrays.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * width
     return arrays, raw[at:]
 
 
-#: Lengths and anchors of distinct fragments; per occurrence its fragment, id, key and place.
-_FRAGMENTS = "BBiqii"
-
-
-def deal(ids: np.ndarray, keys: np.ndarray, bases: np.ndarray, texts: list[bytes], buckets: int, hot: np.ndarray):
-    """``(bucket, blob)`` of a slice's fragments, and last ``(None, marks)`` of those that repeat a smaller id's."""
-    cut = Slice(texts)
-    start, strings, anchor, doc = cut.start, cut.strings, cut.anchor, cut.doc
-    route = cut.hash
-    is_hot = np.isin(route, hot)
-    if is_hot.any():  # one string each, dealt by the whole string
-        n = strings[is_hot]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        single = np.repeat(start[is_hot], n) + inner
-        cool = ~is_hot
-        start = np.concatenate((start[cool], single))
-        anchor = np.concatenate((anchor[cool], np.repeat(anchor[is_hot], n)))
-        doc = np.concatenate((doc[cool], np.repeat(doc[is_hot], n)))
-        strings = np.concatenate((strings[cool], np.ones(len(single), np.int64)))
-        route = np.concatenate((route[cool], hash_bytes(words_at(cut.data), single, SPAN)))
+def _halves_of(ids: np.ndarray, has: np.ndarray, texts: list[bytes], bits: int):
+    """Sorted distinct hashes of a slice's halves, in how many fragments each is, and whether under several ids."""
+    keys, owners = [], []
+    for numbers, _, held in pieces_of(has, texts):
+        cut = Fragments(held)
+        _, hashes = cut.halves()
+        for side in hashes:
+            which = np.flatnonzero(side)
+            keys.append(side[which] >> np.uint64(64 - bits))
+            owners.append(ids[numbers[cut.piece[which]]])
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    several = np.maximum.reduceat(owner, heads) != np.minimum.reduceat(owner, heads)
+    return key[heads], np.diff(np.append(heads, len(key))), several
+
+
+def _asked(slices: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """``_bucket, _slice, _asked``: the halves of each slice, by ranges of their hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for slice_, blob in zip(batch["_slice"], batch["_blob"]):
+                key, n, several = _halves_of(*opened_slice(blob), bits)
+                flags = np.minimum(n, 127).astype(np.uint8) | several.astype(np.uint8) << 7
+                edge = np.searchsorted(key, _edges(bits, buckets))
+                rows = [
+                    (k, slice_, pack([np.diff(key[a:z], prepend=np.uint64(0)), flags[a:z]]))
+                    for k, (a, z) in enumerate(zip(edge[:-1], edge[1:]))
+                    if z > a
+                ]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["_bucket", "_slice", "_asked"])
+
+    return slices.select("_slice", "_blob").mapInPandas(run, "_bucket long, _slice long, _asked binary")
+
+
+def _edges(bits: int, buckets: int) -> np.ndarray:
+    return np.array([(k << bits) // buckets for k in range(buckets)] + [1 << bits], np.uint64)
+
+
+#: What is known of a half: no other document has it; one has; it is hot.
+NONE, SOME, MANY = 0, 1, 2
+
+
+def _replied(asked: DataFrame) -> DataFrame:
+    """``_slice, _bucket, _status``: what is known of each half, in the order in which a slice asked."""
+
+    def answer(slices: list[int], blobs: list[bytes], bucket: int) -> pd.DataFrame:
+        keys, flags = zip(*(unpack(b, "QB")[0] for b in blobs))
+        key, flag = np.concatenate([np.cumsum(k, dtype=np.uint64) for k in keys]), np.concatenate(flags)
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        n = np.diff(np.append(heads, len(key)))
+        flag = flag[order]
+        total = np.add.reduceat((flag & 127).astype(np.int64), heads)
+        known = np.where((n > 1) | (np.maximum.reduceat(flag, heads) > 127), SOME, NONE)
+        known[(known == SOME) & (total > HOT)] = MANY
+        status = np.empty(len(key), np.uint8)
+        status[order] = np.repeat(known, n)
+        parts = np.split(status, np.cumsum([len(k) for k in keys])[:-1])
+        return pd.DataFrame({"_slice": slices, "_bucket": bucket, "_status": [pack([p]) for p in parts]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for bucket, rows in _buckets(batches):
+            yield answer([r[1] for r in rows], [r[2] for r in rows], bucket)
+
+    by = asked.repartition("_bucket").sortWithinPartitions("_bucket")
+    return by.mapInPandas(run, "_slice long, _bucket long, _status binary")
+
+
+def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of one bucket after the other, from rows sorted by bucket, their first column."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in batch.itertuples(index=False, name=None):
+            if held and held[0][0] != row[0]:
+                yield held[0][0], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0][0], held
+
+
+#: Lengths of fragments, the id that a slice ships each for; per place of it fragment, document and place.
+_SHIPPED = "Bqiii"
+
+
+def deal(ids: np.ndarray, has: np.ndarray, texts: list[bytes], status: np.ndarray, bits: int, buckets: int):
+    """``(bucket, blob)`` of a slice's fragments that may repeat, and last ``(None, marks)`` of those of larger ids."""
+    parts, key = [], None
+    for numbers, bases, held in pieces_of(has, texts):
+        if key is None:
+            key = _halves_of(ids, has, texts, bits)[0]
+        cut = Fragments(held)
+        split, hashes = cut.halves()
+        known = np.zeros(hashes.shape, np.uint8)
+        for side in (0, 1):
+            which = np.flatnonzero(hashes[side])
+            known[side, which] = status[np.searchsorted(key, hashes[side, which] >> np.uint64(64 - bits))]
+        route = hash_bytes(words_at(cut.data), cut.anchor, GRAM)
+        both = (known == SOME).all(axis=0)
+        runs = [(cut.start[both], cut.strings[both], route[both], cut.piece[both])]
+        for side, start, n in ((0, cut.start, split), (1, cut.start + split, cut.strings - split)):
+            one = (known[side] == SOME) & ~both
+            runs.append((start[one], n[one], route[one], cut.piece[one]))
+            hot = known[side] == MANY
+            m = n[hot]
+            single = np.repeat(start[hot], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            whole = hash_bytes(words_at(cut.data), single, SPAN)
+            runs.append((single, np.ones(len(single), np.int64), whole, np.repeat(cut.piece[hot], m)))
+        start, strings, route, piece = (np.concatenate(c) for c in zip(*runs))
+        place = start - cut.first[piece] + bases[piece]
+        parts.append((cut.data, start, strings, route, numbers[piece], place))
+    if not parts:
+        return
+    of = np.concatenate([np.full(len(p[1]), k) for k, p in enumerate(parts)])
+    start, strings, route, number, place = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
     to = ((route >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((start, to))  # documents lie in the order of ids
-    start, strings, anchor, doc, to = (x[order] for x in (start, strings, anchor, doc, to))
-    place = start - cut.first[doc] + bases[doc]
-    stop = start + strings + SPAN - 1
+    order = np.lexsort((place, number, to))  # documents are numbered in the order of ids
+    of, start, strings, number, place, to = (x[order] for x in (of, start, strings, number, place, to))
+    stop, own = start + strings + SPAN - 1, ids[number]
+    repeated = np.zeros(len(of), bool)
+    datas = [p[0] for p in parts]
     borders = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else []
-    data, repeated = cut.data, []
     for low, high in zip(borders, borders[1:]):
-        found: dict[bytes, tuple[int, int]] = {}  # its number, the smallest id that holds it
-        kept, owner, lengths, offsets = [], [], [], []
-        for i, a, z in zip(range(low, high), start[low:high].tolist(), stop[low:high].tolist()):
-            fragment, own = data[a:z], ids[doc[i]]
-            number, least = found.setdefault(fragment, (len(found), own))
-            if own > least:
-                repeated.append(i)
+        found: dict[bytes, int] = {}
+        least, owner, kept = [], [], []
+        for i, k, a, z, id_ in zip(
+            range(low, high), of[low:high].tolist(), start[low:high].tolist(), stop[low:high].tolist(), own[low:high].tolist()
+        ):
+            n = found.setdefault(datas[k][a:z], len(found))
+            if n == len(least):
+                least.append(id_)
+            elif id_ > least[n]:
+                repeated[i] = True
                 continue
-            if number == len(lengths):
-                lengths.append(z - a)
-                offsets.append(anchor[i] - a)
+            owner.append(n)
             kept.append(i)
-            owner.append(number)
-        d = doc[kept]
         yield int(to[low]), pack(
             [
-                np.array(lengths, np.uint8), np.array(offsets, np.uint8), np.array(owner, np.int32),
-                ids[d], keys[d], place[kept].astype(np.int32),
+                np.array([len(f) for f in found], np.uint8), np.array(least, np.int64), np.array(owner, np.int32),
+                number[kept].astype(np.int32), place[kept].astype(np.int32),
             ],
             b"".join(found),
         )
-    if repeated:
-        d = doc[repeated]
-        yield None, (ids[d], keys[d], place[repeated], strings[repeated])
+    if repeated.any():
+        yield None, (number[repeated], place[repeated], strings[repeated])
 
 
 def sort_suffixes(data: np.ndarray, ends: np.ndarray, depth: int = SPAN) -> np.ndarray:
@@ -313,50 +467,31 @@ def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int =
     return np.minimum(out, most)
 
 
-def _could_repeat(words: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Does a fragment share the bytes before its anchor, or those behind, with another?"""
-    n = REACH + GRAM
-    out = np.zeros(len(start), bool)
-    for has, at in ((offset >= REACH, start + offset - REACH), (length - offset >= n, start + offset)):
-        which = np.flatnonzero(has)
-        if len(which):
-            _, back, count = np.unique(hash_bytes(words, at[which], n), return_inverse=True, return_counts=True)
-            out[which[count[back] > 1]] = True
-    return out
-
-
-def repeats(blobs: list[bytes]):
-    """Of one bucket, ``ids, keys, places, strings``: runs of strings that a smaller id holds as well.
-
-    A fragment has one id, since slices ship equal ones for the smallest only, and the places it has there.
-    """
-    lengths, offsets, owners, ids, keys, places, pieces, count = [], [], [], [], [], [], [], 0
+def repeats(slices: list[int], blobs: list[bytes]):
+    """Of one bucket ``slice, numbers, places, strings``: runs of strings that a smaller id holds as well."""
+    columns: list[list[np.ndarray]] = [[] for _ in _SHIPPED]
+    datas, count, shipped = [], 0, []
     for blob in blobs:
-        (length, offset, owner, id_, key, place), data = unpack(blob, _FRAGMENTS)
-        for held, new in zip((lengths, offsets, owners, ids, keys, places, pieces), (length, offset, owner + count, id_, key, place, data)):
+        arrays, data = unpack(blob, _SHIPPED)
+        arrays[2] = arrays[2] + count
+        for held, new in zip(columns, arrays):
             held.append(new)
-        count += len(length)
-    length, offset, number, ids, keys, places = (np.concatenate(a) for a in (lengths, offsets, owners, ids, keys, places))
+        datas.append(data)
+        count += len(arrays[0])
+        shipped.append(len(arrays[2]))
+    length, least, owner, numbers, places = (np.concatenate(c) for c in columns)
+    raw = b"".join(datas)
+    del columns, datas
     length = length.astype(np.int64)
-    least = np.zeros(count, np.int64)
-    least[number] = ids
-    data = b"".join([*pieces, bytes(8)])
-    del pieces, lengths, offsets, owners
-    start = np.cumsum(length) - length
-    sorted_ = np.flatnonzero(_could_repeat(words_at(data), start, length, offset.astype(np.int64)))
-    if not len(sorted_):
-        return
-    raw = b"".join([data[a:z] for a, z in zip(start[sorted_].tolist(), (start + length)[sorted_].tolist())])
-    del data
-    ends = np.cumsum(length[sorted_])
-    first = ends - length[sorted_]
+    ends = np.cumsum(length)
+    first = ends - length
     suffix = sort_suffixes(np.frombuffer(raw, np.uint8), ends)
     piece = np.searchsorted(ends, suffix, "right")
     whole = ends[piece] - suffix >= SPAN
-    suffix, own = suffix[whole], least[sorted_[piece[whole]]]
+    suffix, own = suffix[whole], least[piece[whole]]
     del piece, whole
-    heads = np.concatenate(([True], common_prefixes(words_at(raw + bytes(8)), suffix[:-1], suffix[1:]) < SPAN))
-    heads = np.flatnonzero(heads)
+    shared = common_prefixes(words_at(raw + bytes(8)), suffix[:-1], suffix[1:]) >= SPAN
+    heads = np.flatnonzero(np.concatenate(([True], ~shared)))
     smallest = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(suffix))))
     gone = np.zeros(len(raw) + 1, np.int8)
     gone[suffix[smallest < own]] = 1
@@ -366,114 +501,59 @@ def repeats(blobs: list[bytes]):
     if not len(begin):
         return
     piece = np.searchsorted(ends, begin, "right")
-    # A run holds at every place of its fragment.
-    here = np.argsort(number, kind="stable")
-    low = np.searchsorted(number[here], sorted_[piece], "left")
-    n = np.searchsorted(number[here], sorted_[piece], "right") - low
+    # A run holds at every place of its fragment; fragments of a slice stand together.
+    here = np.argsort(owner, kind="stable")
+    low = np.searchsorted(owner[here], piece, "left")
+    n = np.searchsorted(owner[here], piece, "right") - low
     run = np.repeat(np.arange(len(begin)), n)
     at = here[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    yield ids[at], keys[at], places[at] + (begin - first[piece])[run], (end - begin)[run]
+    places, strings = places[at] + (begin - first[piece])[run], (end - begin)[run]
+    of = np.searchsorted(np.cumsum(shipped), at, "right")
+    borders = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+    for a, z in zip(borders, borders[1:]):
+        yield slices[of[a]], numbers[at[a:z]], places[a:z], strings[a:z]
 
 
-_MARK = "_id long, _key int, _at int, _n int"
-
-
-def _marks(ids, keys, places, strings) -> pd.DataFrame:
-    return pd.DataFrame({"_id": ids, "_key": keys, "_at": places, "_n": strings}).astype(
-        {"_id": "int64", "_key": "int32", "_at": "int32", "_n": "int32"}
-    )
+def _mark(numbers: np.ndarray, places: np.ndarray, strings: np.ndarray) -> bytes:
+    return pack([numbers.astype(np.int32), places.astype(np.int32), strings.astype(np.int32)])
 
 
-def _hot_anchors(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Bytes of all fragments, and the hashes of hot anchors."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for *_, texts in slices(batches):
-            cut = Slice(texts)
-            hashes, n = np.unique(cut.hash, return_counts=True)
-            often = n > 1
-            total = int(cut.strings.sum() + (SPAN - 1) * len(cut.strings))
-            yield pd.DataFrame(
-                {
-                    "hash": np.append(hashes[often].view(np.int64), 0),
-                    "n": np.append(n[often], len(cut.strings)),
-                    "bytes": np.append(np.zeros(often.sum(), np.int64), total),
-                    "whole": np.append(np.zeros(often.sum(), bool), True),
-                }
-            )
-
-    counted = docs.mapInPandas(count, "hash long, n long, bytes long, whole boolean")
-    summed = counted.groupBy("whole", "hash").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    summed = summed.where(F.col("whole") | (F.col("n") >= HOT_LEAST)).persist()
-    try:
-        all_ = summed.where("whole").collect()
-        if not all_:
-            return 0, np.empty(0, np.uint64)
-        least = max(HOT_LEAST, int(all_[0]["n"] * HOT_SHARE))
-        hot = summed.where(~F.col("whole") & (F.col("n") >= least)).select("hash").toPandas()
-    finally:
-        summed.unpersist()
-    return all_[0]["bytes"], hot["hash"].to_numpy(np.int64).view(np.uint64)
-
-
-def _deal_all(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """``_bucket, _blob, _marks``: fragments of each slice and bucket; marks travel along as blobs."""
-    shared = ship(docs.sparkSession, hot)
+def _dealt(slices: DataFrame, replies: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """``_bucket, _slice, _blob, _marks``: fragments of each slice and bucket; marks travel along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot = opened(shared)
-        for turn, (ids, keys, bases, texts) in enumerate(slices(batches)):
-            rows = []
-            for bucket, blob in deal(ids, keys, bases, texts, buckets, hot):
-                if bucket is None:
-                    i, k, p, n = blob
-                    blob = pack([i, k, p.astype(np.int32), n.astype(np.int32)], b"")
-                    rows.append((int(ids[0] + turn) % buckets, blob, True))
-                else:
-                    rows.append((bucket, blob, False))
-            yield pd.DataFrame(rows, columns=["_bucket", "_blob", "_marks"])
-
-    return docs.mapInPandas(run, "_bucket long, _blob binary, _marks boolean")
+        for batch in batches:
+            for slice_, blob, parts in zip(batch["_slice"], batch["_blob"], batch["_status"]):
+                status = np.concatenate([unpack(p, "B")[0][0] for p in parts]) if parts is not None else None
+                rows = []
+                for bucket, found in deal(*opened_slice(blob), status, bits, buckets):
+                    if bucket is None:
+                        rows.append((slice_ % buckets, slice_, _mark(*found), True))
+                    else:
+                        rows.append((bucket, slice_, found, False))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["_bucket", "_slice", "_blob", "_marks"])
+
+    status = replies.groupBy("_slice").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_status"))), lambda p: p["_status"]).alias("_status")
+    )
+    joined = slices.select("_slice", "_blob").join(status, "_slice")
+    return joined.mapInPandas(run, "_bucket long, _slice long, _blob binary, _marks boolean")
 
 
-def _find_all(dealt: DataFrame) -> DataFrame:
-    """Marks of every bucket, one bucket in memory at a time."""
+def _found(dealt: DataFrame) -> DataFrame:
+    """``_slice, _mark``: marks of every bucket, one bucket in memory at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, blobs = None, []
-        for batch in batches:
-            for bucket, blob, marks in zip(batch["_bucket"], batch["_blob"], batch["_marks"]):
-                if marks:
-                    yield _marks(*unpack(blob, "qiii")[0])
-                    continue
-                if bucket != held and blobs:
-                    for found in repeats(blobs):
-                        yield _marks(*found)
-                    blobs = []
-                held = bucket
-                blobs.append(blob)
-        if blobs:
-            for found in repeats(blobs):
-                yield _marks(*found)
-
-    return dealt.repartition("_bucket").sortWithinPartitions("_bucket").mapInPandas(run, _MARK)
-
-
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-    ).withColumn("_key", F.xxhash64("_text").bitwiseAND(0x7FFFFFFF).cast("int"))
+        for _, rows in _buckets(batches):
+            out = [(slice_, blob) for _, slice_, blob, marks in rows if marks]
+            shipped = [(slice_, blob) for _, slice_, blob, marks in rows if not marks]
+            if shipped:
+                out += [(found[0], _mark(*found[1:])) for found in repeats(*zip(*shipped))]
+            if out:
+                yield pd.DataFrame(out, columns=["_slice", "_mark"])
 
-
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, _key, _at, _n``: from byte ``_at`` of a document ``_n`` strings that a smaller id holds too.
-
-    ``_key`` is 31 bits of a hash of the text and tells rows apart that repeat an id.
-    """
-    usable = _identified(docs, id_col, text_col).where(F.col("_id").isNotNull() & (F.octet_length("_text") >= SPAN))
-    size, hot = _hot_anchors(usable)
-    return _find_all(_deal_all(usable, max(1, -(-size // BUCKET)), hot))
+    return dealt.repartition("_bucket").sortWithinPartitions("_bucket").mapInPandas(run, "_slice long, _mark binary")
 
 
 def spans_of(places: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -490,43 +570,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Kept bytes are binary, since a span may start or stop inside a character.
     """
-    marks = (
-        repeated_strings(docs, id_col, text_col)
-        .groupBy("_id", "_key")
-        .agg(F.collect_list(F.struct("_at", "_n")).alias("_marks"))
-        .select("_id", "_key", F.col("_marks._at").alias("_at"), F.col("_marks._n").alias("_n"))
-    )
+    slices = packed_slices(docs, id_col, text_col)
+    size = slices.agg(F.sum("_size")).first()[0] or 0
+    halves = size // 10  # two for about 20 strings
+    bits = min(62, max(24, 14 + halves.bit_length()))
+    replies = _replied(_asked(slices, bits, 1 + halves // HASHES))
+    marks = _found(_dealt(slices, replies, bits, 1 + 7 * size // 2 // BUCKET))
+    marks = marks.groupBy("_slice").agg(F.collect_list("_mark").alias("_marks"))
 
-    @F.pandas_udf("binary")
-    def squeeze(texts: pd.Series) -> pd.Series:
-        packer = zstandard.ZstdCompressor(LEVEL)
-        return texts.map(lambda t: packer.compress(t.encode()))
-
-    @F.pandas_udf("spans array<struct<start: int, stop: int>>, kept binary")
-    def remove(texts: pd.Series, places: pd.Series, strings: pd.Series) -> pd.DataFrame:
-        unpacker, spans, kept = zstandard.ZstdDecompressor(), [], []
-        for blob, at, n in zip(texts, places, strings):
-            data = unpacker.decompress(blob)
-            if at is None:
-                spans.append([])
-                kept.append(data)
-                continue
-            starts, stops = (x.tolist() for x in spans_of(np.asarray(at, np.int64), np.asarray(n, np.int64)))
-            spans.append([{"start": a, "stop": z} for a, z in zip(starts, stops)])
-            kept.append(b"".join([data[a:z] for a, z in zip([0, *stops], [*starts, len(data)])]))
-        return pd.DataFrame({"spans": spans, "kept": kept})
-
-    rows = _identified(docs, id_col, text_col).select("_id", "_key", squeeze("_text").alias("_text"))
-    return (
-        rows.join(marks, ["_id", "_key"], "left")
-        .select(F.col("_id").alias("doc_id"), remove("_text", "_at", "_n").alias("_r"))
-        .select("doc_id", "_r.spans", "_r.kept")
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for blob, found in zip(batch["_blob"], batch["_marks"]):
+                yield _cleaned(blob, [] if found is None else found)
+
+    result = "doc_id string, spans array<struct<start: long, stop: long>>, kept binary"
+    rows = slices.select("_slice", "_blob").join(marks, "_slice", "left").mapInPandas(run, result)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _cleaned(blob: bytes, marks: list[bytes]) -> pd.DataFrame:
+    ids, has, texts = opened_slice(blob)
+    none = [np.empty(0, np.int32)] * 3
+    number, place, strings = (np.concatenate(c) for c in zip(none, *(unpack(m, "iii")[0] for m in marks)))
+    order = np.argsort(number, kind="stable")
+    place, strings = place[order].astype(np.int64), strings[order].astype(np.int64)
+    edges = np.searchsorted(number[order], np.arange(len(texts) + 1))
+    spans, kept = [], []
+    for data, a, z in zip(texts, edges, edges[1:]):
+        starts, stops = (x.tolist() for x in spans_of(place[a:z], strings[a:z])) if z > a else ([], [])
+        spans.append([{"start": x, "stop": y} for x, y in zip(starts, stops)])
+        kept.append(b"".join([data[x:y] for x, y in zip([0, *stops], [*starts, len(data)])]))
+    return pd.DataFrame({"doc_id": [str(i) if h else None for i, h in zip(ids, has)], "spans": spans, "kept": kept})
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["stop"] - x["start"]).cast("long"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return remove_repeats(docs, id_col, text_col).select(
         "doc_id",
         (F.octet_length("kept").cast("long") + gone).alias("n_bytes"),
