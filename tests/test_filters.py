@@ -5,9 +5,10 @@ from hypothesis import given, settings, strategies as st
 import pytest
 from pyspark.sql import functions as F
 
-from tokengrove.functions.globs import glob_to_regex, ignore_line_to_rule
+from tokengrove.functions.globs import compiled_rules, glob_to_regex, ignore_line_to_rule
 from tokengrove.functions.paths import ancestors, extension_of, parent_of, path_label, strip_root
-from tokengrove.operators import filters, ignore
+from tokengrove.operators import filters, ignore, selection
+from tokengrove.plans.lineage import cut
 
 # A house: rooms on floors, each with a list and a drawing; the attic is nested deeper.
 ROOMS = ["kitchen", "hall", "study"]
@@ -173,3 +174,73 @@ def test_ignore_rules(spark):
     assert ignore.drop_ignored(files, rules, no_ignore=True).count() == len(paths)
     assert ignore_line_to_rule("trail   ")[0] == ignore_line_to_rule("trail")[0]
     assert ignore_line_to_rule("!x/")[1:] == (True, True)
+
+
+def exchanged(df):
+    """Columns of the rows that a plan shuffles, one set per exchange."""
+    session = df.sparkSession
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = session._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        session.conf.set("spark.sql.adaptive.enabled", "true")
+    return [set(re.findall(r"(\w+)#\d+", m)) for m in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)]
+
+
+RULES = ["*.log", "!keep*.log", "/out/", "a/**/b", "[x-z]?.md", "!y1.md", "tmp/", "!tmp/keep", "# no", "", "deep/*/c"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(RULES), max_size=8), st.lists(st.sampled_from(["a.log", "keep1.log", "out", "a/q/b", "y1.md", "tmp", "tmp/keep", "deep/x/c", "z.log/out"]), max_size=6), st.booleans())
+def test_fused_rules_agree_with_single_ones(lines, paths, is_dir):
+    fused = compiled_rules(lines)
+    single = [r for r in map(ignore_line_to_rule, lines) if r is not None]
+    for path in paths:
+        last = [not negated for regex, negated, dirs in single if (is_dir or not dirs) and re.search(regex.replace(r"\z", r"\Z"), path)]
+        assert fused.ignored(path, is_dir) == (last[-1] if last else None)
+
+
+@pytest.fixture(scope="module")
+def contents(spark):
+    rows = [("r" if i % 3 else "s", f"{d}/f{i}.{e}", e, f"body {i}") for i, (d, e) in enumerate((d, e) for d in ("a", "a/b", "a/b/c", "x", "x/y") for e in ("py", "md", "o"))]
+    return cut(spark.createDataFrame(rows, "repo string, rel_path string, ext string, content string"))
+
+
+def test_rules_leave_contents_in_place(spark, contents, monkeypatch):
+    lines = [("r", "", "*.o\nx/\n"), ("s", "", "a/b/\n!a/b/\n"), ("s", "a/b", "c/\n"), ("r", "a", "*.md\n")]
+    ignore_files = spark.createDataFrame([(r, f"{d}/.gitignore".lstrip("/"), t) for r, d, t in lines], "repo string, rel_path string, content string")
+    rules = ignore.read_rules(ignore_files)
+    kept = ignore.drop_ignored(contents, rules)
+    want = {(r.repo, r.rel_path) for r in kept.collect()}
+    assert all(not (r == "r" and (p.endswith(".o") or p.startswith("x/"))) for r, p in want) and len(want) == 4
+    assert not any(p.startswith("a/b/c/") for r, p in want if r == "s")
+    assert not [c for c in exchanged(kept) if "content" in c]
+    monkeypatch.setattr(ignore, "RULE_BYTES", 0)  # rules join on their digest
+    assert {(r.repo, r.rel_path) for r in ignore.drop_ignored(contents, rules).collect()} == want
+
+
+def test_selections_leave_contents_in_place(spark, contents):
+    rows = [("r", "directory", "A/b/"), ("r", "extension", "py"), ("r", "extension", "md"), ("s", "directory", "x"), ("s", "directory", "a/b/c")]
+    table = spark.createDataFrame(rows, "repo string, kind string, value string")
+    kept = selection.select_by_table(contents, table)
+    got = {(r.repo, r.rel_path) for r in kept.collect()}
+    want = {
+        (r.repo, r.rel_path)
+        for r in contents.collect()
+        if (r.rel_path.startswith("a/b/") and r.ext != "o" if r.repo == "r" else r.rel_path.startswith(("x/", "a/b/c/")))
+    }
+    assert got == want and not [c for c in exchanged(kept) if "content" in c]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r.repo, r.rel_path) for r in selection.select_by_table(contents, table).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_nearest_rows_decide(spark, contents):
+    rows = [("r", "a", True), ("r", "/a/b/", False), ("r", "a/b/c", True), ("s", "", True), ("s", "x", False), ("s", "x", True), ("r", "x", None)]
+    table = spark.createDataFrame(rows, "repo string, path string, selected boolean")
+    got = {(r.repo, r.rel_path): r.selected for r in selection.flag_by_selection(contents, table).collect()}
+    for (repo, path), chosen in got.items():
+        folder = path.rpartition("/")[0]
+        assert chosen == (folder in ("a", "a/b/c") if repo == "r" else not path.startswith("x/")), (repo, path)

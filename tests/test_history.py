@@ -3,9 +3,11 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokengrove.functions.lines import common_lines
 from tokengrove.operators import vcs
+from tokengrove.plans.lineage import cut
 
 
 def walk(parents, head):
@@ -60,6 +62,26 @@ def test_long_chain_and_shallow_history(spark):
     assert got == {("r", "m", "d"): [f"{i:04d}" for i in range(4, 700)]}
 
 
+def test_many_merges_take_few_rounds(spark):
+    """A main line with a branch of two commits merged at every step, and nested branches."""
+    rows, n = [("r", "m00000", [])], 2000
+    for i in range(1, n):
+        old, back = f"m{i - 1:05d}", f"m{max(0, i - 3):05d}"
+        rows += [("r", f"a{i:05d}", [back]), ("r", f"b{i:05d}", [f"a{i:05d}"]), ("r", f"m{i:05d}", [old, f"b{i:05d}"])]
+    rows += [("r", f"n{k}", [f"n{k - 1}" if k else "m00005"]) for k in range(5)] + [("r", "top", ["n4", "m00010"])]
+    commits = spark.createDataFrame(rows, "repo string, commit string, parents array<string>")
+    places, cross = vcs._chains(commits)
+    main = {r.commit: r.pos for r in places.where("chain = 'm01999'").collect()}
+    assert all(main[f"m{i:05d}"] == i for i in range(n))
+    heads = places.where(F.col("commit").isin("m01999", "m01000", "top")).select(
+        "repo", F.col("commit").alias("head"), "chain", F.col("pos").alias("limit")
+    )
+    reach, rounds = vcs._reached(heads, cross)
+    assert rounds <= 3
+    whole = reach.join(places, ["repo", "chain"]).where("pos <= limit").groupBy("head").count()
+    assert {r.head: r["count"] for r in whole.collect()} == {"m01999": 3 * n - 2, "m01000": 3001, "top": 3 * 10 + 1 + 6}
+
+
 def test_cycle_is_reported(spark):
     with pytest.raises(ValueError):
         run(spark, {"r": ({"a": ["b"], "b": ["a"]}, {"m": "a"}, [("m", "m")])})
@@ -177,3 +199,21 @@ def test_diff_stream(spark):
     df = lambda t: spark.createDataFrame([("r", "notes/plan.md", t)], "repo string, rel_path string, content string")
     rows = vcs.diff_stream(vcs.patch_lines(df("buy milk\n"), df("buy bread\n"))).orderBy("key").collect()
     assert "".join(r.text for r in rows).endswith("@@ -1 +1 @@\n-buy milk\n+buy bread\n")
+
+
+def test_hash_trees(spark):
+    """One changed file compares one path of directories; the result is that of comparing all files."""
+    rows = [("r", f"a{i}/b{j}/c{k}/f{n}", f"{i}{j}{k}{n}\n") for i in range(4) for j in range(3) for k in range(3) for n in range(3)]
+    schema = "repo string, rel_path string, content string"
+    old = spark.createDataFrame(rows, schema)
+    one = spark.createDataFrame([(r, p, "new\n" if p == "a2/b1/c0/f2" else t) for r, p, t in rows], schema)
+    trees = [cut(vcs.snapshot_tree(t)) for t in (old, one)]
+    levels = [sorted((r.node, r.status) for r in level.collect()) for level in vcs.differing_levels(*trees)]
+    assert levels == [[(p, "M")] for p in ("", "a2", "a2/b1", "a2/b1/c0", "a2/b1/c0/f2")]
+    assert vcs.tree_diff(trees[0], trees[0]).count() == 0
+    rng = random.Random(5)
+    many = [(r, p.replace("a3", "z") if rng.random() < 0.2 else p, t if rng.random() < 0.8 else t + "x") for r, p, t in rows if rng.random() < 0.9]
+    many += [("r", "a0/b0/c0/f0/now/a/folder", "1"), ("s", "only", "2")]
+    many = spark.createDataFrame([m for m in many if m[1] != "a0/b0/c0/f0"], schema)
+    key = lambda df: sorted(tuple(r) for r in df.select("repo", "rel_path", "status").collect())
+    assert key(vcs.tree_diff(trees[0], cut(vcs.snapshot_tree(many)))) == key(vcs.snapshot_diff(old, many))

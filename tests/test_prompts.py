@@ -1,11 +1,13 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tokengrove.operators import render, templates, variables, vcs
+from tokengrove.functions.tokens import bpe_tokens, register_tokenizer
+from tokengrove.operators import counting, render, templates, variables, vcs
 from tokengrove.operators.counting import prompt_tokens
-from tokengrove.functions.tokens import register_tokenizer
+from tokengrove.plans.assemble import assemble
 from tokengrove.sources.sinks import read_prompts, write_prompts
 
 
@@ -145,6 +147,65 @@ def test_prompt_tokens_do_not_depend_on_parts(spark, name):
     assert len(set(counts.values())) == 1, counts
 
 
+def one_file(spark, body, lines=50):
+    """A repository whose files are slices of one text, so that parts may be cut anywhere."""
+    rows = [("r", f"f{i:06d}", None, body[i : i + lines], 1) for i in range(0, len(body), lines)]
+    df = spark.createDataFrame(rows, "repo string, rel_path string, ext string, content string, tokens bigint")
+    return df.withColumn("path", F.col("rel_path")).withColumn("mtime_us", F.lit(0))
+
+
+@pytest.mark.parametrize(
+    "kind, name",
+    [("json", "cl100k"), ("digits", "o200k_base"), ("letters", "r50k_base"), ("spaces", "r50k_base"), ("specials", "o200k_base")],
+)
+def test_counts_carry_over(spark, kind, name):
+    """No place in these texts is safe to cut without what came before."""
+    body = {
+        "json": '{"a": [1, 2], "b": "x\'ll y"}\n\n' * 300,
+        "digits": "x" + "0123456789" * 900 + " " + "7" * 3001,
+        "letters": "ab" * 5000 + "." + "c" * 7000,
+        "spaces": ("    \n\t  " * 200 + "ab  ab\n") * 6 + "end",
+        "specials": "<<|endoftext|><|fim_prefix|>ab <|endofprompt|>!!" * 200,
+    }[kind]
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"  ": 257, b"\n\n": 258, b"77": 259, b"01": 260, b"}\n": 261, b"012": 262}
+    tok = register_tokenizer(name, ranks=ranks)
+    # Pieces have no text of their own around the files, so the prompt is the body.
+    pieces = render.prompt_pieces(
+        render.template_files(one_file(spark, body, 97), no_codeblock=True),
+        "{{#each files}}{{code}}{{/each}}",
+    )
+    whole = "".join(r.text for r in sorted(pieces.collect(), key=lambda r: (r.seg, r.key)))
+    plain = spark.createDataFrame([(whole.strip(),)], "t string").select(bpe_tokens(spark, F.col("t"), tok).alias("n")).first().n
+    counts = {size: prompt_tokens(pieces, tok, size).first().tokens for size in (900, 1 << 30)}
+    assert set(counts.values()) == {plain}, (plain, counts)
+
+
+def test_no_group_above_a_part(spark):
+    """JSON lines of half a megabyte are counted in parts of 4 KiB; none is joined with another."""
+    body = '{"k": "v, w", "n": [1, 22, 333]}\n' * 16000
+    tok = register_tokenizer("cl100k", ranks={bytes([b]): b for b in range(256)})
+    pieces = render.prompt_pieces(render.template_files(one_file(spark, body, 330), no_codeblock=True), "{{#each files}}{{code}}{{/each}}")
+    texts = assemble(pieces, ["repo"], render.ORDER, 1 << 12, trim=True).cache()
+    steps = counting._steps(texts, tok).cache()
+    assert texts.count() > 100 and steps.where("_out is null and not _end").isEmpty()
+    assert steps.groupBy("_ways").count().collect() == [(1, texts.count())]
+
+
+def moves(df):
+    """Exchanges of a plan, and those whose rows hold texts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"Exchange (?:hash|range)partitioning\([^\n]*", plan)
+    return plan, found
+
+
+def test_texts_move_once(spark, files):
+    """One exchange below the concatenation, by repository and slice, and no join of texts."""
+    plan, found = moves(render.render_prompts(files))
+    assert len(found) == 1 and "_slice" in found[0] and "SortMergeJoin" not in plan
+    plan, found = moves(render.render_prompts(files, part_bytes=50))
+    assert len(found) == 1 and "_slice" in found[0] and "SortMergeJoin" not in plan
+
+
 def test_git_streams(spark):
     snap = lambda text: spark.createDataFrame([("r", "menu/day.md", text)], "repo string, rel_path string, content string")
     sections = vcs.git_sections(snap("rice\n"), snap("rice\npeas\n"), snap("corn\npeas\n"))

@@ -1,9 +1,15 @@
 import os
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from tokengrove.operators import cache, filters, ignore
 from tokengrove.plans.lineage import cut
 from tokengrove.sources.files import list_files, local_path, scan_files
-from tokengrove.streaming.incremental import append_batch, compact_cache, current_cache, incremental_scan
+from tokengrove.sources.tree_source import SETTLED_US, _Walk, read_tree, register_tree_source
+from tokengrove.streaming.incremental import append_batch, compact_cache, current_cache, incremental_scan, scan_stream
 
 
 def make(root, files):
@@ -134,3 +140,89 @@ def test_linked_roots_and_cycles(spark, tmp_path):
     roots = spark.createDataFrame([("r", str(tmp_path / "link"))], "repo string, root string")
     found = sorted(r.rel_path for r in list_files(spark, roots, follow_symlinks=True).collect())
     assert found == ["aside/g.py", "f.py"]
+
+
+def wood(root):
+    body = {f"d{i}/{'x' * (i % 3)}e{i}/f{j}.{'py' if j % 2 else 'md'}": b"l" * (i + j + 1) for i in range(7) for j in range(5)}
+    body |= {".gitignore": b"d6/\n*.tmp\n", "d1/.gitignore": b"!a.tmp\n", "d1/a.tmp": b"1", "d2/a.tmp": b"2", ".h/x.py": b"3"}
+    body |= {"bad": b"\xff\xfe", "empty": b"", "d3/.ignore": b"f1.py\n", "top.py": b"top"}
+    make(root, body)
+    return body
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+def test_tree_source_equals_the_scan(spark, tmp_path, partitions):
+    wood(tmp_path / "wood")
+    register_tree_source(spark)
+    keys = ["repo", "path", "rel_path", "ext", "is_symlink", "size", "mtime_us", "content"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(*keys).collect())
+    source = spark.read.format("file_tree").options(path=str(tmp_path / "wood"), partitions=str(partitions)).load()
+    assert rows(source) == rows(scan_files(spark, str(tmp_path / "wood"))) != []
+    scanned = cut(scan_files(spark, str(tmp_path / "wood")))
+    globs = {"include": ["**/*.py"], "exclude": ["d2/**"]}
+    options = {k: str(v).replace("'", '"') for k, v in globs.items()}
+    asked = spark.read.format("file_tree").options(path=str(tmp_path / "wood"), hidden="true", noIgnore="true", **options).load()
+    assert rows(asked) == rows(scan_files(spark, str(tmp_path / "wood"), hidden=True, no_ignore=True, **globs))
+    for condition in ("size > 4 and ext = 'py'", "rel_path like 'd1/%'", "rel_path in ('top.py', 'd0/e0/f1.py')", "ext is null or size = 3", "path like '%f1.py' and size between 2 and 6"):
+        found = read_tree(spark, str(tmp_path / "wood"), condition, partitions=str(partitions))
+        assert rows(found) == rows(source.where(condition)) == rows(scanned.where(condition)), condition
+
+
+def test_tree_source_pushes_filters(spark, tmp_path):
+    wood(tmp_path / "wood")
+    found = read_tree(spark, str(tmp_path / "wood"), "size > 4 and ext = 'py'")
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert re.search(r"PushedFilters: \[.*GreaterThan\(size,4\)", plan) and "Condition" not in plan, plan
+    walk = _Walk({"path": str(tmp_path / "wood")})
+    walk.tests = []
+    assert walk._enters(f"{walk.root}/d1")
+    from pyspark.sql.datasource import EqualTo, StringStartsWith
+
+    walk.tests = [("rel_path", StringStartsWith, "d1/xe")]
+    assert walk._enters(f"{walk.root}/d1") and walk._enters(f"{walk.root}/d1/xe1") and not walk._enters(f"{walk.root}/d2")
+    walk.tests = [("rel_path", EqualTo, "d1/xe1/f1.py")]
+    assert walk._enters(f"{walk.root}/d1/xe1") and not walk._enters(f"{walk.root}/d1/other")
+
+
+def test_rules_travel_by_reference(spark, tmp_path):
+    """A directory row names the ignore files above it; their text is read where it is needed."""
+    from tokengrove.sources.files import Rules, rules_above
+
+    make(tmp_path, {"a/.gitignore": b"x" * 5000 + b"\n*.o\n", "a/b/.ignore": b"!k.o\n", "a/b/c/f": b"1"})
+    known = {}
+    top = Rules("[]", str(tmp_path / "a"), [".gitignore", ".ignore"], known)
+    below = Rules(top.carried, str(tmp_path / "a/b"), [".gitignore", ".ignore"], known)
+    assert len(below.carried) < 300 and "xxx" not in below.carried
+    deep = Rules(below.carried, str(tmp_path / "a/b/c"), [".gitignore", ".ignore"], known)
+    assert deep.ignored(str(tmp_path / "a/b/c/m.o"), False) and not deep.ignored(str(tmp_path / "a/b/c/k.o"), False)
+    assert sum(v is not None for v in known.values()) == 2
+    # Above a root, .gitignore files count up to where the repository is.
+    assert rules_above(str(tmp_path / "a/b/c"), [".gitignore"]) == "[]"
+    os.makedirs(tmp_path / "a/.git")
+    assert str(tmp_path / "a") in rules_above(str(tmp_path / "a/b/c"), [".gitignore"])
+    make(tmp_path, {"a/b/c/g.o": b"1"})
+    assert {r.rel_path for r in list_files(spark, str(tmp_path / "a/b/c")).collect()} == {"f", "g.o"} - {"g.o"}
+
+
+def test_stream_follows_a_tree(spark, tmp_path):
+    root, table = tmp_path / "grove", str(tmp_path / "cache")
+    make(root, {"a.py": b"one", "d/b.md": b"two", "d/c.md": b"three", "away": b"x"})
+
+    def run():
+        time.sleep(3 * SETTLED_US / 1e6)
+        scan_stream(spark, str(root), table, str(tmp_path / "state")).awaitTermination()
+        found = current_cache(spark, table)
+        batch = scan_files(spark, str(root))
+        rows = lambda df: sorted((r.rel_path, r.size, r.mtime_us, r.content, r.tokens) for r in df.collect())
+        assert rows(found) == rows(batch)
+        return {r.rel_path: r.content for r in found.collect()}
+
+    assert len(run()) == 4
+    make(root, {"a.py": b"changed", "d/new/e": b"four", ".hid": b"h"})
+    os.remove(root / "d/c.md")
+    os.utime(root / "away", (1, 1))
+    os.rename(root / "away", root / "moved")
+    assert run() == {"a.py": "changed", "d/b.md": "two", "d/new/e": "four", "moved": "x"}
+    make(root, {"d/c.md": b"three"})
+    assert run()["d/c.md"] == "three"
+    assert len(run()) == 5

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokengrove.catalog.base import over_corpus, register
+from tokengrove.catalog.base import ORACLES, over_corpus, register
 from tokengrove.catalog.caching import file_number
 from tokengrove.catalog.prompts import _FLAT as FLAT_TREES
 from tokengrove.operators import render, vcs
 from tokengrove.plans.assemble import assemble
+from tokengrove.plans.lineage import cut
 from tokengrove.sources.tables import documents_corpus as corpus, read_table
 
 
@@ -45,6 +46,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return vcs.snapshot_diff(head, index)
 
 
+@register("snapshot_diff_tree", ORACLES["snapshot_diff"])
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    head, index, _ = snapshots(spark, sf)
+    return vcs.tree_diff(cut(vcs.snapshot_tree(head)), cut(vcs.snapshot_tree(index)))
+
+
 def _later_sql(source: str, step: int) -> str:
     """:func:`next_snapshot` of a table ``(repo, rel_path, content, n)``, whose ``n`` is the file's number."""
     k = f"(n * 17 % 1009 + {step})"

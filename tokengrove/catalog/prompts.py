@@ -208,15 +208,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return render.prompt_tokens_bytes4(render.placed_prompts(corpus(spark, sf)))
 
 
-@register("prompt_json", f"""WITH {CORPUS}, {PROMPT_SQL}
+_JSON = f"""WITH {CORPUS}, {PROMPT_SQL}
 SELECT repo, CAST(0 AS BIGINT) AS part,
        '{{"directory_name":' || CAST(to_json(repo) AS VARCHAR) || ',"files":' || CAST(to_json(paths) AS VARCHAR)
        || ',"model_info":"ChatGPT models, text-embedding-ada-002","prompt":' || CAST(to_json(prompt) AS VARCHAR)
        || ',"token_count":' || ((CAST(strlen(prompt) AS BIGINT) + 3) // 4) || '}}' AS json
-FROM prompts JOIN (SELECT repo, list(path ORDER BY parts) AS paths FROM corpus GROUP BY repo) USING (repo)""")
+FROM prompts JOIN (SELECT repo, list(path ORDER BY parts) AS paths FROM corpus GROUP BY repo) USING (repo)"""
+
+
+@register("prompt_json", _JSON)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf)
-    return render.prompt_json(render.placed_prompts(files), files, "cl100k")
+    return render.prompt_json(render.placed_prompts(files), files, "cl100k").drop("parts")
+
+
+@register("prompt_json_parts", f"SELECT repo, true AS numbered, json FROM ({_JSON})")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Records in parts of 16 KiB, put together again; ``parts`` of each tells its last number."""
+    files = corpus(spark, sf)
+    parts = render.prompt_json(render.placed_prompts(files), files, "cl100k", part_bytes=1 << 14)
+    whole = F.array_sort(F.collect_list(F.struct("part", "json")))
+    return parts.groupBy("repo").agg(
+        (F.max("part") + 1 == F.max("parts")).alias("numbered"),
+        F.array_join(F.transform(whole, lambda p: p["json"]), "").alias("json"),
+    )
 
 
 @register("write_prompts", f"WITH {CORPUS}, {PROMPT_SQL} SELECT repo, CAST(0 AS BIGINT) AS part, prompt FROM prompts")

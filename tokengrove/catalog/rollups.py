@@ -190,6 +190,43 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SAVED = (("", False), ("en", True), ("en/m1", False), ("en/m1/sub", True), ("fr/m2", True), ("fr/m2/sub", False), ("de/m4/", True))
+
+
+def saved_selection(files: DataFrame) -> DataFrame:
+    """Nested rows that overrule each other; repositories of names starting with ``src1`` have none at the root."""
+    rows = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(s).alias("selected")) for p, s in _SAVED])
+    return files.select("repo").distinct().select("repo", F.explode(rows).alias("s")).select("repo", "s.*").where(
+        "path <> '' or repo not like 'src1%'"
+    )
+
+
+_CHOSEN = (
+    "(SELECT arg_max(s, length(p)) FROM (VALUES "
+    + ", ".join(f"('{p.rstrip('/')}', {str(s).lower()})" for p, s in _SAVED)
+    + ") v(p, s) WHERE p = '' OR rel_path = p OR starts_with(rel_path, p || '/'))"
+)
+
+
+@register("visible_by_selection", over_climbed(f"""
+, chosen AS (SELECT *, {_CHOSEN} AND COALESCE(ext IN ('rs', 'py', 'md'), false) AS seen FROM climbed)
+SELECT repo, node, is_dir, count(*) FILTER (seen) AS visible_files,
+       CAST(COALESCE(sum(tokens) FILTER (seen), 0) AS BIGINT) AS visible_tokens
+FROM chosen GROUP BY 1, 2, 3"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf).select("repo", "rel_path", "ext", "tokens")
+    active = files.select("repo", "ext").where("ext in ('rs', 'py', 'md')").distinct()
+    return rollup.visible_totals(selection.flag_by_selection(files, saved_selection(files), active))
+
+
+@register("state_by_selection", over_climbed(f"""
+SELECT repo, node, bool_and(sel) AS selected, bool_or(sel) AND NOT bool_and(sel) AS partial
+FROM (SELECT *, {_CHOSEN} AS sel FROM climbed WHERE is_dir) GROUP BY 1, 2"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf).select("repo", "rel_path", "ext")
+    return rollup.selection_state(selection.flag_by_selection(files, saved_selection(files)))
+
+
 @register("allowed_nodes", over_climbed("""
 SELECT DISTINCT repo, node FROM climbed
 WHERE ext = CASE repo WHEN 'src1' THEN 'py' ELSE 'rs' END"""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 import os
+import time
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,8 @@ from tokengrove.operators.cache import cache_rows
 from tokengrove.plans.lineage import cut, work_dir
 from tokengrove.sources import files as source
 from tokengrove.sources.tables import documents_corpus as corpus, read_table
-from tokengrove.streaming.incremental import append_batch, current_cache, incremental_scan
+from tokengrove.sources.tree_source import SETTLED_US, read_tree
+from tokengrove.streaming.incremental import append_batch, current_cache, incremental_scan, scan_stream
 
 
 def lay_out(files: DataFrame, folder: str) -> None:
@@ -109,6 +111,39 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(source.scan_files(spark, _tree(spark, sf), include=["**/*.{py,md}"], exclude=["**/m2/sub/**"]))
 
 
+def _by_repo(files: DataFrame) -> DataFrame:
+    """Files of one tree whose top directories are repositories."""
+    return files.withColumns(
+        {
+            "repo": F.substring_index("rel_path", "/", 1),
+            "rel_path": F.regexp_replace("rel_path", r"^[^/]*/", ""),
+        }
+    )
+
+
+@register("scan_source", _scan_sql(_NOT_IGNORED + """ AND COALESCE(ext, '') IN ('py', 'md') AND size * times >= 500
+  AND NOT (list_contains(parts, 'sub') AND list_contains(parts, 'm2'))"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """All repositories as one tree, read as a data source that is asked for extensions, sizes and globs."""
+    folder = os.path.dirname(_tree(spark, sf, ignore_files=True).first()["root"])
+    tree = read_tree(spark, folder, "ext in ('py', 'md') and size >= 500", exclude='["**/m2/sub/**"]')
+    return _shown(_by_repo(tree))
+
+
+@register("scan_stream", f"""
+SELECT repo, rel_path, size, tokens, digest FROM ({_scan_sql("NOT starts_with(rel_path, '.')")})""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree followed by a stream: a first run finds it, a second one finds nothing new."""
+    folder = os.path.dirname(_tree(spark, sf).first()["root"])
+    table, checkpoint = work_dir(spark, "tree-cache"), work_dir(spark, "tree-progress")
+    time.sleep(2 * SETTLED_US / 1e6)
+    for _ in range(2):
+        scan_stream(spark, folder, table, checkpoint).awaitTermination()
+    return _by_repo(current_cache(spark, table)).select(
+        "repo", "rel_path", "size", "tokens", sha256_hex(F.col("content")).alias("digest")
+    )
+
+
 @register("scan_cached", _scan_sql("NOT starts_with(rel_path, '.')").replace(
     "AS tokens", "+ CASE WHEN doc_id % 3 = 1 THEN 7 ELSE 0 END AS tokens").replace(
     "sha256(repeat(content, times))", "sha256(CASE WHEN doc_id % 3 = 1 THEN 'kept' ELSE repeat(content, times) END)"))

@@ -146,14 +146,31 @@ def merged_length(piece: bytes, ranks: Mapping[bytes, int]) -> int:
     return count
 
 
-def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Column:
-    """Token count of ``text``; each special token counts as one, null text gives null.
+def pretokens(text: Column, tokenizer: Tokenizer) -> Column:
+    """The pieces of ``text`` that are merged on their own, in order; special tokens are pieces."""
+
+    def split(part: Column) -> Column:
+        return F.regexp_extract_all(part, F.lit(tokenizer.pattern), F.lit(0))
+
+    if not tokenizer.specials:
+        return split(text)
+    specials = "|".join(_quote(s) for s in sorted(tokenizer.specials, key=len, reverse=True))
+    # What touches a special token must not swallow it.
+    apart = F.split(text, f"(?={specials})|(?<={specials})", -1)
+    each = F.transform(apart, lambda p: F.when(p.isin(*tokenizer.specials), F.array(p)).otherwise(split(p)))
+    shared = os.path.commonprefix(list(tokenizer.specials))
+    may_have = text.contains(shared)  # a plain search spares almost all texts the rest
+    return F.when(may_have, F.flatten(each)).otherwise(split(text))
+
+
+def merged_tokens(spark: SparkSession, pieces: Column, tokenizer: Tokenizer) -> Column:
+    """How many tokens the pieces of :func:`pretokens` merge into; null gives null.
 
-    The JVM splits the text; a task merges each distinct pre-token of a batch once and
-    remembers it. Nothing is shuffled, so neither a frequent word nor a large repository is hot.
+    A task merges each distinct piece of a batch once and remembers it. Nothing is
+    shuffled, so neither a frequent word nor a large repository is hot.
     """
     shipped = spark.sparkContext.broadcast(dict(tokenizer.ranks))
-    vocabulary = uuid.uuid4().hex
+    vocabulary, specials = uuid.uuid4().hex, frozenset(tokenizer.specials)
 
     @F.arrow_udf(LongType())
     def count(pieces: pa.Array) -> pa.Array:
@@ -164,7 +181,7 @@ def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Colum
         for i, piece in enumerate(coded.dictionary.to_pylist()):
             known = memo.get(piece)
             if known is None:
-                known = merged_length(piece.encode(), ranks)
+                known = 1 if piece in specials else merged_length(piece.encode(), ranks)
                 if len(piece) <= 64 and len(memo) < 1_000_000:
                     memo[piece] = known
             length_of[i] = known
@@ -172,17 +189,15 @@ def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Colum
         ends = pieces.offsets.to_numpy()
         return pa.array(upto[ends[1:]] - upto[ends[:-1]], mask=~pieces.is_valid().to_numpy(False))
 
-    def split(part: Column) -> Column:
-        return F.regexp_extract_all(part, F.lit(tokenizer.pattern), F.lit(0))
+    return count(pieces)
 
-    if not tokenizer.specials:
-        return count(split(text))
-    specials = "|".join(_quote(s) for s in sorted(tokenizer.specials, key=len, reverse=True))
-    between = F.split(text, specials, -1)  # what touches a special token must not swallow it
-    shared = os.path.commonprefix(list(tokenizer.specials))
-    may_have = text.contains(shared)  # a plain search spares almost all texts the rest
-    pieces = F.when(may_have, F.flatten(F.transform(between, split))).otherwise(split(text))
-    return count(pieces) + F.when(may_have, F.size(between) - 1).otherwise(0)
+
+def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Column:
+    """Token count of ``text``; each special token counts as one, null text gives null.
+
+    The JVM splits the text, see :func:`merged_tokens` for the rest.
+    """
+    return merged_tokens(spark, pretokens(text, tokenizer), tokenizer)
 
 
 _MEMOS: dict[str, dict[str, int]] = {}

@@ -27,7 +27,7 @@ from tokengrove.operators.templates import (
     render_nodes,
 )
 from tokengrove.operators.tree import source_tree
-from tokengrove.plans.assemble import PART_BYTES, join_parts, placed_pieces
+from tokengrove.plans.assemble import PART_BYTES, assemble, join_parts, placed_pieces, write_pieces
 from tokengrove.plans.lineage import cut
 from tokengrove.plans.skew import salted_join
 
@@ -276,16 +276,29 @@ def prompt_json(
     tokens: DataFrame | None = None,
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """One JSON record per repository, ``(repo, part, json)``, keys in alphabetical order.
+    """One JSON record per repository, ``(repo, part, parts, json)``, keys in alphabetical order.
 
-    ``placed`` comes from :func:`placed_prompts` and is written out, as it is needed
-    several times. ``files`` lists absolute paths whatever the prompt shows. ``tokens``
-    is ``(repo, tokens)`` of the prompts, the byte-based count by default. Escaping works
-    character by character, so escaped pieces concatenate to the escaped prompt.
+    ``placed`` comes from :func:`placed_prompts`. ``files`` lists absolute paths whatever the prompt shows.
+    ``tokens`` is ``(repo, tokens)`` of the prompts, the byte-based count by default. Escaping works
+    character by character, so escaped pieces concatenate to the escaped prompt. They are written
+    once and placed by their escaped sizes; ``parts`` is how many parts the record has.
     """
-    placed = cut(placed)
+    order = ["seg", "sub", "key"]
+    prompt = write_pieces(
+        placed.select(
+            "repo",
+            F.lit(3).alias("seg"),
+            F.col("seg").alias("sub"),
+            "key",
+            json_text(F.col("text")).alias("text"),
+            F.octet_length("text").alias("_raw"),
+        ),
+        ["repo"],
+        order,
+        _raw=F.col("_raw"),
+    )
     if tokens is None:
-        tokens = prompt_tokens_bytes4(placed)
+        tokens = prompt.groupBy("repo").agg(tokens_bytes4(F.sum("_raw")).alias("tokens"))
     first = files.groupBy("repo").agg(F.min(parts_of(F.col("rel_path"))).alias("_first"))
     head = F.concat(
         F.lit('{"directory_name":"'), json_text(F.col("repo")), F.lit('","files":[')
@@ -328,14 +341,8 @@ def prompt_json(
             ).alias("text"),
         )
     )
-    prompt = placed.select(
-        "repo",
-        F.lit(3).alias("seg"),
-        F.col("seg").alias("sub"),
-        "key",
-        json_text(F.col("text")).alias("text"),
+    sized = frame.unionByName(paths).withColumns(
+        {"_bytes": F.octet_length("text").cast("bigint"), "_solid": F.lit(1).cast("bigint")}
     )
-    order = ["seg", "sub", "key"]
-    pieces = frame.unionByName(paths).unionByName(prompt)
-    out = placed_pieces(pieces, ["repo"], order, part_bytes)
-    return join_parts(out, ["repo"], order).withColumnRenamed("text", "json")
+    pieces = sized.unionByName(prompt.drop("_raw"))
+    return assemble(pieces, ["repo"], order, part_bytes, written=True, count=True).withColumnRenamed("text", "json")

@@ -9,12 +9,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokengrove.functions.lines import common_lines
+from tokengrove.functions.paths import ancestors, parent_of
 from tokengrove.plans.lineage import cut
 from tokengrove.plans.skew import salted_join
 from tokengrove.plans.slices import ranked
@@ -49,6 +51,74 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_tree(files: DataFrame) -> DataFrame:
+    """A snapshot's nodes ``(repo, node, parent, is_dir, digest)``, to be stored beside it; the root is ``''``.
+
+    A directory's digest is the number of files below it and two sums without carry of hashes of their paths and
+    contents, which tasks add up before anything is shuffled: equal subtrees have equal digests.
+    """
+    leaf = files.select(*KEY, _digest(F.col("content")).alias("_d")).select(
+        "repo",
+        F.col("rel_path").alias("node"),
+        F.struct(
+            F.lit(1).cast("bigint").alias("files"),
+            F.xxhash64("rel_path", "_d").alias("x"),
+            F.xxhash64(F.lit(1), "_d", "rel_path").alias("y"),
+        ).alias("digest"),
+    )
+
+    def added(rows: DataFrame, *key: Column) -> DataFrame:
+        sums = F.struct(
+            F.sum("digest.files").alias("files"), F.bit_xor("digest.x").alias("x"), F.bit_xor("digest.y").alias("y")
+        )
+        return rows.groupBy(*key).agg(sums.alias("digest"))
+
+    direct = added(leaf.withColumn("dir", parent_of(F.col("node"))), "repo", "dir")
+    dirs = added(direct.withColumn("node", F.explode(ancestors(F.col("dir")))), "repo", "node")
+    nodes = dirs.withColumn("is_dir", F.lit(True)).unionByName(leaf.withColumn("is_dir", F.lit(False)))
+    parent = F.when(F.col("node") != "", parent_of(F.col("node")))
+    return nodes.select("repo", "node", parent.alias("parent"), "is_dir", "digest")
+
+
+def differing_levels(old: DataFrame, new: DataFrame) -> Iterator[DataFrame]:
+    """Level by level the nodes ``(repo, node, is_dir, status)`` in which two stored trees differ.
+
+    Only children of directories that differ are compared, so a change in one file
+    reads one path of directories; a level without differences ends it.
+    """
+    open_dirs = None
+    while True:
+        sides = []
+        for tree, name in ((old, "_old"), (new, "_new")):
+            level = tree.select("repo", "node", "parent", "is_dir", F.col("digest").alias(name))
+            if open_dirs is None:
+                level = level.where(F.col("parent").isNull())
+            else:
+                level = salted_join(level, open_dirs, ["repo", "parent"], "left_semi", ["node"])
+            sides.append(level.drop("parent"))
+        status = F.when(F.col("_old").isNull(), "A").when(F.col("_new").isNull(), "D").otherwise("M")
+        found = cut(
+            sides[0]
+            .join(sides[1], ["repo", "node", "is_dir"], "full_outer")
+            .where(~F.col("_old").eqNullSafe(F.col("_new")))
+            .select("repo", "node", "is_dir", status.alias("status"))
+        )
+        if found.isEmpty():
+            return
+        yield found
+        open_dirs = found.where("is_dir").select("repo", F.col("node").alias("parent"))
+
+
+def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """:func:`snapshot_diff` of two stored trees, see :func:`snapshot_tree`. Runs a job per level that differs."""
+    nothing = old.limit(0).select("repo", F.col("node").alias("rel_path"), F.lit("").alias("status"))
+    levels = [
+        level.where("not is_dir").select("repo", F.col("node").alias("rel_path"), "status")
+        for level in differing_levels(old, new)
+    ]
+    return reduce(DataFrame.unionByName, levels, nothing)
+
+
 def _split(text: str | None) -> list[str]:
     if not text:
         return []
@@ -298,130 +368,171 @@ def branch_diff(requests: DataFrame, refs: DataFrame, trees: DataFrame) -> DataF
     )
 
 
-def _runs(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contract unbranched runs of history.
+#: Positions of a chain that a request joins at a time.
+CHAIN_BLOCK = 1024
+
+
+def _hop(rows: DataFrame, beyond: DataFrame) -> DataFrame:
+    """Follow each pointer of ``rows`` as far as that of the commit it points to.
 
-    Returns every commit with the oldest commit of its run, ``bottom``, and its distance
-    from it, and the edges between runs. Pointers double each round, so a run of a
-    million commits takes twenty rounds; a commit's pointer is its own while it moves,
-    which keeps the join free of hot keys.
+    A commit that is done meets its own row, so no root becomes a hot key.
     """
-    key = commits.select("repo", "commit", "parents")
-    edges = key.select("repo", "commit", F.explode("parents").alias("parent")).join(
-        key.select("repo", F.col("commit").alias("parent")), ["repo", "parent"], "left_semi"
-    )
-    fan_out = edges.groupBy("repo", "commit").agg(
-        F.count(F.lit(1)).alias("_parents"), F.min("parent").alias("parent")
+    moving = F.when(F.col("done"), F.col("commit")).otherwise(F.col("up"))
+    return (
+        rows.withColumn("_at", moving)
+        .join(beyond, ["repo", "_at"])
+        .withColumn("up", F.when(F.col("done"), F.col("up")).otherwise(F.col("_up")))
+        .withColumn("dist", F.col("dist") + F.when(F.col("done"), 0).otherwise(F.col("_dist")))
+        .withColumn("done", F.col("done") | F.col("_done"))
+        .drop("_at", "_up", "_dist", "_done")
     )
-    only_child = edges.groupBy("repo", "parent").agg(F.count(F.lit(1)).alias("_children"))
-    links = (
-        fan_out.where("_parents = 1")
-        .join(only_child.where("_children = 1"), ["repo", "parent"])
-        .select("repo", "commit", "parent")
+
+
+def _chains(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut a commit graph into chains of first parents.
+
+    First parents make a forest. A commit belongs to the chain of the deepest leaf above it
+    (the newest commit of the longest line; ties by id), and its position is its distance from the root, so a
+    main line is one chain however many branches fork from it. Returns ``(repo, commit, chain, pos)``
+    and the edges between chains, ``(repo, chain, pos, to, to_pos)``. Pointers and the leaf known
+    so far move four times as far each round: eight rounds for a line of sixty thousand commits.
+    """
+    key = commits.select("repo", "commit", "parents")
+    edges = cut(
+        key.select("repo", "commit", F.posexplode("parents").alias("_nth", "parent")).join(
+            key.select("repo", F.col("commit").alias("parent")), ["repo", "parent"], "left_semi"
+        )
     )
+    first = edges.groupBy("repo", "commit").agg(F.min_by("parent", "_nth").alias("parent"))
+    leaf = F.struct(F.lit(0).cast("bigint").alias("height"), F.col("commit").alias("leaf"))
     state = cut(
         key.select("repo", "commit")
-        .join(links, ["repo", "commit"], "left")
+        .join(first, ["repo", "commit"], "left")
         .select(
             "repo",
             "commit",
-            F.coalesce("parent", "commit").alias("bottom"),
+            F.coalesce("parent", "commit").alias("up"),
             F.col("parent").isNotNull().cast("bigint").alias("dist"),
             F.col("parent").isNull().alias("done"),
+            leaf.alias("best"),
         )
     )
-    total, longest = state.count(), 1
-    while not state.where("not done").isEmpty():
-        if longest > total:
+    total, step = state.count(), 1
+
+    def offered(rows: DataFrame, far: int) -> DataFrame:
+        """The best leaf of each row, to the commit ``far`` below."""
+        best = F.struct((F.col("best.height") + far).alias("height"), F.col("best.leaf").alias("leaf"))
+        return rows.where(F.col("dist") == far).select("repo", F.col("up").alias("commit"), best.alias("_best"))
+
+    while True:
+        if step > 4 * total:
             raise ValueError("the commit graph has a cycle")
-        longest *= 2
         beyond = state.select(
-            "repo",
-            F.col("commit").alias("bottom"),
-            F.col("bottom").alias("_bottom"),
-            F.col("dist").alias("_dist"),
-            F.col("done").alias("_done"),
+            "repo", F.col("commit").alias("_at"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.col("done").alias("_done")
         )
-        moved = (
-            state.where("not done")
-            .join(beyond, ["repo", "bottom"])
-            .select(
-                "repo",
-                "commit",
-                F.col("_bottom").alias("bottom"),
-                (F.col("dist") + F.col("_dist")).alias("dist"),
-                F.col("_done").alias("done"),
-            )
+        hops = [state.where("not done")]
+        for _ in range(3):
+            hops.append(_hop(hops[-1], beyond))
+        offers = offered(state, step).unionByName(offered(hops[1], 2 * step)).unionByName(offered(hops[2], 3 * step))
+        best = offers.groupBy("repo", "commit").agg(F.max("_best").alias("_best"))
+        settled = state.where("not done").isEmpty()
+        state = cut(
+            state.where("done")
+            .unionByName(hops[3])
+            .join(best, ["repo", "commit"], "left")
+            .withColumn("best", F.greatest("best", F.coalesce("_best", "best")))
+            .drop("_best")
+        )
+        if settled:
+            break
+        step *= 4
+    places = state.select("repo", "commit", F.col("best.leaf").alias("chain"), F.col("dist").alias("pos"))
+    cross = (
+        edges.select("repo", "commit", "parent")
+        .join(places, ["repo", "commit"])
+        .join(
+            places.select("repo", F.col("commit").alias("parent"), F.col("chain").alias("to"), F.col("pos").alias("to_pos")),
+            ["repo", "parent"],
         )
-        state = cut(state.where("done").unionByName(moved))
-    at = state.select("repo", "commit", "bottom", "dist")
-    run_edges = (
-        at.where("dist = 0")
-        .select("repo", "commit")
-        .join(edges, ["repo", "commit"])
-        .join(at.select("repo", F.col("commit").alias("parent"), F.col("bottom").alias("to")), ["repo", "parent"])
-        .select("repo", F.col("commit").alias("bottom"), "to")
+        .where("chain <> to")
+        .select("repo", "chain", "pos", "to", "to_pos")
         .distinct()
     )
-    return at, cut(run_edges)
+    return places, cut(cross)
 
 
-def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Commits reachable from ``branch2`` and not from ``branch1``, oldest first.
+def _reached(heads: DataFrame, cross: DataFrame) -> tuple[DataFrame, int]:
+    """``(repo, head, chain, limit)``: the highest position of each chain that a head reaches, and the rounds it took.
 
-    Returns ``(repo, branch1, branch2, seq, commit, line)``; requests naming a missing
-    branch return nothing. Reachability spreads from run to run, for all requests at
-    once, a round per merge or fork on the longest way; commits inside a run are
-    settled by their distance.
+    All heads spread at once, each walked once per repository. A chain counts again only
+    if it is entered higher than before, so what merges into a line and forks from it again
+    takes two rounds, however many there are.
     """
-    asked = valid_requests(requests, refs)
-    at, run_edges = _runs(commits)
-    sides = asked.select(
-        "repo",
-        "branch1",
-        "branch2",
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("side"), F.col("branch1").alias("branch")),
-                F.struct(F.lit(2).alias("side"), F.col("branch2").alias("branch")),
-            )
-        ).alias("s"),
-    ).select("repo", "branch1", "branch2", "s.side", "s.branch")
-    who = ["repo", "branch1", "branch2", "side"]
-    heads = cut(
-        sides.join(refs.select("repo", "branch", "commit"), ["repo", "branch"])
-        .join(at, ["repo", "commit"])
-        .select(*who, "bottom", F.col("dist").alias("limit"))
-    )
-    whole = F.lit(2**62).cast("bigint")
     seen = heads
-    frontier = heads.select(*who, "bottom")
+    frontier = heads.withColumn("_from", F.lit(-1).cast("bigint"))
     rounds = 0
     while True:
         entered = (
-            frontier.join(run_edges, ["repo", "bottom"])
-            .select(*who, F.col("to").alias("bottom"))
-            .distinct()
-            .join(seen.select(*who, "bottom"), [*who, "bottom"], "left_anti")
+            salted_join(cross, frontier, ["repo", "chain"], "inner", ["pos", "to"])
+            .where((F.col("pos") <= F.col("limit")) & (F.col("pos") > F.col("_from")))
+            .groupBy("repo", "head", F.col("to").alias("chain"))
+            .agg(F.max("to_pos").alias("limit"))
+        )
+        before = seen.withColumnRenamed("limit", "_from")
+        frontier = cut(
+            entered.join(before, ["repo", "head", "chain"], "left")
+            .withColumn("_from", F.coalesce("_from", F.lit(-1).cast("bigint")))
+            .where(F.col("limit") > F.col("_from"))
         )
-        frontier = cut(entered)
         if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.withColumn("limit", whole))
+            return seen, rounds
         rounds += 1
-        if rounds % 8 == 0:
-            seen = cut(seen)
-    reach = seen.groupBy("repo", "branch1", "branch2", "bottom").agg(
-        F.max(F.when(F.col("side") == 1, F.col("limit"))).alias("_hidden"),
-        F.max(F.when(F.col("side") == 2, F.col("limit"))).alias("_pushed"),
+        seen = cut(
+            seen.unionByName(frontier.drop("_from")).groupBy("repo", "head", "chain").agg(F.max("limit").alias("limit"))
+        )
+
+
+def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Commits reachable from ``branch2`` and not from ``branch1``, oldest first.
+
+    Returns ``(repo, branch1, branch2, seq, commit, line)``; requests naming a missing
+    branch return nothing. Of each chain of first parents a head reaches all up to one position, so a
+    request is a range of each chain; it meets the commits of its range only.
+    """
+    asked = valid_requests(requests, refs)
+    places, cross = _chains(commits)
+    at = refs.select("repo", "branch", F.col("commit").alias("head"))
+    sides = asked
+    for k in (1, 2):
+        head = at.select("repo", F.col("branch").alias(f"branch{k}"), F.col("head").alias(f"_head{k}"))
+        sides = sides.join(head, ["repo", f"branch{k}"])
+    sides = cut(sides)
+    named = sides.select("repo", F.explode(F.array("_head1", "_head2")).alias("commit")).distinct()
+    heads = cut(
+        named.join(places, ["repo", "commit"]).select(
+            "repo", F.col("commit").alias("head"), "chain", F.col("pos").alias("limit")
+        )
+    )
+    reach, _ = _reached(heads, cross)
+    who = ["repo", "branch1", "branch2"]
+
+    def side(k: int) -> DataFrame:
+        found = reach.withColumnRenamed("head", f"_head{k}")
+        return sides.select(*who, f"_head{k}").join(found, ["repo", f"_head{k}"]).select(*who, "chain", F.col("limit").alias(f"_to{k}"))
+
+    block = lambda c: F.floor(F.col(c) / CHAIN_BLOCK).cast("bigint")
+    ranges = (
+        side(2)
+        .join(side(1), [*who, "chain"], "left")
+        .withColumn("_to1", F.coalesce("_to1", F.lit(-1).cast("bigint")))
+        .where("_to2 > _to1")
+        .withColumn("_low", F.col("_to1") + 1)
+        .withColumn("_block", F.explode(F.sequence(block("_low"), block("_to2"))))
     )
     inside = (
-        salted_join(at, reach, ["repo", "bottom"], "inner", ["commit"])
-        .where(
-            (F.col("dist") <= F.col("_pushed"))
-            & ~F.coalesce(F.col("dist") <= F.col("_hidden"), F.lit(False))
-        )
-        .select("repo", "branch1", "branch2", "commit")
+        salted_join(places.withColumn("_block", block("pos")), ranges, ["repo", "chain", "_block"], "inner", ["commit"])
+        .where((F.col("pos") <= F.col("_to2")) & (F.col("pos") > F.col("_to1")))
+        .select(*who, "commit")
         .join(commits.select("repo", "commit", "ts", "summary"), ["repo", "commit"])
     )
     line = F.concat(
@@ -431,8 +542,8 @@ def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> Da
         F.lit("\n"),
     )
     return ranked(
-        inside, ["repo", "branch1", "branch2"], [F.col("ts"), F.col("commit")], "seq"
-    ).select("repo", "branch1", "branch2", "seq", "commit", line.alias("line"))
+        inside, who, [F.col("ts"), F.col("commit")], "seq"
+    ).select(*who, "seq", "commit", line.alias("line"))
 
 
 def log_stream(commits_in_range: DataFrame) -> DataFrame:

@@ -5,53 +5,100 @@ the whole text cut into parts, ``(group, part, text)``, such that concatenating
 parts in order gives exactly the text. A piece goes to the part in which its first
 byte falls, so a part holds at most ``part_bytes`` plus one piece, and a text below
 ``part_bytes`` is a single part 0.
+
+Pieces are written once, with their sizes. A group of moderate size is one slice; a
+larger one is cut into slices of whole parts, whose first orders are found from the sizes
+alone. Texts are then shuffled once, by group and slice: offsets are running sums inside a slice
+that add to where it starts, and a part lies in one slice, so the same exchange serves both.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tokengrove.functions.text import trim_all, trim_end, trim_start
+from tokengrove.plans.lineage import cut
+from tokengrove.plans.skew import salted_join
 from tokengrove.plans.slices import running
 
 PART_BYTES = 64 * 1024 * 1024
+#: Slices of large groups hold at least this share of all bytes, which bounds the list of their starts.
+MOST_SLICES = 100_000
+
+
+def write_pieces(pieces: DataFrame, group: Sequence[str], order: Sequence[str], **extra: Column) -> DataFrame:
+    """Pieces as a table, with the sizes that :func:`placed_pieces` needs; ``extra`` columns are computed along."""
+    return cut(
+        pieces.select(
+            *group,
+            *order,
+            F.coalesce("text", F.lit("")).alias("text"),
+            F.octet_length("text").cast("bigint").alias("_bytes"),
+            (trim_all(F.col("text")) != "").cast("bigint").alias("_solid"),
+            *[column.alias(name) for name, column in extra.items()],
+        )
+    )
 
 
-def piece_parts(
-    pieces: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    part_bytes: int = PART_BYTES,
-    **extra: Column,
+def _ordered(values) -> tuple:
+    """A key that Python orders as Spark does: nulls first, arrays element by element."""
+    if values is None:
+        return ()
+    if isinstance(values, str) or not hasattr(values, "__iter__"):
+        return (values,)
+    return (tuple(_ordered(v) for v in values),)
+
+
+def _slices(
+    rows: DataFrame, large: DataFrame, group: list[str], order: list[str], slice_parts: int, part_bytes: int
 ) -> DataFrame:
-    """For every piece its keys and BIGINT ``part``, and whether white space around it is at an end
-    of the whole text (``_head``, ``_tail``). ``extra`` columns are computed along.
+    """``rows`` of large groups with ``_slice`` and what lies before it: bytes, solid pieces, and both of the whole group.
 
-    Only keys and lengths move; the texts are read once and left where they are.
+    Only keys and sizes are sorted; the first order of each slice is sent to all tasks, at most
+    two for each of ``MOST_SLICES``.
     """
-    keys = [*group, *order]
-    sizes = pieces.select(
-        *keys,
-        F.octet_length("text").alias("_bytes"),
-        (trim_all(F.col("text")) != "").cast("bigint").alias("_solid"),
-        *[column.alias(name) for name, column in extra.items()],
-    )
+    sizes = salted_join(rows.select(*group, *order, "_bytes", "_solid"), large, group, "left_semi", order)
     offsets = running(
         sizes,
         group,
         [F.col(c) for c in order],
-        {"_at": F.col("_bytes"), "_solid_before": F.col("_solid")},
-        {"_solid_all": "_solid_before"},
+        {"_at": F.col("_bytes"), "_before": F.col("_solid")},
+        {"_all": "_before"},
     )
-    return offsets.select(
-        *keys,
-        F.floor(F.col("_at") / F.lit(part_bytes)).cast("bigint").alias("part"),
-        (F.col("_solid_before") == 0).alias("_head"),
-        (F.col("_solid_before") + F.col("_solid") == F.col("_solid_all")).alias("_tail"),
-        *extra,
+    part = F.floor(F.col("_at") / F.lit(part_bytes)).cast("bigint")
+    # Numbers may be skipped where a piece is larger than a slice; places in the list are not.
+    dense = F.row_number().over(Window.partitionBy(*group).orderBy("_number")) - 1
+    starts = cut(
+        offsets.groupBy(*group, F.floor(part / F.lit(slice_parts)).cast("bigint").alias("_number"))
+        .agg(F.min(F.struct(*order, "_at", "_before", "_all")).alias("_first"), F.max("_at").alias("_end"))
+        .select(
+            *group,
+            dense.cast("int").alias("_slice"),
+            "_first.*",
+            F.max("_end").over(Window.partitionBy(*group)).alias("_end"),
+        )
     )
+    known: dict[tuple, list[tuple]] = {}
+    for row in starts.orderBy(*group, "_slice").select(*group, *order).collect():
+        known.setdefault(_ordered(row[: len(group)]), []).append(_ordered(row[len(group) :]))
+    shipped = rows.sparkSession.sparkContext.broadcast(known)
+    width = len(group)
+
+    @F.pandas_udf("int")
+    def slice_of(keys: pd.DataFrame) -> pd.Series:
+        firsts = shipped.value
+        out = []
+        for row in keys.itertuples(index=False, name=None):
+            found = firsts.get(_ordered(row[:width]))
+            out.append(bisect_right(found, _ordered(row[width:])) - 1 if found else 0)
+        return pd.Series(out, dtype="int32")
+
+    sliced = rows.withColumn("_slice", slice_of(F.struct(*group, *order)))
+    return sliced.join(F.broadcast(starts.drop(*order)), [*group, "_slice"], "left")
 
 
 def placed_pieces(
@@ -60,39 +107,67 @@ def placed_pieces(
     order: Sequence[str],
     part_bytes: int = PART_BYTES,
     trim: bool = False,
-    parts: DataFrame | None = None,
+    written: bool = False,
 ) -> DataFrame:
-    """``pieces`` with their ``part``; with ``trim`` the text as a whole is trimmed.
+    """``pieces`` with their ``part``, the last one of their group, ``_last``, and ``_slice``; with
+    ``trim`` the text as a whole is trimmed.
 
-    The text joins its part on its own unique key, which no hot group can skew.
-    ``parts`` may hand in what :func:`piece_parts` found before.
+    ``written`` tells that the pieces come from :func:`write_pieces`. The result is partitioned by
+    group and slice, which is what :func:`join_parts` needs.
     """
-    keys = [*group, *order]
-    if parts is None:
-        parts = piece_parts(pieces, group, order, part_bytes)
-    placed = pieces.join(parts, keys)
+    group, order = list(group), list(order)
+    rows = pieces if written else write_pieces(pieces, group, order)
+    sizes = rows.groupBy(*group).agg(F.sum("_bytes").alias("_size"))
+    total, largest = sizes.agg(F.sum("_size"), F.max("_size")).first()
+    slice_parts = max(1, (total or 0) // MOST_SLICES // part_bytes)
+    if (largest or 0) > slice_parts * part_bytes:
+        large = sizes.where(F.col("_size") > slice_parts * part_bytes).select(*group)
+        rows = _slices(rows, large, group, order, slice_parts, part_bytes)
+    else:
+        none = F.lit(None).cast("bigint")
+        rows = rows.withColumns({"_slice": F.lit(0)} | {c: none for c in ("_at", "_before", "_all", "_end")})
+    here = Window.partitionBy(*group, "_slice")
+    earlier = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(size: str, start: str) -> Column:
+        return F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.coalesce(F.col(start), F.lit(0))
+
+    rows = rows.withColumn("_offset", before("_bytes", "_at"))
     if trim:
+        rows = rows.withColumns(
+            {
+                "_head": before("_solid", "_before") == 0,
+                "_rest": F.coalesce("_all", F.sum("_solid").over(here)) - before("_solid", "_before") - F.col("_solid"),
+            }
+        )
         text = F.col("text")
         text = F.when(F.col("_head"), trim_start(text)).otherwise(text)
-        text = F.when(F.col("_tail"), trim_end(text)).otherwise(text)
-        placed = placed.withColumn("text", text)
-    return placed.select(*keys, "part", "text")
+        rows = rows.withColumn("text", F.when(F.col("_rest") == 0, trim_end(text)).otherwise(text))
+
+    def number(offset: Column) -> Column:
+        return F.floor(offset / F.lit(part_bytes)).cast("bigint")
+
+    end = F.coalesce("_end", F.max("_offset").over(here))
+    return rows.withColumn("_last", number(end)).withColumn("part", number(F.col("_offset"))).drop(
+        "_at", "_before", "_all", "_end", "_offset", "_head", "_rest", "_bytes", "_solid"
+    )
 
 
-def join_parts(placed: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def join_parts(placed: DataFrame, group: Sequence[str], order: Sequence[str], count: bool = False) -> DataFrame:
     """Concatenate placed pieces; a group here is one part, bounded by its byte budget.
 
     Empty pieces take no room in a part, however many there are: they are not collected.
+    With ``count`` also ``parts``, the number of the group's last part and one.
     """
-    return placed.groupBy(*group, "part").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(*order, "text")))),
-                lambda p: p["text"],
-            ),
-            "",
-        ).alias("text")
+    text = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(*order, "text")))),
+            lambda p: p["text"],
+        ),
+        "",
     )
+    parts = [(F.max("_last") + 1).alias("parts")] if count else []
+    return placed.groupBy(*group, "_slice", "part").agg(text.alias("text"), *parts).drop("_slice")
 
 
 def assemble(
@@ -101,5 +176,7 @@ def assemble(
     order: Sequence[str],
     part_bytes: int = PART_BYTES,
     trim: bool = False,
+    written: bool = False,
+    count: bool = False,
 ) -> DataFrame:
-    return join_parts(placed_pieces(pieces, group, order, part_bytes, trim), group, order)
+    return join_parts(placed_pieces(pieces, group, order, part_bytes, trim, written), group, order, count)

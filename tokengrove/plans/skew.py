@@ -25,7 +25,7 @@ def salt_count(rows: DataFrame, dim: DataFrame) -> int:
     return max(2, min(width, size // 3 // GROUP_BYTES + 1, size // max(1, _estimate(dim))))
 
 
-def _broadcast(dim: DataFrame) -> bool:
+def broadcasts(dim: DataFrame) -> bool:
     """Does Spark broadcast ``dim`` by its own threshold? Such a join has no groups."""
     conf = dim.sparkSession._jsparkSession.sessionState().conf()
     return _estimate(dim) <= conf.autoBroadcastJoinThreshold()
@@ -50,7 +50,7 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported salted join type: {how}")
     on = list(on)
-    if salts is None and _broadcast(dim):
+    if salts is None and broadcasts(dim):
         return rows.join(dim, on, how)
     salts = salts or salt_count(rows, dim)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

@@ -2,7 +2,7 @@
 
 Listing goes level by level: every directory is a row, so a broad tree lists in
 parallel and each level is written out. A directory's ignore files are read when it is
-listed and travel down with the rows, so ignored and hidden directories are never
+listed and their paths travel down with the rows, so ignored and hidden directories are never
 entered. Filters apply to the listing, before any file is opened; reading is spread by
 path, so one crowded directory is not one task.
 """
@@ -13,12 +13,11 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 import json
 import os
-import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokengrove.functions.globs import ignore_line_to_rule
+from tokengrove.functions.globs import RuleSet, compiled_rules
 from tokengrove.functions.paths import extension_of
 from tokengrove.functions.tokens import tokens_bytes4
 from tokengrove.operators.cache import cache_content, cache_lookup, cache_misses
@@ -30,6 +29,7 @@ _ENTRY = (
     "size bigint, mtime_us bigint, rules string, above string"
 )
 _BATCH_ROWS = 4096
+_KNOWN_RULES = 100_000  # compiled ignore files, and missing ones, that a task keeps
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
@@ -42,41 +42,70 @@ def local_path(uri: str) -> str:
     return uri
 
 
-class _Rules:
+class Rules:
     """The ignore rules that hold in one directory: of its own files and of those above.
 
     The deepest file with a matching rule decides, by its last one; files named ``.ignore``
-    come before all ``.gitignore`` files.
+    come before all ``.gitignore`` files. ``carried`` lists the ignore files above by name and folder; their
+    text is not carried. ``known`` keeps what a task has compiled, by path.
     """
 
-    def __init__(self, carried: str, folder: str, names: list[str]):
-        self.files: list[list] = json.loads(carried)  # [name, base, lines], shallow to deep
-        for name in names:
-            try:
-                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-                    self.files.append([name, folder, f.read().split("\n")])
-            except OSError:
-                continue
+    def __init__(self, carried: str, folder: str, names: list[str], known: dict[str, RuleSet | None]):
+        self.files: list[list[str]] = json.loads(carried)  # [name, folder], shallow to deep
+        self.compiled: list[tuple[str, int, RuleSet]] = []
+        for name, base in [*self.files, *([name, folder] for name in names)]:
+            path = os.path.join(base, name)
+            if path not in known:
+                if len(known) >= _KNOWN_RULES:
+                    known.clear()
+                known[path] = _read_rules(path)
+            rules = known[path]
+            if rules is not None:
+                self.compiled.append((name, len(base.rstrip("/")) + 1, rules))
+                if base == folder:
+                    self.files.append([name, folder])
         self.carried = json.dumps(self.files)
-        self.compiled = []
-        for name, base, lines in sorted(self.files, key=lambda f: f[0] == ".gitignore"):
-            rules = [r for r in map(ignore_line_to_rule, lines) if r is not None]
-            fused = [(re.compile(regex.removesuffix(r"\z") + r"\Z"), negated, dir_only) for regex, negated, dir_only in rules]
-            self.compiled.append((name, len(base.rstrip("/")) + 1, fused[::-1]))
 
     def ignored(self, path: str, is_dir: bool) -> bool:
         for kind in (".ignore", ".gitignore"):
             for name, start, rules in reversed(self.compiled):
-                if name != kind:
-                    continue
-                for regex, negated, dir_only in rules:
-                    if (is_dir or not dir_only) and regex.match(path[start:]):
-                        return not negated
+                if name == kind:
+                    found = rules.ignored(path[start:], is_dir)
+                    if found is not None:
+                        return found
         return False
 
 
-def _entries(
-    repo: str, root: str, folder: str, hidden: bool, follow: bool, rules: _Rules, above: list[str]
+def _read_rules(path: str) -> RuleSet | None:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return compiled_rules(f.read().split("\n"))
+    except OSError:
+        return None
+
+
+def rules_above(root: str, names: list[str]) -> str:
+    """The ignore files in directories above a root, as :class:`Rules` carries them.
+
+    ``.ignore`` files count in all of them, ``.gitignore`` files from the nearest directory on that
+    holds a repository, if the root does not hold it itself.
+    """
+    folders, at = [], root
+    while os.path.dirname(at) != at:
+        at = os.path.dirname(at)
+        folders.append(at)
+    tops = [root, *folders]
+    top = next((k for k, f in enumerate(tops) if os.path.exists(os.path.join(f, ".git"))), 0)
+    found = []
+    for k, folder in reversed(list(enumerate(folders, 1))):
+        for name in names:
+            if (name == ".ignore" or k <= top) and os.path.isfile(os.path.join(folder, name)):
+                found.append([name, folder])
+    return json.dumps(found)
+
+
+def entries(
+    repo: str, root: str, folder: str, hidden: bool, follow: bool, rules: Rules, above: list[str]
 ) -> Iterator[tuple]:
     try:
         scan = os.scandir(folder)
@@ -124,8 +153,8 @@ def list_files(
 
     ``roots`` is one directory or a table ``(repo, root)``; a root that is a link counts as its
     target. Hidden directories, and what ``.gitignore`` (unless ``no_ignore``) and ``.ignore``
-    files rule out, are not descended into; entries that cannot be read are skipped. Runs a
-    job per level.
+    files rule out, are not descended into; entries that cannot be read are skipped. Ignore files above
+    a root count as :func:`rules_above` says. Runs a job per level.
     """
     if isinstance(roots, str):
         root = os.path.realpath(local_path(roots))
@@ -137,6 +166,7 @@ def list_files(
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
+        known: dict[str, RuleSet | None] = {}
         for batch in batches:
             for repo, root, folder, carried, above in batch.itertuples(index=False):
                 if folder is None:  # a root
@@ -146,8 +176,9 @@ def list_files(
                     except OSError:
                         continue
                     above = json.dumps([f"{stat.st_dev}:{stat.st_ino}"])
-                rules = _Rules(carried, folder, names)
-                for row in _entries(repo, root, folder, hidden, follow_symlinks, rules, json.loads(above or "[]")):
+                    carried = rules_above(root, names)
+                rules = Rules(carried, folder, names, known)
+                for row in entries(repo, root, folder, hidden, follow_symlinks, rules, json.loads(above or "[]")):
                     rows.append(row)
                     if len(rows) >= _BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=columns)

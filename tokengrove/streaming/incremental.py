@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tokengrove.operators.cache import CACHE_COLUMNS, FILE_KEY, LOOKUP_KEY, cache_misses, cache_rows
+from tokengrove.plans.lineage import cut
+from tokengrove.sources.tree_source import register_tree_source
 
 CACHE_SCHEMA = (
     "repo string, rel_path string, mtime_us bigint, size bigint, sha256 string, "
     "tokenizer string, tokens bigint, content string, cache_version int"
 )
 _LOG_SCHEMA = CACHE_SCHEMA + ", run bigint, batch bigint"
+GONE = -1  # the version of a row that tells that its file is no more
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +42,8 @@ def _latest(log: DataFrame) -> DataFrame:
 
 
 def current_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of each file."""
-    return _latest(_log(spark, path))
+    """The newest row of each file, without files that are gone."""
+    return _latest(_log(spark, path)).where(F.col("cache_version") != GONE)
 
 
 def append_batch(spark: SparkSession, path: str, rows: DataFrame, batch: int, run: int = 0) -> None:
@@ -73,6 +76,7 @@ def incremental_scan(
     checkpoint: str,
     tokenizer: str = "bytes4",
     count: Callable[[DataFrame], DataFrame] = lambda df: df,
+    present: Callable[[SparkSession], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Process all files now available in the stream ``files`` into the cache at ``path``.
 
@@ -81,6 +85,9 @@ def incremental_scan(
     own folder, so a batch replayed after a failure leaves the same cache. Nothing already
     written is rewritten, whatever the size of the cache; :func:`compact_cache` shortens it.
     One stream writes to a cache at a time.
+
+    ``present`` lists the files ``(repo, rel_path)`` that exist when a batch runs; cached files it does not list
+    get a row that says they are gone.
     """
     spark = files.sparkSession
     run = _run_of(spark, path, checkpoint)
@@ -89,12 +96,19 @@ def incremental_scan(
         own = batch.sparkSession
         earlier = (F.col("run") < run) | (F.col("run") == run) & (F.col("batch") < batch_id)
         known = _latest(_log(own, path).where(earlier))
+        if present is not None:
+            batch = cut(batch)  # files may change while they are read again
         arrived = batch.dropDuplicates(LOOKUP_KEY)
         version = F.struct("mtime_us", "size")
         newest = arrived.groupBy(*FILE_KEY).agg(F.max(version).alias("_v")).select(*FILE_KEY, "_v.*")
         arrived = arrived.join(newest, LOOKUP_KEY, "left_semi")
         fresh = count(cache_misses(arrived, known, tokenizer))
-        append_batch(own, path, cache_rows(fresh, tokenizer), batch_id, run)
+        rows = cache_rows(fresh, tokenizer)
+        if present is not None:
+            missing = known.where(F.col("cache_version") != GONE).join(present(own).select(*FILE_KEY), FILE_KEY, "left_anti")
+            empty = {c: F.lit(None).cast(missing.schema[c].dataType) for c in ("sha256", "tokens", "content")}
+            rows = rows.unionByName(missing.withColumns(empty | {"cache_version": F.lit(GONE)}))
+        append_batch(own, path, rows, batch_id, run)
 
     return (
         files.writeStream.foreachBatch(upsert)
@@ -102,3 +116,28 @@ def incremental_scan(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def scan_stream(
+    spark: SparkSession,
+    root: str,
+    path: str,
+    checkpoint: str,
+    tokenizer: str = "bytes4",
+    count: Callable[[DataFrame], DataFrame] = lambda df: df,
+    **options: str,
+) -> StreamingQuery:
+    """Keep the cache at ``path`` current with the directory tree at ``root``.
+
+    Each run takes in files that were added, changed or moved since the last one with the same checkpoint, and marks those
+    that are gone. ``options`` are those of the ``file_tree`` source.
+    """
+    register_tree_source(spark)
+    options = {"path": root, **options}
+
+    def present(own: SparkSession) -> DataFrame:
+        register_tree_source(own)
+        return own.read.format("file_tree").options(**options, content="false").load()
+
+    files = spark.readStream.format("file_tree").options(**options).load()
+    return incremental_scan(files, path, checkpoint, tokenizer, count, present)
