@@ -23,6 +23,14 @@ def test_order_of_suffixes(letters):
         assert sorted(found) == list(range(len(data)))
         heads = [data[p : min(ends[np.searchsorted(ends, p, "right")], p + sd.SPAN)] for p in found]
         assert heads == sorted(heads)
+        sizes = np.diff(ends, prepend=0)
+        wanted = np.array([rng.randint(0, n) for n in sizes])
+        some = sd.sort_suffixes(np.frombuffer(data, np.uint8), ends, wanted=wanted).tolist()
+        asked = {p for e, n, w in zip(ends.tolist(), sizes.tolist(), wanted.tolist()) for p in range(e - n, e - n + w)}
+        assert asked <= set(some) and len(some) == len(set(some))
+        # As far as a suffix is needed it is in order: to the end of what is asked for.
+        heads = [data[p : p + sd.SPAN] for p in some if p in asked and p + sd.SPAN <= ends[np.searchsorted(ends, p, "right")]]
+        assert heads == sorted(heads)
 
 
 def test_common_prefixes():

@@ -44,7 +44,7 @@ SPAN, GRAM = 50, 12
 REACH = (SPAN - GRAM) // 2
 HALF = REACH + GRAM
 #: Text bytes of a slice; fragment bytes of a bucket before unrepeated ones are dropped.
-SLICE, BUCKET = 8 << 20, 16 << 20
+SLICE, BUCKET = 8 << 20, 8 << 20
 #: Hashes of halves that one task holds.
 HASHES = 2 << 20
 #: A half of more fragments than this is hot.
@@ -359,11 +359,14 @@ def deal(ids: np.ndarray, has: np.ndarray, texts: list[bytes], status: np.ndarra
         yield None, (number[repeated], place[repeated], strings[repeated])
 
 
-def sort_suffixes(data: np.ndarray, ends: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """All suffixes of fragments in order of their first ``depth`` bytes, by two stages.
+def sort_suffixes(
+    data: np.ndarray, ends: np.ndarray, depth: int = SPAN, wanted: np.ndarray | None = None
+) -> np.ndarray:
+    """Suffixes of fragments in order of their first ``depth`` bytes, by two stages.
 
     ``data`` holds the fragments end to end, ``ends`` where each stops. A suffix stops with its
-    fragment and is smaller than whatever continues it.
+    fragment and is smaller than whatever continues it. Where only the first ``wanted`` suffixes of a
+    fragment are asked for, those behind the next directly sorted one are left out: nothing is induced from them.
     """
     n, pieces = len(data), len(ends)
     # Bytes count from 1, a 0 stands behind each fragment.
@@ -378,7 +381,15 @@ def sort_suffixes(data: np.ndarray, ends: np.ndarray, depth: int = SPAN) -> np.n
     smaller = step[np.minimum.accumulate(nearest[::-1])[::-1]] > 0
     del nearest, step
 
-    direct = np.flatnonzero(smaller)
+    behind = np.flatnonzero(x == 0)  # the place behind each fragment
+    last = behind
+    if wanted is not None:
+        following = np.where(smaller, np.arange(len(x), dtype=np.int32), np.int32(len(x) - 1))
+        following = np.minimum.accumulate(following[::-1])[::-1]
+        last = np.minimum(following[ends - np.diff(ends, prepend=0) + np.arange(pieces) + wanted], behind)
+        del following
+    fragment = np.cumsum(x == 0, dtype=np.int32) - (x == 0)
+    direct = np.flatnonzero(smaller & (np.arange(len(x), dtype=np.int32) <= last[fragment]))
     direct = direct[_order(x, direct, depth)]
     sorted_direct = np.split(direct, np.searchsorted(x[direct], np.arange(1, 257)))
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -400,7 +411,7 @@ def sort_suffixes(data: np.ndarray, ends: np.ndarray, depth: int = SPAN) -> np.n
         return own
 
     out = []
-    induce(np.flatnonzero(x == 0), 0)
+    induce(behind[last == behind], 0)
     for letter in range(1, 257):
         run = np.concatenate(induced[letter]) if induced[letter] else direct[:0]
         induced[letter] = []
@@ -411,7 +422,7 @@ def sort_suffixes(data: np.ndarray, ends: np.ndarray, depth: int = SPAN) -> np.n
             out.append(sorted_direct[letter])
             induce(sorted_direct[letter], letter)
     found = np.concatenate(out) if out else direct
-    return found - np.cumsum(x == 0, dtype=np.int32)[found]  # places without the zeros
+    return found - fragment[found]  # places without the zeros
 
 
 def _letters(x: np.ndarray, n: int) -> np.ndarray:
@@ -423,16 +434,46 @@ def _letters(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _order(x: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The order of suffixes by ``depth`` letters: some letters a round, only what is tied goes on."""
-    value = _letters(x, 7)[at]
-    order = np.argsort(value, kind="stable")
-    step = 5 if len(at) < 1 << 22 else 4
-    scale, letters = 257**step, _letters(x, step)
+    """The order of suffixes by ``depth`` letters.
+
+    Equal ones are brought together by a hash and compared; one of each run is sorted.
+    """
+    letters = _letters(x, 7)
     zeros = np.flatnonzero(x == 0)
     stop = zeros[np.searchsorted(zeros, at)]
+
+    def seven(which: np.ndarray, k: int) -> np.ndarray:
+        here = at[which] + k
+        return np.where(here < stop[which], letters[np.minimum(here, len(x) - 1)], 0)
+
+    offsets = (*range(0, depth - 7, 7), depth - 7)
+    every = np.arange(len(at), dtype=np.uint64)
+    mixed = np.zeros(len(at), np.uint64)
+    for k in offsets:
+        mixed = (mixed ^ seven(every.view(np.int64), k).view(np.uint64)) * _MIX[0]
+        mixed ^= mixed >> np.uint64(29)
+    bits = np.uint64(len(at).bit_length())
+    together = (np.sort(mixed >> bits << bits | every) & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    for k in offsets:
+        value = seven(together, k)
+        new[1:] |= value[1:] != value[:-1]
+    heads = np.flatnonzero(new)
+    rank = _sorted(letters, at[together[heads]], stop[together[heads]], len(x), depth)
+    sizes = np.diff(np.append(heads, len(at)))[rank]
+    first = np.cumsum(sizes) - sizes
+    return together[np.repeat(heads[rank] - first, sizes) + np.arange(len(at))]
+
+
+def _sorted(letters: np.ndarray, at: np.ndarray, stop: np.ndarray, size: int, depth: int) -> np.ndarray:
+    """The order of suffixes that mostly differ: some letters a round, only what is tied goes on."""
+    value = letters[at]
+    order = np.argsort(value, kind="stable")
+    step = 5 if len(at) < 1 << 22 else 4
+    drop, scale = 257 ** (7 - step), 257**step
     # Tied suffixes form a group, named by the first of its places in the order.
-    spots, moved, value = np.arange(len(at)), order, value[order]
-    group = np.zeros(len(at), np.int64)
+    spots, moved, value = np.arange(len(at)), order.copy(), value[order]
     for k in range(7, depth + step, step):
         heads = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else spots
         sizes = np.diff(np.append(heads, len(moved)))
@@ -442,7 +483,7 @@ def _order(x: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         if not len(moved) or k >= depth:
             break
         here = at[moved] + k
-        value = np.where(here < stop[moved], letters[np.minimum(here, len(x) - 1)], 0) + group * scale
+        value = np.where(here < stop[moved], letters[np.minimum(here, size - 1)] // drop, 0) + group * scale
         rank = np.argsort(value, kind="stable")
         moved, value = moved[rank], value[rank]
         order[spots] = moved
@@ -485,7 +526,7 @@ def repeats(slices: list[int], blobs: list[bytes]):
     length = length.astype(np.int64)
     ends = np.cumsum(length)
     first = ends - length
-    suffix = sort_suffixes(np.frombuffer(raw, np.uint8), ends)
+    suffix = sort_suffixes(np.frombuffer(raw, np.uint8), ends, wanted=length - SPAN + 1)
     piece = np.searchsorted(ends, suffix, "right")
     whole = ends[piece] - suffix >= SPAN
     suffix, own = suffix[whole], least[piece[whole]]
