@@ -105,6 +105,16 @@ def test_alignment(spark, small, tokenizers, monkeypatch, sizes):
     assert align_rows(ta.align_tokens(docs, *PATHS)) == align_brute(rows, *tokenizers)
 
 
+def test_both_coders_agree():
+    pair = ta.TokenPair(*(ta._file(p) for p in PATHS))
+    assert pair.ranked
+    texts = [t for t in ODD_TEXTS if t] + [prose(k, 200) for k in range(5)]
+    fast = pair.open().encode(texts)
+    pair.opened = pair.ranked = False
+    for a, b in zip(fast, pair.open().encode(texts)):
+        assert (a is None) == (b is None) and (a is None or all((x == y).all() for x, y in zip(a, b)))
+
+
 def test_alignment_of_wide_groups():
     """A group whose pairs are counted instead of listed."""
     sizes = np.array([0, *[1] * 40, 7])
