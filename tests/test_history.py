@@ -36,7 +36,14 @@ def run(spark, graphs):
     return {k: [v[i] for i in sorted(v)] for k, v in got.items()}
 
 
-def test_random_graphs(spark):
+@pytest.fixture(params=["walked", "chains"])
+def how(request, monkeypatch):
+    """Small histories walked as a group, or all by chains."""
+    if request.param == "chains":
+        monkeypatch.setattr(vcs, "SMALL_WALK", 0)
+
+
+def test_random_graphs(spark, how):
     rng = random.Random(11)
     graphs = {}
     for n in range(30):
@@ -56,7 +63,7 @@ def test_random_graphs(spark):
             assert got.get((repo, a, b), []) == expected, (repo, a, b)
 
 
-def test_long_chain_and_shallow_history(spark):
+def test_long_chain_and_shallow_history(spark, how):
     chain = {f"{i:04d}": [f"{i - 1:04d}"] for i in range(700)}  # 0000 names a parent that is not there
     got = run(spark, {"r": (chain, {"m": "0003", "d": "0699"}, [("m", "d"), ("d", "m")])})
     assert got == {("r", "m", "d"): [f"{i:04d}" for i in range(4, 700)]}
@@ -82,7 +89,7 @@ def test_many_merges_take_few_rounds(spark):
     assert {r.head: r["count"] for r in whole.collect()} == {"m01999": 3 * n - 2, "m01000": 3001, "top": 3 * 10 + 1 + 6}
 
 
-def test_cycle_is_reported(spark):
+def test_cycle_is_reported(spark, how):
     with pytest.raises(ValueError):
         run(spark, {"r": ({"a": ["b"], "b": ["a"]}, {"m": "a"}, [("m", "m")])})
 

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tokengrove.functions.tokens import Tokenizer, bpe_tokens, merged_tokens, pretokens
 from tokengrove.operators.render import ORDER
-from tokengrove.plans.assemble import assemble
+from tokengrove.plans.assemble import assemble, write_pieces
 from tokengrove.plans.lineage import cut
 from tokengrove.plans.slices import ranked, running
 
-COUNT_BYTES = 1 << 20
+COUNT_BYTES = 4 << 20
 #: A tail has at least so many characters: more than any pattern looks ahead, and no special token is longer.
 MARGIN = 32
 #: Candidates come from the last characters of a part, split from so many starts (numbers are split by threes).
@@ -153,11 +153,20 @@ def prompt_tokens(
     The count is that of the undivided prompt, whatever ``part_bytes``. The pattern of ``tokenizer``
     must match every character, as the published ones do.
     """
-    texts = cut(assemble(pieces, ["repo"], ORDER, part_bytes, trim=True))
+    rows = write_pieces(pieces, ["repo"], ORDER)
+    sizes = rows.groupBy("repo").agg(F.sum("_bytes").alias("_size"))
+    texts = assemble(rows, ["repo"], ORDER, part_bytes, trim=True, written=True, count=True)
+    if sizes.where(F.col("_size") > part_bytes).isEmpty():  # no prompt is in parts
+        return texts.select("repo", bpe_tokens(rows.sparkSession, F.col("text"), tokenizer).alias("tokens"))
+    texts = cut(texts)
+    whole = texts.where("parts = 1").select(
+        "repo", bpe_tokens(rows.sparkSession, F.col("text"), tokenizer).alias("tokens")
+    )
+    texts = texts.where("parts > 1").select("repo", "part", "text")
     while True:
         steps = cut(_steps(texts, tokenizer))
         way = _way(steps)
         stuck = cut(way.where(F.col("_out").isNull() & ~F.col("_end")).select("repo", "part"))
         if stuck.isEmpty():
-            return way.groupBy("repo").agg(F.sum("tokens").alias("tokens"))
+            return whole.unionByName(way.groupBy("repo").agg(F.sum("tokens").alias("tokens")))
         texts = cut(_joined(texts, steps, stuck))

@@ -46,24 +46,34 @@ def read_rules(files: DataFrame, file_name: str = ".gitignore") -> DataFrame:
     return lines.mapInPandas(compiled, RULES_SCHEMA)
 
 
-def _rule_sets(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Where each ignore file lies, ``(repo, base_dir, set)``, and the rules of each distinct set as JSON."""
+def _rule_sets(rules: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, str] | None]:
+    """Where each ignore file lies, ``(repo, base_dir, set)``, and the rules of each distinct set as JSON,
+    also as a dictionary if they have at most ``RULE_BYTES``."""
     order = F.array_sort(F.collect_list(F.struct("line_no", "regex", "negated", "dir_only")))
     listed = rules.groupBy("repo", "base_dir").agg(order.alias("_rules"))
     bare = F.transform("_rules", lambda r: F.struct(r["regex"], r["negated"], r["dir_only"]))
     text = F.to_json(bare)
     listed = cut(listed.select("repo", "base_dir", text.alias("_text"), F.sha2(text, 256).alias("_set")))
-    return listed.select("repo", "base_dir", "_set"), listed.select("_set", "_text").distinct()
+    sets = cut(listed.select("_set", "_text").distinct())
+    size = sets.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    known = {r["_set"]: r["_text"] for r in sets.collect()} if size <= RULE_BYTES else None
+    return listed.select("repo", "base_dir", "_set"), sets, known
 
 
 def node_verdicts(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Nodes ``(repo, node)`` some rule matches, with ``ignored`` by the deciding rule.
 
-    ``nodes`` has ``(repo, node, is_dir)``. A node meets the digest of each ignore file above it.
-    The rules of a digest are compiled once in a task; equal files share one. They are sent to all
-    tasks if they have at most ``RULE_BYTES``, else they join on the digest.
+    ``nodes`` has ``(repo, node, is_dir)``.
+    """
+    return _verdicts(nodes, *_rule_sets(rules))
+
+
+def _verdicts(nodes: DataFrame, places: DataFrame, sets: DataFrame, known: dict[str, str] | None) -> DataFrame:
+    """:func:`node_verdicts` by sets of rules.
+
+    A node meets the digest of each ignore file above it. The rules of a digest are compiled once in
+    a task; equal files share one. They are sent to all tasks if ``known``, else they join on the digest.
     """
-    places, sets = _rule_sets(rules)
     climbed = nodes.withColumn(
         "base_dir", F.explode(ancestors(F.col("node"), root=True, itself=False))
     )
@@ -71,13 +81,10 @@ def node_verdicts(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     below = F.when(F.col("base_dir") == "", F.col("node")).otherwise(
         F.substring(F.col("node"), F.length("base_dir") + 2, F.length("node"))
     )
-    size = sets.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    known: dict[str, str] = {}
-    if size <= RULE_BYTES:
-        known = {r["_set"]: r["_text"] for r in sets.collect()}
+    if known is not None:
         met = met.withColumn("_text", F.lit(None).cast("string"))
     else:
-        met = salted_join(met, cut(sets), ["_set"], "inner", ["repo", "node"])
+        met = salted_join(met, sets, ["_set"], "inner", ["repo", "node"])
     shipped = nodes.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf("boolean")
@@ -111,9 +118,10 @@ def drop_ignored(files: DataFrame, rules: DataFrame, no_ignore: bool = False) ->
     """
     if no_ignore:
         return files
-    dirs = distinct_dirs(files)
+    dirs = cut(distinct_dirs(files))
+    found = _rule_sets(rules)
     bad_dirs = cut(
-        node_verdicts(dirs.select("repo", F.col("dir").alias("node"), F.lit(True).alias("is_dir")), rules)
+        _verdicts(dirs.select("repo", F.col("dir").alias("node"), F.lit(True).alias("is_dir")), *found)
         .where("ignored")
         .select("repo", F.col("node").alias("_up"))
     )
@@ -130,7 +138,7 @@ def drop_ignored(files: DataFrame, rules: DataFrame, no_ignore: bool = False) ->
 
     leaves = outside(files.select("repo", "rel_path"))
     bad_files = cut(
-        node_verdicts(leaves.select("repo", F.col("rel_path").alias("node"), F.lit(False).alias("is_dir")), rules)
+        _verdicts(leaves.select("repo", F.col("rel_path").alias("node"), F.lit(False).alias("is_dir")), *found)
         .where("ignored")
         .select("repo", F.col("node").alias("rel_path"))
     )

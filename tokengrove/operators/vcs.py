@@ -13,6 +13,7 @@ from functools import reduce
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokengrove.functions.lines import common_lines
@@ -368,8 +369,8 @@ def branch_diff(requests: DataFrame, refs: DataFrame, trees: DataFrame) -> DataF
     )
 
 
-#: Positions of a chain that a request joins at a time.
-CHAIN_BLOCK = 1024
+#: Commits times requests of a repository that one task walks; positions of a chain that a request joins at a time.
+SMALL_WALK, CHAIN_BLOCK = 1_000_000, 1024
 
 
 def _hop(rows: DataFrame, beyond: DataFrame) -> DataFrame:
@@ -492,21 +493,141 @@ def _reached(heads: DataFrame, cross: DataFrame) -> tuple[DataFrame, int]:
         )
 
 
+def _walked(history: list[tuple], asked: list[tuple]) -> Iterator[tuple] | None:
+    """``(branch1, branch2, seq, commit, summary)`` of one repository; None if its history has a cycle."""
+    known = {commit: (() if parents is None else parents) for commit, parents, _, _ in history}
+    waiting = dict.fromkeys(known, 0)  # children not yet passed
+    for parents in known.values():
+        for p in parents:
+            if p in waiting:
+                waiting[p] += 1
+    free = [c for c, n in waiting.items() if not n]
+    for c in free:
+        for p in known[c]:
+            if p in waiting:
+                waiting[p] -= 1
+                if not waiting[p]:
+                    free.append(p)
+    if len(free) < len(known):
+        return None
+    reached: dict[str, set[str]] = {}
+
+    def reach(head: str) -> set[str]:
+        if head not in reached:
+            seen, stack = {head}, [head]
+            while stack:
+                for p in known[stack.pop()]:
+                    if p in known and p not in seen:
+                        seen.add(p)
+                        stack.append(p)
+            reached[head] = seen
+        return reached[head]
+
+    # By time, nulls first, and id.
+    order = sorted(history, key=lambda c: (c[2] is not None, c[2] or 0, c[0]))
+
+    def ranges() -> Iterator[tuple]:
+        for one, two, head1, head2 in asked:
+            if head1 in known and head2 in known:
+                wanted = reach(head2) - reach(head1)
+                kept = (c for c in order if c[0] in wanted)
+                yield from ((one, two, seq, c[0], c[3]) for seq, c in enumerate(kept, 1))
+
+    return ranges()
+
+
+def _small_ranges(commits: DataFrame, sides: DataFrame) -> DataFrame:
+    """:func:`commit_range` of repositories whose history is walked in one task, a group of bounded size.
+
+    Returns ``(repo, branch1, branch2, seq, commit, summary)``, and a row without ``seq`` for a cyclic history.
+    """
+    columns = ["repo", "branch1", "branch2", "seq", "commit", "summary"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                repo = held[0][0]
+                history = [r[1:5] for r in held if r[1] is not None]
+                found = _walked(history, [r[5:] for r in held if r[1] is None])
+                rows.extend([(repo, *[None] * 5)] if found is None else ((repo, *r) for r in found))
+                held.clear()
+
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and held[0][0] != row[0]:
+                    close()
+                held.append(row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], columns)
+                rows.clear()
+        close()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], columns)
+
+    text = pa.string()
+    kinds = [text, text, text, pa.int64(), text, text]
+    none = F.lit(None).cast("string")
+    names = ["branch1", "branch2", "_head1", "_head2"]
+    history = commits.select("repo", "commit", "parents", "ts", "summary", *[none.alias(c) for c in names])
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in history.schema.fields[1:5]]
+    asked = sides.select("repo", *empty, *names)
+    return (
+        history.unionByName(asked)
+        .repartition("repo")
+        .sortWithinPartitions("repo")
+        .mapInArrow(walk, "repo string, branch1 string, branch2 string, seq bigint, commit string, summary string")
+    )
+
+
 def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> DataFrame:
     """Commits reachable from ``branch2`` and not from ``branch1``, oldest first.
 
     Returns ``(repo, branch1, branch2, seq, commit, line)``; requests naming a missing
-    branch return nothing. Of each chain of first parents a head reaches all up to one position, so a
-    request is a range of each chain; it meets the commits of its range only.
+    branch return nothing. A repository with few commits and requests is walked as one group. In the others a
+    head reaches all of a chain of first parents up to one position, so a request is a range of each
+    chain; it meets the commits of its range only.
     """
     asked = valid_requests(requests, refs)
-    places, cross = _chains(commits)
     at = refs.select("repo", "branch", F.col("commit").alias("head"))
     sides = asked
     for k in (1, 2):
         head = at.select("repo", F.col("branch").alias(f"branch{k}"), F.col("head").alias(f"_head{k}"))
         sides = sides.join(head, ["repo", f"branch{k}"])
     sides = cut(sides)
+    who = ["repo", "branch1", "branch2"]
+    line = F.concat(
+        F.substring("commit", 1, 7),
+        F.lit(" - "),
+        F.coalesce("summary", F.lit("No commit message")),
+        F.lit("\n"),
+    )
+    steps = commits.groupBy("repo").agg(F.count(F.lit(1)).alias("_n")).join(
+        sides.groupBy("repo").agg(F.count(F.lit(1)).alias("_asked")), "repo"
+    )
+    steps = cut(steps.select("repo", (F.col("_n") * (F.col("_asked") + 1) <= SMALL_WALK).alias("_small")))
+
+    def part(rows: DataFrame, small: bool) -> DataFrame:
+        chosen = steps.where("_small" if small else "not _small").select("repo")
+        return salted_join(rows, chosen, ["repo"], "left_semi", ["commit"] if "commit" in rows.columns else who)
+
+    found = _small_ranges(part(commits, True), part(sides, True))
+    found = cut(found)
+    if not found.where("seq is null").isEmpty():
+        raise ValueError("the commit graph has a cycle")
+    found = found.select(*who, "seq", "commit", line.alias("line"))
+    if steps.where("not _small").isEmpty():
+        return found
+    return found.unionByName(_large_ranges(part(commits, False), part(sides, False), line))
+
+
+def _large_ranges(commits: DataFrame, sides: DataFrame, line: Column) -> DataFrame:
+    """:func:`commit_range` by chains."""
+    who = ["repo", "branch1", "branch2"]
+    commits, sides = cut(commits), cut(sides)
+    places, cross = _chains(commits)
     named = sides.select("repo", F.explode(F.array("_head1", "_head2")).alias("commit")).distinct()
     heads = cut(
         named.join(places, ["repo", "commit"]).select(
@@ -514,7 +635,6 @@ def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> Da
         )
     )
     reach, _ = _reached(heads, cross)
-    who = ["repo", "branch1", "branch2"]
 
     def side(k: int) -> DataFrame:
         found = reach.withColumnRenamed("head", f"_head{k}")
@@ -535,12 +655,6 @@ def commit_range(commits: DataFrame, refs: DataFrame, requests: DataFrame) -> Da
         .select(*who, "commit")
         .join(commits.select("repo", "commit", "ts", "summary"), ["repo", "commit"])
     )
-    line = F.concat(
-        F.substring("commit", 1, 7),
-        F.lit(" - "),
-        F.coalesce("summary", F.lit("No commit message")),
-        F.lit("\n"),
-    )
     return ranked(
         inside, who, [F.col("ts"), F.col("commit")], "seq"
     ).select(*who, "seq", "commit", line.alias("line"))
