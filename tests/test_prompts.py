@@ -191,19 +191,18 @@ def test_no_group_above_a_part(spark):
     assert steps.groupBy("_ways").count().collect() == [(1, texts.count())]
 
 
-def moves(df):
-    """Exchanges of a plan, and those whose rows hold texts."""
+def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
-    found = re.findall(r"Exchange (?:hash|range)partitioning\([^\n]*", plan)
-    return plan, found
+    assert "SortMergeJoin" not in plan
+    return re.findall(r"Exchange (?:hash|range)partitioning\([^\n]*", plan)
 
 
 def test_texts_move_once(spark, files):
-    """One exchange below the concatenation, by repository and slice, and no join of texts."""
-    plan, found = moves(render.render_prompts(files))
-    assert len(found) == 1 and "_slice" in found[0] and "SortMergeJoin" not in plan
-    plan, found = moves(render.render_prompts(files, part_bytes=50))
-    assert len(found) == 1 and "_slice" in found[0] and "SortMergeJoin" not in plan
+    """Behind the written pieces one exchange, by repository and slice, and no join that moves texts."""
+    found = exchanges(render.render_prompts(files))
+    assert len(found) == 1 and "(repo#" in found[0]
+    found = exchanges(render.render_prompts(files, part_bytes=50))
+    assert len(found) == 1 and "_slice" in found[0]
 
 
 def test_git_streams(spark):
