@@ -66,6 +66,7 @@ ENCODINGS: dict[str, tuple[str, tuple[str, ...], str]] = {
 ALIASES = {"gpt2": "r50k_base", "cl100k_base": "cl100k"}
 DEFAULT_ENCODING = "cl100k"
 MAX_VOCABULARY = 1_000_000  # what executors each hold a copy of
+REMEMBERED = 250_000  # merged pieces that a Python worker keeps
 
 
 @dataclass(frozen=True)
@@ -182,7 +183,7 @@ def merged_tokens(spark: SparkSession, pieces: Column, tokenizer: Tokenizer) ->
             known = memo.get(piece)
             if known is None:
                 known = 1 if piece in specials else merged_length(piece.encode(), ranks)
-                if len(piece) <= 64 and len(memo) < 1_000_000:
+                if len(piece) <= 64 and len(memo) < REMEMBERED:
                     memo[piece] = known
             length_of[i] = known
         upto = np.concatenate([[0], np.cumsum(length_of[coded.indices.to_numpy()])])

@@ -18,7 +18,7 @@ from tokengrove.plans.assemble import assemble, write_pieces
 from tokengrove.plans.lineage import cut
 from tokengrove.plans.slices import ranked, running
 
-COUNT_BYTES = 4 << 20
+COUNT_BYTES = 2 << 20
 #: A tail has at least so many characters: more than any pattern looks ahead, and no special token is longer.
 MARGIN = 32
 #: Candidates come from the last characters of a part, split from so many starts (numbers are split by threes).
@@ -82,8 +82,7 @@ def _steps(texts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     )
 
     def characters(n: Column) -> Column:
-        ending = F.slice(F.reverse(F.col("_pieces")), F.lit(1), n)
-        return F.aggregate(ending, F.lit(0), lambda s, p: s + F.length(p))
+        return F.aggregate(F.slice(F.col("_pieces"), -n, n), F.lit(0), lambda s, p: s + F.length(p))
 
     fits = F.filter(
         F.transform("_own", lambda t, k: F.struct(k.alias("k"), t["n"].alias("n"), t["size"].alias("size"))),
