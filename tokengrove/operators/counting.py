@@ -32,40 +32,44 @@ def count_files(files: DataFrame, tokenizer: Tokenizer, content: str = "content"
     return files.withColumn("tokens", bpe_tokens(files.sparkSession, F.col(content), tokenizer))
 
 
-def _tails(text: Column, tokenizer: Tokenizer) -> Column:
-    """Where a tail may start: ``array<struct<n, size, carry>>``, its pieces, characters and text."""
+def _tails(texts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``repo, part, _own``: where a tail may start, ``array<struct<n, size, carry>>``: its pieces, characters and text."""
     margin = max([MARGIN, *(len(s) + 4 for s in tokenizer.specials)])
 
-    def last(of: Column) -> Column:
-        recent = F.slice(F.reverse(pretokens(of, tokenizer)), 1, margin)
+    def candidates(endings: DataFrame) -> DataFrame:
+        """Of ``(repo, part, _of)`` the last start far enough from the end, of splits from each of the first places."""
+        starts = F.explode(F.array(*[F.substring("_of", F.lit(1 + k), F.length("_of")) for k in range(STARTS)]))
+        split = endings.select("repo", "part", starts.alias("_of")).withColumn(
+            "_last", F.slice(F.reverse(pretokens(F.col("_of"), tokenizer)), 1, margin)
+        )
         nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"))
         tail = F.aggregate(
-            recent,
+            "_last",
             nothing,
             lambda t, p: F.when(t["size"] >= margin, t).otherwise(
                 F.struct((t["n"] + 1).alias("n"), (t["size"] + F.length(p)).alias("size"))
             ),
         )
-        return F.when((tail["size"] >= margin) & (tail["size"] < F.length(of)), tail)
-
-    def candidates(of: Column) -> Column:
-        starts = [F.substring(of, F.lit(1 + k), F.length(of)) for k in range(STARTS)]
-        return F.array_distinct(F.array_compact(F.array(*map(last, starts))))
-
-    near = candidates(F.right(text, F.lit(NEAR_END)))
-    found = F.when(F.size(near) > 0, near).when(F.length(text) > NEAR_END, candidates(text)).otherwise(near)
-    return F.transform(
-        found,
-        lambda t: F.struct(
-            t["n"].alias("n"), t["size"].alias("size"), F.right(text, t["size"]).alias("carry")
-        ),
+        found = split.select("repo", "part", "_of", tail.alias("_t")).where(
+            (F.col("_t.size") >= margin) & (F.col("_t.size") < F.length("_of"))
+        )
+        carry = F.right("_of", F.col("_t.size"))
+        one = F.struct(F.col("_t.n").alias("n"), F.col("_t.size").alias("size"), carry.alias("carry"))
+        return found.groupBy("repo", "part").agg(F.array_sort(F.collect_set(one)).alias("_own"))
+
+    near = cut(candidates(texts.select("repo", "part", F.right("text", F.lit(NEAR_END)).alias("_of"))))
+    rest = texts.where(F.length("text") > NEAR_END).join(near, ["repo", "part"], "left_anti")
+    far = candidates(rest.select("repo", "part", F.col("text").alias("_of")))
+    none = F.array().cast(near.schema["_own"].dataType)
+    return texts.select("repo", "part").join(near.unionByName(far), ["repo", "part"], "left").withColumn(
+        "_own", F.coalesce("_own", none)
     )
 
 
 def _steps(texts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """``repo, part, _no, _k, _ways, _out, _end, tokens``: a part's own tokens when it is handed candidate ``_k``
     of ``_ways``, and the candidate it hands on; null if none of its own starts where a pre-token does."""
-    tails = cut(texts.select("repo", "part", _tails(F.col("text"), tokenizer).alias("_own")))
+    tails = cut(_tails(texts, tokenizer))
     placed = ranked(tails, ["repo"], [F.col("part")], "_no")
     placed = cut(placed)
     handed = placed.select("repo", (F.col("_no") + 1).alias("_no"), F.col("_own.carry").alias("_in"))
