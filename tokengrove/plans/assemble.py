@@ -15,9 +15,12 @@ that add to where it starts, and a part lies in one slice, so the same exchange
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tokengrove.functions.text import trim_all, trim_end, trim_start
@@ -28,6 +31,8 @@ from tokengrove.plans.slices import running
 PART_BYTES = 64 * 1024 * 1024
 #: Slices of large groups hold at least this share of all bytes, which bounds the list of their starts.
 MOST_SLICES = 100_000
+#: Finished parts leave a task's worker in batches of about so much.
+FLUSH_BYTES, FLUSH_ROWS = 4 << 20, 10_000
 
 
 def write_pieces(pieces: DataFrame, group: Sequence[str], order: Sequence[str], **extra: Column) -> DataFrame:
@@ -153,21 +158,69 @@ def placed_pieces(
     )
 
 
+def _concatenated(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """One row for each run of rows that agree in the first ``width`` columns, the last column concatenated.
+
+    Columns between are those of the run's first row. One run is held at a time, and finished ones up to ``FLUSH_BYTES``.
+    """
+    key, kept, chunks = None, (), []
+    done: list[tuple] = []
+    texts: list[bytes] = []
+    held = 0
+    kinds: list[pa.Field] = []
+
+    def flushed() -> pa.RecordBatch:
+        columns = [pa.array(values, field.type) for values, field in zip(zip(*done), kinds)]
+        large = pa.types.is_large_string(kinds[-1].type)
+        columns.append(pa.array(texts, pa.large_binary() if large else pa.binary()).view(kinds[-1].type))
+        return pa.RecordBatch.from_arrays(columns, names=[field.name for field in kinds])
+
+    for batch in batches:
+        kinds = list(batch.schema)
+        if not batch.num_rows:
+            continue
+        text = batch.column(batch.num_columns - 1)
+        sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        _, offsets, data = text.buffers()
+        first = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset]
+        ends = int(first) + np.cumsum(sizes, dtype=np.int64)
+        data = memoryview(data if data is not None else b"")
+        start = int(first)
+        rows = list(zip(*(column.to_pylist() for column in batch.columns[:-1])))
+        for i, row in enumerate(rows):
+            if row[:width] != key:
+                stop = int(ends[i] - sizes[i])
+                if key is not None:
+                    chunks.append(data[start:stop])
+                    done.append(kept)
+                    texts.append(b"".join(chunks))
+                    held += len(texts[-1])
+                    if held >= FLUSH_BYTES or len(done) >= FLUSH_ROWS:
+                        yield flushed()
+                        done, texts, held = [], [], 0
+                key, kept, chunks, start = row[:width], row, [], stop
+        chunks.append(data[start : int(ends[-1])])
+    if key is not None:
+        done.append(kept)
+        texts.append(b"".join(chunks))
+        yield flushed()
+
+
 def join_parts(placed: DataFrame, group: Sequence[str], order: Sequence[str], count: bool = False) -> DataFrame:
     """Concatenate placed pieces; a group here is one part, bounded by its byte budget.
 
-    Empty pieces take no room in a part, however many there are: they are not collected.
-    With ``count`` also ``parts``, the number of the group's last part and one.
+    The pieces arrive in order, so a task streams them and holds one part, however many it has. An aggregate
+    would hold all parts of its task, each several times over. With ``count`` also ``parts``, the number of
+    the group's last part and one.
     """
-    text = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(*order, "text")))),
-            lambda p: p["text"],
-        ),
-        "",
-    )
-    parts = [(F.max("_last") + 1).alias("parts")] if count else []
-    return placed.groupBy(*group, "_slice", "part").agg(text.alias("text"), *parts).drop("_slice")
+    group = list(group)
+    parts = ["parts"] if count else []
+    rows = placed.withColumns({"text": F.coalesce("text", F.lit("")), "parts": F.col("_last") + 1})
+    # The windows behind ``placed`` leave this order, so it sorts nothing; it says what is relied on.
+    rows = rows.sortWithinPartitions(*group, "_slice", *order).select(*group, "_slice", "part", *parts, "text")
+    width = len(group) + 2
+    joined = rows.mapInArrow(lambda batches: _concatenated(batches, width), rows.schema)
+    return joined.select(*group, "part", "text", *parts)
 
 
 def assemble(
