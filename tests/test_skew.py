@@ -1,9 +1,13 @@
 """One repository with a third of all rows: results stay whole, and no group lands in one task."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 
 from tokengrove.operators import order, tree
+from tokengrove.plans import assemble as plan
 from tokengrove.plans.assemble import assemble
 from tokengrove.plans.lineage import shared_dir, work_dir
 from tokengrove.plans.skew import mark, salted_join
@@ -81,3 +85,31 @@ def test_parts_are_bounded_and_whole(rows):
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
     assert work_dir(spark, "x") != work_dir(spark, "x")
+
+
+@pytest.mark.parametrize("flush", [(1, 10), (9, 3), (1 << 20, 1000)])
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_runs_of_pieces_in_any_batches(monkeypatch, flush, kind):
+    """Parts come out whole wherever batches begin, empty batches and empty pieces included."""
+    monkeypatch.setattr(plan, "FLUSH_BYTES", flush[0])
+    monkeypatch.setattr(plan, "FLUSH_ROWS", flush[1])
+    schema = pa.schema([("repo", pa.string()), ("part", pa.int64()), ("parts", pa.int64()), ("text", kind)])
+    for seed in range(40):
+        pick = random.Random(seed)
+        rows = [
+            {"repo": repo, "part": part, "parts": 4, "text": pick.choice(["", "fig", "pâté\n", "\U0001f330 "]) * pick.randint(0, 3)}
+            for repo in (None, "a", "b")
+            for part in range(pick.randint(0, 4))
+            for _ in range(pick.randint(1, 4))
+        ]
+        batches, at = [], 0
+        while at < len(rows):
+            n = pick.randint(0, 5)
+            batches.append(pa.RecordBatch.from_pylist(rows[at : at + n], schema=schema))
+            at += n
+        want = {}
+        for row in rows:
+            key = row["repo"], row["part"]
+            want[key] = want.get(key, "") + row["text"]
+        got = [r for b in plan._concatenated(iter(batches), 2) for r in b.to_pylist()]
+        assert got == [{"repo": k[0], "part": k[1], "parts": 4, "text": v} for k, v in want.items()]

@@ -18,9 +18,7 @@ from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tokengrove.functions.text import trim_all, trim_end, trim_start
@@ -93,14 +91,14 @@ def _slices(
     shipped = rows.sparkSession.sparkContext.broadcast(known)
     width = len(group)
 
-    @F.pandas_udf("int")
-    def slice_of(keys: pd.DataFrame) -> pd.Series:
+    @F.arrow_udf("int")
+    def slice_of(keys: pa.Array) -> pa.Array:
         firsts = shipped.value
         out = []
-        for row in keys.itertuples(index=False, name=None):
+        for row in zip(*(values.to_pylist() for values in keys.flatten())):
             found = firsts.get(_ordered(row[:width]))
             out.append(bisect_right(found, _ordered(row[width:])) - 1 if found else 0)
-        return pd.Series(out, dtype="int32")
+        return pa.array(out, pa.int32())
 
     sliced = rows.withColumn("_slice", slice_of(F.struct(*group, *order)))
     return sliced.join(F.broadcast(starts.drop(*order)), [*group, "_slice"], "left")
@@ -133,6 +131,8 @@ def placed_pieces(
         rows = rows.withColumns({"_slice": F.lit(0)} | {c: none for c in ("_at", "_before", "_all", "_end")})
     here = Window.partitionBy(*group, "_slice")
     earlier = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # Ordered like ``earlier``, so that one window serves both and texts wait in one buffer.
+    whole = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def before(size: str, start: str) -> Column:
         return F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.coalesce(F.col(start), F.lit(0))
@@ -142,7 +142,7 @@ def placed_pieces(
         rows = rows.withColumns(
             {
                 "_head": before("_solid", "_before") == 0,
-                "_rest": F.coalesce("_all", F.sum("_solid").over(here)) - before("_solid", "_before") - F.col("_solid"),
+                "_rest": F.coalesce("_all", F.sum("_solid").over(whole)) - before("_solid", "_before") - F.col("_solid"),
             }
         )
         text = F.col("text")
@@ -161,48 +161,48 @@ def placed_pieces(
 def _concatenated(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """One row for each run of rows that agree in the first ``width`` columns, the last column concatenated.
 
-    Columns between are those of the run's first row. One run is held at a time, and finished ones up to ``FLUSH_BYTES``.
+    Columns between are those of the run's first row. Texts are appended to the one buffer that leaves as
+    the next batch, so a batch that came in is not kept.
     """
-    key, kept, chunks = None, (), []
-    done: list[tuple] = []
-    texts: list[bytes] = []
-    held = 0
+    runs: list[tuple] = []
+    ends: list[int] = []
+    out = bytearray()
     kinds: list[pa.Field] = []
+    key = None
 
     def flushed() -> pa.RecordBatch:
-        columns = [pa.array(values, field.type) for values, field in zip(zip(*done), kinds)]
+        columns = [pa.array(values, field.type) for values, field in zip(zip(*runs), kinds)]
         large = pa.types.is_large_string(kinds[-1].type)
-        columns.append(pa.array(texts, pa.large_binary() if large else pa.binary()).view(kinds[-1].type))
+        offsets = np.array([0, *ends], np.int64 if large else np.int32)
+        whole = pa.LargeStringArray if large else pa.StringArray
+        columns.append(whole.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(out)))
         return pa.RecordBatch.from_arrays(columns, names=[field.name for field in kinds])
 
     for batch in batches:
         kinds = list(batch.schema)
+        text = batch.column(batch.num_columns - 1)
         if not batch.num_rows:
             continue
-        text = batch.column(batch.num_columns - 1)
-        sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
         _, offsets, data = text.buffers()
-        first = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset]
-        ends = int(first) + np.cumsum(sizes, dtype=np.int64)
+        large = pa.types.is_large_string(text.type)
+        at = np.frombuffer(offsets, np.int64 if large else np.int32)[text.offset :][: len(text) + 1].tolist()
         data = memoryview(data if data is not None else b"")
-        start = int(first)
-        rows = list(zip(*(column.to_pylist() for column in batch.columns[:-1])))
-        for i, row in enumerate(rows):
+        start = at[0]
+        for i, row in enumerate(zip(*(column.to_pylist() for column in batch.columns[:-1]))):
             if row[:width] != key:
-                stop = int(ends[i] - sizes[i])
                 if key is not None:
-                    chunks.append(data[start:stop])
-                    done.append(kept)
-                    texts.append(b"".join(chunks))
-                    held += len(texts[-1])
-                    if held >= FLUSH_BYTES or len(done) >= FLUSH_ROWS:
+                    out += data[start : at[i]]
+                    ends.append(len(out))
+                    if len(out) >= FLUSH_BYTES or len(ends) >= FLUSH_ROWS:
                         yield flushed()
-                        done, texts, held = [], [], 0
-                key, kept, chunks, start = row[:width], row, [], stop
-        chunks.append(data[start : int(ends[-1])])
+                        runs, ends, out = [], [], bytearray()
+                        pa.default_memory_pool().release_unused()
+                runs.append(row)
+                key, start = row[:width], at[i]
+        out += data[start : at[-1]]
+        del batch, text, offsets, data
     if key is not None:
-        done.append(kept)
-        texts.append(b"".join(chunks))
+        ends.append(len(out))
         yield flushed()
 
 
