@@ -74,6 +74,55 @@ def test_cache(spark):
     assert body == {"a": "old a"} | {p: f"new {p}" for p in "bcdef"}
 
 
+def rows_read(df):
+    """What the scan of ``df`` hands on, once it has run."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().get("numOutputRows").get().value()
+
+
+def test_indexed_cache(spark, tmp_path):
+    """Few files, few repositories, many of both: the same hits as in the whole cache, from few of its rows."""
+    n = F.col("id")
+    files = spark.range(60_000).select(
+        F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (n % 100).cast("string"))).alias("repo"),
+        F.concat(F.lit("src/"), n.cast("string"), F.lit(".py")).alias("rel_path"),
+        n.alias("mtime_us"),
+        (n % 7).alias("size"),
+        (n % 50).alias("tokens"),
+        F.sha2(n.cast("string"), 512).alias("content"),
+    )
+    whole = cache.cache_rows(files, "t")
+    path = str(tmp_path / "indexed")
+    cache.write_cache(whole, path, group_bytes=1 << 16)
+    # the newest of these differs from the cache, one is not in it, one repeats and one has no path
+    asked = files.where("mtime_us in (5, 30000, 59999)").withColumn("size", F.when(F.col("mtime_us") == 59999, -1).otherwise(F.col("size")))
+    others = spark.createDataFrame(
+        [("r5", "src/none.py", 1, 1), ("r5", "src/5.py", 5, 5), ("r5", None, 5, 5)],
+        "repo string, rel_path string, mtime_us bigint, size bigint",
+    )
+    few = asked.select(*cache.LOOKUP_KEY).unionByName(others)
+
+    def lookup(listing, known):
+        return sorted((str(r.rel_path), r.hit, r.tokens) for r in cache.cache_lookup(listing, known, "t").collect())
+
+    found = lookup(few, cache.narrowed_cache(few, path))
+    assert found == lookup(few, whole) and [hit for _, hit, _ in found].count(True) == 3
+    assert 3 <= rows_read(cache.narrowed_cache(few, path)) < 6_000
+    some = files.where("repo in ('r1', 'r50')").select(*cache.LOOKUP_KEY)
+    assert lookup(some, cache.narrowed_cache(some, path)) == lookup(some, whole)
+    assert 800 <= rows_read(cache.narrowed_cache(some, path)) < 10_000
+    every = files.select(*cache.LOOKUP_KEY)
+    assert rows_read(cache.narrowed_cache(every, path, few=10)) == 60_000
+    assert cache.cache_misses(every, cache.narrowed_cache(every, path, few=10), "t").count() == 0
+    bodies = cache.cache_content(few, cache.narrowed_cache(few, path), files, "t").collect()
+    assert len(bodies) == 6 and [r.content for r in bodies].count(None) == 2
+    assert cache.narrowed_cache(few.limit(0), path).count() == 0
+    nothing = str(tmp_path / "nothing")
+    cache.write_cache(whole.limit(0), nothing)
+    assert [hit for _, hit, _ in lookup(few, cache.narrowed_cache(few, nothing))] == [False] * 6
+
+
 def test_stream_equals_batch_and_replays(spark, tmp_path):
     landing, table = str(tmp_path / "landing"), str(tmp_path / "cache")
 

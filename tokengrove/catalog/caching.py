@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokengrove.catalog.base import over_corpus, register
 from tokengrove.operators import cache
+from tokengrove.plans.lineage import work_dir
 from tokengrove.sources.tables import documents_corpus as corpus
 
 TOKENIZER = "bytes4"
@@ -45,10 +46,28 @@ def earlier_cache(files: DataFrame) -> DataFrame:
     )
 
 
-@register("cache_lookup", over_corpus(_CACHE + """
+def written_cache(files: DataFrame) -> str:
+    """The earlier state as an indexed table."""
+    path = work_dir(files.sparkSession, "cache")
+    cache.write_cache(earlier_cache(files), path)
+    return path
+
+
+_LOOKUP = over_corpus(_CACHE + """
 SELECT f.repo, f.rel_path, c.tokens, c.repo IS NOT NULL AS hit
 FROM corpus f LEFT JOIN cached c ON c.repo = f.repo AND c.rel_path = f.rel_path
-  AND c.mtime_us = f.mtime_us AND c.size = f.size AND c.tokenizer = 'bytes4' AND c.cache_version = 1"""))
+  AND c.mtime_us = f.mtime_us AND c.size = f.size AND c.tokenizer = 'bytes4' AND c.cache_version = 1""")
+
+
+@register("cache_lookup_indexed", _LOOKUP)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf)
+    listing = files.select(*cache.LOOKUP_KEY)
+    known = cache.narrowed_cache(listing, written_cache(files))
+    return cache.cache_lookup(listing, known, TOKENIZER).select("repo", "rel_path", "tokens", "hit")
+
+
+@register("cache_lookup", _LOOKUP)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf)
     return cache.cache_lookup(files, earlier_cache(files), TOKENIZER).select(
@@ -84,10 +103,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return cache.cache_upsert(old, fresh)
 
 
-@register("cache_content", over_corpus(_CACHE + """
+_CONTENT = over_corpus(_CACHE + """
 SELECT f.repo, f.rel_path, COALESCE(c.content, f.content) AS content
 FROM corpus f LEFT JOIN cached c ON c.repo = f.repo AND c.rel_path = f.rel_path
-  AND c.mtime_us = f.mtime_us AND c.size = f.size AND c.tokenizer = 'bytes4' AND c.cache_version = 1"""))
+  AND c.mtime_us = f.mtime_us AND c.size = f.size AND c.tokenizer = 'bytes4' AND c.cache_version = 1""")
+
+
+@register("cache_content_indexed", _CONTENT)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus(spark, sf)
+    listing = files.select(*cache.LOOKUP_KEY)
+    known = cache.narrowed_cache(listing, written_cache(files))
+    return cache.cache_content(listing, known, files, TOKENIZER).select("repo", "rel_path", "content")
+
+
+@register("cache_content", _CONTENT)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus(spark, sf)
     listing = files.select(*cache.LOOKUP_KEY)

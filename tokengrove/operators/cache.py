@@ -3,11 +3,15 @@
 Cache schema: ``repo, rel_path, mtime_us, size, sha256, tokenizer, tokens, content,
 cache_version``; one row per ``(repo, rel_path)``. The tokenizer and the version are
 part of the lookup, so a count never comes from another encoding or an old format.
+
+:func:`write_cache` lays a cache out by path, with a bloom filter of the file keys in each row group.
+:func:`narrowed_cache` reads from it what a listing can meet, and stands for the whole cache in every
+function below.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tokengrove.functions.text import sha256_hex
 
@@ -26,6 +30,12 @@ CACHE_COLUMNS = [
     "cache_version",
 ]
 
+#: Names a file in the index; two files may share one, so lookups compare the whole key as well.
+FILE_HASH = "file_hash"
+GROUP_BYTES = 16 << 20
+#: So many files or repositories of a listing are named to the scan, which tests each against every row group.
+FEW = 256
+
 
 def _current(cache: DataFrame, tokenizer: str) -> DataFrame:
     return cache.where(
@@ -82,3 +92,53 @@ def cache_content(listing: DataFrame, cache: DataFrame, source: DataFrame, token
     missed = entries.join(known.select(*LOOKUP_KEY), LOOKUP_KEY, "left_anti").join(read, FILE_KEY, "left")
     columns = [*entries.columns, "content"]
     return hits.select(*columns).unionByName(missed.select(*columns))
+
+
+def write_cache(cache: DataFrame, path: str, group_bytes: int = GROUP_BYTES) -> None:
+    """``cache`` as a new table at ``path`` that :func:`narrowed_cache` can read in part.
+
+    Rows are range-partitioned and sorted by repository and path, so a repository of any size spreads and a
+    row group holds neighbours: the statistics of its paths find repositories, a bloom filter single files.
+    A row group is written at about ``group_bytes``, what a lookup of one file reads at least.
+    """
+    files_of_a_group = max(64, group_bytes // 1024)
+    (
+        cache.select(*CACHE_COLUMNS, F.xxhash64(*FILE_KEY).alias(FILE_HASH))
+        .repartitionByRange(*FILE_KEY)
+        .sortWithinPartitions(*FILE_KEY)
+        .write.option("parquet.block.size", group_bytes)
+        .option(f"parquet.bloom.filter.enabled#{FILE_HASH}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{FILE_HASH}", files_of_a_group)
+        .parquet(path)
+    )
+
+
+def _any_of(column: str, values: list) -> Column:
+    """Equal to one of ``values``, as a balanced tree of equalities.
+
+    The scan tests each of these against statistics and bloom filters; of a longer ``IN`` it uses the ends only.
+    """
+    if not values:
+        return F.lit(False)
+    tests = [F.col(column) == F.lit(v) for v in values]
+    while len(tests) > 1:
+        pairs = [a | b for a, b in zip(tests[::2], tests[1::2])]
+        tests = pairs + tests[2 * len(pairs) :]
+    return tests[0]
+
+
+def narrowed_cache(listing: DataFrame, path: str, few: int = FEW) -> DataFrame:
+    """The rows of the cache at ``path`` that ``listing`` may hit, and perhaps others.
+
+    The scan is told the files if there are at most ``few``, else the repositories if those are, else
+    nothing. Row groups without them are not read. The driver sees at most ``few`` and one of either.
+    Looking up in the result equals looking up in the whole cache. A null in a file's key hits nothing.
+    """
+    spark = listing.sparkSession
+    cache = spark.read.parquet(path)
+    named = listing.select(*FILE_KEY).dropna()
+    files = [r[0] for r in named.select(F.xxhash64(*FILE_KEY)).limit(few + 1).collect()]
+    if len(files) <= few:
+        return cache.where(_any_of(FILE_HASH, sorted(set(files))))
+    repos = [r[0] for r in named.select("repo").distinct().limit(few + 1).collect()]
+    return cache.where(_any_of("repo", sorted(repos))) if len(repos) <= few else cache
