@@ -101,14 +101,14 @@ def write_cache(cache: DataFrame, path: str, group_bytes: int = GROUP_BYTES) ->
     row group holds neighbours: the statistics of its paths find repositories, a bloom filter single files.
     A row group is written at about ``group_bytes``, what a lookup of one file reads at least.
     """
-    files_of_a_group = max(64, group_bytes // 1024)
+    hashes = max(64, group_bytes // 128)  # more than a row group has files; the filter takes about 1 % of it
     (
         cache.select(*CACHE_COLUMNS, F.xxhash64(*FILE_KEY).alias(FILE_HASH))
         .repartitionByRange(*FILE_KEY)
         .sortWithinPartitions(*FILE_KEY)
         .write.option("parquet.block.size", group_bytes)
         .option(f"parquet.bloom.filter.enabled#{FILE_HASH}", "true")
-        .option(f"parquet.bloom.filter.expected.ndv#{FILE_HASH}", files_of_a_group)
+        .option(f"parquet.bloom.filter.expected.ndv#{FILE_HASH}", hashes)
         .parquet(path)
     )
 
