@@ -4,12 +4,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tokengrove.catalog import load
 from tokengrove.functions.tokens import bpe_tokens, register_tokenizer
 from tokengrove.operators import counting, render, templates, variables, vcs
 from tokengrove.operators.counting import prompt_tokens
 from tokengrove.plans.assemble import assemble
 from tokengrove.sources.sinks import read_prompts, write_prompts
 
+QUERIES = load()[0]
+
 
 @pytest.fixture(scope="module")
 def files(spark):
@@ -215,3 +218,28 @@ def test_git_streams(spark):
         f"--- Staged Changes ---\n{file}@@ -1 +1,2 @@\n rice\n+peas\n"
         f"\n--- Unstaged Changes ---\n{file}@@ -1,2 +1,2 @@\n-rice\n+corn\n peas\n"
     )
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """A source of over 70 MiB, also without the files that have no extension, and one of a line."""
+    folder = str(tmp_path_factory.mktemp("large"))
+    doc = F.col("doc_id")
+    spark.range(81, numPartitions=4).withColumnRenamed("id", "doc_id").select(
+        "doc_id",
+        F.when(doc < 80, F.repeat(F.concat(F.lit("line "), doc.cast("string"), F.lit(" of text\n")), 70_000)).otherwise("x").alias("text"),
+        F.when(doc < 80, "src1").otherwise("src2").alias("source"),
+        F.lit("en").alias("lang"),
+    ).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize(
+    "name", ["render_prompt"]
+)
+def test_queries_have_whole_prompts(spark, large, name):
+    texts = QUERIES[name](spark, large).withColumnRenamed("json", "prompt")
+    got = texts.select("repo", "part", F.length("prompt").alias("size")).collect()
+    times = 7 if name == "render_library" else 1
+    assert sorted((r.repo, r.part) for r in got) == [("src1", 0)] * times + [("src2", 0)] * times
+    assert all(r.size > 70 << 20 for r in got if r.repo == "src1")

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The SQL twins have each prompt as one part, whole up to what a cell can hold with room to spare.
+WHOLE_BYTES = 1 << 30
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}

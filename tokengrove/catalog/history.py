@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokengrove.catalog.base import ORACLES, over_corpus, register
+from tokengrove.catalog.base import ORACLES, WHOLE_BYTES, over_corpus, register
 from tokengrove.catalog.caching import file_number
 from tokengrove.catalog.prompts import _FLAT as FLAT_TREES
 from tokengrove.operators import render, vcs
@@ -161,7 +161,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     head, index, workdir = snapshots(spark, sf)
     diff = vcs.sections_stream(vcs.git_sections(head, index, workdir))
     return render.render_prompts(
-        corpus(spark, sf), LIBRARY["commit"], streams={"git_diff": diff}
+        corpus(spark, sf), LIBRARY["commit"], WHOLE_BYTES, streams={"git_diff": diff}
     )
 
 
@@ -252,7 +252,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 SELECT repo, CAST(0 AS BIGINT) AS part, string_agg(line, '' ORDER BY seq) AS text FROM log GROUP BY repo""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     log = vcs.log_stream(vcs.commit_range(*commit_tables(spark, sf, merges=True)))
-    return assemble(log, ["repo"], ["key"])
+    return assemble(log, ["repo"], ["key"], WHOLE_BYTES)
 
 
 @register("branch_check", """
@@ -320,4 +320,4 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "git_diff_branch": vcs.diff_stream(vcs.branch_diff(requests, refs, trees)),
         "git_log_branch": vcs.log_stream(vcs.commit_range(commits, refs, requests)),
     }
-    return render.render_prompts(corpus(spark, sf), LIBRARY["pull-request"], streams=streams)
+    return render.render_prompts(corpus(spark, sf), LIBRARY["pull-request"], WHOLE_BYTES, streams=streams)
