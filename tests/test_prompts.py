@@ -235,7 +235,7 @@ def large(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize(
-    "name", ["prompt_json", "render_library", "render_prompt", "render_variant", "render_xml"]
+    "name", ["prompt_json", "render_library", "render_prompt", "render_variant", "render_xml", "write_prompts"]
 )
 def test_queries_have_whole_prompts(spark, large, name):
     texts = QUERIES[name](spark, large).withColumnRenamed("json", "prompt")

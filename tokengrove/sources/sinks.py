@@ -23,4 +23,5 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """The prompts back, without the newline the text format puts at the end."""
     schema = "value string, repo string, part bigint"
     rows = spark.read.schema(schema).text(path, wholetext=True)
-    return rows.select("repo", "part", F.regexp_replace("value", r"\n\z", "").alias("prompt"))
+    ended = F.when(F.col("value").endswith("\n"), F.substring("value", F.lit(1), F.length("value") - 1))
+    return rows.select("repo", "part", F.coalesce(ended, "value").alias("prompt"))
