@@ -5,12 +5,15 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tokengrove.catalog import load, scanning
 from tokengrove.operators import cache, filters, ignore
 from tokengrove.plans.lineage import cut
 from tokengrove.sources.files import list_files, local_path, scan_files
 from tokengrove.sources.tree_source import SETTLED_US, _Walk, read_tree, register_tree_source
 from tokengrove.streaming.incremental import append_batch, compact_cache, current_cache, incremental_scan, scan_stream
 
+QUERIES = load()[0]
+
 
 def make(root, files):
     for name, body in files.items():
@@ -275,3 +278,23 @@ def test_stream_follows_a_tree(spark, tmp_path):
     make(root, {"d/c.md": b"three"})
     assert run()["d/c.md"] == "three"
     assert len(run()) == 5
+
+
+@pytest.mark.parametrize("name", ["scan_files"])
+def test_trees_stand_on_disk_in_waves(spark, small, tmp_path, monkeypatch, name):
+    """The most bytes that stand at once are a share of the tree, none are left, and the rows are those of one wave."""
+    whole = sorted(map(tuple, QUERIES[name](spark, small).collect()), key=str)
+    stood = []
+
+    def kept(rows, folder, clear=scanning.clear):
+        stood.append(sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names))
+        clear(rows, folder)
+        left.extend(f for at, _, names in os.walk(folder) for f in names if f not in (".gitignore", ".ignore"))
+
+    left: list[str] = []
+    monkeypatch.setattr(scanning, "clear", kept)
+    monkeypatch.setattr(scanning, "WAVE_BYTES", 8 << 20)
+    monkeypatch.setattr(scanning, "work_dir", lambda spark, label: str(tmp_path / f"{label}-{len(os.listdir(tmp_path))}"))
+    waved = sorted(map(tuple, QUERIES[name](spark, small).collect()), key=str)
+    assert waved == whole and not left
+    assert len(stood) > 2 and max(stood) < 16 << 20

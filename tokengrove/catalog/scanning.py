@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import reduce
 import os
 import time
 
@@ -20,6 +22,11 @@ from tokengrove.sources.tree_source import SETTLED_US, read_tree
 from tokengrove.streaming.incremental import append_batch, current_cache, incremental_scan, scan_stream
 
 
+#: A tree is laid out and scanned in waves of about so many bytes, or those of all texts if these are more.
+WAVE_BYTES = 256 << 20
+_BLOCK = 4096  # what a file takes at least on most file systems
+
+
 def lay_out(files: DataFrame, folder: str) -> None:
     """Write ``(repo, rel_path, content)`` as files below ``folder/repo``, the same if run twice."""
 
@@ -39,12 +46,21 @@ def lay_out(files: DataFrame, folder: str) -> None:
     ).collect()
 
 
-def _tree(spark: SparkSession, sf: str, ignore_files: bool = False) -> DataFrame:
-    """The documents laid out as files, some of them odd, below the shared folder; their roots.
+def clear(files: DataFrame, folder: str) -> None:
+    """Remove the files that :func:`lay_out` wrote for ``(repo, rel_path)``; nothing else, and none twice."""
 
-    Files in directories need a folder that executors can mount: these queries raise on others.
-    """
-    folder = source.local_path(work_dir(spark, "tree"))
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for repo, rel_path in batch.itertuples(index=False):
+                with suppress(FileNotFoundError):
+                    os.remove(os.path.join(folder, repo, rel_path))
+            yield pd.DataFrame({"removed": [len(batch)]})
+
+    files.select("repo", "rel_path").mapInPandas(remove, "removed bigint").agg(F.sum("removed")).collect()
+
+
+def _odd_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files, some of them empty, not UTF-8 or long, with the bytes ``_takes`` of each on disk."""
     files = corpus(spark, sf)
     n = F.regexp_extract("rel_path", r"d(\d+)(?:\.[^.]*)?$", 1).cast("bigint")
     raw = F.encode("content", "UTF-8")
@@ -54,12 +70,43 @@ def _tree(spark: SparkSession, sf: str, ignore_files: bool = False) -> DataFrame
         .when(n % 19 == 5, F.encode(F.repeat("content", 400), "UTF-8"))
         .otherwise(raw)
     )
-    lay_out(files.withColumn("content", body), folder)
-    repos = files.select("repo").distinct()
-    if ignore_files:
-        for path, lines in IGNORE_FILES.items():
-            lay_out(repos.select("repo", F.lit(path).alias("rel_path"), F.lit(lines).alias("content")), folder)
-    return repos.withColumn("root", F.concat(F.lit(folder + "/"), "repo"))
+    takes = F.ceil(F.col("size") * F.when(n % 19 == 5, 400).otherwise(1) / _BLOCK) * _BLOCK
+    return files.withColumns({"content": body, "_takes": takes})
+
+
+def _in_waves(
+    spark: SparkSession,
+    sf: str,
+    scan: Callable[[DataFrame, str], DataFrame],
+    ignore_files: bool = False,
+    wave_bytes: int | None = None,
+) -> DataFrame:
+    """What ``scan(roots, folder)`` finds in the documents laid out as files below the shared folder.
+
+    The tree is many times as large as the texts, so it stands on disk in waves: a share of the files of every directory
+    is laid out, scanned, the result written, the files removed. There are as many waves as the tree is
+    larger than ``WAVE_BYTES`` or the texts. Every file is in one wave; ignore files are in all.
+    Files in directories need a folder that executors can mount: these queries raise on others.
+    """
+    files = _odd_files(spark, sf)
+    laid, texts = files.agg(F.sum("_takes"), F.sum("size")).first()
+    waves = max(1, -(-int(laid or 0) // max(wave_bytes or WAVE_BYTES, int(texts or 0))))
+    repos = cut(files.select("repo").distinct())
+    found = []
+    for wave in range(waves):
+        folder = source.local_path(work_dir(spark, "tree"))
+        here = files.where(F.pmod(F.xxhash64("rel_path"), F.lit(waves)) == wave)
+        lay_out(here, folder)
+        rules = [
+            repos.select("repo", F.lit(path).alias("rel_path"), F.lit(lines).alias("content"))
+            for path, lines in (IGNORE_FILES.items() if ignore_files else ())
+        ]
+        for rows in rules:
+            lay_out(rows, folder)
+        found.append(cut(scan(repos.withColumn("root", F.concat(F.lit(folder + "/"), "repo")), folder)))
+        for rows in (here, *rules):
+            clear(rows, folder)
+    return reduce(DataFrame.unionByName, found)
 
 
 IGNORE_FILES = {".gitignore": "m3/\n*.TOML\n", "en/.gitignore": "*.py\n!d*0.py\n", "en/.ignore": "!d*1.py\n"}
@@ -72,7 +119,7 @@ def _shown(files: DataFrame) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf: str, hidden: bool) -> DataFrame:
-    return _shown(source.scan_files(spark, _tree(spark, sf), hidden=hidden))
+    return _in_waves(spark, sf, lambda roots, _: _shown(source.scan_files(spark, roots, hidden=hidden)))
 
 
 def _scan_sql(where: str) -> str:
@@ -102,13 +149,14 @@ _NOT_IGNORED = """NOT starts_with(rel_path, '.') AND NOT list_contains(parts, 'm
 
 @register("scan_ignored", _scan_sql(_NOT_IGNORED))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(source.scan_files(spark, _tree(spark, sf, ignore_files=True)))
+    return _in_waves(spark, sf, lambda roots, _: _shown(source.scan_files(spark, roots)), ignore_files=True)
 
 
 @register("scan_globs", _scan_sql("""NOT starts_with(rel_path, '.') AND COALESCE(ext, '') IN ('py', 'md')
   AND NOT (list_contains(parts, 'sub') AND list_contains(parts, 'm2'))"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(source.scan_files(spark, _tree(spark, sf), include=["**/*.{py,md}"], exclude=["**/m2/sub/**"]))
+    globs = {"include": ["**/*.{py,md}"], "exclude": ["**/m2/sub/**"]}
+    return _in_waves(spark, sf, lambda roots, _: _shown(source.scan_files(spark, roots, **globs)))
 
 
 def _by_repo(files: DataFrame) -> DataFrame:
@@ -125,23 +173,29 @@ def _by_repo(files: DataFrame) -> DataFrame:
   AND NOT (list_contains(parts, 'sub') AND list_contains(parts, 'm2'))"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """All repositories as one tree, read as a data source that is asked for extensions, sizes and globs."""
-    folder = os.path.dirname(_tree(spark, sf, ignore_files=True).first()["root"])
-    tree = read_tree(spark, folder, "ext in ('py', 'md') and size >= 500", exclude='["**/m2/sub/**"]')
-    return _shown(_by_repo(tree))
+
+    def scan(_: DataFrame, folder: str) -> DataFrame:
+        tree = read_tree(spark, folder, "ext in ('py', 'md') and size >= 500", exclude='["**/m2/sub/**"]')
+        return _shown(_by_repo(tree))
+
+    return _in_waves(spark, sf, scan, ignore_files=True)
 
 
 @register("scan_stream", f"""
 SELECT repo, rel_path, size, tokens, digest FROM ({_scan_sql("NOT starts_with(rel_path, '.')")})""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The tree followed by a stream: a first run finds it, a second one finds nothing new."""
-    folder = os.path.dirname(_tree(spark, sf).first()["root"])
-    table, checkpoint = work_dir(spark, "tree-cache"), work_dir(spark, "tree-progress")
-    time.sleep(2 * SETTLED_US / 1e6)
-    for _ in range(2):
-        scan_stream(spark, folder, table, checkpoint).awaitTermination()
-    return _by_repo(current_cache(spark, table)).select(
-        "repo", "rel_path", "size", "tokens", sha256_hex(F.col("content")).alias("digest")
-    )
+
+    def scan(_: DataFrame, folder: str) -> DataFrame:
+        table, checkpoint = work_dir(spark, "tree-cache"), work_dir(spark, "tree-progress")
+        time.sleep(2 * SETTLED_US / 1e6)
+        for _ in range(2):
+            scan_stream(spark, folder, table, checkpoint).awaitTermination()
+        return _by_repo(current_cache(spark, table)).select(
+            "repo", "rel_path", "size", "tokens", sha256_hex(F.col("content")).alias("digest")
+        )
+
+    return _in_waves(spark, sf, scan)
 
 
 @register("scan_cached", _scan_sql("NOT starts_with(rel_path, '.')").replace(
@@ -149,10 +203,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "sha256(repeat(content, times))", "sha256(CASE WHEN doc_id % 3 = 1 THEN 'kept' ELSE repeat(content, times) END)"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """A third of the files are known from a scan before, with a body and a count that tell."""
-    roots = _tree(spark, sf)
-    known = source.scan_files(spark, roots).where(file_number() % 3 == 1)
-    cache = cache_rows(known.withColumns({"content": F.lit("kept"), "tokens": F.col("tokens") + 7}), TOKENIZER)
-    return _shown(source.scan_files(spark, roots, cache=cut(cache), tokenizer=TOKENIZER))
+
+    def scan(roots: DataFrame, _: str) -> DataFrame:
+        known = source.scan_files(spark, roots).where(file_number() % 3 == 1)
+        cache = cache_rows(known.withColumns({"content": F.lit("kept"), "tokens": F.col("tokens") + 7}), TOKENIZER)
+        return _shown(source.scan_files(spark, roots, cache=cut(cache), tokenizer=TOKENIZER))
+
+    return _in_waves(spark, sf, scan)
 
 
 @register("incremental_scan")
