@@ -280,7 +280,7 @@ def test_stream_follows_a_tree(spark, tmp_path):
     assert len(run()) == 5
 
 
-@pytest.mark.parametrize("name", ["scan_cached", "scan_files", "scan_files_hidden", "scan_globs", "scan_ignored", "scan_source"])
+@pytest.mark.parametrize("name", ["scan_cached", "scan_files", "scan_files_hidden", "scan_globs", "scan_ignored", "scan_source", "scan_stream"])
 def test_trees_stand_on_disk_in_waves(spark, small, tmp_path, monkeypatch, name):
     """The most bytes that stand at once are a share of the tree, none are left, and the rows are those of one wave."""
     whole = sorted(map(tuple, QUERIES[name](spark, small).collect()), key=str)
