@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,13 @@ def test_hash_trees(spark):
     many = spark.createDataFrame([m for m in many if m[1] != "a0/b0/c0/f0"], schema)
     key = lambda df: sorted(tuple(r) for r in df.select("repo", "rel_path", "status").collect())
     assert key(vcs.tree_diff(trees[0], cut(vcs.snapshot_tree(many)))) == key(vcs.snapshot_diff(old, many))
+
+
+def test_patches_apply_file_by_file(monkeypatch):
+    """What is applied leaves before the batch is through, and one patch at a time is Python objects."""
+    monkeypatch.setattr(vcs, "FLUSH_BYTES", 3)
+    line = [{"seq": 0, "origin": "H", "text": "@@ -1 +1 @@"}, {"seq": 1, "origin": "-", "text": "a"}, {"seq": 2, "origin": "+", "text": "b"}]
+    rows = [{"repo": "r", "rel_path": str(i), "patch": line, "old": "a\nc\n"} for i in range(4)]
+    got = list(vcs._apply_groups(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert [b.num_rows for b in got] == [1] * 4
+    assert [r["content"] for b in got for r in b.to_pylist()] == ["b\nc\n"] * 4

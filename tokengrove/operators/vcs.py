@@ -26,6 +26,8 @@ KEY = ["repo", "rel_path"]
 CONTEXT = 3  # fixed value: unchanged lines around a change
 FILE_MODE = "100644"  # fixed value: a plain file
 NO_NEWLINE = "\\ No newline at end of file"  # fixed value
+FLUSH_BYTES = 4 << 20  # what a task has made leaves in batches of about so much
+_APPLIED = pa.schema([("repo", pa.string()), ("rel_path", pa.string()), ("content", pa.string())])
 PATCH_SCHEMA = "repo string, rel_path string, seq int, origin string, text string"
 
 
@@ -242,13 +244,21 @@ def apply_patch(old: str | None, patch: list[tuple[str, str]]) -> str | None:
     return "\n".join(out) + ("\n" if ended and out else "")
 
 
-def _apply_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _apply_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One file's patch is Python objects at a time, of which a line takes many times its bytes."""
     for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False):
-            lines = [(p["origin"], p["text"]) for p in row.patch]
-            rows.append((row.repo, row.rel_path, apply_patch(row.old, lines)))
-        yield pd.DataFrame(rows, columns=["repo", "rel_path", "content"])
+        rows: list[dict] = []
+        held = 0
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            content = apply_patch(row["old"], [(p["origin"], p["text"]) for p in row["patch"]])
+            rows.append({"repo": row["repo"], "rel_path": row["rel_path"], "content": content})
+            held += len(content or "")
+            if held >= FLUSH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, _APPLIED)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _APPLIED)
 
 
 def patch_apply(old: DataFrame, patches: DataFrame) -> DataFrame:
@@ -260,7 +270,7 @@ def patch_apply(old: DataFrame, patches: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("seq", "origin", "text"))).alias("patch")
     )
     pairs = whole.join(old.select(*KEY, F.col("content").alias("old")), KEY, "left")
-    return pairs.mapInPandas(_apply_groups, "repo string, rel_path string, content string").where("content IS NOT NULL")
+    return pairs.mapInArrow(_apply_groups, "repo string, rel_path string, content string").where("content IS NOT NULL")
 
 
 def git_sections(head: DataFrame, index: DataFrame, workdir: DataFrame) -> DataFrame:
