@@ -235,3 +235,18 @@ def test_patches_apply_file_by_file(monkeypatch):
     got = list(vcs._apply_groups(iter([pa.RecordBatch.from_pylist(rows)])))
     assert [b.num_rows for b in got] == [1] * 4
     assert [r["content"] for b in got for r in b.to_pylist()] == ["b\nc\n"] * 4
+
+
+def test_digests_leave_out_white_space_without_patterns(spark):
+    """Digests are those of the pattern they stand in for; no text goes through a pattern, in Spark or Python."""
+    texts = ["", "\n", "\n\n", "a", "a\n", "a \n", "a\n ", "a\n\n", " \t a\r\n b\f\v\n", "\u00a0a\u2003b ", "é \n\tü", "x\n \n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+    old = F.sha2(F.regexp_replace(F.regexp_replace("content", r"[ \t\r\f\x0B]+", ""), r"\n\z", ""), 256)
+    new = vcs._digest(F.col("content"))
+    assert "regexp" not in df.select(new)._jdf.queryExecution().analyzed().toString()
+    rows = df.select("i", old.alias("old"), new.alias("new")).collect()
+    assert [r.new for r in rows] == [r.old for r in rows]
+    white = re.compile(r"[ \t\r\f\v]+")
+    for text in texts:
+        lines = vcs._split(text)
+        assert vcs._bare(text, len(lines)) == [white.sub("", line) for line in lines]
