@@ -8,6 +8,7 @@ from tokengrove.catalog import load
 from tokengrove.functions.tokens import bpe_tokens, register_tokenizer
 from tokengrove.operators import counting, render, templates, variables, vcs
 from tokengrove.operators.counting import prompt_tokens
+from tokengrove.plans import assemble as assembling
 from tokengrove.plans.assemble import assemble
 from tokengrove.sources.sinks import read_prompts, write_prompts
 
@@ -243,3 +244,15 @@ def test_queries_have_whole_prompts(spark, large, name):
     times = 7 if name == "render_library" else 1
     assert sorted((r.repo, r.part) for r in got) == [("src1", 0)] * times + [("src2", 0)] * times
     assert all(r.size > 70 << 20 for r in got if r.repo == "src1")
+
+
+def test_small_parts_share_slices(spark):
+    """What every Python worker holds of a large text is its slices, not its parts; the parts are what they were."""
+    rows = [("r", i, f"piece {i:05d} of a text that is cut into small parts") for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "repo string, at int, text string").repartition(5)
+    placed = assembling.placed_pieces(pieces, ["repo"], ["at"], 20)
+    assert placed.select("_slice").distinct().count() <= 2 * assembling.FEW_SLICES
+    got = assemble(pieces, ["repo"], ["at"], 20).orderBy("part").collect()
+    assert len(got) == 3000 and "".join(r.text for r in got) == "".join(t for _, _, t in rows)
+    ends = [sum(len(t) for _, _, t in rows[:i]) // 20 for i in range(3000)]
+    assert [r.part for r in got] == ends
