@@ -1,9 +1,14 @@
 import base64
+import random
+import tracemalloc
 
 from hypothesis import given, settings, strategies as st
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tokengrove.functions import tokens
 from tokengrove.functions.code import wrap_code
 from tokengrove.functions.formats import fmt_compact, fmt_map
 from tokengrove.functions.text import json_text, trim_all
@@ -128,3 +133,21 @@ def test_vocabulary_file(spark, tmp_path):
         register_tokenizer("mine", ranks={b"a": 0}, pattern=".")
     df = spark.createDataFrame([(None,), ("abc abc",)], "t string")
     assert [r[0] for r in df.select(bpe_tokens(spark, F.col("t"), tok)).collect()] == [None, 3]
+
+
+def test_pieces_are_counted_a_bounded_number_at_a_time(monkeypatch):
+    rng = random.Random(6)
+    lists = [None if rng.random() < 0.1 else [rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(rng.choice([0, 0, 1, 5, 40]))] for _ in range(300)]
+    want = [None if x is None else sum(map(len, x)) for x in lists]
+    made = pa.array(lists, pa.list_(pa.string()))
+    for at_once in (1, 7, 64, 1 << 18):
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        assert tokens.row_sums(made, len).to_pylist() == want
+        assert tokens.row_sums(made.slice(11, 200), len).to_pylist() == want[11:211]
+    assert tokens.row_sums(made.slice(0, 0), len).to_pylist() == []
+    many = pa.ListArray.from_arrays(np.array([0, 3_000_000], np.int32), pa.array(["ab", "c", "d"] * 1_000_000))
+    tracemalloc.start()
+    assert tokens.row_sums(many, len).to_pylist() == [4_000_000]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20, peak  # arrays over all three million took 72 MB

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 import base64
 import heapq
@@ -67,6 +67,7 @@ ALIASES = {"gpt2": "r50k_base", "cl100k_base": "cl100k"}
 DEFAULT_ENCODING = "cl100k"
 MAX_VOCABULARY = 1_000_000  # what executors each hold a copy of
 REMEMBERED = 250_000  # merged pieces that a Python worker keeps
+AT_ONCE = 1 << 18  # pieces that are looked up at a time: arrays over a whole batch are many times its text
 
 
 @dataclass(frozen=True)
@@ -177,22 +178,36 @@ def merged_tokens(spark: SparkSession, pieces: Column, tokenizer: Tokenizer) ->
     def count(pieces: pa.Array) -> pa.Array:
         ranks = shipped.value
         memo = _memo(vocabulary)
-        coded = pieces.values.dictionary_encode()
-        length_of = np.zeros(len(coded.dictionary), dtype=np.int64)
-        for i, piece in enumerate(coded.dictionary.to_pylist()):
+
+        def length(piece: str) -> int:
             known = memo.get(piece)
             if known is None:
                 known = 1 if piece in specials else merged_length(piece.encode(), ranks)
                 if len(piece) <= 64 and len(memo) < REMEMBERED:
                     memo[piece] = known
-            length_of[i] = known
-        upto = np.concatenate([[0], np.cumsum(length_of[coded.indices.to_numpy()])])
-        ends = pieces.offsets.to_numpy()
-        return pa.array(upto[ends[1:]] - upto[ends[:-1]], mask=~pieces.is_valid().to_numpy(False))
+            return known
+
+        return row_sums(pieces, length)
 
     return count(pieces)
 
 
+def row_sums(lists: pa.Array, value: Callable[[str], int]) -> pa.Array:
+    """For each list of strings the sum of their values, null for null; ``AT_ONCE`` strings are looked at at a time."""
+    strings, ends = lists.values, lists.offsets.to_numpy().astype(np.int64)
+    sums = np.zeros(len(lists), np.int64)
+    for start in range(int(ends[0]), int(ends[-1]), AT_ONCE):
+        stop = min(start + AT_ONCE, int(ends[-1]))
+        coded = strings.slice(start, stop - start).dictionary_encode()
+        known = np.fromiter((value(s.as_py()) for s in coded.dictionary), np.int64, len(coded.dictionary))
+        upto = np.concatenate([[0], np.cumsum(known[coded.indices.to_numpy()])])
+        first, last = np.searchsorted(ends, start, side="right") - 1, np.searchsorted(ends, stop)
+        at = np.clip(ends[first : last + 1], start, stop) - start
+        sums[first:last] += upto[at[1:]] - upto[at[:-1]]
+        del coded, known, upto
+    return pa.array(sums, mask=~lists.is_valid().to_numpy(False))
+
+
 def bpe_tokens(spark: SparkSession, text: Column, tokenizer: Tokenizer) -> Column:
     """Token count of ``text``; each special token counts as one, null text gives null.
 
