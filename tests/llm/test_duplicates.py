@@ -216,3 +216,23 @@ def test_number_of_tables_reaches_the_recall():
         signs, tables = embedding_dedup.table_plan(n)
         meet = (1 - math.acos(0.9) / math.pi) ** signs
         assert 1 - (1 - meet) ** tables >= embedding_dedup.RECALL
+
+
+def test_idf_is_whole_and_a_large_group_counts_once(spark):
+    rng = random.Random(9)
+    line = "a line that every other text of this corpus has"
+    base = prose(70, 150).split()
+    copies = []
+    for _ in range(120):
+        words = base[:]
+        words[rng.randrange(150)] = f"own{rng.randrange(10**6)}"
+        copies.append(" ".join(words))
+    texts = copies + [prose(9000 + i, 60) + " " + line for i in range(240)]
+    weights = wm.common_shingles(spark, spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3))
+    common, _ = wm.shingles([line])
+    assert (weights.of(common) < 0.16).all()  # ln 2 / ln 101 = 0.15; it was 0.92
+    shared, _ = wm.shingles([" ".join(base)])
+    assert np.median(weights.of(shared)) > 0.9  # 120 of 360 would be 0.3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in wm.near_duplicates(docs).collect()}
+    assert found == {i: 0 if i < 120 else i for i in range(360)}

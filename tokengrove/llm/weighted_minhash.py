@@ -3,11 +3,14 @@
 Features: shingles of five lower-cased words; the i-th occurrence of a shingle is a feature of
 its own, so the weighted Jaccard similarity of ``tf * idf`` vectors is that of the feature sets
 weighted by idf alone. ``idf`` is ``ln(1 + N / df)`` over its largest value, where df below ``COMMON`` of
-the documents counts as ``COMMON``: only common shingles need their df. It is damped to the range
-``1 - DAMP`` to 1, because near copies raise the df of what they share: undamped, the few changed words
-of copies in a large group outweigh all that is equal and the group falls apart. Common shingles
+the documents counts as ``COMMON``: only common shingles need their df. It is not damped (``DAMP``
+is 1: all of the idf counts). Near copies would raise the df of what they share, so that the few changed words
+of copies in a large group outweigh all that is equal and the group falls apart. So a large group counts
+as one document: a group is the documents of one value of a short unweighted sketch, large from ``LARGE`` of the
+documents and ``LEAST`` of them on, and each of its ``m`` documents counts as ``1 / m``. There are at most
+``SKETCHES / LARGE`` such values at any corpus size; smaller groups hardly move a df of ``COMMON``. Common shingles
 are found exactly over all documents in two passes: a shingle that is common in the corpus is
-common in at least one segment of it, so segments name candidates, and a second pass counts
+common in at least one segment of it (documents weighted alike), so segments name candidates, and a second pass counts
 these. There are at most ``mean shingles / COMMON`` common shingles at any corpus size, which bounds
 what is broadcast.
 
@@ -42,7 +45,9 @@ from tokengrove.plans.lineage import cut
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-COMMON, DAMP = 0.01, 0.1
+COMMON, DAMP = 0.01, 1.0
+#: Large groups of near copies: by values of so many sketches of so many smallest hashes each.
+SKETCHES, SKETCH_ROWS, LARGE, LEAST = 6, 3, 0.001, 64
 BLOCK = 128
 #: Shingles of one segment of the first pass, and candidates counted in one round of the second.
 SEGMENT, ROUND = 2_000_000, 2_000_000
@@ -103,11 +108,11 @@ def occurrences(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Weights:
     """idf of shingles: a sorted array of the common ones, all others weigh the most."""
 
-    def __init__(self, hashes: np.ndarray, df: np.ndarray, documents: int):
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, documents: float):
         order = np.argsort(hashes)
         self.hashes = hashes[order].astype(np.uint64)
         self.most = 1.0
-        share = np.log1p(documents / np.maximum(df[order], 1)) / math.log1p(1 / COMMON)
+        share = np.log1p(documents / df[order]) / math.log1p(1 / COMMON)
         self.idf = 1 - DAMP * (1 - np.minimum(share, 1.0))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
@@ -186,36 +191,100 @@ class Sampler:
         return found
 
 
+_ODDS = np.random.default_rng(SEED + 1).integers(1, 1 << 63, SKETCHES * SKETCH_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``SKETCHES`` values of each text that has a word, from the smallest hashes of its shingles, unweighted."""
+    full = sizes[sizes > 0]
+    begins = np.cumsum(full) - full
+    out = np.zeros((SKETCHES, len(full)), np.uint64)
+    for k, odd in enumerate(_ODDS if len(full) else ()):
+        best = np.minimum.reduceat(hashes * odd, begins)
+        at = k // SKETCH_ROWS
+        out[at] = _mix(out[at] * _A + best + np.uint64(at + 1))
+    return out
+
+
+class Groups:
+    """Large groups of near copies: sorted values of sketches, and how many documents have each."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        order = np.argsort(values)
+        self.values, self.counts = values[order], counts[order].astype(np.float64)
+
+    def shares(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What each text counts as: 1, or 1 / m in a group of m (the largest one it is in)."""
+        out = np.ones(len(sizes))
+        if len(self.values) and len(hashes):
+            found = sketches(hashes, sizes)
+            at = np.minimum(np.searchsorted(self.values, found), len(self.values) - 1)
+            out[sizes > 0] = 1 / np.where(self.values[at] == found, self.counts[at], 1).max(axis=0)
+        return out
+
+
+def large_groups(texts: DataFrame) -> tuple[Groups, int]:
+    """The large groups among the rows of ``_text``, and the number of rows."""
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = list(batch["_text"])
+            for start, stop in text_slices(rows):
+                yield pd.DataFrame({"v": sketches(*shingles(rows[start:stop])).ravel().astype(np.int64)})
+
+    documents = texts.count()
+    many = F.col("n") >= max(LEAST, math.ceil(LARGE * documents))
+    if documents < LEAST:
+        return Groups(np.zeros(0, np.uint64), np.zeros(0)), documents
+    found = texts.mapInPandas(sketched, "v long").groupBy("v").agg(F.count("*").alias("n")).where(many).toPandas()
+    return Groups(found["v"].to_numpy(np.int64).astype(np.uint64), found["n"].to_numpy(np.int64)), documents
+
+
 def common_shingles(spark: SparkSession, texts: DataFrame) -> Weights:
-    """Exact document frequencies of the shingles in at least ``COMMON`` of the rows of ``_text``."""
+    """Exact document frequencies of the shingles in at least ``COMMON`` of the rows of ``_text``.
+
+    Documents of a large group of near copies count as one together.
+    """
+    groups, documents = large_groups(texts)
+    shared = ship(spark, groups)
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total, documents = [], 0, 0
+        held, counted, total, segment = [], [], 0, 0.0
 
         def named() -> pd.DataFrame:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            h = h[n >= COMMON * documents]
+            h, at = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(at, np.concatenate(counted))
+            h = h[n >= COMMON * segment * (1 - 1e-9)]
             return pd.DataFrame({"h": h.astype(np.int64)})
 
         for batch in batches:
             rows = list(batch["_text"])
             for start, stop in text_slices(rows):
                 hashes, sizes = shingles(rows[start:stop])
-                hashes = hashes[occurrences(hashes, sizes) == 0]
-                held.append(hashes)
-                total += len(hashes)
-                documents += stop - start
+                share = opened(shared).shares(hashes, sizes)
+                first = occurrences(hashes, sizes) == 0
+                held.append(hashes[first])
+                counted.append(np.repeat(share, sizes)[first])
+                total += len(held[-1])
+                segment += share.sum()
                 if total >= SEGMENT:
                     yield named()
-                    held, total, documents = [], 0, 0
+                    held, counted, total, segment = [], [], 0, 0.0
         if total:
             yield named()
 
-    documents = texts.count()
+    def share_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = list(batch["_text"])
+            total = sum(opened(shared).shares(*shingles(rows[i:j])).sum() for i, j in text_slices(rows))
+            yield pd.DataFrame({"n": [float(total)]})
+
+    if len(groups.values):
+        documents = texts.mapInPandas(share_of, "n double").agg(F.round(F.sum("n"), 6)).first()[0]
     named = cut(texts.mapInPandas(candidates, "h long").groupBy("h").agg(F.lit(1).alias("_one")))
     many = named.count()
-    least = COMMON * documents
-    hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    least = COMMON * documents * (1 - 1e-9)
+    hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
     rounds = max(1, math.ceil(many / ROUND))
     for k in range(rounds if many else 0):
         part = named.where(F.pmod(F.xxhash64("h"), F.lit(rounds)) == k).select("h").toPandas()["h"].to_numpy()
@@ -223,23 +292,26 @@ def common_shingles(spark: SparkSession, texts: DataFrame) -> Weights:
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             among = asked.value
-            found = np.zeros(len(among), np.int64)
+            found = np.zeros(len(among))
             for batch in batches:
                 rows = list(batch["_text"])
                 for start, stop in text_slices(rows):
                     h, sizes = shingles(rows[start:stop])
-                    h = h[occurrences(h, sizes) == 0]
+                    share = np.repeat(opened(shared).shares(h, sizes), sizes)
+                    first = occurrences(h, sizes) == 0
+                    h, share = h[first], share[first]
                     at = np.minimum(np.searchsorted(among, h), len(among) - 1)
-                    found += np.bincount(at[among[at] == h], minlength=len(among))
+                    hit = among[at] == h
+                    found += np.bincount(at[hit], share[hit], len(among))
             at = np.flatnonzero(found)
             yield pd.DataFrame({"h": among[at].astype(np.int64), "n": found[at]})
 
         common = (
-            texts.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        ).toPandas()
+            texts.mapInPandas(count, "h long, n double").groupBy("h").agg(F.round(F.sum("n"), 6).alias("n")).where(F.col("n") >= least)
+        ).toPandas()  # rounded, so that the order of a sum does not show
         asked.destroy()
         hashes.append(common["h"].to_numpy(np.int64))
-        counts.append(common["n"].to_numpy(np.int64))
+        counts.append(common["n"].to_numpy(float))
     return Weights(np.concatenate(hashes).astype(np.uint64), np.concatenate(counts), documents)
 
 
