@@ -298,3 +298,12 @@ def test_trees_stand_on_disk_in_waves(spark, small, tmp_path, monkeypatch, name)
     waved = sorted(map(tuple, QUERIES[name](spark, small).collect()), key=str)
     assert waved == whole and not left
     assert len(stood) > 2 and max(stood) < 16 << 20
+
+
+def test_a_repeated_text_leaves_the_jvm_once(spark, tmp_path):
+    rows = [("r", "a/long", bytearray(b"ab\n"), 400), ("r", "one", bytearray(b"x"), 1), ("r", "none", bytearray(b""), 400)]
+    files = spark.createDataFrame(rows, "repo string, rel_path string, content binary, times int")
+    scanning.lay_out(files, str(tmp_path))
+    assert {p: (tmp_path / "r" / p).read_bytes() for p in ("a/long", "one", "none")} == {"a/long": b"ab\n" * 400, "one": b"x", "none": b""}
+    scanning.lay_out(files.drop("times"), str(tmp_path))
+    assert (tmp_path / "r/a/long").read_bytes() == b"ab\n"

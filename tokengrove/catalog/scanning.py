@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from functools import reduce
+from itertools import repeat
 import os
 import time
 
@@ -28,20 +29,24 @@ _BLOCK = 4096  # what a file takes at least on most file systems
 
 
 def lay_out(files: DataFrame, folder: str) -> None:
-    """Write ``(repo, rel_path, content)`` as files below ``folder/repo``, the same if run twice."""
+    """Write ``(repo, rel_path, content)`` as files below ``folder/repo``, the same if run twice.
+
+    With a column ``times`` a file has its content so often; only one copy of it leaves the JVM.
+    """
+    times = F.col("times") if "times" in files.columns else F.lit(1)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for repo, rel_path, content in batch.itertuples(index=False):
+            for repo, rel_path, content, times in batch.itertuples(index=False):
                 path = os.path.join(folder, repo, rel_path)
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 partial = f"{path}.{os.getpid()}.partial"
                 with open(partial, "wb") as f:
-                    f.write(content if isinstance(content, bytes) else content.encode())
+                    f.writelines(repeat(content if isinstance(content, bytes) else content.encode(), times))
                 os.replace(partial, path)
             yield pd.DataFrame({"written": [len(batch)]})
 
-    files.select("repo", "rel_path", "content").mapInPandas(write, "written bigint").agg(
+    files.select("repo", "rel_path", "content", times.alias("times")).mapInPandas(write, "written bigint").agg(
         F.sum("written")
     ).collect()
 
@@ -60,18 +65,18 @@ def clear(files: DataFrame, folder: str) -> None:
 
 
 def _odd_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents as files, some of them empty, not UTF-8 or long, with the bytes ``_takes`` of each on disk."""
+    """The documents as files, some of them empty, not UTF-8 or long (``times`` their text), with the bytes ``_takes`` of each on disk."""
     files = corpus(spark, sf)
     n = F.regexp_extract("rel_path", r"d(\d+)(?:\.[^.]*)?$", 1).cast("bigint")
     raw = F.encode("content", "UTF-8")
     body = (
         F.when(n % 19 == 3, F.lit("").cast("binary"))
         .when(n % 19 == 4, F.concat(raw, F.unhex(F.lit("FFFE"))))
-        .when(n % 19 == 5, F.encode(F.repeat("content", 400), "UTF-8"))
         .otherwise(raw)
     )
-    takes = F.ceil(F.col("size") * F.when(n % 19 == 5, 400).otherwise(1) / _BLOCK) * _BLOCK
-    return files.withColumns({"content": body, "_takes": takes})
+    times = F.when(n % 19 == 5, 400).otherwise(1)
+    takes = F.ceil(F.col("size") * times / _BLOCK) * _BLOCK
+    return files.withColumns({"content": body, "times": times, "_takes": takes})
 
 
 def _in_waves(
