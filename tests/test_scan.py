@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokengrove.catalog import load, scanning
 from tokengrove.operators import cache, filters, ignore
 from tokengrove.plans.lineage import cut
+from tokengrove.sources import files as files_source
 from tokengrove.sources.files import list_files, local_path, scan_files
 from tokengrove.sources.tree_source import SETTLED_US, _Walk, read_tree, register_tree_source
 from tokengrove.streaming.incremental import append_batch, compact_cache, current_cache, incremental_scan, scan_stream
@@ -307,3 +308,26 @@ def test_a_repeated_text_leaves_the_jvm_once(spark, tmp_path):
     assert {p: (tmp_path / "r" / p).read_bytes() for p in ("a/long", "one", "none")} == {"a/long": b"ab\n" * 400, "one": b"x", "none": b""}
     scanning.lay_out(files.drop("times"), str(tmp_path))
     assert (tmp_path / "r/a/long").read_bytes() == b"ab\n"
+
+
+def test_a_small_tree_is_listed_in_one_round(spark, tmp_path, monkeypatch):
+    """Rounds cost a job each; how many entries a task lists at once changes their number, not the rows."""
+    wood(tmp_path / "wood")
+    os.symlink(tmp_path / "wood", tmp_path / "wood" / "d0" / "loop")
+    rounds = []
+    monkeypatch.setattr(files_source, "cut", lambda df: rounds.append(1) or cut(df))
+    found = {}
+    for together in (4096, 3, 1):
+        monkeypatch.setattr(files_source, "_TOGETHER", together)
+        rounds.clear()
+        rows = list_files(spark, str(tmp_path / "wood"), hidden=True, follow_symlinks=True).collect()
+        found[together] = len(rounds), sorted(map(tuple, rows), key=str)
+    assert found[4096][0] == 1 < found[3][0] <= found[1][0]
+    assert found[4096][1] == found[3][1] == found[1][1] and len(rows) > 30
+
+
+@pytest.mark.parametrize("name", ["scan_files_hidden"])
+def test_waves_leave_no_directories(spark, small, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(scanning, "work_dir", lambda spark, label: str(tmp_path / f"{label}-{len(os.listdir(tmp_path))}"))
+    assert QUERIES[name](spark, small).count()
+    assert not [d for d in os.listdir(tmp_path) if d.startswith("tree-") and d.split("-")[1].isdigit()]

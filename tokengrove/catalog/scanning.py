@@ -52,13 +52,18 @@ def lay_out(files: DataFrame, folder: str) -> None:
 
 
 def clear(files: DataFrame, folder: str) -> None:
-    """Remove the files that :func:`lay_out` wrote for ``(repo, rel_path)``; nothing else, and none twice."""
+    """Remove the files that :func:`lay_out` wrote for ``(repo, rel_path)`` and the directories that this empties; nothing else, and none twice."""
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for repo, rel_path in batch.itertuples(index=False):
+                at = os.path.join(folder, repo, rel_path)
                 with suppress(FileNotFoundError):
-                    os.remove(os.path.join(folder, repo, rel_path))
+                    os.remove(at)
+                with suppress(OSError):  # the first that is not empty
+                    while at != folder:
+                        at = os.path.dirname(at)
+                        os.rmdir(at)
             yield pd.DataFrame({"removed": [len(batch)]})
 
     files.select("repo", "rel_path").mapInPandas(remove, "removed bigint").agg(F.sum("removed")).collect()

@@ -1,7 +1,7 @@
 """Scanning directory trees that executors can reach.
 
-Listing goes level by level: every directory is a row, so a broad tree lists in
-parallel and each level is written out. A directory's ignore files are read when it is
+Listing goes in rounds: a task lists a few thousand entries below each directory that it is given and hands on the
+directories left, so a broad tree lists in parallel, a small one in one round, and each round is written out. A directory's ignore files are read when it is
 listed and their paths travel down with the rows, so ignored and hidden directories are never
 entered. Filters apply to the listing, before any file is opened; reading is spread by
 path, so one crowded directory is not one task.
@@ -29,6 +29,7 @@ _ENTRY = (
     "size bigint, mtime_us bigint, rules string, above string"
 )
 _BATCH_ROWS = 4096
+_TOGETHER = 4096  # entries that a task lists below one directory before it hands on the directories left
 _KNOWN_RULES = 100_000  # compiled ignore files, and missing ones, that a task keeps
 _BATCH_BYTES = 32 * 1024 * 1024
 
@@ -154,7 +155,7 @@ def list_files(
     ``roots`` is one directory or a table ``(repo, root)``; a root that is a link counts as its
     target. Hidden directories, and what ``.gitignore`` (unless ``no_ignore``) and ``.ignore``
     files rule out, are not descended into; entries that cannot be read are skipped. Ignore files above
-    a root count as :func:`rules_above` says. Runs a job per level.
+    a root count as :func:`rules_above` says. Runs a job for each round, of which a deep and large tree takes most.
     """
     if isinstance(roots, str):
         root = os.path.realpath(local_path(roots))
@@ -177,12 +178,19 @@ def list_files(
                         continue
                     above = json.dumps([f"{stat.st_dev}:{stat.st_ino}"])
                     carried = rules_above(root, names)
-                rules = Rules(carried, folder, names, known)
-                for row in entries(repo, root, folder, hidden, follow_symlinks, rules, json.loads(above or "[]")):
-                    rows.append(row)
-                    if len(rows) >= _BATCH_ROWS:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
+                waiting, seen = [(repo, root, folder, True, False, 0, 0, carried, above)], 0
+                while waiting:
+                    at = waiting.pop()
+                    if seen >= _TOGETHER:
+                        rows.append(at)
+                        continue
+                    rules = Rules(at[-2], at[2], names, known)
+                    for row in entries(repo, root, at[2], hidden, follow_symlinks, rules, json.loads(at[-1] or "[]")):
+                        (waiting if row[3] and seen < _TOGETHER else rows).append(row)
+                        seen += 1
+                        if len(rows) >= _BATCH_ROWS:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
         yield pd.DataFrame(rows, columns=columns).astype({"is_dir": bool, "is_symlink": bool})
 
     level = roots.select(
