@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tokengrove.catalog import load, scanning
 from tokengrove.operators import cache, filters, ignore
-from tokengrove.plans.lineage import cut
+from tokengrove.plans.lineage import cut, discard
 from tokengrove.sources import files as files_source
 from tokengrove.sources.files import list_files, local_path, scan_files
 from tokengrove.sources.tree_source import SETTLED_US, _Walk, read_tree, register_tree_source
+from tokengrove.streaming import incremental
 from tokengrove.streaming.incremental import append_batch, compact_cache, current_cache, incremental_scan, scan_stream
 
 QUERIES = load()[0]
@@ -331,3 +332,25 @@ def test_waves_leave_no_directories(spark, small, tmp_path, monkeypatch, name):
     monkeypatch.setattr(scanning, "work_dir", lambda spark, label: str(tmp_path / f"{label}-{len(os.listdir(tmp_path))}"))
     assert QUERIES[name](spark, small).count()
     assert not [d for d in os.listdir(tmp_path) if d.startswith("tree-") and d.split("-")[1].isdigit()]
+
+
+def test_a_stream_frees_its_copy_of_a_batch(spark, tmp_path, monkeypatch):
+    make(tmp_path / "grove", {f"d{i}/f{i}": b"a long text " * 20_000 for i in range(3)})
+    monkeypatch.setattr(incremental, "work_dir", lambda spark, label: str(tmp_path / f"work-{label}"))
+    table = str(tmp_path / "cache")
+    time.sleep(3 * SETTLED_US / 1e6)
+    scan_stream(spark, str(tmp_path / "grove"), table, str(tmp_path / "state")).awaitTermination()
+    assert {r.rel_path: len(r.content) for r in current_cache(spark, table).collect()} == {f"d{i}/f{i}": 240_000 for i in range(3)}
+    assert sum(os.path.getsize(p) for p in (tmp_path / "work-batch").glob("*")) < 1_000
+    discard(spark, table)
+    assert sum(os.path.getsize(p) for p in (tmp_path / "cache").rglob("*") if p.is_file()) < 1_000
+
+
+def test_files_that_arrive_once_are_told_by_name(spark, tmp_path):
+    rows = [("r", "once", 1, 1, "o", 1), ("r", "two", 1, 2, "old", 1), ("r", "two", 2, 1, "new", 1), ("r", "same", 1, 1, "s", 1), ("r", "same", 1, 1, "s", 1)]
+    rows += [("r", "part", None, 1, "x", 1), ("r", "part", 3, 1, "p", 1), ("r", "null", None, 1, "n", 1), (None, "null", 1, 1, "n", 1)]
+    spark.createDataFrame(rows, LISTING).write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.schema(LISTING).parquet(str(tmp_path / "batch"))
+    found = sorted(map(tuple, incremental._newest_of_written(batch).collect()))
+    assert found == sorted(map(tuple, incremental._newest(batch).collect()))
+    assert [(r[1], r[4]) for r in found] == [("once", "o"), ("part", "p"), ("same", "s"), ("two", "new")]

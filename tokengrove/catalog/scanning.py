@@ -16,7 +16,7 @@ from tokengrove.catalog.base import ORACLES, over_corpus, register
 from tokengrove.catalog.caching import TOKENIZER, earlier_cache, file_number
 from tokengrove.functions.text import sha256_hex
 from tokengrove.operators.cache import cache_rows
-from tokengrove.plans.lineage import cut, work_dir
+from tokengrove.plans.lineage import cut, discard, work_dir
 from tokengrove.sources import files as source
 from tokengrove.sources.tables import documents_corpus as corpus, read_table
 from tokengrove.sources.tree_source import SETTLED_US, read_tree
@@ -201,9 +201,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         time.sleep(2 * SETTLED_US / 1e6)
         for _ in range(2):
             scan_stream(spark, folder, table, checkpoint).awaitTermination()
-        return _by_repo(current_cache(spark, table)).select(
-            "repo", "rel_path", "size", "tokens", sha256_hex(F.col("content")).alias("digest")
+        found = cut(
+            _by_repo(current_cache(spark, table)).select(
+                "repo", "rel_path", "size", "tokens", F.col("sha256").alias("digest")
+            )
         )
+        discard(spark, table)
+        return found
 
     return _in_waves(spark, sf, scan)
 

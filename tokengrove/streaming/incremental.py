@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tokengrove.operators.cache import CACHE_COLUMNS, FILE_KEY, LOOKUP_KEY, cache_misses, cache_rows
-from tokengrove.plans.lineage import cut
+from tokengrove.plans.lineage import cut, discard, work_dir
 from tokengrove.sources.tree_source import register_tree_source
 
 CACHE_SCHEMA = (
@@ -70,6 +70,22 @@ def _run_of(spark: SparkSession, path: str, checkpoint: str) -> int:
     return run
 
 
+def _newest(batch: DataFrame) -> DataFrame:
+    """One row of each file's newest version."""
+    arrived = batch.dropDuplicates(LOOKUP_KEY)
+    version = F.struct("mtime_us", "size")
+    newest = arrived.groupBy(*FILE_KEY).agg(F.max(version).alias("_v")).select(*FILE_KEY, "_v.*")
+    return arrived.join(newest, LOOKUP_KEY, "left_semi")
+
+
+def _newest_of_written(batch: DataFrame) -> DataFrame:
+    """:func:`_newest` of a table. Contents of files that arrived once, in a tree all, stay where they are
+    as long as Spark can broadcast the names of the others."""
+    again = cut(batch.groupBy(*FILE_KEY).count().where("count > 1").select(*FILE_KEY))
+    once = batch.dropna(subset=LOOKUP_KEY).join(again, FILE_KEY, "left_anti")
+    return once.unionByName(_newest(batch.join(again, FILE_KEY, "left_semi")))
+
+
 def incremental_scan(
     files: DataFrame,
     path: str,
@@ -96,12 +112,13 @@ def incremental_scan(
         own = batch.sparkSession
         earlier = (F.col("run") < run) | (F.col("run") == run) & (F.col("batch") < batch_id)
         known = _latest(_log(own, path).where(earlier))
-        if present is not None:
-            batch = cut(batch)  # files may change while they are read again
-        arrived = batch.dropDuplicates(LOOKUP_KEY)
-        version = F.struct("mtime_us", "size")
-        newest = arrived.groupBy(*FILE_KEY).agg(F.max(version).alias("_v")).select(*FILE_KEY, "_v.*")
-        arrived = arrived.join(newest, LOOKUP_KEY, "left_semi")
+        if present is not None:  # files may change while they are read again
+            written = work_dir(own, "batch")
+            batch.write.parquet(written)
+            batch = own.read.schema(batch.schema).parquet(written)
+            arrived = _newest_of_written(batch)
+        else:
+            arrived = _newest(batch)
         fresh = count(cache_misses(arrived, known, tokenizer))
         rows = cache_rows(fresh, tokenizer)
         if present is not None:
@@ -109,6 +126,8 @@ def incremental_scan(
             empty = {c: F.lit(None).cast(missing.schema[c].dataType) for c in ("sha256", "tokens", "content")}
             rows = rows.unionByName(missing.withColumns(empty | {"cache_version": F.lit(GONE)}))
         append_batch(own, path, rows, batch_id, run)
+        if present is not None:
+            discard(own, written)
 
     return (
         files.writeStream.foreachBatch(upsert)
