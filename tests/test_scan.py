@@ -327,7 +327,7 @@ def test_a_small_tree_is_listed_in_one_round(spark, tmp_path, monkeypatch):
     assert found[4096][1] == found[3][1] == found[1][1] and len(rows) > 30
 
 
-@pytest.mark.parametrize("name", ["scan_files_hidden", "scan_ignored"])
+@pytest.mark.parametrize("name", ["scan_files_hidden", "scan_ignored", "scan_source"])
 def test_waves_leave_no_directories(spark, small, tmp_path, monkeypatch, name):
     monkeypatch.setattr(scanning, "work_dir", lambda spark, label: str(tmp_path / f"{label}-{len(os.listdir(tmp_path))}"))
     assert QUERIES[name](spark, small).count()
