@@ -334,6 +334,18 @@ def test_waves_leave_no_directories(spark, small, tmp_path, monkeypatch, name):
     assert not [d for d in os.listdir(tmp_path) if d.startswith("tree-") and d.split("-")[1].isdigit()]
 
 
+@pytest.mark.parametrize("name", ["scan_ignored", "scan_source"])
+def test_a_wave_is_laid_out_and_removed_at_once(spark, small, monkeypatch, name):
+    """Ignore files go with the wave's files, all of them go again, and no wave adds a table to the plan."""
+    calls = []
+    for step in ("lay_out", "clear"):
+        monkeypatch.setattr(scanning, step, lambda rows, folder, step=step, do=getattr(scanning, step): (calls.append((step, folder)), do(rows, folder)))
+    monkeypatch.setattr(scanning, "WAVE_BYTES", 8 << 20)
+    found = QUERIES[name](spark, small)
+    assert found.count() and found._jdf.queryExecution().analyzed().collectLeaves().size() == 1
+    assert len(calls) == len(set(calls)) > 2 and not any(os.path.exists(local_path(folder)) for _, folder in calls)
+
+
 def test_a_stream_frees_its_copy_of_a_batch(spark, tmp_path, monkeypatch):
     make(tmp_path / "grove", {f"d{i}/f{i}": b"a long text " * 20_000 for i in range(3)})
     monkeypatch.setattr(incremental, "work_dir", lambda spark, label: str(tmp_path / f"work-{label}"))

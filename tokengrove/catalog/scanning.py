@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import suppress
-from functools import reduce
 from itertools import repeat
 import os
 import time
@@ -46,9 +45,13 @@ def lay_out(files: DataFrame, folder: str) -> None:
                 os.replace(partial, path)
             yield pd.DataFrame({"written": [len(batch)]})
 
-    files.select("repo", "rel_path", "content", times.alias("times")).mapInPandas(write, "written bigint").agg(
-        F.sum("written")
-    ).collect()
+    rows = _few_tasks(files.select("repo", "rel_path", "content", times.alias("times")))
+    rows.mapInPandas(write, "written bigint").agg(F.sum("written")).collect()
+
+
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """Two tasks for each core: a wave takes few rows of many splits, and each Python task costs as much as some files."""
+    return files.coalesce(2 * files.sparkSession.sparkContext.defaultParallelism)
 
 
 def clear(files: DataFrame, folder: str) -> None:
@@ -66,7 +69,8 @@ def clear(files: DataFrame, folder: str) -> None:
                         os.rmdir(at)
             yield pd.DataFrame({"removed": [len(batch)]})
 
-    files.select("repo", "rel_path").mapInPandas(remove, "removed bigint").agg(F.sum("removed")).collect()
+    rows = _few_tasks(files.select("repo", "rel_path"))
+    rows.mapInPandas(remove, "removed bigint").agg(F.sum("removed")).collect()
 
 
 def _odd_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,34 +93,35 @@ def _in_waves(
     sf: str,
     scan: Callable[[DataFrame, str], DataFrame],
     ignore_files: bool = False,
-    wave_bytes: int | None = None,
 ) -> DataFrame:
     """What ``scan(roots, folder)`` finds in the documents laid out as files below the shared folder.
 
     The tree is many times as large as the texts, so it stands on disk in waves: a share of the files of every directory
     is laid out, scanned, the result written, the files removed. There are as many waves as the tree is
-    larger than ``WAVE_BYTES`` or the texts. Every file is in one wave; ignore files are in all.
+    larger than ``WAVE_BYTES`` or the texts: smaller ones take less disk, but each costs some jobs and reads all texts.
+    Every file is in one wave; ignore files are in all.
     Files in directories need a folder that executors can mount: these queries raise on others.
     """
     files = _odd_files(spark, sf)
     laid, texts = files.agg(F.sum("_takes"), F.sum("size")).first()
-    waves = max(1, -(-int(laid or 0) // max(wave_bytes or WAVE_BYTES, int(texts or 0))))
+    waves = max(1, -(-int(laid or 0) // max(WAVE_BYTES, int(texts or 0))))
     repos = cut(files.select("repo").distinct())
-    found = []
+    columns = ["repo", "rel_path", "content", "times"]
+    rules = [
+        F.struct(F.lit(path).alias("rel_path"), F.encode(F.lit(lines), "UTF-8").alias("content"), F.lit(1).alias("times"))
+        for path, lines in (IGNORE_FILES.items() if ignore_files else ())
+    ]
+    found = work_dir(spark, "found")
     for wave in range(waves):
         folder = source.local_path(work_dir(spark, "tree"))
-        here = files.where(F.pmod(F.xxhash64("rel_path"), F.lit(waves)) == wave)
+        here = files.where(F.pmod(F.xxhash64("rel_path"), F.lit(waves)) == wave).select(*columns)
+        if rules:
+            here = here.unionByName(repos.select("repo", F.inline(F.array(*rules))).select(*columns))
         lay_out(here, folder)
-        rules = [
-            repos.select("repo", F.lit(path).alias("rel_path"), F.lit(lines).alias("content"))
-            for path, lines in (IGNORE_FILES.items() if ignore_files else ())
-        ]
-        for rows in rules:
-            lay_out(rows, folder)
-        found.append(cut(scan(repos.withColumn("root", F.concat(F.lit(folder + "/"), "repo")), folder)))
-        for rows in (here, *rules):
-            clear(rows, folder)
-    return reduce(DataFrame.unionByName, found)
+        rows = scan(repos.withColumn("root", F.concat(F.lit(folder + "/"), "repo")), folder)
+        rows.write.mode("append").parquet(found)
+        clear(here, folder)
+    return spark.read.schema(rows.schema).parquet(found)
 
 
 IGNORE_FILES = {".gitignore": "m3/\n*.TOML\n", "en/.gitignore": "*.py\n!d*0.py\n", "en/.ignore": "!d*1.py\n"}
