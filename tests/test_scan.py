@@ -334,6 +334,17 @@ def test_waves_leave_no_directories(spark, small, tmp_path, monkeypatch, name):
     assert not [d for d in os.listdir(tmp_path) if d.startswith("tree-") and d.split("-")[1].isdigit()]
 
 
+def test_few_directories_are_listed_in_few_tasks(spark, tmp_path, monkeypatch):
+    wood(tmp_path / "wood")
+    tasks = []
+    monkeypatch.setattr(files_source, "cut", lambda df: tasks.append(df.rdd.getNumPartitions()) or cut(df))
+    monkeypatch.setattr(files_source, "_width", lambda _: 4)
+    assert list_files(spark, str(tmp_path / "wood")).count() and tasks == [1]
+    tasks.clear()
+    monkeypatch.setattr(files_source, "_TOGETHER", 1)
+    assert list_files(spark, str(tmp_path / "wood")).count() and tasks[:2] == [1, 4] and max(tasks) == 4
+
+
 @pytest.mark.parametrize("name", ["scan_ignored", "scan_source"])
 def test_a_wave_is_laid_out_and_removed_at_once(spark, small, monkeypatch, name):
     """Ignore files go with the wave's files, all of them go again, and no wave adds a table to the plan."""

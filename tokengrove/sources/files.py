@@ -201,12 +201,14 @@ def list_files(
         F.lit("").alias("above"),
     )
     levels: list[DataFrame] = []
-    width = _width(spark)
+    left = level.count()
     while True:
+        width = max(1, min(left, _width(spark)))  # an empty task costs a Python worker as well
         found = cut(level.repartition(width, "repo", "folder").mapInPandas(listing, _ENTRY))
         levels.append(found.where("not is_dir"))
         level = found.where("is_dir").select("repo", "root", F.col("path").alias("folder"), "rules", "above")
-        if level.isEmpty():
+        left = level.count()
+        if not left:
             break
     files = reduce(DataFrame.unionByName, levels)
     rel_path = F.substring(F.col("path"), F.length(F.rtrim("root", F.lit("/"))) + 2, F.length("path"))
