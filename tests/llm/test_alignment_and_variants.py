@@ -140,6 +140,19 @@ def test_alignment_of_wide_groups():
     assert wide.sizes[0].tolist() == [40] and sum(wide.links()[2].tolist()) == 80
 
 
+def test_rows_do_not_grow_with_slices(spark, tokenizers, monkeypatch):
+    """What a slice asks is written in rows of about ``LINKS`` links, each with whole pairs."""
+    monkeypatch.setattr(ta, "LINKS", 200, raising=False)
+    tables = []
+    monkeypatch.setattr(ta, "cut", lambda df, plain=ta.cut: tables.append(plain(df)) or tables[-1])
+    rows = [(i, prose(i, 80)) for i in range(50)] + [(50, None), (51, ""), (52, prose(3, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert align_rows(ta.align_tokens(docs, *PATHS)) == align_brute(rows, *tokenizers)
+    lists = [c for c, kind in tables[0].dtypes if kind.startswith("array")]
+    written = [[len(r[c] or ()) for c in lists] for r in tables[0].collect()]
+    assert sum(map(max, written)) > 2000 and max(map(max, written)) < 200 + len(rows)
+
+
 def test_alignment_of_odd_tables(spark, odd_docs, no_docs, tokenizers):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert align_rows(ta.align_tokens(odd_docs, *PATHS)) == align_brute(rows, *tokenizers)

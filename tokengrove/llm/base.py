@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 import sys
 
 from pyspark import Broadcast, cloudpickle
@@ -53,17 +53,22 @@ def unit_hash(*cols: str | Column, seed: int = 0) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def text_slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` characters, so that arrays over a slice stay small."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
+def size_slices(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of these sizes, of about ``limit`` together."""
+    start = stop = size = 0
+    for i, n in enumerate(sizes):
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+        stop = i + 1
+    if start < stop:
+        yield start, stop
+
+
+def text_slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``limit`` characters, so that arrays over a slice stay small."""
+    return size_slices((len(text or "") for text in texts), limit)
 
 
 def labelled_sample(

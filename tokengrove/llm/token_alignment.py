@@ -10,6 +10,8 @@ Corpus counts are by request and reply: a slice of texts names its distinct link
 with the number of its documents that hold each; Spark adds these up per pair, finds the best
 counts per first id, and joins them back to the slices that asked. So a pair that every
 document holds is one row a slice, its join is salted, and no vocabulary of pairs passes the driver.
+A slice asks in requests of a bounded number of links, each with the documents behind every pair, and a
+reply is summed per document of its request. So no row grows with a slice, however many a task holds.
 
 Defined cases: texts that are null or empty, or whose tokens do not give back their bytes on both
 sides, have no tokens, no groups and a digest of ''. Rows that repeat an id are documents of their own.
@@ -24,18 +26,21 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tokengrove.llm.base import opened, ship, text_slices
+from tokengrove.llm.base import opened, ship, size_slices
 from tokengrove.llm.trie_bpe import PATTERN, byte_letters
 from tokengrove.plans.lineage import cut
 from tokengrove.plans.skew import salted_join
 
 #: Bytes of either vocabulary file at most; they travel to the workers.
 MOST_FILE_BYTES = 64 << 20
-#: Characters that are encoded at a time, and that share one request for counts.
-ENCODED, SLICE = 1 << 20, 8 << 20
+#: Characters that are encoded at a time, and that ask for a pair's count once.
+ENCODED, SLICE = 1 << 18, 8 << 20
+#: Links of a request, up to its last pair.
+LINKS = 1 << 15
 
 
 def _file(path: str) -> bytes:
@@ -240,37 +245,59 @@ def printed(ids: int) -> list[str]:
     return [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(ids)]
 
 
-_ASKED = (
-    "_slice long, _codes array<long>, _docs array<int>, _ids array<string>, _counts array<long>, "
-    "_digests array<string>, _pairs array<int>, _refs array<int>, _times array<long>"
-)
-_RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+#: A row for each document, with its place ``_at`` in its slice, and one for each request, with ``_request``.
+_ASKED = {
+    "_slice": "long", "_at": "int", "_id": "string", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long",
+    "groups_sha256": "string", "_request": "int",
+    "_codes": "array<long>", "_docs": "array<int>", "_linked": "array<int>", "_times": "array<long>",
+}
+_ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())
+}
+_SUMS = "_slice long, _at int, n_best long, count_sum long"
 
 
 def _asked(docs: DataFrame, pair: TokenPair) -> DataFrame:
-    """One row a slice: its distinct pairs and in how many of its documents, its documents and their links.
+    """The documents of each slice, and its distinct pairs in requests.
 
-    ``_counts`` has four numbers a document, ``_pairs`` how many distinct pairs it links; ``_refs`` are the
-    places of those pairs in ``_codes``, ``_times`` how often it links them.
+    Of a request ``_docs`` tells in how many of the slice's documents each pair of ``_codes`` is linked;
+    ``_linked`` are these documents' places, pair by pair, ``_times`` how often each links it.
     """
     shared = ship(docs.sparkSession, pair)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(batch["_text"])
-            for start, stop in text_slices(texts, SLICE):
-                row = _slice_row(opened(shared).open(), texts[start:stop])
-                row |= {"_slice": batch["_row"].iat[start], "_ids": list(batch["_id"].iloc[start:stop])}
-                yield pd.DataFrame([row])
-
-    return docs.mapInPandas(run, _ASKED)
-
-
-def _slice_row(pair: TokenPair, texts: list[str]) -> dict:
-    counts, pairs = np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), np.int32)
-    digests, codes, times = [""] * len(texts), [], []
-    for start, stop in text_slices(texts, ENCODED):
-        encoded = pair.encode(texts[start:stop])
+            ids, texts, rows = batch.columns
+            sizes = pc.utf8_length(texts).to_numpy()
+            for start, stop in size_slices(sizes.tolist(), SLICE):
+                key, n = rows[start].as_py(), stop - start
+                found, requests = _slice_rows(opened(shared).open(), texts.slice(start, n), sizes[start:stop])
+                places = np.arange(n, dtype=np.int32)
+                yield _filled(n, _slice=np.full(n, key), _at=places, _id=ids.slice(start, n), **found)
+                n = len(requests["_codes"])
+                yield _filled(n, _slice=np.full(n, key), _request=np.arange(n, dtype=np.int32), **requests)
+                del found, requests
+            del batch, ids, texts, rows
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _ASKED.items()))
+
+
+def _filled(n: int, **columns) -> pa.RecordBatch:
+    """``n`` rows of ``_ASKED`` with these columns, nulls in the others."""
+    arrays = []
+    for name, kind in _ASKED.items():
+        values = columns.get(name, pa.nulls(n, _ARROW[kind]))
+        arrays.append(values if isinstance(values, pa.Array) else pa.array(values, _ARROW[kind]))
+    return pa.RecordBatch.from_arrays(arrays, names=[*_ASKED])
+
+
+def _slice_rows(pair: TokenPair, texts: pa.Array, sizes: np.ndarray) -> tuple[dict, dict]:
+    """Columns of a slice's documents and of its requests."""
+    counts, digests = np.zeros((4, len(texts)), np.int64), [""] * len(texts)
+    parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]
+    for start, stop in size_slices(sizes.tolist(), ENCODED):
+        encoded = pair.encode(texts.slice(start, stop - start).to_pylist())
         good = np.flatnonzero([e is not None for e in encoded])
         if not len(good):
             continue
@@ -279,23 +306,22 @@ def _slice_row(pair: TokenPair, texts: list[str]) -> dict:
         links = np.zeros(len(good), np.int64)
         np.add.at(links, text, often)
         groups = np.bincount(aligned.text, minlength=len(good))
-        counts[start + good] = np.stack([*aligned.n, groups, links], axis=1)
-        pairs[start + good] = np.bincount(text, minlength=len(good))
+        counts[:, start + good] = np.stack([*aligned.n, groups, links])
         for i, listing in zip(good, aligned.listings(pair.names)):
             digests[start + i] = hashlib.sha256(listing.encode()).hexdigest()
-        codes.append(code)
-        times.append(often)
-    code = np.concatenate([*codes, np.empty(0, np.int64)])
-    distinct, refs, docs = np.unique(code, return_inverse=True, return_counts=True)
-    return {
-        "_codes": distinct,
-        "_docs": docs.astype(np.int32),
-        "_counts": counts.ravel(),
-        "_digests": digests,
-        "_pairs": pairs,
-        "_refs": refs.astype(np.int32),
-        "_times": np.concatenate([*times, np.empty(0, np.int64)]),
-    }
+        parts.append((code, (start + good[text]).astype(np.int32), often))
+    documents = dict(zip(("n_a", "n_b", "n_groups", "n_links"), counts), groups_sha256=digests)
+    code, linked, times = map(np.concatenate, zip(*parts))
+    parts.clear()
+    order = np.argsort(code, kind="stable")  # documents rise within a pair
+    code, linked, times = code[order], linked[order], times[order]
+    heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else order
+    docs = np.diff(np.append(heads, len(code))).astype(np.int32)
+    # Of the pairs, those with which a request begins.
+    begins = np.flatnonzero(np.diff(heads // LINKS, prepend=-1))
+    per_pair, per_link = np.append(begins, len(heads)), np.append(heads[begins], len(code))
+    arrays = ("_codes", code[heads], per_pair), ("_docs", docs, per_pair), ("_linked", linked, per_link), ("_times", times, per_link)
+    return documents, {n: pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(v)) for n, v, stops in arrays}
 
 
 def pair_counts(asked: DataFrame) -> DataFrame:
@@ -314,17 +340,21 @@ def pair_counts(asked: DataFrame) -> DataFrame:
     )
 
 
-def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``n_best`` and ``count_sum`` of each document of a request, as far as its pairs go."""
     for batch in batches:
-        columns = (batch[c] for c in ("_ids", "_counts", "_digests", "_pairs", "_refs", "_times", "_n", "_best"))
-        for ids, counts, digests, pairs, refs, times, n, best in zip(*columns):
-            sums = np.zeros((2, len(ids)), np.int64)
-            if len(refs):
-                doc = np.repeat(np.arange(len(ids)), pairs)
-                np.add.at(sums[0], doc, times * np.asarray(best, np.int64)[refs])
-                np.add.at(sums[1], doc, times * np.asarray(n, np.int64)[refs])
-            out = pd.DataFrame(np.asarray(counts).reshape(-1, 4), columns=["n_a", "n_b", "n_groups", "n_links"])
-            yield out.assign(doc_id=list(ids), n_best=sums[0], count_sum=sums[1], groups_sha256=list(digests))
+        slices = batch.column(0).to_numpy()
+        docs, linked, times, n, best = (
+            (c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[1:]
+        )
+        for i in range(batch.num_rows):
+            of = [values[stops[i] : stops[i + 1]] for stops, values in (docs, linked, times, n, best)]
+            sums = np.zeros((2, int(of[1].max(initial=-1)) + 1), np.int64)
+            np.add.at(sums[0], of[1], of[2] * np.repeat(of[4].astype(np.int64), of[0]))
+            np.add.at(sums[1], of[1], of[2] * np.repeat(of[3], of[0]))
+            at = np.unique(of[1])
+            columns = np.full(len(at), slices[i]), at, sums[0][at], sums[1][at]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["_slice", "_at", "n_best", "count_sum"])
 
 
 def align_tokens(
@@ -339,13 +369,30 @@ def align_tokens(
         F.monotonically_increasing_id().alias("_row"),
     )
     asked = cut(_asked(rows, pair))
-    wanted = asked.select("_slice", F.posexplode("_codes").alias("_at", "_code"))
+    requests = asked.where(F.col("_request").isNotNull())
+    wanted = requests.select("_slice", "_request", F.posexplode("_codes").alias("_place", "_code"))
+    key = ["_slice", "_request"]
     replies = (
-        salted_join(wanted, cut(pair_counts(asked)), ["_code"], "inner", ["_slice"])
-        .groupBy("_slice")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_n", "_best"))).alias("_r"))
-        .select("_slice", F.col("_r._n").alias("_n"), F.col("_r._best").alias("_best"))
+        salted_join(wanted, cut(pair_counts(requests)), ["_code"], "inner", key)
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("_place", "_n", "_best"))).alias("_r"))
+        .select(*key, F.col("_r._n").alias("_n"), F.col("_r._best").alias("_best"))
+    )
+    sums = (
+        requests.select(*key, "_docs", "_linked", "_times")
+        .join(replies, key)
+        .select("_slice", "_docs", "_linked", "_times", "_n", "_best")
+        .mapInArrow(_totals, _SUMS)
+        .groupBy("_slice", "_at")
+        .agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    )
+    found = asked.where(F.col("_request").isNull()).join(sums, ["_slice", "_at"], "left")
+    return found.select(
+        F.col("_id").cast("long").alias("doc_id"),
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")],
+        "groups_sha256",
     )
-    result = _RESULT.replace("doc_id long", "doc_id string")
-    found = asked.drop("_codes", "_docs").join(replies, "_slice", "left").mapInPandas(_totals, result)
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
