@@ -53,6 +53,43 @@ def test_parts_concatenate_to_the_prompt(files, size):
         assert got.where("repo = 'r'").count() > 3
 
 
+ALIKE = {
+    "long": "Project {{absolute_code_path}}\n{{source_tree}}\n{{#each files}}\n{{path}}:{{code}}\n{{/each}}\nWhat is asked of {{who}}\n",
+    "blank": " \n{{#if who}}  {{/if}} {{source_tree}} \n\t{{#each files}}\n{{path}}:{{code}}\n{{/each}}\n \n",
+    "short": "{{source_tree}}{{#each files}}\n{{path}}:{{code}}\n{{/each}}\n",
+    "empty": "\n",
+    "same": "P {{source_tree}}é{{#each files}}\n{{path}}:{{code}}\n{{/each}}\n.",
+    "other": "{{#each files}}{{path}} {{/each}}{{source_tree}}",
+}
+
+
+@pytest.mark.parametrize("size, with_variables", [(7, False), (10**6, True)])
+def test_named_templates_are_rendered_as_each_by_itself(spark, files, size, with_variables):
+    given = [("r", "who", "someone"), ("s", "source_tree", " own tree\n")]
+    variables_ = spark.createDataFrame(given, "repo string, key string, value string") if with_variables else None
+    got = render.render_prompts(files, ALIKE, size, variables=variables_)
+    assert got.columns == ["repo", "part", "prompt", "template"]
+    rows = sorted(map(tuple, got.collect()))
+    wanted = []
+    for name, body in ALIKE.items():
+        wanted += [(*r, name) for r in render.render_prompts(files, body, size, variables=variables_).collect()]
+    assert rows == sorted(wanted)
+
+
+def test_library_shares_its_pieces(spark, monkeypatch, tmp_path):
+    """Templates that differ in what they ask write and shuffle the texts of the files once."""
+    rows = [(i, f"text {i} " * 50, "en", "src") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    monkeypatch.setattr(assembling, "cut", lambda df, plain=assembling.cut: written.append(plain(df)) or written[-1])
+    got = QUERIES["render_library"](spark, str(tmp_path))
+    held = sum(df.agg(F.sum(F.octet_length("text"))).first()[0] for df in written if "text" in df.columns)
+    assert sum(len(r[1]) for r in rows) < held < 2 * sum(len(r[1]) for r in rows)
+    assert got.select("template").distinct().count() == got.count() == 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_options(files):
     got = prompts(
         render.render_prompts(
